@@ -23,9 +23,10 @@ CONTRADICTION_TYPE = (
 
 def _mentions(text: Column, phrases: list) -> Column:
     """The phrases that occur in the text, in list order."""
-    return F.array_compact(
-        F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases])
-    )
+    none = F.array().cast("array<string>")
+    return F.concat(*[
+        F.when(F.contains(text, F.lit(p)), F.array(F.lit(p))).otherwise(none) for p in phrases
+    ])
 
 
 def with_content_score(df: DataFrame, description: str = "description",

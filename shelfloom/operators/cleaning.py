@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfloom.fixed_values import DEFAULT_CURRENCY, FIELD_LIMITS, HEADER_ALIASES
-from shelfloom.functions.attributes import attribute_map
+from shelfloom.functions.attributes import with_attributes
 from shelfloom.functions.money import feed_price
 from shelfloom.functions.text import (
     normalize_text, null_if_blank, null_if_na, strip,
@@ -12,6 +12,9 @@ from shelfloom.functions.text import (
 from shelfloom.sources.feeds import ORDER, raw_columns
 
 
+TEXT_FIELDS = ["title", "description", "category", "brand"]
+
+
 def map_headers(headers: list) -> dict:
     """Standard field -> position of the column that fills it.
 
@@ -45,10 +48,11 @@ def _over_limit() -> Column:
 
 
 def clean_rows(rows: DataFrame, headers: list) -> DataFrame:
-    """Clean catalog rows from ``feed_rows``; lines without a SKU are skipped.
+    """Clean catalog rows from ``feed_rows``, one per line, in typed columns.
 
-    Every text stays text, so numbers used as SKU or UPC keep leading zeros.
-    ``reject_reason`` is set for rows that no catalog row can hold.
+    Every text stays text, so numbers used as SKU or UPC keep leading zeros. A
+    line without a SKU has a null one; ``reject_reason`` is set for rows that no
+    catalog row can hold.
     """
     position = map_headers(headers)
     columns = raw_columns(headers)
@@ -59,37 +63,40 @@ def clean_rows(rows: DataFrame, headers: list) -> DataFrame:
     ]
     absent = F.lit(None).cast("string")
 
-    def text(field: str) -> Column:
-        return null_if_blank(normalize_text(mapped.get(field, absent)))
-
     named = F.struct(*[F.col(c).alias(h) for c, h in zip(columns, headers)])
-    carried = [c for c in rows.columns if c not in columns]
-    cleaned = rows.select(
-        *carried,
-        null_if_blank(strip(mapped["sku"])).alias("sku"),
-        text("title").alias("title"),
-        text("description").alias("description"),
-        text("category").alias("category"),
-        text("brand").alias("brand"),
+    kept = [c for c in rows.columns if c not in columns]
+    # Texts are normalized in one step and read in the next, so once per row.
+    texts = with_attributes(rows, mapped, extras).select(
+        *kept,
+        "attributes",
+        strip(mapped["sku"]).alias("sku"),
+        *[normalize_text(mapped.get(f, absent)).alias(f) for f in TEXT_FIELDS],
         feed_price(mapped.get("price", absent)).alias("price"),
-        F.coalesce(
-            F.upper(null_if_blank(strip(mapped.get("currency", absent)))),
-            F.lit(DEFAULT_CURRENCY),
-        ).alias("currency"),
-        attribute_map(mapped, extras).alias("attributes"),
+        strip(mapped.get("currency", absent)).alias("currency"),
         F.to_json(named, {"ignoreNullFields": "false"}).alias("raw_data"),
     )
-    return (
-        cleaned.filter(F.col("sku").isNotNull())
-        .withColumn("title", F.coalesce("title", "sku"))
-        .withColumn("reject_reason", _over_limit())
+    filled = texts.withColumns({
+        **{f: null_if_blank(F.col(f)) for f in ("sku", *TEXT_FIELDS)},
+        "currency": F.coalesce(
+            F.upper(null_if_blank(F.col("currency"))), F.lit(DEFAULT_CURRENCY)),
+    })
+    return filled.withColumn("title", F.coalesce("title", "sku")).withColumn(
+        "reject_reason", _over_limit()
     )
 
 
-def split_rejects(cleaned: DataFrame):
-    """(rows to store, rows for quarantine with their reason)."""
-    good = cleaned.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    return good, cleaned.filter(F.col("reject_reason").isNotNull())
+def is_storable() -> Column:
+    """Lines that become catalog rows; those without a SKU are skipped silently."""
+    return F.col("sku").isNotNull() & F.col("reject_reason").isNull()
+
+
+def storable_rows(cleaned: DataFrame) -> DataFrame:
+    return cleaned.filter(is_storable()).drop("reject_reason")
+
+
+def quarantine(cleaned: DataFrame) -> DataFrame:
+    """Rows that cannot be stored, with the reason."""
+    return cleaned.filter(F.col("sku").isNotNull() & F.col("reject_reason").isNotNull())
 
 
 def last_per_sku(feed: DataFrame) -> DataFrame:

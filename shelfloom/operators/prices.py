@@ -82,6 +82,7 @@ def latest_priced(prices: DataFrame) -> DataFrame:
         .groupBy(*SERIES)
         .agg(F.max_by(F.struct(*others), F.struct(*SERIES_ORDER)).alias("_last"))
         .select(*SERIES, "_last.*")
+        .select(*prices.columns)
     )
 
 
@@ -183,9 +184,10 @@ def alert_rows(with_array: DataFrame, created_at: Column = None) -> DataFrame:
     """Rows for the append-only alert table."""
     exploded = with_array.select(
         "price_id", *SERIES, "our_price", "competitor_price", "scraped_at",
-        F.explode("alerts").alias("_alert"),
+        F.explode_outer("alerts").alias("_alert"),
     )
-    return exploded.select(
+    # Outer with a filter behind it: see issue_rows.
+    return exploded.filter(F.col("_alert").isNotNull()).select(
         F.xxhash64("price_id", "_alert.alert_type").alias("alert_id"),
         "product_id",
         F.col("_alert.alert_type").alias("alert_type"),

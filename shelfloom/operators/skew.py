@@ -81,4 +81,4 @@ def previous_value(df: DataFrame, keys: list, order: list, value: str, out: str,
     hot_part = lag_by_slice(
         df.join(names, keys, "left_semi"), keys, order, value, out, slices_for(hot, rows_per_task)
     )
-    return cold_part.unionByName(hot_part)
+    return cold_part.unionByName(hot_part).select(*df.columns, out)

@@ -13,7 +13,7 @@ from shelfloom.operators.changes import (
     SMALL_FEED_ROWS, new_product_id, upsert_products, upsert_small_feed,
 )
 from shelfloom.operators.cleaning import (
-    clean_rows, feed_rows, last_per_sku, map_headers, split_rejects,
+    clean_rows, feed_rows, is_storable, last_per_sku, map_headers, quarantine, storable_rows,
 )
 from shelfloom.operators.quality import data_issues, status_from_issues, with_issues
 from shelfloom.schemas import INGESTION_JOBS
@@ -66,9 +66,19 @@ def process_rows(rows: DataFrame, headers: list, current: DataFrame, run_ts: dat
         error = OTHER_ERROR_TEXT.format(error="No columns to parse from file")
         return FeedResult(_job_row(spark, **job, status="failed", error_message=error,
                                    completed_at=run_ts))
+    has_sku = "sku" in map_headers(headers)
     lines = feed_rows(rows, headers)
-    overlong = F.count_if(F.col(OVERFLOW).isNotNull()) if OVERFLOW in rows.columns else F.lit(0)
-    total, broken = lines.agg(F.count(F.lit(1)), overlong).first()
+    overlong = F.col(OVERFLOW).isNotNull() if OVERFLOW in rows.columns else F.lit(False)
+    if has_sku:
+        # All outputs read the checked rows, so the feed is read and checked once.
+        cleaned = clean_rows(lines.withColumn("_overlong", overlong).drop(OVERFLOW), headers)
+        checked = settle(checked_rows(cleaned), "feed-rows")
+        found_issues = F.sum(F.when(is_storable(), F.size("issues")))
+    else:
+        checked, found_issues = lines.withColumn("_overlong", overlong), F.lit(0)
+    total, broken, found = checked.agg(
+        F.count(F.lit(1)), F.count_if("_overlong"), F.coalesce(found_issues, F.lit(0))
+    ).first()
     job["total_rows"] = total
     if broken:
         error = PARSE_ERROR_TEXT.format(error=f"{broken} lines have more fields than the header")
@@ -76,19 +86,16 @@ def process_rows(rows: DataFrame, headers: list, current: DataFrame, run_ts: dat
                                    completed_at=run_ts))
     if not total:
         return FeedResult(_job_row(spark, **job, status="completed", error_message=EMPTY_FEED_TEXT))
-    if "sku" not in map_headers(headers):
+    if not has_sku:
         error = NO_SKU_TEXT.format(columns=", ".join(headers))
         return FeedResult(_job_row(spark, **job, status="failed", error_message=error))
 
-    good, rejected = split_rejects(clean_rows(lines.drop(OVERFLOW), headers))
-    # Four outputs read the checked rows, so they are computed once.
-    checked = settle(checked_rows(good), "feed-rows")
-    latest = settle(last_per_sku(checked.drop("issues")), "feed-skus")
+    good = storable_rows(checked.drop("_overlong"))
+    latest = settle(last_per_sku(good.drop("issues")), "feed-skus")
     counts = feed_counts(latest, current).first()
-    found = checked.agg(F.coalesce(F.sum(F.size("issues")), F.lit(0))).first()[0]
     upsert = upsert_small_feed if latest.count() <= SMALL_FEED_ROWS else upsert_products
     ids = current.select("sku", F.col("product_id").alias("_known_id"))
-    identified = checked.join(ids, "sku", "left").withColumn(
+    identified = good.join(ids, "sku", "left").withColumn(
         "product_id", F.coalesce("_known_id", new_product_id(F.col("sku")))
     )
     return FeedResult(
@@ -99,7 +106,7 @@ def process_rows(rows: DataFrame, headers: list, current: DataFrame, run_ts: dat
         ),
         products=upsert(current, latest, run_ts),
         issues=data_issues(identified, run_ts, job_id),
-        quarantine=rejected,
+        quarantine=quarantine(checked).drop("_overlong", "issues", "status"),
     )
 
 

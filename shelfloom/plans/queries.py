@@ -106,8 +106,8 @@ def q_content_label_counts(spark, sf_dir):
 @query
 def q_contradictions(spark, sf_dir):
     found = with_contradictions(tv.products(spark, sf_dir))
-    rows = found.select("product_id", F.posexplode("contradictions").alias("position", "c"))
-    return rows.select("product_id", "position", "c.field", "c.source", "c.expected", "c.actual")
+    rows = found.select("product_id", F.posexplode_outer("contradictions").alias("position", "c"))
+    return rows.filter(F.col("c").isNotNull()).select("product_id", "position", "c.field", "c.source", "c.expected", "c.actual")
 
 
 @query
@@ -131,7 +131,7 @@ def q_product_status(spark, sf_dir):
 
 def _cleaned(spark, sf_dir):
     rows = cleaning.feed_rows(tv.feed_lines(spark, sf_dir), tv.FEED_HEADERS)
-    return cleaning.clean_rows(rows, tv.FEED_HEADERS)
+    return cleaning.storable_rows(cleaning.clean_rows(rows, tv.FEED_HEADERS))
 
 
 def _clean_columns(rows):
@@ -175,6 +175,11 @@ def _updates(spark, sf_dir):
     return checked_rows(tv.update_lines(spark, sf_dir))
 
 
+def _latest(spark, sf_dir):
+    """Only the last line of a SKU sets its status, so only that one is checked."""
+    return checked_rows(cleaning.last_per_sku(tv.update_lines(spark, sf_dir))).drop("issues")
+
+
 def _catalog(spark, sf_dir):
     """Products as stored rows, status draft."""
     rows = tv.products(spark, sf_dir, described=False).withColumn("status", F.lit("draft"))
@@ -185,7 +190,7 @@ def _catalog(spark, sf_dir):
 
 @query
 def q_upsert(spark, sf_dir):
-    latest = cleaning.last_per_sku(_updates(spark, sf_dir))
+    latest = _latest(spark, sf_dir)
     after = changes.upsert_products(_catalog(spark, sf_dir), latest, RUN)
     return after.select(
         "sku", "title", "description", "category", "brand", "price", "currency", "status",
@@ -196,7 +201,7 @@ def q_upsert(spark, sf_dir):
 
 @query
 def q_upsert_small_feed(spark, sf_dir):
-    latest = cleaning.last_per_sku(_updates(spark, sf_dir))
+    latest = _latest(spark, sf_dir)
     after = changes.upsert_small_feed(_catalog(spark, sf_dir), settle(latest, "latest"), RUN)
     return after.select("sku", "title", "price", "currency", "status")
 
@@ -204,7 +209,7 @@ def q_upsert_small_feed(spark, sf_dir):
 @query
 def q_upsert_counters(spark, sf_dir):
     updates = _updates(spark, sf_dir)
-    latest = cleaning.last_per_sku(updates)
+    latest = cleaning.last_per_sku(updates.select("sku", "currency", cleaning.ORDER))
     counts = feed_counts(latest, _catalog(spark, sf_dir).select("sku"))
     issues = updates.agg(F.sum(F.size("issues")).alias("issues_found"))
     stacked = counts.unionByName(issues, allowMissingColumns=True)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfloom.fixed_values import SOURCES
-from shelfloom.functions.attributes import attribute_map
+from shelfloom.functions.attributes import with_attributes
 from shelfloom.operators.quality import status_from_issues, with_issues
 from shelfloom.sources.feeds import ORDER
 
@@ -73,21 +73,23 @@ def products(spark: SparkSession, sf_dir: str, described: bool = True) -> DataFr
         F.col("p_type").alias("category"),
         F.when(rupees, F.col("p_retailprice") * 83.0).otherwise(F.col("p_retailprice")).alias("price"),
         F.when(rupees, "INR").otherwise("USD").alias("currency"),
-        attribute_map(
-            {
-                "color": pick(RAW_COLORS, key),
-                "size": pick(RAW_SIZES, key),
-                "material": pick(RAW_MATERIALS, key),
-                "weight": F.concat(F.col("p_size").cast("string"), F.lit("kg")),
-            },
-            [("Ship Class", F.col("p_type"))],
-        ).alias("attributes"),
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("p_size"))).alias(
             "updated_at"
         ),
         F.when(F.col("p_size") <= 10, F.concat(F.lit("Generated for "), F.col("p_name")))
         .when(F.col("p_size") <= 20, "").alias("generated_description"),
+        F.col("p_size").alias("_size"),
     )
+    rows = with_attributes(
+        rows.withColumn("_weight", F.concat(F.col("_size").cast("string"), F.lit("kg"))),
+        {
+            "color": pick(RAW_COLORS, F.col("product_id")),
+            "size": pick(RAW_SIZES, F.col("product_id")),
+            "material": pick(RAW_MATERIALS, F.col("product_id")),
+            "weight": F.col("_weight"),
+        },
+        [("Ship Class", F.col("category"))],
+    ).drop("_size", "_weight")
     if not described:
         return rows.withColumn("description", F.lit(None).cast("string"))
     texts = read(spark, sf_dir, "documents").select(

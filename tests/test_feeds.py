@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfloom.operators.changes import upsert_products, upsert_small_feed
-from shelfloom.operators.cleaning import clean_rows, feed_rows, last_per_sku, map_headers
+from shelfloom.operators.cleaning import (
+    clean_rows, feed_rows, last_per_sku, map_headers, storable_rows,
+)
 from shelfloom.plans.feed_job import run_feed, store
 from shelfloom.schemas import PRODUCTS
 from shelfloom.sources.feeds import feed_headers, header_names, is_csv_name, read_feed
@@ -39,7 +41,7 @@ def write_feed(folder, name, lines):
 
 def clean(spark, path):
     headers = feed_headers(spark, path)
-    return clean_rows(feed_rows(read_feed(spark, path, headers), headers), headers)
+    return storable_rows(clean_rows(feed_rows(read_feed(spark, path, headers), headers), headers))
 
 
 def job(result):
@@ -204,7 +206,7 @@ def test_both_upsert_forms_agree_and_repeat_changes_nothing(spark, tmp_path):
     current = run_feed(spark, feed, empty, T1).products
     other = write_feed(tmp_path, "g.csv", [HEADER, SAMPLE[0], SAMPLE[1].replace("1199.99", "7"),
                                            SAMPLE[2].replace("A3", "Z3")])
-    checked = clean(spark, other).drop("reject_reason").withColumn("status", F.lit("flagged"))
+    checked = clean(spark, other).withColumn("status", F.lit("flagged"))
     latest = last_per_sku(checked)
     order = sorted(PRODUCTS.fieldNames())
     forms = [
@@ -223,6 +225,6 @@ def test_split_files_keep_feed_order(spark, tmp_path):
         write_feed(folder, f"p{part}.csv", ["sku,title", *[f"s{i},part{part}" for i in range(50)]])
     headers = feed_headers(spark, str(folder), multi_line=False)
     rows = feed_rows(read_feed(spark, str(folder), headers, multi_line=False), headers)
-    latest = last_per_sku(clean_rows(rows, headers).drop("reject_reason"))
+    latest = last_per_sku(storable_rows(clean_rows(rows, headers)))
     assert latest.count() == 50
     assert {(r["title"], r["lines"]) for r in latest.collect()} == {("part2", 3)}
