@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom.session import settle
+
 
 def _empty(column: str) -> Column:
     """Null or ''; never null."""
@@ -56,14 +58,26 @@ def open_issue_counts(issues: DataFrame) -> DataFrame:
 def with_issue_counts(products: DataFrame, issues: DataFrame) -> DataFrame:
     """Products with their number of unresolved issues.
 
-    Issues are counted per product before the join. For a page of products,
-    count only theirs: pass ``issues_of(issues, page)``.
+    Issues are counted per product before the join.
     """
     return products.join(open_issue_counts(issues), "product_id", "left").withColumn(
         "issue_count", F.coalesce("issue_count", F.lit(0))
     )
 
 
+def list_products(products: DataFrame, issues: DataFrame, skip: int = 0, limit: int = 50,
+                  after: tuple = None, **filters) -> DataFrame:
+    """A page of products with each one's number of unresolved issues.
+
+    The page is written out first: at most ``limit`` rows, whose true size lets
+    Spark broadcast them to the issues instead of shuffling those.
+    """
+    page = settle(product_page(products, skip, limit, after, **filters), "page")
+    return with_issue_counts(page, issues_of(issues, page)).orderBy(
+        F.desc("updated_at"), F.asc("product_id")
+    )
+
+
 def products_by_id(products: DataFrame, ids: DataFrame) -> DataFrame:
     return products.join(ids.select("product_id").distinct(), "product_id", "left_semi")
 

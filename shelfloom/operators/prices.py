@@ -11,7 +11,7 @@ from shelfloom.functions.money import change_percent, in_our_currency, undercut_
 from shelfloom.functions.search import search_query, search_url
 from shelfloom.functions.text import fill, fixed_decimals, title_case
 from shelfloom.operators.skew import (
-    ROWS_PER_TASK, hot_keys, lag_by_key, lag_by_slice, previous_value, slices_for,
+    MAX_SLICES, ROWS_PER_TASK, hot_keys, lag_by_key, lag_by_slice, previous_value, slices_for,
 )
 from shelfloom.session import settle
 
@@ -93,8 +93,8 @@ def _offers(products: DataFrame) -> DataFrame:
     )
 
 
-def compared_prices(prices: DataFrame, products: DataFrame,
-                    rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def compared_prices(prices: DataFrame, products: DataFrame, rows_per_task: int = ROWS_PER_TASK,
+                    max_slices: int = MAX_SLICES) -> DataFrame:
     """Priced snapshots with our price and the previous price of their series.
 
     The join with our products and the look-back share one shuffle by product.
@@ -117,7 +117,7 @@ def compared_prices(prices: DataFrame, products: DataFrame,
     )
     sliced = lag_by_slice(
         rows.join(names, SERIES, "left_semi"), SERIES, SERIES_ORDER,
-        "competitor_price", "previous_price", slices_for(hot, rows_per_task),
+        "competitor_price", "previous_price", slices_for(hot, rows_per_task, max_slices),
     )
     cold = look_back(rows.join(names, SERIES, "left_anti"))
     return cold.unionByName(sliced.join(hot_offers, "product_id").select(*cold.columns))
@@ -203,9 +203,9 @@ def alert_rows(with_array: DataFrame, created_at: Column = None) -> DataFrame:
 
 def history_alerts(prices: DataFrame, products: DataFrame, rate: float = INR_PER_USD,
                    undercut_from: float = UNDERCUT_PERCENT, change_from: float = CHANGE_PERCENT,
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   rows_per_task: int = ROWS_PER_TASK, max_slices: int = MAX_SLICES) -> DataFrame:
     """Alerts for every snapshot of a history, against today's catalog prices."""
-    compared = compared_prices(prices, products, rows_per_task)
+    compared = compared_prices(prices, products, rows_per_task, max_slices)
     return alert_rows(with_alerts(compared, rate, undercut_from, change_from))
 
 

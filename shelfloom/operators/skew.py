@@ -10,6 +10,9 @@ from shelfloom.session import settle
 # A key with more rows than this is cut into slices of about this size.
 ROWS_PER_TASK = 4_000_000
 
+# Most tasks one range partitioning is planned with; slices grow beyond it.
+MAX_SLICES = 20_000
+
 
 def hot_keys(df: DataFrame, keys: list, rows_per_task: int = ROWS_PER_TASK):
     """Table (keys, n) of the keys with more than ``rows_per_task`` rows, or None.
@@ -62,12 +65,13 @@ def lag_by_slice(df: DataFrame, keys: list, order: list, value: str, out: str,
     )
 
 
-def slices_for(hot: DataFrame, rows_per_task: int) -> int:
-    return max(2, ceil(hot.agg(F.sum("n")).first()[0] / rows_per_task))
+def slices_for(hot: DataFrame, rows_per_task: int, max_slices: int = MAX_SLICES) -> int:
+    """How many slices the rows of all hot keys together are cut into."""
+    return min(max_slices, max(2, ceil(hot.agg(F.sum("n")).first()[0] / rows_per_task)))
 
 
 def previous_value(df: DataFrame, keys: list, order: list, value: str, out: str,
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                   rows_per_task: int = ROWS_PER_TASK, max_slices: int = MAX_SLICES) -> DataFrame:
     """Add ``out``: the value of the preceding row of the same key.
 
     ``order`` must be unique within a key. Keys with few rows use one window;
@@ -79,6 +83,7 @@ def previous_value(df: DataFrame, keys: list, order: list, value: str, out: str,
     names = hot.select(*keys)
     cold_part = lag_by_key(df.join(names, keys, "left_anti"), keys, order, value, out)
     hot_part = lag_by_slice(
-        df.join(names, keys, "left_semi"), keys, order, value, out, slices_for(hot, rows_per_task)
+        df.join(names, keys, "left_semi"), keys, order, value, out,
+        slices_for(hot, rows_per_task, max_slices),
     )
     return cold_part.unionByName(hot_part).select(*df.columns, out)

@@ -544,6 +544,12 @@ oracle("q_alert_messages", ALERTS, f"""
 SELECT product_id, source, alert_type, {stamp('scraped_at')} AS created_at, message FROM alerts""")
 oracle("q_alerts_sliced", ALERTS, """
 SELECT product_id, alert_type, count(*) AS alerts, max(price_difference) AS largest FROM alerts GROUP BY ALL""")
+oracle("q_alerts_hot_series", ALERTS.replace(
+    "prices AS (\n  SELECT l_orderkey * 8 + l_linenumber AS price_id, l_partkey AS product_id,",
+    "prices AS (\n  SELECT l_orderkey * 8 + l_linenumber AS price_id, "
+    "CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_partkey END AS product_id,"), """
+SELECT alert_type, source, count(*) AS alerts, max(price_difference) AS largest,
+       count(*) FILTER (product_id = 0) AS of_product_0 FROM alerts GROUP BY alert_type, source""")
 oracle("q_batch_alerts", ALERTS, f"""
 SELECT product_id, source, alert_type, price_difference, {stamp('scraped_at')} AS created_at
 FROM alerts WHERE scraped_at >= TIMESTAMP '2000-01-01'""")

@@ -166,7 +166,8 @@ def q_csv_feed(spark, sf_dir):
     """The feed written as CSV files, then read, cleaned and stored by the feed job."""
     folder = new_folder(spark, "csv-feed")
     lines = tv.feed_lines(spark, sf_dir).drop(cleaning.ORDER).toDF(*tv.FEED_HEADERS)
-    lines.write.option("header", True).option("escape", '"').csv(folder)
+    # A large feed comes in many files; quoted line breaks make a file one task.
+    lines.repartition(32).write.option("header", True).option("escape", '"').csv(folder)
     result = run_feed(spark, folder, _empty_products(spark), RUN)
     return _clean_columns(result.products)
 
@@ -302,9 +303,9 @@ def q_ack_alerts(spark, sf_dir):
 def q_list_search_page(spark, sf_dir):
     """Second page of a search, with each product's open issues."""
     products = tv.products(spark, sf_dir, described=False).withColumn("status", F.lit("active"))
-    page = catalog.product_page(products, skip=50, limit=50, status="active", search="RED")
-    issues = catalog.issues_of(_issue_table(spark, sf_dir), page)
-    return catalog.with_issue_counts(page, issues).select(
+    page = catalog.list_products(products, _issue_table(spark, sf_dir), skip=50, limit=50,
+                                 status="active", search="RED")
+    return page.select(
         "product_id", "sku", "title", "brand", stamp("updated_at").alias("updated_at"), "issue_count"
     )
 
@@ -506,11 +507,29 @@ def q_alert_messages(spark, sf_dir):
 def q_alerts_sliced(spark, sf_dir):
     """All alerts again, with the series of more than 15 snapshots taken as hot."""
     alerts = px.history_alerts(
-        tv.prices(spark, sf_dir), tv.products(spark, sf_dir, described=False), rows_per_task=15)
+        tv.prices(spark, sf_dir), tv.products(spark, sf_dir, described=False),
+        rows_per_task=15, max_slices=64)
     return alerts.groupBy("product_id", "alert_type").agg(
         F.count(F.lit(1)).alias("alerts"), F.max("price_difference").alias("largest"))
 
 
+@query
+def q_alerts_hot_series(spark, sf_dir):
+    """All alerts where one product holds a third of all snapshots.
+
+    The snapshots of returned items are put on product 0, whose three series are
+    then cut into slices, while all others go the usual way.
+    """
+    prices = tv.prices(spark, sf_dir).withColumn(
+        "product_id", F.when(F.col("in_stock") | F.col("in_stock").isNull(), F.col("product_id")).otherwise(0))
+    share = max(1000, prices.count() // 100)
+    alerts = px.history_alerts(
+        prices, tv.products(spark, sf_dir, described=False), rows_per_task=share)
+    return alerts.groupBy("alert_type", "source").agg(
+        F.count(F.lit(1)).alias("alerts"), F.max("price_difference").alias("largest"),
+        F.count_if(F.col("product_id") == 0).alias("of_product_0"))
+
+
 @query
 def q_batch_alerts(spark, sf_dir):
     """Alerts of the snapshots from 2000 on, on top of the state left by those before."""
@@ -698,7 +717,7 @@ def q_stream_feed(spark, sf_dir):
     """The feed dropped as CSV files and taken in by the stream; the catalog it leaves."""
     root = new_folder(spark, "feed-stream")
     lines = tv.feed_lines(spark, sf_dir).drop(cleaning.ORDER).toDF(*tv.FEED_HEADERS)
-    lines.write.option("header", True).option("escape", '"').csv(f"{root}/drops")
-    stream = feed_stream(spark, f"{root}/drops", tv.FEED_HEADERS, files_per_batch=4)
+    lines.repartition(32).write.option("header", True).option("escape", '"').csv(f"{root}/drops")
+    stream = feed_stream(spark, f"{root}/drops", tv.FEED_HEADERS, files_per_batch=16)
     ingest_feeds(stream, tv.FEED_HEADERS, f"{root}/tables", f"{root}/state", lambda: RUN).awaitTermination()
     return _clean_columns(Tables(spark, f"{root}/tables").read_current("products"))

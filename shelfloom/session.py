@@ -11,11 +11,13 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (a local test session) a temporary one is made and
-    kept in the session's own setting.
+    Only where that is unset in a local session, as in tests, a temporary folder
+    is made and kept in the session's setting. A cluster has to name its own.
     """
     folder = spark.conf.get(_SETTING, None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shelfloom-")
         spark.conf.set(_SETTING, folder)
     return folder

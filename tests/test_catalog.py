@@ -53,6 +53,8 @@ def test_issue_counts_and_lists(spark):
     assert counts == {1: 2, 2: 0, 3: 0, 4: 0}
     assert ids(catalog.list_issues(issues, limit=1), "issue_id") == [4]
     assert ids(catalog.list_issues(issues, resolved=True), "issue_id") == [3, 2]
+    listed = catalog.list_products(rows, issues, skip=1, limit=2).collect()
+    assert [(r["product_id"], r["issue_count"]) for r in listed] == [(3, 0), (1, 2)]
     page = rows.filter("product_id = 2")
     assert ids(catalog.issues_of(issues, page), "issue_id") == [3]
 
