@@ -13,7 +13,7 @@ from shelfloom.fixed_values import (
     NO_DESCRIPTION, SCORE_LABELS, SHORT, TOO_LONG, VERY_THIN,
 )
 from shelfloom.functions.text import (
-    fill, first_word, is_filled, sentence_count, word_count,
+    fill, first_word, is_filled, kept_in_order, sentence_count, word_count,
 )
 
 CONTRADICTION_TYPE = (
@@ -21,12 +21,11 @@ CONTRADICTION_TYPE = (
 )
 
 
-def _mentions(text: Column, phrases: list) -> Column:
-    """The phrases that occur in the text, in list order."""
-    none = F.array().cast("array<string>")
-    return F.concat(*[
-        F.when(F.contains(text, F.lit(p)), F.array(F.lit(p))).otherwise(none) for p in phrases
-    ])
+def _mentions(text: Column, phrases: list, template: str = "{phrase}") -> Column:
+    """The phrases that occur in the text, in list order, put into a template."""
+    return kept_in_order(
+        [(F.contains(text, F.lit(p)), F.lit(template.format(phrase=p))) for p in phrases]
+    )
 
 
 def with_content_score(df: DataFrame, description: str = "description",
@@ -39,18 +38,18 @@ def with_content_score(df: DataFrame, description: str = "description",
         word_count(text).alias("_words"),
         sentence_count(text).alias("_sentences"),
         F.lower(text).alias("_lower"),
-    ).withColumn("_generic", _mentions(F.col("_lower"), GENERIC_PHRASES))
+    ).withColumn("_generic", _mentions(F.col("_lower"), GENERIC_PHRASES, GENERIC_FOUND_TEXT))
 
     words = F.col("_words")
+    # The three bounds exclude each other.
     length_rules = [
         (words < VERY_THIN[0], VERY_THIN),
-        (words < SHORT[0], SHORT),
+        ((words >= VERY_THIN[0]) & (words < SHORT[0]), SHORT),
         (words > TOO_LONG[0], TOO_LONG),
     ]
-    length_penalty, length_text = F, F
-    for test, (_, penalty, message) in length_rules:
+    length_penalty = F
+    for test, (_, penalty, _) in length_rules:
         length_penalty = length_penalty.when(test, F.lit(penalty))
-        length_text = length_text.when(test, F.lit(message))
     few = F.col("_sentences") < FEW_SENTENCES[0]
     raw_score = (
         F.lit(100)
@@ -64,8 +63,11 @@ def with_content_score(df: DataFrame, description: str = "description",
     for name, lowest in SCORE_LABELS.items():
         label = label.when(F.col("_score") >= lowest, F.lit(name))
     messages = F.concat(
-        F.array_compact(F.array(length_text, F.when(few, F.lit(FEW_SENTENCES[2])))),
-        F.transform("_generic", lambda p: fill(GENERIC_FOUND_TEXT, phrase=p)),
+        kept_in_order([
+            *[(test, F.lit(message)) for test, (_, _, message) in length_rules],
+            (few, F.lit(FEW_SENTENCES[2])),
+        ]),
+        "_generic",
     )
     score = F.struct(
         F.col("_score").cast("int").alias("score"),
@@ -86,10 +88,10 @@ def with_content_score(df: DataFrame, description: str = "description",
     )
 
 
-def _color_mention(key: Column, value: Column, source: str) -> Column:
-    """Contradiction for the first known color in a text that the value is not."""
+def _color_mention(key: Column, value: Column, source: str):
+    """(test, contradiction) for the first known color in a text that the value is not."""
     text = F.col(f"_{source}_lower")
-    other = F.get(F.filter(f"_{source}_colors", lambda c: c != F.lower(value)), F.lit(0))
+    other = F.get(F.array_remove(F.col(f"_{source}_colors"), F.lower(value)), F.lit(0))
     hit = F.struct(
         key.alias("field"),
         F.lit(source).alias("source"),
@@ -97,11 +99,12 @@ def _color_mention(key: Column, value: Column, source: str) -> Column:
         fill(COLOR_FOUND_TEXT, color=other, source=source).alias("actual"),
     )
     unsaid = (text != "") & ~F.contains(text, F.lower(value))
-    return F.when(unsaid & other.isNotNull(), hit)
+    return unsaid & other.isNotNull(), hit
 
 
-def _brand_mention(key: Column, value: Column) -> Column:
-    title, word = F.col("_title_lower"), F.col("_title_word")
+def _brand_mention(key: Column, value: Column):
+    title = F.col("_title_lower")
+    word = first_word(title)
     hit = F.struct(
         key.alias("field"),
         F.lit("title").alias("source"),
@@ -109,7 +112,7 @@ def _brand_mention(key: Column, value: Column) -> Column:
         fill(BRAND_FOUND_TEXT, word=word).alias("actual"),
     )
     unsaid = (title != "") & ~F.contains(title, F.lower(value))
-    return F.when(unsaid & (word != F.lower(value)) & (F.length(word) > 2), hit)
+    return unsaid & (word != F.lower(value)) & (F.length(word) > 2), hit
 
 
 def with_contradictions(df: DataFrame, title: str = "title", description: str = "description",
@@ -129,22 +132,23 @@ def with_contradictions(df: DataFrame, title: str = "title", description: str =
         "*",
         _mentions(F.col("_title_lower"), KNOWN_COLORS).alias("_title_colors"),
         _mentions(F.col("_description_lower"), KNOWN_COLORS).alias("_description_colors"),
-        first_word(F.col("_title_lower")).alias("_title_word"),
     )
 
+    none = F.array().cast(CONTRADICTION_TYPE)
+
     def check(entry: Column) -> Column:
         key, value = entry["key"], entry["value"]
-        colors = F.array(
-            _color_mention(key, value, "title"), _color_mention(key, value, "description")
-        )
-        brand = F.array(_brand_mention(key, value))
-        hits = F.when(F.lower(key).isin(CONTRADICTION_COLOR_KEYS), colors).when(
-            F.lower(key) == "brand", brand
+        colors = [_color_mention(key, value, "title"), _color_mention(key, value, "description")]
+        brand = [_brand_mention(key, value)]
+        is_color, is_brand = F.lower(key).isin(CONTRADICTION_COLOR_KEYS), F.lower(key) == "brand"
+        return (
+            F.when(~is_filled(value), none)
+            .when(is_color, kept_in_order(colors, CONTRADICTION_TYPE))
+            .when(is_brand, kept_in_order(brand, CONTRADICTION_TYPE))
+            .otherwise(none)
         )
-        return F.when(is_filled(value), F.array_compact(hits))
 
-    found = F.flatten(F.array_compact(F.transform(F.map_entries(attributes), check)))
-    empty = F.array().cast(CONTRADICTION_TYPE)
-    return seen.withColumn(out, F.coalesce(found, empty)).drop(
-        "_title_lower", "_description_lower", "_title_colors", "_description_colors", "_title_word"
+    found = F.coalesce(F.flatten(F.transform(F.map_entries(attributes), check)), none)
+    return seen.withColumn(out, found).drop(
+        "_title_lower", "_description_lower", "_title_colors", "_description_colors"
     )

@@ -96,6 +96,15 @@ def fill(template: str, **values) -> Column:
     return F.concat(*parts)
 
 
+def kept_in_order(choices: list, kind: str = "array<string>") -> Column:
+    """Array of the values whose test holds, from (test, value) pairs.
+
+    Unlike array_compact this stays within generated code.
+    """
+    none = F.array().cast(kind)
+    return F.concat(*[F.when(test, F.array(value)).otherwise(none) for test, value in choices])
+
+
 def lookup(table: dict, key: Column, default: Column) -> Column:
     """Value from a small literal dictionary, else the default."""
     pairs = [F.lit(part) for item in table.items() for part in item]

@@ -8,11 +8,12 @@ from shelfloom.fixed_values import (
     MISSING_DESCRIPTION_TEXT, REQUIRED_ATTRIBUTES, THIN_CONTENT_TEXT, THIN_SCORE,
 )
 from shelfloom.functions.quality import with_content_score, with_contradictions
-from shelfloom.functions.text import fill, is_filled
+from shelfloom.functions.text import fill, is_filled, kept_in_order
 
 ISSUE_FIELDS = [
     "issue_type", "severity", "description", "field_name", "expected_value", "actual_value",
 ]
+ISSUE_TYPE = f"array<struct<{','.join(f'{name}:string' for name in ISSUE_FIELDS)}>>"
 
 
 def _issue(issue_type, severity, description, field_name=None, expected=None, actual=None) -> Column:
@@ -25,9 +26,9 @@ def _issue(issue_type, severity, description, field_name=None, expected=None, ac
 
 def missing_attributes(attributes: Column) -> Column:
     """Which of the required attributes the map lacks, in fixed order."""
-    return F.array_compact(F.array(*[
-        F.when(~F.map_contains_key(attributes, name), F.lit(name)) for name in REQUIRED_ATTRIBUTES
-    ]))
+    return kept_in_order([
+        (~F.map_contains_key(attributes, name), F.lit(name)) for name in REQUIRED_ATTRIBUTES
+    ])
 
 
 def with_issues(products: DataFrame, thin_score: int = THIN_SCORE, out: str = "issues") -> DataFrame:
@@ -43,22 +44,19 @@ def with_issues(products: DataFrame, thin_score: int = THIN_SCORE, out: str = "i
 
     sku, content = F.col("sku"), F.col("_content")
     described = is_filled(F.col("description"))
-    first = F.when(
-        ~described,
-        _issue("missing_description", "high", fill(MISSING_DESCRIPTION_TEXT, sku=sku), "description"),
-    ).when(
-        content["score"] < thin_score,
-        _issue(
-            "thin_content", "medium",
-            fill(
-                THIN_CONTENT_TEXT, sku=sku,
-                score=content["score"].cast("string"),
-                words=content["word_count"].cast("string"),
-                issues=F.array_join(content["issues"], ", "),
-            ),
-            "description",
-            actual=F.concat(content["word_count"].cast("string"), F.lit(" words")),
+    missing = _issue(
+        "missing_description", "high", fill(MISSING_DESCRIPTION_TEXT, sku=sku), "description"
+    )
+    thin = _issue(
+        "thin_content", "medium",
+        fill(
+            THIN_CONTENT_TEXT, sku=sku,
+            score=content["score"].cast("string"),
+            words=content["word_count"].cast("string"),
+            issues=F.array_join(content["issues"], ", "),
         ),
+        "description",
+        actual=F.concat(content["word_count"].cast("string"), F.lit(" words")),
     )
     contradicted = F.transform("_contradictions", lambda c: _issue(
         "attribute_contradiction", "high",
@@ -66,17 +64,16 @@ def with_issues(products: DataFrame, thin_score: int = THIN_SCORE, out: str = "i
         c["field"], c["expected"], c["actual"],
     ))
     names = F.array_join("_missing", ", ")
-    lacking = F.when(
-        F.size("_missing") >= MISSING_ATTRIBUTES_FROM,
-        _issue(
-            "missing_attributes", "low",
-            fill(MISSING_ATTRIBUTES_TEXT, sku=sku, missing=names), names,
-        ),
+    lacking = _issue(
+        "missing_attributes", "low", fill(MISSING_ATTRIBUTES_TEXT, sku=sku, missing=names), names
+    )
+    issues = F.concat(
+        kept_in_order(
+            [(~described, missing), (described & (content["score"] < thin_score), thin)], ISSUE_TYPE),
+        contradicted,
+        kept_in_order([(F.size("_missing") >= MISSING_ATTRIBUTES_FROM, lacking)], ISSUE_TYPE),
     )
-    return checked.withColumn(
-        out,
-        F.concat(F.array_compact(F.array(first)), contradicted, F.array_compact(F.array(lacking))),
-    ).drop("_content", "_contradictions", "_missing")
+    return checked.withColumn(out, issues).drop("_content", "_contradictions", "_missing")
 
 
 def issue_rows(checked: DataFrame, keys: list, issues: str = "issues") -> DataFrame:

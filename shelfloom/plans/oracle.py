@@ -305,7 +305,7 @@ lines AS (
          CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS issue_count,
          row_number() OVER (PARTITION BY CASE WHEN l_returnflag = 'N' THEN 'NEW-' || l_suppkey
                                               ELSE 'SKU-' || l_partkey END
-                            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS nr,
+                            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS nr,
          count(*) OVER (PARTITION BY CASE WHEN l_returnflag = 'N' THEN 'NEW-' || l_suppkey
                                           ELSE 'SKU-' || l_partkey END) AS line_count
   FROM lineitem),
@@ -408,9 +408,9 @@ oracle("q_patch", """
 ranked AS (
   SELECT l_partkey AS product_id, CASE WHEN l_tax < 0.08::DOUBLE THEN l_extendedprice END AS price,
          CASE WHEN l_discount > 0.02::DOUBLE THEN l_linestatus END AS category, l_tax > 0.04::DOUBLE AS sets_category,
-         row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS nr,
+         row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_shipdate DESC, l_extendedprice DESC) AS nr,
          row_number() OVER (PARTITION BY l_partkey, l_tax > 0.04::DOUBLE
-                            ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS category_nr
+                            ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_shipdate DESC, l_extendedprice DESC) AS category_nr
   FROM lineitem),
 price_set AS (SELECT product_id, price FROM ranked WHERE nr = 1),
 category_set AS (SELECT product_id, category FROM ranked WHERE sets_category AND category_nr = 1),

@@ -242,7 +242,7 @@ def q_patch(spark, sf_dir):
         F.when(F.col("l_discount") > 0.02, F.col("l_linestatus")).alias("category"),
         F.when(sets_category, F.array(F.lit("price"), F.lit("category")))
         .otherwise(F.array(F.lit("price"))).alias("set_fields"),
-        F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("position"),
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice").alias("position"),
     )
     after = changes.patch_products(_catalog(spark, sf_dir), patches, RUN, order="position")
     return after.select("product_id", "title", "price", "category", stamp("updated_at").alias("updated_at"))

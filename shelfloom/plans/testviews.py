@@ -159,7 +159,8 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def update_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean feed rows from lineitem: many lines per SKU, known and new ones."""
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    # Order number and line repeat in the given tables; all six together do not.
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
     new = F.col("l_returnflag") == "N"
     attributes = F.create_map(F.lit("color"), F.lit("Black"), F.lit("size"), F.col("l_linestatus"))
     return read(spark, sf_dir, "lineitem").select(
