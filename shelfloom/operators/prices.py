@@ -9,7 +9,7 @@ from shelfloom.fixed_values import (
 )
 from shelfloom.functions.money import change_percent, in_our_currency, undercut_percent
 from shelfloom.functions.search import search_query, search_url
-from shelfloom.functions.text import fill, fixed_decimals, title_case
+from shelfloom.functions.text import fill, fixed_decimals, kept_in_order, title_case
 from shelfloom.operators.skew import (
     MAX_SLICES, ROWS_PER_TASK, hot_keys, lag_by_key, lag_by_slice, previous_value, slices_for,
 )
@@ -17,7 +17,7 @@ from shelfloom.session import settle
 
 SERIES = ["product_id", "source"]
 SERIES_ORDER = ["scraped_at", "price_id"]
-ALERT_FIELDS = ["alert_type", "message", "price_difference"]
+ALERT_TYPE = "array<struct<alert_type:string,price_difference:double>>"
 
 
 # --- what to look up -------------------------------------------------------
@@ -123,79 +123,80 @@ def compared_prices(prices: DataFrame, products: DataFrame, rows_per_task: int =
     return cold.unionByName(sliced.join(hot_offers, "product_id").select(*cold.columns))
 
 
-def _alert(alert_type, message: Column, difference=None) -> Column:
-    def column(value):
-        return value if isinstance(value, Column) else F.lit(value)
-
+def _alert(alert_type: str, difference: Column = None) -> Column:
+    difference = F.lit(None) if difference is None else difference
     return F.struct(
-        column(alert_type).alias("alert_type"),
-        message.alias("message"),
-        column(difference).cast("double").alias("price_difference"),
+        F.lit(alert_type).alias("alert_type"), difference.cast("double").alias("price_difference")
     )
 
 
 def with_alerts(compared: DataFrame, rate: float = INR_PER_USD,
                 undercut_from: float = UNDERCUT_PERCENT,
                 change_from: float = CHANGE_PERCENT) -> DataFrame:
-    """Add the array ``alerts`` of a snapshot: undercut, out of stock, change."""
-    theirs, ours = F.col("competitor_price"), F.col("our_price")
-    previous, name = F.col("previous_price"), F.col("_name")
-    staged = compared.select(
-        "*",
-        title_case(F.col("source")).alias("_name"),
-        in_our_currency(theirs, F.col("competitor_currency"), F.col("our_currency"), rate).alias("_fx"),
-        F.when(theirs != 0, change_percent(theirs, previous)).alias("_change"),
-    ).withColumn("_under", undercut_percent(ours, F.col("_fx")))
-
-    undercut = F.when(
-        (theirs != 0) & (F.col("_fx") < ours) & (F.col("_under") >= undercut_from),
-        _alert("undercut", fill(
-            UNDERCUT_TEXT, source=name,
-            currency=F.coalesce("competitor_currency", F.lit("None")),
-            price=fixed_decimals(theirs, 2), percent=fixed_decimals(F.col("_under"), 1),
-            our_currency=F.coalesce("our_currency", F.lit("None")),
-            our_price=fixed_decimals(ours, 2),
-        ), ours - F.col("_fx")),
-    )
-    out_of_stock = F.when(
-        (theirs != 0) & ~F.coalesce("in_stock", F.lit(False)),
-        _alert("out_of_stock", fill(OUT_OF_STOCK_TEXT, source=name)),
-    )
-    dropped = theirs < previous
-    parts = {
-        "source": name, "percent": fixed_decimals(F.col("_change"), 1),
-        "previous": fixed_decimals(previous, 2), "price": fixed_decimals(theirs, 2),
+    """Add the array ``alerts`` of a snapshot: undercut, out of stock, change.
+
+    Also adds the two percentages that the messages name.
+    """
+    theirs, ours, previous = F.col("competitor_price"), F.col("our_price"), F.col("previous_price")
+    staged = compared.withColumns({
+        "_fx": in_our_currency(theirs, F.col("competitor_currency"), F.col("our_currency"), rate),
+        "change_percent": F.when(theirs != 0, change_percent(theirs, previous)),
+    }).withColumn("below_percent", undercut_percent(ours, F.col("_fx")))
+
+    priced_now = theirs != 0
+    undercut = priced_now & (F.col("_fx") < ours) & (F.col("below_percent") >= undercut_from)
+    changed = F.col("change_percent") >= change_from
+    alerts = kept_in_order([
+        (undercut, _alert("undercut", ours - F.col("_fx"))),
+        (priced_now & ~F.coalesce("in_stock", F.lit(False)), _alert("out_of_stock")),
+        (changed & (theirs < previous), _alert("price_drop", F.abs(theirs - previous))),
+        (changed & (theirs >= previous), _alert("price_increase", F.abs(theirs - previous))),
+    ], ALERT_TYPE)
+    return staged.withColumn("alerts", alerts).drop("_fx")
+
+
+def _message() -> Column:
+    """Text of an alert row by its kind."""
+    source = title_case(F.col("source"))
+    theirs = fixed_decimals(F.col("competitor_price"), 2)
+    change = {
+        "source": source, "percent": fixed_decimals(F.col("change_percent"), 1),
+        "previous": fixed_decimals(F.col("previous_price"), 2), "price": theirs,
     }
-    change = F.when(
-        F.col("_change") >= change_from,
-        _alert(
-            F.when(dropped, "price_drop").otherwise("price_increase"),
-            F.when(dropped, fill(PRICE_DROP_TEXT, **parts)).otherwise(
-                fill(PRICE_INCREASE_TEXT, **parts)),
-            F.abs(theirs - previous),
-        ),
+    undercut = fill(
+        UNDERCUT_TEXT, source=source,
+        currency=F.coalesce("competitor_currency", F.lit("None")), price=theirs,
+        percent=fixed_decimals(F.col("below_percent"), 1),
+        our_currency=F.coalesce("our_currency", F.lit("None")),
+        our_price=fixed_decimals(F.col("our_price"), 2),
+    )
+    kind = F.col("alert_type")
+    return (
+        F.when(kind == "undercut", undercut)
+        .when(kind == "out_of_stock", fill(OUT_OF_STOCK_TEXT, source=source))
+        .when(kind == "price_drop", fill(PRICE_DROP_TEXT, **change))
+        .otherwise(fill(PRICE_INCREASE_TEXT, **change))
     )
-    return staged.withColumn(
-        "alerts", F.array_compact(F.array(undercut, out_of_stock, change))
-    ).drop("_name", "_fx", "_change", "_under")
 
 
 def alert_rows(with_array: DataFrame, created_at: Column = None) -> DataFrame:
-    """Rows for the append-only alert table."""
+    """Rows for the append-only alert table; texts are made for alerts alone."""
     exploded = with_array.select(
-        "price_id", *SERIES, "our_price", "competitor_price", "scraped_at",
+        "price_id", *SERIES, "our_price", "our_currency", "competitor_price", "competitor_currency",
+        "previous_price", "below_percent", "change_percent", "scraped_at",
         F.explode_outer("alerts").alias("_alert"),
     )
     # Outer with a filter behind it: see issue_rows.
-    return exploded.filter(F.col("_alert").isNotNull()).select(
-        F.xxhash64("price_id", "_alert.alert_type").alias("alert_id"),
+    kept = exploded.filter(F.col("_alert").isNotNull()).select("*", "_alert.*")
+    return kept.select(
+        F.xxhash64("price_id", "alert_type").alias("alert_id"),
         "product_id",
-        F.col("_alert.alert_type").alias("alert_type"),
+        "alert_type",
         "source",
-        F.col("_alert.message").alias("message"),
+        _message().alias("message"),
         "our_price",
         "competitor_price",
-        F.col("_alert.price_difference").alias("price_difference"),
+        "price_difference",
         F.lit(False).alias("acknowledged"),
         (created_at if created_at is not None else F.col("scraped_at")).alias("created_at"),
     )
