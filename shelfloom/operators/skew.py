@@ -49,7 +49,9 @@ def lag_by_slice(df: DataFrame, keys: list, order: list, value: str, out: str,
     ranged = settle(ranged, "slices")
     ordering = F.struct(*order)
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    looked_back = ranged.withColumn(out, F.lag(value).over(within)).withColumn(
+    # As many tasks as slices, whatever the session's number of shuffle partitions.
+    spread = ranged.repartition(slices, *keys, "_slice")
+    looked_back = spread.withColumn(out, F.lag(value).over(within)).withColumn(
         "_row", F.row_number().over(within)
     )
     edges = (

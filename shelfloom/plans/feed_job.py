@@ -50,6 +50,15 @@ def feed_counts(latest: DataFrame, current: DataFrame) -> DataFrame:
     ).withColumn("updated_products", F.col("processed_rows") - F.col("new_products"))
 
 
+def failed_feed(spark: SparkSession, error: str, run_ts: datetime, job_id: int,
+                filename: str) -> FeedResult:
+    """A feed that was not processed, as its row in the job log."""
+    return FeedResult(_job_row(
+        spark, job_id=job_id, filename=filename, started_at=run_ts, completed_at=run_ts,
+        status="failed", error_message=error,
+    ))
+
+
 def _job_row(spark: SparkSession, **values) -> DataFrame:
     row = {f.name: values.get(f.name) for f in INGESTION_JOBS.fields}
     for name in ("total_rows", "processed_rows", "new_products", "updated_products", "issues_found"):
@@ -106,7 +115,9 @@ def process_rows(rows: DataFrame, headers: list, current: DataFrame, run_ts: dat
         ),
         products=upsert(current, latest, run_ts),
         issues=data_issues(identified, run_ts, job_id),
-        quarantine=quarantine(checked).drop("_overlong", "issues", "status"),
+        quarantine=quarantine(checked).select(
+            F.lit(job_id).cast("bigint").alias("job_id"), "sku", "title", "raw_data", "reject_reason"
+        ),
     )
 
 
@@ -119,10 +130,7 @@ def run_feed(spark: SparkSession, path: str, current: DataFrame, run_ts: datetim
         rows = read_feed(spark, path, headers, multi_line)
         return process_rows(rows, headers, current, run_ts, job_id, filename)
     except Exception as error:  # any failure ends in the job log
-        return FeedResult(_job_row(
-            spark, job_id=job_id, filename=filename, started_at=run_ts, completed_at=run_ts,
-            status="failed", error_message=OTHER_ERROR_TEXT.format(error=error),
-        ))
+        return failed_feed(spark, OTHER_ERROR_TEXT.format(error=error), run_ts, job_id, filename)
 
 
 def store(result: FeedResult, tables: Tables, job_id: int) -> None:

@@ -59,6 +59,11 @@ INGESTION_JOBS = _schema(
     "error_message string, started_at timestamp, completed_at timestamp"
 )
 
+# Feed rows that no catalog row can hold.
+QUARANTINE = _schema(
+    "job_id bigint, sku string, title string, raw_data string, reject_reason string"
+)
+
 PAGES = _schema(
     "page_id bigint, product_id bigint, source string, url string, html string, "
     "fetched_at timestamp"

@@ -2,14 +2,18 @@
 
 from datetime import datetime
 from typing import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfloom.plans.feed_job import process_rows, store
+from shelfloom.fixed_values import PARSE_ERROR_TEXT
+from shelfloom.plans.feed_job import failed_feed, process_rows, store
 from shelfloom.session import settle
-from shelfloom.sources.feeds import CSV_FILES, feed_schema, with_feed_order
+from shelfloom.sources.feeds import (
+    CSV_FILES, ORDER, feed_headers, feed_schema, with_feed_order,
+)
 from shelfloom.sources.tables import Tables
 
 
@@ -37,14 +41,23 @@ def ingest_feeds(stream: DataFrame, headers: list, root: str, checkpoint: str,
 
     A batch writes only folders that carry its number and starts from the
     catalog version before it, so a batch repeated after a failure replaces its
-    own output.
+    own output. A batch with a file of another header is a failed job.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        tables = Tables(batch.sparkSession, root)
+        spark = batch.sparkSession
+        tables = Tables(spark, root)
         rows = settle(with_feed_order(batch), "feed-batch")
-        current = tables.read_current("products", before=batch_id)
-        result = process_rows(rows, headers, current, clock(), batch_id, f"batch-{batch_id}")
+        # As many files as one trigger takes, so a short list.
+        files = sorted(unquote(r[0]) for r in rows.select(f"{ORDER}._file").distinct().collect())
+        names = ", ".join(file.rsplit("/", 1)[-1] for file in files)
+        other = [file for file in files if feed_headers(spark, file) != headers]
+        if other:
+            error = PARSE_ERROR_TEXT.format(error=f"another header in {', '.join(other)}")
+            result = failed_feed(spark, error, clock(), batch_id, names)
+        else:
+            current = tables.read_current("products", before=batch_id)
+            result = process_rows(rows, headers, current, clock(), batch_id, names)
         store(result, tables, batch_id)
 
     return (

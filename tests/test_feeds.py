@@ -175,6 +175,9 @@ def test_overlong_values_go_to_quarantine(spark, tmp_path):
     assert [r["sku"] for r in result.products.collect()] == ["a"]
     assert sorted(r["reject_reason"] for r in result.quarantine.collect()) == [
         "sku is longer than 100 characters", "title is longer than 500 characters"]
+    tables = Tables(spark, str(tmp_path / "store"))
+    store(result, tables, 4)
+    assert tables.read("quarantine").count() == 2 and tables.read("data_issues").count() == 2
 
 
 def test_second_feed_overwrites_with_null_and_keeps_the_rest(spark, tmp_path):

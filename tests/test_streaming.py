@@ -67,3 +67,17 @@ def test_feed_stream_equals_batch_per_file(spark, tmp_path):
     assert tables.read("data_issues").count() == issues
     jobs = tables.read("ingestion_jobs").orderBy("job_id").collect()
     assert [(j["new_products"], j["updated_products"]) for j in jobs] == [(3, 0), (1, 2)]
+
+
+def test_feed_stream_refuses_another_header(spark, tmp_path):
+    folder, root = tmp_path / "drops", str(tmp_path / "tables")
+    folder.mkdir()
+    for name, header in (("a b.csv", "sku,title"), ("c.csv", "title,sku")):
+        (folder / name).write_text(f"{header}\n1,2\n")
+        stream = feed_stream(spark, str(folder), ["sku", "title"])
+        ingest_feeds(stream, ["sku", "title"], root, str(tmp_path / "state"), lambda: NOW).awaitTermination()
+    tables = Tables(spark, root)
+    jobs = tables.read("ingestion_jobs").orderBy("job_id").collect()
+    assert [(j["filename"], j["status"]) for j in jobs] == [("a b.csv", "completed"), ("c.csv", "failed")]
+    assert jobs[1]["error_message"].startswith("Failed to parse CSV: another header in ")
+    assert [r["title"] for r in tables.read_current("products").collect()] == ["2"]
