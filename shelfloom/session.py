@@ -1,6 +1,5 @@
 """The shared folder for intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,12 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset in a local session, as in tests, a temporary folder
-    is made and kept in the session's setting. A cluster has to name its own.
+    Where that is unset, a folder below the session's warehouse, which a cluster
+    shares as well; no machine's own temporary folder is ever used.
     """
     folder = spark.conf.get(_SETTING, None)
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError(f"{_SETTING} must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="shelfloom-")
-        spark.conf.set(_SETTING, folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     return folder
 
 
@@ -27,13 +23,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, folders: list = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     This cuts the lineage at a place that survives lost executors, makes later
     readers agree on one version, and gives the optimizer the table's true size,
-    so that it broadcasts it only when it is small.
+    so that it broadcasts it only when it is small. The folder's path is added to
+    ``folders``, for a job that removes what it no longer needs.
     """
     path = new_folder(df.sparkSession, name)
+    if folders is not None:
+        folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folders(spark: SparkSession, folders: list) -> None:
+    """Delete folders that ``settle`` or ``new_folder`` named."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while folders:
+        path = jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(conf).delete(path, True)
