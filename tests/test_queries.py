@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from shelfloom.plans.oracle import ORACLE
+from shelfloom.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -21,18 +23,18 @@ def database():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
     assert entry(spark).columns == ["issue_type", "severity", "issues"]
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, database, name):
-    frame = queries()[name](spark, FOLDER)
+    frame = QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
-    result = database.execute(oracle_sql()[name])
+    result = database.execute(ORACLE[name])
     names = [d[0] for d in result.description]
     kinds = {d[0]: str(d[1]) for d in result.description}
     assert sorted(names) == columns
