@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfloom.llm import line_dedup
+from shelfloom.llm import decontaminate, language, line_dedup, line_frequency, pieces, quality, simhash
 from shelfloom.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +21,49 @@ def register(name: str, sql: str = None):
     return keep
 
 
+def piece_model() -> str:
+    """Place of the public merge-type model."""
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded."""
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model())
+    return pieces.token_digests(encoded, piece_model()).drop("ids")
+
+
+@register("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the benchmark the documents hold."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@register("op5_simhash_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and their groups."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op7_line_dedup", line_dedup.ORACLE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@register("op9_quality_ranking")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text, ranked by labelled pairs."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_line_frequency_rules", line_frequency.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, and documents depleted by lines that their host repeats."""
+    return line_frequency.line_quality(table(spark, sf_dir, "documents"))
