@@ -5,7 +5,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfloom.llm import decontaminate, language, line_dedup, line_frequency, pieces, quality, simhash
+from shelfloom.llm import (
+    chat, decontaminate, language, line_dedup, line_frequency, pieces, quality, simhash, warc,
+)
 from shelfloom.llm.texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +28,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@register("op1_warc_chunks", warc.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 @register("op2_sentencepiece")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded."""
@@ -51,6 +59,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op6_chat_formatting", chat.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted, and read back from their formatted text."""
+    conversations = chat.with_control_strings(table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_conversations(conversations))
+
+
 @register("op7_line_dedup", line_dedup.ORACLE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
