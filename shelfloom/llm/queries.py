@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfloom.llm import (
-    chat, decontaminate, language, line_dedup, line_frequency, pieces, quality, simhash, warc,
+    chat, decontaminate, language, line_dedup, line_frequency, pieces, quality, simhash,
+    suffix_dedup, warc,
 )
 from shelfloom.llm.texts import table
 
@@ -72,6 +73,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+@register("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte strings that also start in an earlier document are cut."""
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 @register("op9_quality_ranking")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every text, ranked by labelled pairs."""
