@@ -169,6 +169,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = grouped.groupBy("component").agg(F.min("least").alias("first"))
     firsts = grouped.join(smallest, "component").select("fp", "first")
     own = entries.join(firsts, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
+    # Written, so that the last join is of two plain tables, of which Spark splits a fingerprint
+    # that very many rows share.
+    own = settle(own, "fingerprint-components")
     return marked.join(own, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
