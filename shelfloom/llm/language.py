@@ -103,8 +103,10 @@ class LanguageModel:
 
 
 def _log_frequencies(counts: list, languages: int) -> np.ndarray:
-    table = np.array(counts, np.float64).reshape(-1, languages) + _SMOOTHING
-    return np.log(table / table.sum(axis=0)) if len(table) else table
+    if not counts:
+        return np.empty((0, languages))
+    table = np.array(counts, np.float64) + _SMOOTHING
+    return np.log(table / table.sum(axis=0))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

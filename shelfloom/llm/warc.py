@@ -136,9 +136,13 @@ def chunk_records(records: DataFrame, chunk_bytes: int = CHUNK_BYTES, revisit_by
 
 
 def ordered_chunks(chunks: DataFrame) -> DataFrame:
-    """A chunk table in any order, brought into the order that writing needs."""
+    """A chunk table in any order, brought into the order that writing needs.
+
+    A chunk that is there twice is written once.
+    """
     keys = ["record_id", "payload_digest"]
-    return chunks.repartition(*keys).sortWithinPartitions(*keys, "chunk_no")
+    once = chunks.dropDuplicates([*keys, "chunk_no"])
+    return once.repartition(*keys).sortWithinPartitions(*keys, "chunk_no")
 
 
 def record_name(record, digest: str) -> str:

@@ -1,0 +1,94 @@
+"""Quality rules against plain counts."""
+
+import re
+from collections import Counter
+
+import pytest
+
+from shelfloom.llm import line_frequency
+from tests.llm.cases import collected, edge_documents, empty_documents, rows_of
+
+NAMES = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+
+
+def normal(line):
+    lowered = line.translate({c: c + 32 for c in range(65, 91)} | {c: 48 for c in range(48, 58)})
+    return " ".join(WORDS(lowered))
+
+
+def brute(rows, max_docs=20, min_left=0.5):
+    owners = {}
+    for _, text, host in rows:
+        for line in (text or "").split("\n"):
+            if normal(line):
+                owners.setdefault((host, normal(line)), set()).add(text)
+    out = []
+    for doc, text, host in rows:
+        text = text or ""
+        words = WORDS(text)
+        grams = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+        times = Counter(grams)
+        inside = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(5)}
+        lines = [x for x in text.split("\n") if WORDS(x)]
+        failed = len(words) < 10 or 100 * len(inside) > 20 * len(words)
+        gone = sum(len(WORDS(x)) for x in lines if len(owners[host, normal(x)]) > max_docs)
+        kept = not failed and not len(words) - gone < min_left * len(words)
+        out.append((doc, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)),
+                    len(inside), failed, kept, gone))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_docs": 1, "min_left": 0.9}])
+def test_equals_brute_force_on_documents(spark, limits):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in rows_of("documents")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert collected(line_frequency.line_quality(frame, **limits), *NAMES) == brute(rows, **limits)
+
+
+def boilerplate():
+    menu = "Home News Contact us about this site and others today"
+    rows = []
+    for i in range(90):
+        own = [f"This is sentence {chr(97 + i % 26)}{chr(97 + i // 26)}{k} of its own page, told once only" for k in "abc"]
+        host = "busy" if i % 3 else None if i % 2 else "calm"
+        rows.append((i, "\n".join([menu.upper() if i % 4 else f" {menu}\t", *own[:i % 4], f"Page {i} of 90"]), host))
+    rows += [(500 + i, rows[1][1], "busy") for i in range(40)]  # copies are one document
+    return rows
+
+
+def test_frequent_lines_of_a_host(spark):
+    rows = boilerplate()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = brute(rows)
+    assert collected(line_frequency.line_quality(frame), *NAMES) == want
+    assert {w[7] for w in want if not w[6]} == {True, False}
+    texts = dict(collected(line_frequency.without_frequent_lines(frame), "doc_id", "text"))
+    removed = {w[0]: w[-1] for w in want}
+    for doc, text, _ in rows:
+        assert len(WORDS(texts[doc])) == len(WORDS(text)) - removed[doc]
+
+
+def test_limits_pass_at_the_limit(spark):
+    line = "ten words stand in this one line and no more"
+    rows = [(i, f"{line}\n{'abcdefgh'[i]}1 b c d e f g h i j", "h") for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["kept"] for r in line_frequency.line_quality(frame, max_docs=4).collect()} == {True}
+    assert {r["kept"] for r in line_frequency.line_quality(frame, max_docs=3, min_left=0.5).collect()} == {True}
+    assert {r["kept"] for r in line_frequency.line_quality(frame, max_docs=3, min_left=0.51).collect()} == {False}
+
+
+def test_defined_cases(spark):
+    frame = edge_documents(spark)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in frame.collect()]
+    assert collected(line_frequency.line_quality(frame), *NAMES) == brute(rows)
+    assert collected(line_frequency.line_quality(frame, max_docs=1), *NAMES) == brute(rows, max_docs=1)
+    assert line_frequency.line_quality(empty_documents(spark)).count() == 0
+    assert line_frequency.without_frequent_lines(empty_documents(spark)).count() == 0
+
+
+def test_repeated_windows_are_compared_by_words(monkeypatch):
+    """Even if all windows hash alike, only equal windows count."""
+    words = [b"a", b"b", b"c", b"d", b"e", b"x", b"a", b"b", b"c", b"d", b"e", b"y", b"z", b"z"]
+    assert line_frequency.repeated_words(words) == 10
+    assert line_frequency.repeated_words([b"z"] * 6) == 6 and line_frequency.repeated_words([b"z"] * 5) == 0
