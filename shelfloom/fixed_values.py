@@ -40,9 +40,6 @@ ATTRIBUTE_FIELDS = ["color", "size", "material", "weight", "upc"]
 
 DEFAULT_CURRENCY = "USD"
 
-# Longest text each stored field takes; longer rows go to quarantine.
-FIELD_LIMITS = {"sku": 100, "title": 500, "category": 200, "brand": 200}
-
 # --- FIXED VALUES: attribute dictionaries ---------------------------------
 
 SIZE_KEYS = ["size", "sizes"]
@@ -207,7 +204,6 @@ SCRAPED_STATUSES = ["active", "flagged"]
 
 # --- FIXED VALUES: content generation -------------------------------------
 
-TONES = ["professional", "casual", "luxury", "technical"]
 
 DESCRIPTION_SYSTEM = "You are a professional e-commerce copywriter."
 SEO_SYSTEM = "You are an SEO specialist. Return only valid JSON."

@@ -72,26 +72,34 @@ def seo_reply(reply: Column) -> Column:
     missing key gives ''. ``usable`` is false for JSON that cannot be stored: no
     object, or a field that is neither text nor null.
     """
-    value = F.try_parse_json(unfenced(reply))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+    text = unfenced(reply)
+    # Read by columns, of a repeated key the last value counts and NaN is a number, both of which
+    # the variant parser refuses; the variant tells other JSON from no JSON. The text is read as the
+    # one element of a list, because what follows a whole object would be passed over otherwise.
+    fields = ["seo_title", "seo_keywords"]
+    listed = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")),
+        f"array<struct<{', '.join(f'{name}: variant' for name in fields)}>>", {"allowSingleQuotes": "false"})
+    read = F.get(listed, F.lit(0))
+    opens = F.startswith(F.ltrim(text), F.lit("{"))
+    is_object = F.coalesce(opens & (F.size(listed) == 1) & read.isNotNull(), F.lit(False))
+    parsed = is_object | (~F.coalesce(opens, F.lit(False)) & F.try_parse_json(text).isNotNull())
 
     def field(name: str) -> Column:
-        found = F.try_variant_get(value, f"$.{name}", "variant")
-        text = F.try_variant_get(value, f"$.{name}", "string")
-        return F.when(value.isNotNull() & is_object, F.when(found.isNull(), "").otherwise(text))
+        found = F.when(read[name].isNull(), "").otherwise(F.try_variant_get(read[name], "$", "string"))
+        return F.when(is_object, found)
 
     def storable(name: str) -> Column:
-        found = F.try_variant_get(value, f"$.{name}", "variant")
-        return found.isNull() | F.schema_of_variant(found).isin("STRING", "VOID")
+        return read[name].isNull() | F.schema_of_variant(read[name]).isin("STRING", "VOID")
 
+    usable = F.lit(True)
+    for name in fields:
+        usable = usable & storable(name)
     return F.struct(
-        value.isNotNull().alias("parsed"),
+        parsed.alias("parsed"),
         is_object.alias("is_object"),
-        field("seo_title").alias("seo_title"),
-        field("seo_keywords").alias("seo_keywords"),
-        (value.isNull() | (is_object & storable("seo_title") & storable("seo_keywords"))).alias(
-            "usable"
-        ),
+        *[field(name).alias(name) for name in fields],
+        (~parsed | (is_object & usable)).alias("usable"),
     )
 
 

@@ -12,6 +12,7 @@ from shelfloom.fixed_values import BLANK_WORDS, NA_TOKENS
 _SPACE = r"\s\x1c-\x1f"
 _SPACES = rf"(?U)[{_SPACE}]+"
 _EDGES = rf"(?U)^[{_SPACE}]+|[{_SPACE}]+$"
+_CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
 _WORD = rf"(?U)[^{_SPACE}]+"
 _SENTENCE = rf"(?U)[^.!?{_SPACE}][^.!?]*"
 
@@ -46,12 +47,13 @@ def or_else(value: Column, fallback) -> Column:
 
 
 def title_case(value: Column) -> Column:
-    """Upper-case the first letter of every letter run, lower-case the rest.
+    """Upper-case the first letter of every run of cased letters, lower-case the rest.
 
-    A run ends at any non-letter, so "die-cast" gives "Die-Cast" and "levi's"
-    gives "Levi'S"; Spark's initcap only starts words at spaces.
+    A run ends at anything that has no case, so "die-cast" gives "Die-Cast", "levi's"
+    gives "Levi'S" and a caseless letter starts a new run behind it; Spark's initcap only
+    starts words at spaces.
     """
-    runs = F.regexp_extract_all(value, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    runs = F.regexp_extract_all(value, F.lit(rf"([{_CASED}]+|[^{_CASED}]+)"), 1)
     return F.array_join(F.transform(runs, F.initcap), "")
 
 

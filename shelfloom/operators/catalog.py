@@ -1,8 +1,12 @@
 """Read queries over the stored tables."""
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom.functions.text import normalize_text
 from shelfloom.session import settle
 
 
@@ -13,23 +17,21 @@ def _empty(column: str) -> Column:
 
 # --- products --------------------------------------------------------------
 
+def matching(rows: DataFrame, wanted: dict) -> DataFrame:
+    """Rows whose columns have the wanted values; a wanted None does not filter."""
+    tests = [F.col(name) == value for name, value in wanted.items() if value is not None]
+    return rows.filter(reduce(and_, tests)) if tests else rows
+
+
 def filter_products(products: DataFrame, status: str = None, category: str = None,
                     search: str = None) -> DataFrame:
     """Equality on status and category, substring of title, SKU or brand.
 
     Empty arguments do not filter. % and _ in ``search`` are wildcards.
     """
-    rows = products
-    if status:
-        rows = rows.filter(F.col("status") == status)
-    if category:
-        rows = rows.filter(F.col("category") == category)
-    if search:
-        pattern = f"%{search}%"
-        rows = rows.filter(
-            F.col("title").ilike(pattern) | F.col("sku").ilike(pattern) | F.col("brand").ilike(pattern)
-        )
-    return rows
+    rows = matching(products, {"status": status or None, "category": category or None})
+    found = [F.col(name).ilike(f"%{search}%") for name in ("title", "sku", "brand")]
+    return rows.filter(reduce(or_, found)) if search else rows
 
 
 def product_page(products: DataFrame, skip: int = 0, limit: int = 50, after: tuple = None,
@@ -142,9 +144,9 @@ def dashboard_stats(products: DataFrame, issues: DataFrame, alerts: DataFrame, j
 
 
 def duplicate_titles(products: DataFrame) -> DataFrame:
-    """Titles, compared in lower case, that more than one SKU has."""
+    """Titles, compared in lower case and with single spaces, that more than one SKU has."""
     return (
-        products.groupBy(F.lower("title").alias("title"))
+        products.groupBy(F.lower(normalize_text(F.col("title"))).alias("title"))
         .agg(F.count_distinct("sku").alias("skus"))
         .filter(F.col("skus") > 1)
     )

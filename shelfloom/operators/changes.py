@@ -15,9 +15,6 @@ PATCH_FIELDS = [
     "status", "attributes", "seo_title", "seo_keywords",
 ]
 
-# A feed with at most this many SKUs is joined so that the catalog need not move.
-SMALL_FEED_ROWS = 100_000
-
 
 def new_product_id(sku: Column) -> Column:
     """Id of a new product: a hash of its SKU, the same in every recomputation."""
@@ -81,7 +78,7 @@ def upsert_products(current: DataFrame, latest: DataFrame, run_ts) -> DataFrame:
 
 
 def upsert_small_feed(current: DataFrame, latest: DataFrame, run_ts) -> DataFrame:
-    """The same result for a feed that is small beside the catalog.
+    """The same result for a feed that the caller knows to be small beside the catalog.
 
     A left join and an anti join can broadcast the feed, which a full outer join
     cannot. Spark does so if its size is under the session's threshold; the

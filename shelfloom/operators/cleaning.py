@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.fixed_values import DEFAULT_CURRENCY, FIELD_LIMITS, HEADER_ALIASES
+from shelfloom.fixed_values import DEFAULT_CURRENCY, HEADER_ALIASES
 from shelfloom.functions.attributes import with_attributes
 from shelfloom.functions.money import feed_price
 from shelfloom.functions.text import (
@@ -38,21 +38,22 @@ def feed_rows(rows: DataFrame, headers: list) -> DataFrame:
     return nulled.na.drop(how="all", subset=columns)
 
 
-def _over_limit() -> Column:
+def _over_width(widths: dict) -> Column:
     reason = F
-    for field, limit in FIELD_LIMITS.items():
+    for field, width in widths.items():
         reason = reason.when(
-            F.length(field) > limit, F.lit(f"{field} is longer than {limit} characters")
+            F.length(field) > width, F.lit(f"{field} is longer than {width} characters")
         )
-    return reason
+    return reason if widths else F.lit(None).cast("string")
 
 
-def clean_rows(rows: DataFrame, headers: list) -> DataFrame:
+def clean_rows(rows: DataFrame, headers: list, widths: dict = None) -> DataFrame:
     """Clean catalog rows from ``feed_rows``, one per line, in typed columns.
 
     Every text stays text, so numbers used as SKU or UPC keep leading zeros. A
-    line without a SKU has a null one; ``reject_reason`` is set for rows that no
-    catalog row can hold.
+    line without a SKU has a null one. Texts have no width here; for a target that
+    has some, ``widths`` names them by field and ``reject_reason`` is set for
+    longer rows.
     """
     position = map_headers(headers)
     columns = raw_columns(headers)
@@ -81,7 +82,7 @@ def clean_rows(rows: DataFrame, headers: list) -> DataFrame:
             F.upper(null_if_blank(F.col("currency"))), F.lit(DEFAULT_CURRENCY)),
     })
     return filled.withColumn("title", F.coalesce("title", "sku")).withColumn(
-        "reject_reason", _over_limit()
+        "reject_reason", _over_width(widths or {})
     )
 
 
@@ -102,13 +103,15 @@ def quarantine(cleaned: DataFrame) -> DataFrame:
 def last_per_sku(feed: DataFrame) -> DataFrame:
     """One row per SKU: the values of its last line, the currency of its first.
 
-    ``lines`` counts the SKU's lines. Lines are combined before the shuffle, so a
-    SKU that fills a third of a feed costs one row per task.
+    ``lines`` counts the SKU's lines. The last positions are picked from SKU,
+    position and currency alone, combined before the shuffle. Their lines are then
+    found by position, which no two lines share, so a SKU that fills a third of a
+    feed brings no task more rows than another.
     """
     fields = [c for c in feed.columns if c not in ("sku", "currency", ORDER)]
     picked = feed.groupBy("sku").agg(
-        F.max_by(F.struct(*fields), ORDER).alias("_last"),
-        F.min_by("currency", ORDER).alias("currency"),
+        F.max(ORDER).alias("_last"),
+        F.min(F.struct(ORDER, "currency")).alias("_first"),
         F.count(F.lit(1)).alias("lines"),
-    )
-    return picked.select("sku", "_last.*", "currency", "lines")
+    ).select(F.col("_last").alias(ORDER), F.col("_first.currency").alias("currency"), "lines")
+    return feed.drop("currency").join(picked, ORDER).select("sku", *fields, "currency", "lines")

@@ -43,13 +43,19 @@ def open_content_issues(issues: DataFrame, ids: DataFrame) -> DataFrame:
     ).join(ids.select("product_id").distinct(), "product_id", "left_semi")
 
 
+# Prompts that are asked before their replies leave the task.
+REPLIES_AT_ONCE = 16
+
+
 def call_generator(rows: DataFrame, generator: Callable, prompt: str, reply: str, error: str,
                    system: str, **options) -> DataFrame:
     """Add ``reply`` (the generator's text for ``prompt``) or ``error``.
 
     ``generator(system, prompt, temperature=, max_tokens=)`` runs inside the
     tasks, row by row; rows with a null prompt are not sent. A lost task is
-    repeated, so the generator must stand being asked twice.
+    repeated, so the generator must stand being asked twice; how many prompts that
+    are goes by the tasks (``parallelism`` of ``generate``), and how many rows a task
+    is handed at a time by ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     """
     text_type = T.StringType()
     schema = T.StructType([
@@ -64,7 +70,7 @@ def call_generator(rows: DataFrame, generator: Callable, prompt: str, reply: str
             return None, str(problem)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, REPLIES_AT_ONCE) for b in batches for i in range(0, b.num_rows, REPLIES_AT_ONCE)):
             asked = [ask(t) if t is not None else (None, None) for t in batch[position].to_pylist()]
             added = [pa.array(column, pa.string()) for column in zip(*asked)] or [pa.array([], pa.string())] * 2
             yield pa.RecordBatch.from_arrays(
@@ -79,16 +85,17 @@ def generate(ids: DataFrame, products: DataFrame, generator: Callable,
              parallelism: int = None) -> DataFrame:
     """One result row per requested id, in the columns RESULT_COLUMNS.
 
+    An id that is requested several times is asked for once and has as many rows.
     An unknown id, a failing generator or an SEO reply that cannot be stored
     gives success = false with the reason; other rows go on. ``parallelism``
     spreads the requests over that many tasks.
     """
-    requested = ids.select("product_id").distinct()
+    requested = ids.groupBy("product_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
     columns = ["product_id", "sku", "title", "category", "brand", "price", "currency",
                "description", "attributes"]
     known = requested.join(products.select(*columns), "product_id", "left")
     prompts = known.select(
-        "product_id", "title", "category", "brand",
+        "product_id", "title", "category", "brand", "times",
         F.col("sku").isNotNull().alias("found"),
         F.when(F.col("sku").isNotNull(), description_prompt(tone=tone)).alias("prompt"),
     )
@@ -117,7 +124,8 @@ def generate(ids: DataFrame, products: DataFrame, generator: Callable,
         .when(reason.isNotNull(), fill(
             GENERATION_FAILED_TEXT, product_id=F.col("product_id").cast("string"), error=reason)),
     ).withColumn("success", F.col("error").isNull())
-    return result.select(
+    each = result.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return each.select(
         "product_id",
         F.when(F.col("success"), F.col("text")).otherwise("").alias("generated_description"),
         F.when(F.col("success"), F.col("seo.seo_title")).alias("seo_title"),

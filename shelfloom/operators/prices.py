@@ -10,8 +10,9 @@ from shelfloom.fixed_values import (
 from shelfloom.functions.money import change_percent, in_our_currency, undercut_percent
 from shelfloom.functions.search import search_query, search_url
 from shelfloom.functions.text import fill, fixed_decimals, kept_in_order, title_case
+from shelfloom.operators.catalog import matching
 from shelfloom.operators.skew import (
-    MAX_SLICES, ROWS_PER_TASK, hot_keys, lag_by_key, lag_by_slice, previous_value, slices_for,
+    ROWS_PER_TASK, hot_keys, lag_by_key, lag_by_slice, previous_value, slices_for,
 )
 from shelfloom.session import settle
 
@@ -75,15 +76,17 @@ def priced(prices: DataFrame) -> DataFrame:
 
 
 def latest_priced(prices: DataFrame) -> DataFrame:
-    """The last priced snapshot of each series, combined before the shuffle."""
-    others = [c for c in prices.columns if c not in SERIES]
-    return (
-        priced(prices)
-        .groupBy(*SERIES)
-        .agg(F.max_by(F.struct(*others), F.struct(*SERIES_ORDER)).alias("_last"))
-        .select(*SERIES, "_last.*")
-        .select(*prices.columns)
-    )
+    """The last priced snapshot of each series.
+
+    Its place in the order is picked from narrow columns, combined before the shuffle,
+    and its row is then found by series and place.
+    """
+    rows = priced(prices)
+    last = rows.groupBy(*SERIES).agg(F.max(F.struct(*SERIES_ORDER)).alias("_last")).select(
+        *SERIES, "_last.*")
+    same = [rows[c].eqNullSafe(last[c]) for c in (*SERIES, *SERIES_ORDER)]
+    # A snapshot that was given twice is taken once.
+    return rows.join(last, same, "left_semi").dropDuplicates(SERIES).select(*prices.columns)
 
 
 def _offers(products: DataFrame) -> DataFrame:
@@ -93,22 +96,30 @@ def _offers(products: DataFrame) -> DataFrame:
     )
 
 
-def compared_prices(prices: DataFrame, products: DataFrame, rows_per_task: int = ROWS_PER_TASK,
-                    max_slices: int = MAX_SLICES) -> DataFrame:
+def compared_prices(prices: DataFrame, products: DataFrame,
+                    rows_per_task: int = ROWS_PER_TASK, hot: DataFrame = None) -> DataFrame:
     """Priced snapshots with our price and the previous price of their series.
 
     The join with our products and the look-back share one shuffle by product.
     Series with more than ``rows_per_task`` snapshots go another way: they are
-    cut into slices, and meet only their own few products.
+    cut into slices, and meet only their own few products. ``hot`` (series, n) names
+    them where they are counted already. If rows are marked by ``_new``, ``_seen``
+    is the place in the order of the series' row that is not new.
     """
     rows, offers = priced(prices), _offers(products)
-    hot = hot_keys(rows, SERIES, rows_per_task)
+    hot = hot_keys(rows, SERIES, rows_per_task) if hot is None else hot
+    slices = slices_for(hot, rows_per_task)
+    marked = "_new" in rows.columns
 
     def look_back(part: DataFrame) -> DataFrame:
-        return lag_by_key(part.join(offers, "product_id"), SERIES, SERIES_ORDER,
-                          "competitor_price", "previous_price")
-
-    if hot is None:
+        looked = lag_by_key(part.join(offers, "product_id"), SERIES, SERIES_ORDER,
+                            "competitor_price", "previous_price")
+        if not marked:
+            return looked
+        old = F.when(~F.col("_new"), F.struct(*SERIES_ORDER))
+        return looked.withColumn("_seen", F.max(old).over(Window.partitionBy(*SERIES)))
+
+    if not slices:
         return look_back(rows)
     names = hot.select(*SERIES)
     # At most one product per hot series, so this table is as small as ``hot``.
@@ -117,8 +128,12 @@ def compared_prices(prices: DataFrame, products: DataFrame, rows_per_task: int =
     )
     sliced = lag_by_slice(
         rows.join(names, SERIES, "left_semi"), SERIES, SERIES_ORDER,
-        "competitor_price", "previous_price", slices_for(hot, rows_per_task, max_slices),
+        "competitor_price", "previous_price", slices,
     )
+    if marked:
+        known = rows.join(names, SERIES, "left_semi").filter(~F.col("_new")).select(
+            *SERIES, F.struct(*SERIES_ORDER).alias("_seen"))
+        sliced = sliced.join(known, SERIES, "left")
     cold = look_back(rows.join(names, SERIES, "left_anti"))
     return cold.unionByName(sliced.join(hot_offers, "product_id").select(*cold.columns))
 
@@ -204,9 +219,9 @@ def alert_rows(with_array: DataFrame, created_at: Column = None) -> DataFrame:
 
 def history_alerts(prices: DataFrame, products: DataFrame, rate: float = INR_PER_USD,
                    undercut_from: float = UNDERCUT_PERCENT, change_from: float = CHANGE_PERCENT,
-                   rows_per_task: int = ROWS_PER_TASK, max_slices: int = MAX_SLICES) -> DataFrame:
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Alerts for every snapshot of a history, against today's catalog prices."""
-    compared = compared_prices(prices, products, rows_per_task, max_slices)
+    compared = compared_prices(prices, products, rows_per_task)
     return alert_rows(with_alerts(compared, rate, undercut_from, change_from))
 
 
@@ -221,16 +236,16 @@ def batch_alerts(latest: DataFrame, batch: DataFrame, products: DataFrame,
     that arrives late, with a time before its series' last one, is compared with
     our price but raises no change alert.
     """
-    touched = batch.select(*SERIES).distinct()
-    before = latest.join(touched, SERIES, "left_semi").withColumn("_new", F.lit(False))
+    # One narrow row for each series of the batch: it picks the state and names hot series.
+    touched = settle(batch.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n")), "touched-series")
+    before = latest.join(touched.select(*SERIES), SERIES, "left_semi").withColumn("_new", F.lit(False))
     rows = before.unionByName(batch.withColumn("_new", F.lit(True)))
-    known = before.select(*SERIES, F.struct(*SERIES_ORDER).alias("_seen"))
-    compared = compared_prices(rows, products, rows_per_task).filter("_new").drop("_new")
-    placed = compared.join(known, SERIES, "left")
+    hot = touched.filter(F.col("n") >= rows_per_task)
+    compared = compared_prices(rows, products, rows_per_task, hot).filter("_new")
     late = F.coalesce(F.struct(*SERIES_ORDER) < F.col("_seen"), F.lit(False))
-    timely = placed.withColumn(
+    timely = compared.withColumn(
         "previous_price", F.when(~late, F.col("previous_price"))
-    ).drop("_seen")
+    ).drop("_seen", "_new")
     return alert_rows(with_alerts(timely, rate, undercut_from, change_from))
 
 
@@ -257,22 +272,14 @@ def scrape_summary(scraped: DataFrame, taken: DataFrame, alerts: DataFrame) -> D
 def list_prices(prices: DataFrame, product_id: int = None, source: str = None,
                 limit: int = 50) -> DataFrame:
     """Newest snapshots, optionally of one product or marketplace."""
-    rows = prices
-    if product_id:
-        rows = rows.filter(F.col("product_id") == product_id)
-    if source:
-        rows = rows.filter(F.col("source") == source)
+    rows = matching(prices, {"product_id": product_id or None, "source": source or None})
     return rows.orderBy(F.desc("scraped_at"), F.desc("price_id")).limit(limit)
 
 
 def list_alerts(alerts: DataFrame, acknowledged: bool = None, product_id: int = None,
                 limit: int = 50) -> DataFrame:
     """Newest alerts, optionally by state or of one product."""
-    rows = alerts
-    if acknowledged is not None:
-        rows = rows.filter(F.col("acknowledged") == acknowledged)
-    if product_id:
-        rows = rows.filter(F.col("product_id") == product_id)
+    rows = matching(alerts, {"acknowledged": acknowledged, "product_id": product_id or None})
     return rows.orderBy(F.desc("created_at"), F.desc("alert_id")).limit(limit)
 
 

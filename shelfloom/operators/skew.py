@@ -10,21 +10,15 @@ from shelfloom.session import settle
 # A key with more rows than this is cut into slices of about this size.
 ROWS_PER_TASK = 4_000_000
 
-# Most tasks one range partitioning is planned with; slices grow beyond it.
-MAX_SLICES = 20_000
 
-
-def hot_keys(df: DataFrame, keys: list, rows_per_task: int = ROWS_PER_TASK):
-    """Table (keys, n) of the keys with more than ``rows_per_task`` rows, or None.
+def hot_keys(df: DataFrame, keys: list, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Table (keys, n) of the keys with more than ``rows_per_task`` rows.
 
     At most total / rows_per_task keys can qualify. The counts are combined
-    before the shuffle, and a table too small for any hot key is only counted.
+    before the shuffle.
     """
-    if df.count() <= rows_per_task:
-        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = settle(counts.filter(F.col("n") > rows_per_task), "hot-keys")
-    return None if hot.isEmpty() else hot
+    return settle(counts.filter(F.col("n") > rows_per_task), "hot-keys")
 
 
 def lag_by_key(df: DataFrame, keys: list, order: list, value: str, out: str) -> DataFrame:
@@ -67,25 +61,26 @@ def lag_by_slice(df: DataFrame, keys: list, order: list, value: str, out: str,
     )
 
 
-def slices_for(hot: DataFrame, rows_per_task: int, max_slices: int = MAX_SLICES) -> int:
-    """How many slices the rows of all hot keys together are cut into."""
-    return min(max_slices, max(2, ceil(hot.agg(F.sum("n")).first()[0] / rows_per_task)))
+def slices_for(hot: DataFrame, rows_per_task: int) -> int:
+    """How many slices the rows of all hot keys together are cut into; 0 without any."""
+    return ceil((hot.agg(F.sum("n")).first()[0] or 0) / rows_per_task)
 
 
 def previous_value(df: DataFrame, keys: list, order: list, value: str, out: str,
-                   rows_per_task: int = ROWS_PER_TASK, max_slices: int = MAX_SLICES) -> DataFrame:
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Add ``out``: the value of the preceding row of the same key.
 
     ``order`` must be unique within a key. Keys with few rows use one window;
     hot keys are taken apart and sliced.
     """
     hot = hot_keys(df, keys, rows_per_task)
-    if hot is None:
+    slices = slices_for(hot, rows_per_task)
+    if not slices:
         return lag_by_key(df, keys, order, value, out)
     names = hot.select(*keys)
     cold_part = lag_by_key(df.join(names, keys, "left_anti"), keys, order, value, out)
     hot_part = lag_by_slice(
         df.join(names, keys, "left_semi"), keys, order, value, out,
-        slices_for(hot, rows_per_task, max_slices),
+        slices,
     )
     return cold_part.unionByName(hot_part).select(*df.columns, out)

@@ -1,6 +1,6 @@
 """The content job: generate for a batch of products and store the outcome."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Callable
 
@@ -18,6 +18,7 @@ class ContentResult:
     products: DataFrame
     issues: DataFrame
     summary: DataFrame
+    folders: list = field(default_factory=list)
 
 
 def run_content(ids: DataFrame, products: DataFrame, issues: DataFrame, generator: Callable,
@@ -30,12 +31,14 @@ def run_content(ids: DataFrame, products: DataFrame, issues: DataFrame, generato
     """
     if ids.isEmpty():
         raise ValueError("At least one product_id is required.")
+    folders = []
     results = settle(
-        generate(ids, products, generator, tone, include_seo, parallelism), "content-results"
+        generate(ids, products, generator, tone, include_seo, parallelism), "content-results", folders
     )
     return ContentResult(
         results=results,
         products=store_content(products, results, run_ts),
         issues=resolve_content_issues(issues, results, run_ts),
         summary=batch_summary(results),
+        folders=folders,
     )

@@ -1,6 +1,6 @@
 """The feed job: read, clean, check, upsert, and log one supplier feed."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,27 +9,40 @@ from pyspark.sql import functions as F
 from shelfloom.fixed_values import (
     EMPTY_FEED_TEXT, NO_SKU_TEXT, OTHER_ERROR_TEXT, PARSE_ERROR_TEXT,
 )
-from shelfloom.operators.changes import (
-    SMALL_FEED_ROWS, new_product_id, upsert_products, upsert_small_feed,
-)
+from shelfloom.operators.changes import new_product_id, upsert_products
 from shelfloom.operators.cleaning import (
     clean_rows, feed_rows, is_storable, last_per_sku, map_headers, quarantine, storable_rows,
 )
 from shelfloom.operators.quality import data_issues, status_from_issues, with_issues
 from shelfloom.schemas import INGESTION_JOBS
-from shelfloom.session import settle
-from shelfloom.sources.feeds import ORDER, OVERFLOW, feed_headers, read_feed
-from shelfloom.sources.tables import Tables
+from shelfloom.session import remove_folders, settle
+from shelfloom.sources.feeds import ORDER, OVERFLOW, feed_headers, first_lines, read_feed
+from shelfloom.sources.tables import Change, LostRace, Tables
 
 
 @dataclass
 class FeedResult:
-    """What one feed leads to. ``products`` is None when nothing changes."""
+    """What one feed leads to. ``products`` is None when nothing changes.
+
+    ``job`` is the values of its row in the job log, ``skus`` one row per SKU of the feed,
+    ``error`` what made the job fail, ``folders`` the intermediate tables it reads.
+    """
 
-    job: DataFrame
+    spark: SparkSession
+    job_values: dict
     products: DataFrame = None
     issues: DataFrame = None
     quarantine: DataFrame = None
+    skus: DataFrame = None
+    error: Exception = None
+    folders: list = field(default_factory=list)
+
+    @property
+    def job(self) -> DataFrame:
+        row = {f.name: self.job_values.get(f.name) for f in INGESTION_JOBS.fields}
+        for name in ("total_rows", "processed_rows", "new_products", "updated_products", "issues_found"):
+            row[name] = row[name] or 0
+        return self.spark.createDataFrame([tuple(row.values())], INGESTION_JOBS)
 
 
 def checked_rows(good: DataFrame) -> DataFrame:
@@ -37,51 +50,50 @@ def checked_rows(good: DataFrame) -> DataFrame:
     return with_issues(good).withColumn("status", status_from_issues(F.col("issues")))
 
 
-def feed_counts(latest: DataFrame, current: DataFrame) -> DataFrame:
-    """processed_rows, new_products, updated_products and issues_found of a feed.
+def known_skus(latest: DataFrame, current: DataFrame) -> DataFrame:
+    """(sku, lines, product_id) of a feed's SKUs; the id is null for new ones."""
+    return latest.select("sku", "lines").join(current.select("sku", "product_id"), "sku", "left")
+
+
+def feed_counts(known: DataFrame) -> DataFrame:
+    """processed_rows, new_products and updated_products of a feed's ``known_skus``.
 
     A new SKU's first line creates it; each further line of any SKU updates it.
     """
-    known = current.select("sku", F.lit(True).alias("_known"))
-    marked = latest.join(known, "sku", "left")
-    return marked.agg(
+    return known.agg(
         F.coalesce(F.sum("lines"), F.lit(0)).alias("processed_rows"),
-        F.count_if(F.col("_known").isNull()).alias("new_products"),
+        F.count_if(F.col("product_id").isNull()).alias("new_products"),
     ).withColumn("updated_products", F.col("processed_rows") - F.col("new_products"))
 
 
-def failed_feed(spark: SparkSession, error: str, run_ts: datetime, job_id: int,
-                filename: str) -> FeedResult:
+def failed_feed(spark: SparkSession, message: str, run_ts: datetime, job_id: int,
+                filename: str, error: Exception = None) -> FeedResult:
     """A feed that was not processed, as its row in the job log."""
-    return FeedResult(_job_row(
-        spark, job_id=job_id, filename=filename, started_at=run_ts, completed_at=run_ts,
-        status="failed", error_message=error,
-    ))
-
+    return FeedResult(spark, dict(
+        job_id=job_id, filename=filename, started_at=run_ts, completed_at=run_ts,
+        status="failed", error_message=message,
+    ), error=error)
 
-def _job_row(spark: SparkSession, **values) -> DataFrame:
-    row = {f.name: values.get(f.name) for f in INGESTION_JOBS.fields}
-    for name in ("total_rows", "processed_rows", "new_products", "updated_products", "issues_found"):
-        row[name] = row[name] or 0
-    return spark.createDataFrame([tuple(row.values())], INGESTION_JOBS)
 
+def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_id: int,
+                 filename: str = "", widths: dict = None) -> FeedResult:
+    """Outcome of a feed that has been read into columns c0, c1, ... and _order.
 
-def process_rows(rows: DataFrame, headers: list, current: DataFrame, run_ts: datetime,
-                 job_id: int = 0, filename: str = "") -> FeedResult:
-    """Outcome of a feed that has been read into columns c0, c1, ... and _order."""
-    spark = rows.sparkSession
+    ``current`` is the catalog, or a function that gives the part of it in which the
+    given SKUs (a table with a column sku) lie; ``products`` is then that part.
+    """
+    spark, folders = rows.sparkSession, []
     job = {"job_id": job_id, "filename": filename, "started_at": run_ts}
     if not headers:
-        error = OTHER_ERROR_TEXT.format(error="No columns to parse from file")
-        return FeedResult(_job_row(spark, **job, status="failed", error_message=error,
-                                   completed_at=run_ts))
+        message = OTHER_ERROR_TEXT.format(error="No columns to parse from file")
+        return FeedResult(spark, job | {"status": "failed", "error_message": message, "completed_at": run_ts})
     has_sku = "sku" in map_headers(headers)
     lines = feed_rows(rows, headers)
     overlong = F.col(OVERFLOW).isNotNull() if OVERFLOW in rows.columns else F.lit(False)
     if has_sku:
         # All outputs read the checked rows, so the feed is read and checked once.
-        cleaned = clean_rows(lines.withColumn("_overlong", overlong).drop(OVERFLOW), headers)
-        checked = settle(checked_rows(cleaned), "feed-rows")
+        cleaned = clean_rows(lines.withColumn("_overlong", overlong).drop(OVERFLOW), headers, widths)
+        checked = settle(checked_rows(cleaned), "feed-rows", folders)
         found_issues = F.sum(F.when(is_storable(), F.size("issues")))
     else:
         checked, found_issues = lines.withColumn("_overlong", overlong), F.lit(0)
@@ -90,53 +102,98 @@ def process_rows(rows: DataFrame, headers: list, current: DataFrame, run_ts: dat
     ).first()
     job["total_rows"] = total
     if broken:
-        error = PARSE_ERROR_TEXT.format(error=f"{broken} lines have more fields than the header")
-        return FeedResult(_job_row(spark, **job, status="failed", error_message=error,
-                                   completed_at=run_ts))
+        message = PARSE_ERROR_TEXT.format(error=f"{broken} lines have more fields than the header")
+        return FeedResult(spark, job | {"status": "failed", "error_message": message, "completed_at": run_ts},
+                          folders=folders)
     if not total:
-        return FeedResult(_job_row(spark, **job, status="completed", error_message=EMPTY_FEED_TEXT))
+        return FeedResult(spark, job | {"status": "completed", "error_message": EMPTY_FEED_TEXT}, folders=folders)
     if not has_sku:
-        error = NO_SKU_TEXT.format(columns=", ".join(headers))
-        return FeedResult(_job_row(spark, **job, status="failed", error_message=error))
+        message = NO_SKU_TEXT.format(columns=", ".join(headers))
+        return FeedResult(spark, job | {"status": "failed", "error_message": message}, folders=folders)
 
     good = storable_rows(checked.drop("_overlong"))
-    latest = settle(last_per_sku(good.drop("issues")), "feed-skus")
-    counts = feed_counts(latest, current).first()
-    upsert = upsert_small_feed if latest.count() <= SMALL_FEED_ROWS else upsert_products
-    ids = current.select("sku", F.col("product_id").alias("_known_id"))
-    identified = good.join(ids, "sku", "left").withColumn(
-        "product_id", F.coalesce("_known_id", new_product_id(F.col("sku")))
-    )
+    latest = settle(last_per_sku(good.drop("issues")), "feed-skus", folders)
+    catalog = current(latest) if callable(current) else current
+    # One narrow join with the catalog gives the counts and the ids.
+    known = settle(known_skus(latest, catalog), "feed-ids", folders)
+    counts = feed_counts(known).first()
+    identified = good.join(known.drop("lines"), "sku").withColumn(
+        "product_id", F.coalesce("product_id", new_product_id(F.col("sku"))))
+    job |= counts.asDict() | {"issues_found": found, "status": "completed", "completed_at": run_ts}
     return FeedResult(
-        job=_job_row(
-            spark, **job, processed_rows=counts["processed_rows"],
-            new_products=counts["new_products"], updated_products=counts["updated_products"],
-            issues_found=found, status="completed", completed_at=run_ts,
-        ),
-        products=upsert(current, latest, run_ts),
+        spark, job,
+        products=upsert_products(catalog, latest, run_ts),
         issues=data_issues(identified, run_ts, job_id),
         quarantine=quarantine(checked).select(
             F.lit(job_id).cast("bigint").alias("job_id"), "sku", "title", "raw_data", "reject_reason"
         ),
+        skus=known, folders=folders,
     )
 
 
-def run_feed(spark: SparkSession, path: str, current: DataFrame, run_ts: datetime,
-             job_id: int = 0, multi_line: bool = True) -> FeedResult:
-    """Outcome of the CSV feed at ``path`` (a file, or a folder of files alike)."""
+def run_feed(spark: SparkSession, path: str, current, run_ts: datetime, job_id: int,
+             multi_line: bool = True, widths: dict = None) -> FeedResult:
+    """Outcome of the CSV feed at ``path`` (a file, or a folder of files).
+
+    ``widths`` are longest texts by field, for a target that has some.
+    """
     filename = path.rstrip("/").rsplit("/", 1)[-1]
     try:
-        headers = feed_headers(spark, path, multi_line)
-        rows = read_feed(spark, path, headers, multi_line)
-        return process_rows(rows, headers, current, run_ts, job_id, filename)
+        files = settle(first_lines(spark, path), "feed-headers", folders := [])
+        headers = feed_headers(spark, path, files)
+        rows = read_feed(spark, path, headers, multi_line, files)
+        result = process_rows(rows, headers, current, run_ts, job_id, filename, widths)
+        result.folders += folders
+        return result
     except Exception as error:  # any failure ends in the job log
-        return failed_feed(spark, OTHER_ERROR_TEXT.format(error=error), run_ts, job_id, filename)
+        return failed_feed(spark, OTHER_ERROR_TEXT.format(error=error), run_ts, job_id, filename, error)
+
+
+def touched_products(change: Change):
+    """The catalog as a feed needs it: the buckets in which its SKUs lie."""
+    return lambda skus: change.read("products", change.buckets_of("products", skus))
 
 
-def store(result: FeedResult, tables: Tables, job_id: int) -> None:
-    """Write a feed's outcome; the job log comes last."""
-    if result.products is not None:
-        tables.append("data_issues", result.issues, job_id)
-        tables.append("quarantine", result.quarantine, job_id)
-        tables.replace("products", result.products, job_id)
-    tables.append("ingestion_jobs", result.job, job_id)
+def store(result: FeedResult, change: Change) -> None:
+    """Write a feed's outcome in one commit, and remove its intermediate tables.
+
+    The results are computed here, so this may fail; then nothing of the feed is
+    stored but its row in the job log, as failed, and the error goes on. The feed may
+    come again after that.
+    """
+    try:
+        if result.products is not None:
+            change.append("data_issues", result.issues)
+            change.append("quarantine", result.quarantine)
+            change.replace("products", result.products, change.buckets_of("products", result.skus))
+        change.append("ingestion_jobs", result.job)
+        change.commit()
+    except LostRace:
+        raise
+    except Exception as error:
+        change.abandon()
+        job = result.job_values
+        message = OTHER_ERROR_TEXT.format(error=error)
+        failed = failed_feed(result.spark, message, job["started_at"], job["job_id"], job["filename"], error)
+        change.append("ingestion_jobs", failed.job)
+        change.commit(done=False)
+        raise
+    finally:
+        remove_folders(result.spark, result.folders)
+
+
+def ingest_feed(tables: Tables, path: str, run_ts: datetime, job_id: int = None,
+                multi_line: bool = True, widths: dict = None):
+    """Run the feed at ``path`` and store its outcome; returns the stored ``FeedResult``.
+
+    Without a number the job takes the store's next one. Repeating a stored job does
+    nothing and returns None; a number that another feed has used is refused.
+    """
+    job_id = tables.next_job_id() if job_id is None else job_id
+    change = tables.begin(f"feed:{job_id}", path)
+    if change is None:
+        return None
+    change.job_id = job_id
+    result = run_feed(tables.spark, path, touched_products(change), run_ts, job_id, multi_line, widths)
+    store(result, change)
+    return result

@@ -359,7 +359,7 @@ oracle("q_attr_normalize", PRODUCTS,
        "SELECT product_id, color, size, material, weight, ship_class FROM products")
 oracle("q_attr_dictionary", """
 dictionary AS (SELECT lower(p_brand) AS variant, min(p_type) AS canonical FROM part
-               WHERE p_size < 10 GROUP BY 1)""", f"""
+               GROUP BY 1)""", f"""
 SELECT p_partkey, coalesce(canonical, {title('lower(p_brand)')}) AS brand
 FROM part LEFT JOIN dictionary ON variant = lower(p_brand)""")
 tokens = ", ".join(quoted(t) for t in fv.NA_TOKENS)
@@ -489,7 +489,8 @@ SELECT issue_id, issue_type FROM issue_table
 WHERE issue_type IN ('missing_description', 'thin_content') AND NOT resolved
   AND product_id IN (SELECT product_id FROM products WHERE category = 'LARGE')""")
 oracle("q_duplicate_titles", PRODUCTS, """
-SELECT lower(title) AS title, count(DISTINCT sku) AS skus FROM products GROUP BY 1 HAVING count(DISTINCT sku) > 1""")
+SELECT lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS title, count(DISTINCT sku) AS skus
+FROM products GROUP BY 1 HAVING count(DISTINCT sku) > 1""")
 
 # --- prices ---
 oracle("q_search_query_url", f"""{PRODUCTS},
@@ -673,3 +674,62 @@ SELECT user_id, event_type, CASE WHEN value < previous THEN 'price_drop' ELSE 'p
          || ' price by ' || printf('%.1f', change) || '% (from ' || printf('%.2f', previous) || ' to '
          || printf('%.2f', value) || ').'
 FROM compared WHERE change >= 10""")
+
+# --- the store ---
+TWO_FEEDS = """
+counts AS (SELECT count(*) AS n, count(*) FILTER (p_partkey % 2 = 1) AS odd FROM part)"""
+oracle("q_feed_twice", TWO_FEEDS, """
+SELECT 'job 1 first completed' AS what, n AS total_rows, n AS new_products, 0::BIGINT AS updated_products,
+       2 * n AS issues_found FROM counts
+UNION ALL SELECT 'job 2 second completed', 2 * n, odd, 2 * n - odd, 4 * n FROM counts
+UNION ALL SELECT 'catalog', n + odd, odd, n - odd, n FROM counts
+UNION ALL SELECT 'issue ' || kind, 3 * n, 2 * n, n + odd, 0
+FROM counts, (SELECT unnest(['missing_description', 'missing_attributes']) AS kind)""")
+oracle("q_store_resolved", TWO_FEEDS, """
+SELECT 'missing_description' AS kind, true AS done, 3 * n AS rows, '2024-06-02 00:00:00' AS done_at FROM counts
+UNION ALL SELECT 'missing_attributes', false, 3 * n, NULL FROM counts
+UNION ALL SELECT 'alert', o_orderstatus = 'F' OR o_orderkey IN (SELECT l_orderkey FROM lineitem), count(*), NULL
+FROM orders GROUP BY ALL""")
+oracle("q_store_cascade", TWO_FEEDS, """
+SELECT 'products' AS table_name, n AS rows FROM counts
+UNION ALL SELECT 'data_issues', 2 * n + 4 * (n - odd) FROM counts UNION ALL SELECT 'ingestion_jobs', 2""")
+oracle("q_feed_outcomes", "counts AS (SELECT count(*) AS n FROM supplier)", """
+SELECT 1::BIGINT AS job_id, 'no-sku' AS filename, 'failed' AS status, n AS total_rows, 0::BIGINT AS processed_rows,
+       0::BIGINT AS issues_found,
+       'CSV must contain a SKU/product_id column. Found columns: s_name, s_acctbal' AS error_message FROM counts
+UNION ALL SELECT 2, 'no-csv', 'failed', 0, 0, 0, 'Unexpected error: No columns to parse from file'
+UNION ALL SELECT 3, 'long-lines', 'failed', n, 0, 0,
+       'Failed to parse CSV: ' || n || ' lines have more fields than the header' FROM counts
+UNION ALL SELECT 4, 'whole', 'completed', n, n, 2 * n, NULL FROM counts""")
+oracle("q_feed_column_orders", "", """
+SELECT 'S-' || s_suppkey AS sku, s_name AS title, s_suppkey::DOUBLE AS price,
+       CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'nation=n' || s_nationkey END AS attributes FROM supplier""")
+
+# --- branches of arguments ---
+oracle("q_brand_contradictions", """
+titled AS (
+  SELECT p_partkey AS product_id, p_name, split_part(lower(p_name), ' ', 1) AS word,
+         CASE WHEN p_partkey % 3 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE p_brand END AS brand
+  FROM part)""", """
+SELECT product_id, 'Brand' AS field, 'title' AS source, brand AS expected,
+       'Title starts with \'\'' || word || '\'\' instead of brand' AS actual
+FROM titled WHERE NOT contains(lower(p_name), lower(brand)) AND word <> lower(brand) AND length(word) > 2""".replace("\\'", "'"))
+oracle("q_scrape_ids", f"{PRODUCTS}, {SEARCH}", """
+SELECT product_id, source, search_url FROM targets
+WHERE source = 'walmart' AND product_id IN (SELECT s_nationkey FROM supplier)""")
+oracle("q_product_lists", f"{PRICES}", f"""
+(SELECT 'price' AS kind, price_id AS id, product_id, {stamp('scraped_at')} AS at FROM prices
+ WHERE product_id = 7 ORDER BY scraped_at DESC, price_id DESC LIMIT 50)
+UNION ALL
+(SELECT 'alert', o_orderkey, o_custkey, {stamp('o_orderdate')} FROM orders
+ WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50)""")
+oracle("q_page_forms", "", """
+SELECT page_id, page_id AS product_id, CASE page_id % 2 WHEN 1 THEN 'walmart' ELSE 'flipkart' END AS source,
+       (CASE WHEN n = 0 THEN 0 ELSE n - 1 END)::INTEGER AS listing_rank, 'Offer ' || n || ' of ' || page_id AS title,
+       page_id::DOUBLE AS price,
+       CASE page_id % 2 WHEN 1 THEN 'https://other.example/' ELSE 'https://www.flipkart.com/p/' END
+         || page_id || '-' || n AS url
+FROM pages, (SELECT unnest([0, 2, 3, 4]) AS n)""")
+oracle("q_generate_plain", GENERATED, """
+SELECT product_id, generated_description, NULL::VARCHAR AS seo_title, NULL::VARCHAR AS seo_keywords, success, error
+FROM results, (SELECT unnest([1, 2])) WHERE product_id IN (SELECT product_id FROM products)""")

@@ -1,6 +1,6 @@
 """The price job: from stored marketplace pages to snapshots and alerts."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -9,8 +9,9 @@ from shelfloom.operators.prices import (
     advance_latest, batch_alerts, products_to_scrape, scrape_summary, search_targets, snapshots,
     unmatched_targets,
 )
-from shelfloom.session import settle
+from shelfloom.session import remove_folders, settle
 from shelfloom.sources.pages import best_listings, read_listings
+from shelfloom.sources.tables import Change, Tables
 
 
 @dataclass
@@ -20,26 +21,63 @@ class PriceResult:
     unmatched: DataFrame
     latest: DataFrame
     summary: DataFrame
+    folders: list = field(default_factory=list)
 
 
-def run_prices(pages: DataFrame, products: DataFrame, latest: DataFrame, run_ts: datetime,
+def run_prices(pages: DataFrame, products: DataFrame, latest, run_ts: datetime,
                sources: list = None, ids: DataFrame = None) -> PriceResult:
     """Outcome of one run over fetched pages.
 
-    ``latest`` is the last priced snapshot of each series so far. A product
-    without a listing goes to ``unmatched``; no price is made up for it. Pages
-    are parsed once: the best listings are written out and read by all outputs.
+    ``latest`` is the last priced snapshot of each series so far, or a function that gives
+    it for the products of some snapshots. A product without a listing goes to
+    ``unmatched``; no price is made up for it. Pages are parsed once and alerts
+    computed once: both are written out and read by all outputs.
     """
+    folders = []
     scraped = products_to_scrape(products, ids)
     targets = search_targets(scraped, sources)
-    best = settle(best_listings(read_listings(pages)), "best-listings")
-    taken = settle(snapshots(targets, best, run_ts), "snapshots")
-    alerts = batch_alerts(latest, taken, products)
+    best = settle(best_listings(read_listings(pages)), "best-listings", folders)
+    taken = settle(snapshots(targets, best, run_ts), "snapshots", folders)
+    state = latest(taken) if callable(latest) else latest
+    alerts = settle(batch_alerts(state, taken, products), "alerts", folders)
     return PriceResult(
         snapshots=taken,
         alerts=alerts,
         unmatched=unmatched_targets(targets, best).select(
             "product_id", "source", "query", "search_url"),
-        latest=advance_latest(latest, taken),
+        latest=advance_latest(state, taken),
         summary=scrape_summary(scraped, taken, alerts),
+        folders=folders,
     )
+
+
+def latest_of(change: Change):
+    """The state of the series of some snapshots' products: the buckets in which they lie."""
+    return lambda taken: change.read("latest_prices", change.buckets_of("latest_prices", taken))
+
+
+def store_prices(result: PriceResult, change: Change) -> None:
+    """Write a run's snapshots, alerts and state in one commit.
+
+    ``result`` was run with ``latest_of(change)``.
+    """
+    change.append("competitor_prices", result.snapshots)
+    change.append("competitor_alerts", result.alerts)
+    change.replace("latest_prices", result.latest, change.buckets_of("latest_prices", result.snapshots))
+    change.commit()
+
+
+def scrape(tables: Tables, pages: DataFrame, run_ts: datetime, run: str, sources: list = None,
+           ids: DataFrame = None):
+    """Run the price job named ``run`` on the store; a run that is stored already does nothing.
+
+    Returns the summary row, or None.
+    """
+    change = tables.begin(f"prices:{run}", str(run_ts))
+    if change is None:
+        return None
+    result = run_prices(pages, change.read("products"), latest_of(change), run_ts, sources, ids)
+    summary = result.summary.first()
+    store_prices(result, change)
+    remove_folders(tables.spark, result.folders)
+    return summary

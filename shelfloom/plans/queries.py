@@ -14,8 +14,11 @@ from shelfloom.functions.quality import with_content_score, with_contradictions
 from shelfloom.operators import catalog, changes, cleaning, content, prices as px
 from shelfloom.operators.quality import issue_rows
 from shelfloom.plans import testviews as tv
-from shelfloom.plans.feed_job import checked_rows, feed_counts, run_feed
-from shelfloom.schemas import PRODUCTS
+from shelfloom.plans.feed_job import (
+    checked_rows, feed_counts, ingest_feed, known_skus, run_feed,
+)
+from shelfloom.plans.store_changes import acknowledge_stored, delete_stored, resolve_stored
+from shelfloom.schemas import COMPETITOR_ALERTS, PRODUCTS
 from shelfloom.session import new_folder, settle
 from shelfloom.sources.pages import best_listings, read_listings
 from shelfloom.sources.tables import Tables
@@ -23,6 +26,7 @@ from shelfloom.streaming.feeds import feed_stream, ingest_feeds
 from shelfloom.streaming.prices import monitor_prices
 
 RUN = datetime(2024, 6, 1)
+NEXT_RUN = datetime(2024, 6, 2)
 QUERIES = {}
 
 
@@ -70,7 +74,7 @@ def q_attr_normalize(spark, sf_dir):
 def q_attr_dictionary(spark, sf_dir):
     """A user's own dictionary table: brand name to its lowest part type."""
     part = tv.read(spark, sf_dir, "part")
-    dictionary = part.filter(F.col("p_size") < 10).groupBy(F.lower("p_brand").alias("variant")).agg(
+    dictionary = part.groupBy(F.lower("p_brand").alias("variant")).agg(
         F.min("p_type").alias("canonical"))
     values = part.select("p_partkey", F.upper("p_brand").alias("brand"))
     return normalize_with_dictionary(values, dictionary, "variant", "canonical", "brand")
@@ -110,6 +114,18 @@ def q_contradictions(spark, sf_dir):
     return rows.filter(F.col("c").isNotNull()).select("product_id", "position", "c.field", "c.source", "c.expected", "c.actual")
 
 
+@query
+def q_brand_contradictions(spark, sf_dir):
+    """Titles that start with another word than the brand attribute."""
+    first = F.substring_index("p_name", " ", 1)
+    brand = F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.upper(first)).otherwise(F.col("p_brand"))
+    rows = tv.read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("description"),
+        F.create_map(F.lit("Brand"), brand).alias("attributes"))
+    found = with_contradictions(rows).select("product_id", F.explode_outer("contradictions").alias("c"))
+    return found.filter(F.col("c").isNotNull()).select("product_id", "c.field", "c.source", "c.expected", "c.actual")
+
+
 @query
 def q_issues(spark, sf_dir):
     return issue_rows(tv.checked_products(spark, sf_dir), ["product_id"])
@@ -157,6 +173,10 @@ def q_raw_data(spark, sf_dir):
     )
 
 
+# Lines of one file of a feed that is written out.
+LINES_PER_FILE = 5000
+
+
 def _empty_products(spark):
     return spark.createDataFrame([], PRODUCTS)
 
@@ -167,8 +187,8 @@ def q_csv_feed(spark, sf_dir):
     folder = new_folder(spark, "csv-feed")
     lines = tv.feed_lines(spark, sf_dir).drop(cleaning.ORDER).toDF(*tv.FEED_HEADERS)
     # A large feed comes in many files; quoted line breaks make a file one task.
-    lines.repartition(32).write.option("header", True).option("escape", '"').csv(folder)
-    result = run_feed(spark, folder, _empty_products(spark), RUN)
+    lines.write.options(header=True, escape='"', maxRecordsPerFile=LINES_PER_FILE).csv(folder)
+    result = run_feed(spark, folder, _empty_products(spark), RUN, 1)
     return _clean_columns(result.products)
 
 
@@ -211,7 +231,7 @@ def q_upsert_small_feed(spark, sf_dir):
 def q_upsert_counters(spark, sf_dir):
     updates = _updates(spark, sf_dir)
     latest = cleaning.last_per_sku(updates.select("sku", "currency", cleaning.ORDER))
-    counts = feed_counts(latest, _catalog(spark, sf_dir).select("sku"))
+    counts = feed_counts(known_skus(latest, _catalog(spark, sf_dir)))
     issues = updates.agg(F.sum(F.size("issues")).alias("issues_found"))
     stacked = counts.unionByName(issues, allowMissingColumns=True)
     return stacked.agg(*[F.sum(c).cast("bigint").alias(c) for c in stacked.columns])
@@ -264,8 +284,8 @@ def q_delete_cascade(spark, sf_dir):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-def _issue_table(spark, sf_dir):
-    rows = issue_rows(tv.checked_products(spark, sf_dir), ["product_id"])
+def _issue_table(checked):
+    rows = issue_rows(checked, ["product_id"])
     return rows.select(
         (F.col("product_id") * 10 + F.col("position")).alias("issue_id"), "*",
         (F.col("issue_type") == "missing_attributes").alias("resolved"),
@@ -278,7 +298,7 @@ def _issue_table(spark, sf_dir):
 def q_resolve_issues(spark, sf_dir):
     """Resolve the issues whose ids equal some supplier key."""
     ids = tv.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("issue_id"))
-    after = changes.resolve_issues(_issue_table(spark, sf_dir), ids, RUN)
+    after = changes.resolve_issues(_issue_table(tv.checked_products(spark, sf_dir)), ids, RUN)
     return after.select("issue_id", "issue_type", "resolved", stamp("resolved_at").alias("resolved_at"))
 
 
@@ -297,13 +317,118 @@ def q_ack_alerts(spark, sf_dir):
     return after.select("alert_id", "product_id", "acknowledged", stamp("created_at").alias("created_at"))
 
 
+# --- the store -------------------------------------------------------------
+
+def _write_feed(lines, folder):
+    lines.write.options(header=True, escape='"', maxRecordsPerFile=LINES_PER_FILE).mode("append").csv(folder)
+
+
+def _two_feeds(spark, sf_dir):
+    """A store after two feeds: all parts, then each of them twice, half of them under new SKUs."""
+    root = new_folder(spark, "two-feeds")
+    part, key = tv.read(spark, sf_dir, "part"), F.col("p_partkey")
+    first = part.select(tv.sku_of(key).alias("sku"), F.col("p_name").alias("title"),
+                        F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
+    new = F.concat(F.lit("NEW-"), key.cast("string"))
+    second = part.select(F.when(F.pmod(key, F.lit(2)) == 0, tv.sku_of(key)).otherwise(new).alias("sku"),
+                         F.col("p_name").alias("title"), (F.col("p_retailprice") + 1).alias("price"))
+    _write_feed(first, f"{root}/first")
+    _write_feed(second.unionByName(second), f"{root}/second")
+    tables = Tables(spark, f"{root}/tables")
+    ingest_feed(tables, f"{root}/first", RUN)
+    ingest_feed(tables, f"{root}/second", NEXT_RUN)
+    return tables
+
+
+@query
+def q_feed_twice(spark, sf_dir):
+    """The job log, the catalog and the issues that two feeds leave."""
+    tables = _two_feeds(spark, sf_dir)
+    jobs = tables.read("ingestion_jobs").select(
+        F.concat_ws(" ", F.lit("job"), "job_id", "filename", "status").alias("what"), "total_rows", "new_products",
+        "updated_products", "issues_found")
+    again = F.col("created_at") < F.col("updated_at")
+    stored = tables.read("products").agg(
+        F.lit("catalog").alias("what"), F.count(F.lit(1)).alias("total_rows"),
+        F.count_if(F.col("created_at") == F.lit(NEXT_RUN)).alias("new_products"),
+        F.count_if(again).alias("updated_products"), F.count_if(F.col("brand").isNull()).alias("issues_found"))
+    issues = tables.read("data_issues").groupBy(F.concat(F.lit("issue "), "issue_type").alias("what")).agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(F.col("created_at") == F.lit(NEXT_RUN)).alias("new_products"),
+        F.count_distinct("product_id").alias("updated_products"), F.count_if("resolved").alias("issues_found"))
+    return jobs.unionByName(stored).unionByName(issues)
+
+
+@query
+def q_store_resolved(spark, sf_dir):
+    """Stored issues resolved and stored alerts acknowledged, read back from the store."""
+    tables = _two_feeds(spark, sf_dir)
+    alerts = _alert_table(spark, sf_dir)
+    missing = [f for f in COMPETITOR_ALERTS.fields if f.name not in alerts.columns]
+    change = tables.begin("alerts")
+    change.append("competitor_alerts", alerts.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing]))
+    change.commit()
+    undescribed = tables.read("data_issues").filter(F.col("issue_type") == "missing_description")
+    resolve_stored(tables, undescribed.select("issue_id"), NEXT_RUN, "undescribed")
+    seen = tv.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("alert_id")).distinct()
+    acknowledge_stored(tables, seen, "seen")
+    issues = tables.read("data_issues").groupBy("issue_type", F.col("resolved").alias("done")).agg(
+        F.count(F.lit(1)).alias("rows"), stamp(F.max("resolved_at")).alias("done_at"))
+    acknowledged = tables.read("competitor_alerts").groupBy(F.col("acknowledged").alias("done")).agg(
+        F.count(F.lit(1)).alias("rows"))
+    return issues.withColumnRenamed("issue_type", "kind").unionByName(
+        acknowledged.withColumn("kind", F.lit("alert")), allowMissingColumns=True)
+
+
+@query
+def q_store_cascade(spark, sf_dir):
+    """Stored products deleted with their issues; what the store has left."""
+    tables = _two_feeds(spark, sf_dir)
+    doomed = tables.read("products").filter(F.startswith("sku", F.lit("NEW-"))).select("product_id")
+    delete_stored(tables, settle(doomed, "doomed"), "new ones")
+    counts = [tables.read(name).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"))
+              for name in ("products", "data_issues", "ingestion_jobs")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def q_feed_outcomes(spark, sf_dir):
+    """The job log after feeds without a SKU column, without a CSV file, with overlong lines, and whole ones."""
+    root = new_folder(spark, "outcomes")
+    supplier = tv.read(spark, sf_dir, "supplier")
+    sku, name = F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("sku"), F.col("s_name").alias("title")
+    _write_feed(supplier.select("s_name", "s_acctbal"), f"{root}/no-sku")
+    supplier.select(F.concat_ws(",", sku, name)).write.text(f"{root}/no-csv")
+    long_lines = supplier.select(F.concat_ws(",", sku, name, F.lit("more")).alias("sku,title"))
+    long_lines.write.options(header=True, sep="\u0001").csv(f"{root}/long-lines")
+    _write_feed(supplier.select(sku, name), f"{root}/whole")
+    tables = Tables(spark, f"{root}/tables")
+    for feed in ("no-sku", "no-csv", "long-lines", "whole"):
+        ingest_feed(tables, f"{root}/{feed}", RUN)
+    return tables.read("ingestion_jobs").select(
+        "job_id", "filename", "status", "total_rows", "processed_rows", "issues_found", "error_message")
+
+
+@query
+def q_feed_column_orders(spark, sf_dir):
+    """A feed whose files order their columns differently, and of which some have one more."""
+    folder = new_folder(spark, "column-orders")
+    supplier, key = tv.read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    rows = supplier.select(F.concat(F.lit("S-"), key.cast("string")).alias("sku"), F.col("s_name").alias("title"),
+                           key.alias("price"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("nation"), key)
+    even = F.pmod("s_suppkey", F.lit(2)) == 0
+    _write_feed(rows.filter(even).select("sku", "title", "price"), folder)
+    _write_feed(rows.filter(~even).select("nation", "price", "title", "sku"), folder)
+    products = run_feed(spark, folder, _empty_products(spark), RUN, 1).products
+    return products.select("sku", "title", "price", entries("attributes").alias("attributes"))
+
+
 # --- catalog reads ---------------------------------------------------------
 
 @query
 def q_list_search_page(spark, sf_dir):
     """Second page of a search, with each product's open issues."""
     products = tv.products(spark, sf_dir, described=False).withColumn("status", F.lit("active"))
-    page = catalog.list_products(products, _issue_table(spark, sf_dir), skip=50, limit=50,
+    page = catalog.list_products(products, _issue_table(tv.checked_products(spark, sf_dir)), skip=50, limit=50,
                                  status="active", search="RED")
     return page.select(
         "product_id", "sku", "title", "brand", stamp("updated_at").alias("updated_at"), "issue_count"
@@ -337,20 +462,20 @@ def q_lookup_by_id_and_sku(spark, sf_dir):
 @query
 def q_issue_counts(spark, sf_dir):
     products = tv.products(spark, sf_dir, described=False)
-    return catalog.with_issue_counts(products, _issue_table(spark, sf_dir)).select("product_id", "issue_count")
+    return catalog.with_issue_counts(products, _issue_table(tv.checked_products(spark, sf_dir))).select("product_id", "issue_count")
 
 
 @query
 def q_product_issues(spark, sf_dir):
     """All issues of the products of one category."""
     chosen = catalog.filter_products(tv.products(spark, sf_dir, described=False), category="SMALL")
-    return catalog.issues_of(_issue_table(spark, sf_dir), chosen).select(
+    return catalog.issues_of(_issue_table(tv.checked_products(spark, sf_dir)), chosen).select(
         "issue_id", "product_id", "issue_type", "severity", "resolved")
 
 
 @query
 def q_issue_list(spark, sf_dir):
-    issues = _issue_table(spark, sf_dir).withColumn("created_at", F.lit(RUN).cast("timestamp"))
+    issues = _issue_table(tv.checked_products(spark, sf_dir)).withColumn("created_at", F.lit(RUN).cast("timestamp"))
     return catalog.list_issues(issues, resolved=False).select("issue_id", "issue_type", "severity")
 
 
@@ -375,9 +500,11 @@ def q_categories(spark, sf_dir):
 
 @query
 def q_dashboard_stats(spark, sf_dir):
-    checked = tv.checked_products(spark, sf_dir)
+    # The checks run once; products and issues read their results.
+    checked = settle(tv.checked_products(spark, sf_dir).select(
+        "product_id", "status", "description", "generated_description", "issues"), "checked-products")
     stats = catalog.dashboard_stats(
-        checked, _issue_table(spark, sf_dir), _alert_table(spark, sf_dir), _job_table(spark, sf_dir),
+        checked, _issue_table(checked), _alert_table(spark, sf_dir), _job_table(spark, sf_dir),
         tv.prices(spark, sf_dir),
     )
     times = ["last_ingestion", "last_scrape"]
@@ -398,7 +525,7 @@ def q_all_needing_content(spark, sf_dir):
 @query
 def q_open_content_issues(spark, sf_dir):
     ids = tv.products(spark, sf_dir, described=False).filter(F.col("category") == "LARGE")
-    return content.open_content_issues(_issue_table(spark, sf_dir), ids).select("issue_id", "issue_type")
+    return content.open_content_issues(_issue_table(tv.checked_products(spark, sf_dir)), ids).select("issue_id", "issue_type")
 
 
 @query
@@ -426,6 +553,15 @@ def q_products_x_sources(spark, sf_dir):
     return targets.select("product_id", "source", "search_url")
 
 
+@query
+def q_scrape_ids(spark, sf_dir):
+    """Search targets of given products at one marketplace, whatever their status."""
+    products = tv.products(spark, sf_dir, described=False).withColumn("status", F.lit("draft"))
+    ids = tv.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("product_id"))
+    targets = px.search_targets(px.products_to_scrape(products, ids), ["walmart", "walmart"])
+    return targets.select("product_id", "source", "search_url")
+
+
 PRICE_TEXTS = ["$%", "Rs. %,500", "% / 2.5", "from %.", "1,%", "call us", "", "%.%.%"]
 
 
@@ -508,7 +644,7 @@ def q_alerts_sliced(spark, sf_dir):
     """All alerts again, with the series of more than 15 snapshots taken as hot."""
     alerts = px.history_alerts(
         tv.prices(spark, sf_dir), tv.products(spark, sf_dir, described=False),
-        rows_per_task=15, max_slices=64)
+        rows_per_task=15)
     return alerts.groupBy("product_id", "alert_type").agg(
         F.count(F.lit(1)).alias("alerts"), F.max("price_difference").alias("largest"))
 
@@ -561,6 +697,16 @@ def q_alert_list(spark, sf_dir):
         "alert_id", "product_id", stamp("created_at").alias("created_at"))
 
 
+@query
+def q_product_lists(spark, sf_dir):
+    """Newest snapshots and alerts of one product."""
+    newest = px.list_prices(tv.prices(spark, sf_dir), product_id=7).select(
+        F.lit("price").alias("kind"), F.col("price_id").alias("id"), "product_id", stamp("scraped_at").alias("at"))
+    alerts = px.list_alerts(_alert_table(spark, sf_dir), product_id=7).select(
+        F.lit("alert").alias("kind"), F.col("alert_id").alias("id"), "product_id", stamp("created_at").alias("at"))
+    return newest.unionByName(alerts)
+
+
 @query
 def q_price_comparison(spark, sf_dir):
     return px.price_comparison(tv.products(spark, sf_dir, described=False), tv.prices(spark, sf_dir))
@@ -579,6 +725,12 @@ def q_page_listings(spark, sf_dir):
     return read_listings(tv.market_pages(spark, sf_dir))
 
 
+@query
+def q_page_forms(spark, sf_dir):
+    """Listings with absolute links, and with the first choice of container, title and link."""
+    return read_listings(tv.other_market_pages(spark, sf_dir)).drop("currency", "in_stock")
+
+
 def _targets(spark, sf_dir):
     products = tv.products(spark, sf_dir, described=False)
     return products, px.search_targets(products)
@@ -678,6 +830,14 @@ def q_generate_counts(spark, sf_dir):
     return content.batch_summary(_generated(spark, sf_dir)[1])
 
 
+@query
+def q_generate_plain(spark, sf_dir):
+    """Descriptions without SEO texts; every product is requested twice."""
+    products = tv.products(spark, sf_dir)
+    ids = products.select("product_id")
+    return content.generate(ids.unionByName(ids), products, _stub(), include_seo=False)
+
+
 @query
 def q_store_content(spark, sf_dir):
     current = _catalog(spark, sf_dir).withColumn("seo_title", F.lit("old"))
@@ -689,7 +849,7 @@ def q_store_content(spark, sf_dir):
 @query
 def q_resolve_content_issues(spark, sf_dir):
     results = settle(_generated(spark, sf_dir)[1], "generated")
-    after = content.resolve_content_issues(_issue_table(spark, sf_dir), results, RUN)
+    after = content.resolve_content_issues(_issue_table(tv.checked_products(spark, sf_dir)), results, RUN)
     return after.select("issue_id", "issue_type", "resolved", stamp("resolved_at").alias("resolved_at"))
 
 
@@ -717,7 +877,7 @@ def q_stream_feed(spark, sf_dir):
     """The feed dropped as CSV files and taken in by the stream; the catalog it leaves."""
     root = new_folder(spark, "feed-stream")
     lines = tv.feed_lines(spark, sf_dir).drop(cleaning.ORDER).toDF(*tv.FEED_HEADERS)
-    lines.repartition(32).write.option("header", True).option("escape", '"').csv(f"{root}/drops")
-    stream = feed_stream(spark, f"{root}/drops", tv.FEED_HEADERS, files_per_batch=16)
+    lines.write.options(header=True, escape='"', maxRecordsPerFile=LINES_PER_FILE).csv(f"{root}/drops")
+    stream = feed_stream(spark, f"{root}/drops", tv.FEED_HEADERS, files_per_batch=2)
     ingest_feeds(stream, tv.FEED_HEADERS, f"{root}/tables", f"{root}/state", lambda: RUN).awaitTermination()
-    return _clean_columns(Tables(spark, f"{root}/tables").read_current("products"))
+    return _clean_columns(Tables(spark, f"{root}/tables").read("products"))

@@ -178,6 +178,44 @@ def update_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def containers(template: str) -> Column:
+    """Seven listings of a page, the second without a title."""
+    number = F.col("page_id").cast("string")
+    parts = []
+    for n in range(7):
+        title = F.lit("") if n == 1 else F.concat(F.lit(f"Offer {n} of "), number)
+        text = F.lit(template.replace("#", str(n)))
+        parts.append(F.replace(F.replace(text, F.lit("@title"), title), F.lit("@page"), number))
+    return F.concat(*parts)
+
+
+def pages_with(spark: SparkSession, sf_dir: str, source: Column, block: Column) -> DataFrame:
+    """The given pages as marketplace pages, with a block put after <body>."""
+    return read(spark, sf_dir, "pages").select(
+        "page_id",
+        F.col("page_id").alias("product_id"),
+        source.alias("source"),
+        "url",
+        F.replace(F.col("html"), F.lit("<body>"), F.concat(F.lit("<body>"), block)).alias("html"),
+    )
+
+
+def other_market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in the forms that ``market_pages`` does not have: absolute links, first choices."""
+    walmart = containers(
+        '<div data-item-id="#"><a href="/no">x</a><a link-identifier="#" href="https://other.example/@page-#">go</a>'
+        '<span data-automation-id="product-title">@title</span>'
+        '<div data-automation-id="product-price"><span>$@page</span></div></div>'
+    )
+    flipkart = containers(
+        '<div class="_1AtVbE"><div class="_4rR01T">@title</div><a class="_1fQZEK" href="/p/@page-#">go</a>'
+        '<a class="IRpwTa" href="/other">other</a><div class="_30jeq3">@page</div></div>'
+    )
+    odd = F.pmod("page_id", F.lit(2)) == 1
+    return pages_with(spark, sf_dir, F.when(odd, "walmart").otherwise("flipkart"),
+                      F.when(odd, walmart).otherwise(flipkart))
+
+
 def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given pages with a marketplace's result list put after <body>.
 
@@ -185,16 +223,6 @@ def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     without a title, and every eighth page has none at all.
     """
     page = F.col("page_id")
-    number = page.cast("string")
-
-    def containers(template: str) -> Column:
-        parts = []
-        for n in range(7):
-            title = F.lit("") if n == 1 else F.concat(F.lit(f"Offer {n} of "), number)
-            text = F.lit(template.replace("#", str(n)))
-            parts.append(F.replace(F.replace(text, F.lit("@title"), title), F.lit("@page"), number))
-        return F.concat(*parts)
-
     amazon = containers(
         '<div data-component-type="s-search-result"><h2><a href="/dp/@page-#"><span> @title</span>'
         '</a></h2><span class="x a-price-whole">1,@page<span>.</span></span>'
@@ -215,13 +243,7 @@ def market_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.pmod(page, F.lit(3)) == 1, walmart)
         .otherwise(flipkart)
     )
-    return read(spark, sf_dir, "pages").select(
-        "page_id",
-        page.alias("product_id"),
-        pick(SOURCES, page).alias("source"),
-        "url",
-        F.replace(F.col("html"), F.lit("<body>"), F.concat(F.lit("<body>"), block)).alias("html"),
-    )
+    return pages_with(spark, sf_dir, pick(SOURCES, page), block)
 
 
 def events_as_prices(events: DataFrame) -> DataFrame:

@@ -2,16 +2,6 @@
 
 from pyspark.sql import types as T
 
-PRODUCT_STATUSES = ["draft", "active", "flagged", "archived"]
-ISSUE_TYPES = [
-    "missing_description", "thin_content", "attribute_contradiction",
-    "missing_attributes", "duplicate_title", "price_anomaly",
-]
-SEVERITIES = ["low", "medium", "high", "critical"]
-SOURCES = ["amazon", "walmart", "flipkart"]
-ALERT_TYPES = ["price_drop", "price_increase", "out_of_stock", "back_in_stock", "undercut"]
-
-
 _TYPES = {
     "int": T.IntegerType(),
     "bigint": T.LongType(),
@@ -59,7 +49,10 @@ INGESTION_JOBS = _schema(
     "error_message string, started_at timestamp, completed_at timestamp"
 )
 
-# Feed rows that no catalog row can hold.
+# Files that feed streams have taken in.
+FEED_FILES = _schema("file string, job_id bigint")
+
+# Feed rows over a width that the caller set.
 QUARANTINE = _schema(
     "job_id bigint, sku string, title string, raw_data string, reject_reason string"
 )

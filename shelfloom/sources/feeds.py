@@ -1,5 +1,7 @@
 """Supplier feeds as CSV, read by position so that any header works."""
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ BYTE_ORDER_MARK = chr(0xFEFF)
 
 
 def is_csv_name(filename: str) -> bool:
+    """Whether a feed's file is taken; folders are read by ``CSV_FILES``, which says the same."""
     return filename.lower().endswith(".csv")
 
 
@@ -32,7 +35,7 @@ def header_names(cells: list) -> list:
     return names
 
 
-def raw_columns(headers: list) -> list:
+def raw_columns(headers) -> list:
     return [f"c{position}" for position in range(len(headers))]
 
 
@@ -43,18 +46,39 @@ def _csv_options(multi_line: bool) -> dict:
     }
 
 
-def feed_headers(spark: SparkSession, path: str, multi_line: bool = True) -> list:
-    """Column names of a feed; one line is read. Empty for an empty file."""
-    lines = spark.read.options(**_csv_options(multi_line)).option("header", False).csv(path)
-    first = lines.first() if lines.columns else None
-    if first is None:
-        return []
-    cells = [cell or "" for cell in first]
-    cells[0] = cells[0].removeprefix(BYTE_ORDER_MARK)
-    return header_names(cells)
+def line_names(line: str) -> list:
+    """Column names in a header line."""
+    return header_names(next(csv.reader([line.removeprefix(BYTE_ORDER_MARK)]), []))
+
+
+def first_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, line): the first line of every file of a feed, in one pass over the feed."""
+    lines = spark.read.option("pathGlobFilter", CSV_FILES).text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+    )
+    # Only a file's first split holds its first line; of a split the first row comes first.
+    placed = lines.filter(F.col("start") == 0).withColumn("place", F.monotonically_increasing_id())
+    return placed.groupBy("file").agg(F.min_by("line", "place").alias("line"))
+
+
+def headers_of(files: DataFrame) -> dict:
+    """Header line -> column names, for the different first lines of ``first_lines`` by file name."""
+    found = files.groupBy("line").agg(F.min("file").alias("file")).orderBy("file").collect()
+    return {row["line"]: line_names(row["line"]) for row in found}
+
+
+def feed_headers(spark: SparkSession, path, files: DataFrame = None) -> list:
+    """Column names of a feed: those of its first file, then others that further files have.
+
+    Empty for an empty feed.
+    """
+    files = first_lines(spark, path) if files is None else files
+    return list(dict.fromkeys(name for names in headers_of(files).values() for name in names))
 
 
-def feed_schema(headers: list) -> T.StructType:
+def feed_schema(headers) -> T.StructType:
     """All columns as text, plus one that only an overlong line fills."""
     return T.StructType(
         [T.StructField(name, T.StringType()) for name in [*raw_columns(headers), OVERFLOW]]
@@ -68,15 +92,20 @@ def with_feed_order(rows: DataFrame) -> DataFrame:
     ).drop("_file", "_start")
 
 
-def read_feed(spark: SparkSession, path: str, headers: list, multi_line: bool = True) -> DataFrame:
-    """A feed's lines as text columns c0, c1, ... with their order.
+def read_feed(spark: SparkSession, path, headers: list, multi_line: bool = True,
+              files: DataFrame = None) -> DataFrame:
+    """A feed's lines as text columns c0, c1, ... with their order, by the names in ``headers``.
 
-    Names play no part, so headers equal up to case do not clash. With
-    ``multi_line=False`` large files are split over tasks; use it for feeds
-    without line breaks inside quotes.
+    Every file's cells go by its own header line, so files may order their columns
+    differently. Names play no part in the schema, so headers equal up to case do not
+    clash. With ``multi_line=False`` large files are split over tasks; use it for feeds
+    without line breaks inside quotes. ``files`` are the ``first_lines``, if known.
     """
+    files = first_lines(spark, path) if files is None else files
+    found = headers_of(files)
+    widest = range(max(map(len, found.values()), default=0))
     rows = (
-        spark.read.schema(feed_schema(headers))
+        spark.read.schema(feed_schema(widest))
         .options(**_csv_options(multi_line))
         .option("header", True)
         .csv(path)
@@ -86,4 +115,15 @@ def read_feed(spark: SparkSession, path: str, headers: list, multi_line: bool =
             F.col("_metadata.file_block_start").alias("_start"),
         )
     )
-    return with_feed_order(rows)
+    if all(names == headers for names in found.values()):
+        return with_feed_order(rows)
+    names = spark.createDataFrame(list(found.items()), "line string, _names array<string>")
+    placed = rows.join(files.join(names, "line").select(F.col("file").alias("_file"), "_names"), "_file")
+    cells = F.array(*raw_columns(widest))
+    beyond = F.filter(
+        F.slice(cells, F.size("_names") + 1, F.lit(len(widest))), lambda cell: cell.isNotNull())
+    return with_feed_order(placed.select(
+        *[F.get(cells, F.array_position("_names", F.lit(name)).cast("int") - 1).alias(column)
+          for name, column in zip(headers, raw_columns(headers))],
+        F.coalesce(OVERFLOW, F.get(beyond, F.lit(0))).alias(OVERFLOW), "_file", "_start",
+    ))

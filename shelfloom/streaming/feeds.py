@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfloom.fixed_values import PARSE_ERROR_TEXT
-from shelfloom.plans.feed_job import failed_feed, process_rows, store
-from shelfloom.session import settle
+from shelfloom.plans.feed_job import failed_feed, process_rows, store, touched_products
+from shelfloom.session import remove_folders, settle
 from shelfloom.sources.feeds import (
-    CSV_FILES, ORDER, feed_headers, feed_schema, with_feed_order,
+    CSV_FILES, ORDER, feed_schema, first_lines, line_names, with_feed_order,
 )
-from shelfloom.sources.tables import Tables
+from shelfloom.sources.tables import BUCKETS, Tables
+from shelfloom.streaming.progress import stream_id
 
 
 def feed_stream(spark: SparkSession, folder: str, headers: list, multi_line: bool = True,
@@ -36,33 +37,46 @@ def feed_stream(spark: SparkSession, folder: str, headers: list, multi_line: boo
 
 
 def ingest_feeds(stream: DataFrame, headers: list, root: str, checkpoint: str,
-                 clock: Callable = datetime.now) -> StreamingQuery:
+                 clock: Callable = datetime.now, buckets: int = BUCKETS,
+                 trigger: dict = None) -> StreamingQuery:
     """Run every micro-batch through the feed job, into the tables under ``root``.
 
-    A batch writes only folders that carry its number and starts from the
-    catalog version before it, so a batch repeated after a failure replaces its
-    own output. A batch with a file of another header is a failed job.
+    A batch is one commit, which rewrites the catalog's buckets that it touches. A batch
+    repeated after a failure is stored once, and files that the store has taken in before
+    are passed over, also when the stream's checkpoint was lost. A batch with a file of
+    another header is a failed job. ``trigger`` goes to ``writeStream.trigger``; without
+    one, the stream takes what there is and ends.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        tables = Tables(spark, root)
-        rows = settle(with_feed_order(batch), "feed-batch")
+        spark, folders = batch.sparkSession, []
+        change = Tables(spark, root, buckets).begin(
+            f"feeds:{stream_id(spark, checkpoint)}:{batch_id}", counted=True)
+        if change is None:
+            return
+        arrived = settle(with_feed_order(batch), "feed-batch", folders)
+        files = settle(
+            arrived.select(F.col(f"{ORDER}._file").alias("file")).distinct()
+            .join(change.read("feed_files"), "file", "left_anti").select("file"), "feed-files", folders)
         # As many files as one trigger takes, so a short list.
-        files = sorted(unquote(r[0]) for r in rows.select(f"{ORDER}._file").distinct().collect())
-        names = ", ".join(file.rsplit("/", 1)[-1] for file in files)
-        other = [file for file in files if feed_headers(spark, file) != headers]
-        if other:
-            error = PARSE_ERROR_TEXT.format(error=f"another header in {', '.join(other)}")
-            result = failed_feed(spark, error, clock(), batch_id, names)
-        else:
-            current = tables.read_current("products", before=batch_id)
-            result = process_rows(rows, headers, current, clock(), batch_id, names)
-        store(result, tables, batch_id)
+        paths = sorted(unquote(r["file"]) for r in files.collect())
+        if paths:
+            names = ", ".join(path.rsplit("/", 1)[-1] for path in paths)
+            first = first_lines(spark, paths).collect()
+            other = sorted(unquote(r["file"]) for r in first if line_names(r["line"]) != headers)
+            if other:
+                error = PARSE_ERROR_TEXT.format(error=f"another header in {', '.join(other)}")
+                result = failed_feed(spark, error, clock(), change.job_id, names)
+            else:
+                fresh = arrived.join(files, F.col(f"{ORDER}._file") == F.col("file"), "left_semi")
+                result = process_rows(fresh, headers, touched_products(change), clock(), change.job_id, names)
+            change.append("feed_files", files.withColumn("job_id", F.lit(change.job_id)))
+            store(result, change)
+        remove_folders(spark, folders)
 
     return (
         stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

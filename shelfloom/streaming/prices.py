@@ -1,10 +1,11 @@
 """Streaming price monitor: alerts for each micro-batch of snapshots.
 
-The state is the last priced snapshot of each series, kept as a table version
-per batch. The look-back of a batch is the batch operator itself: it runs in the
-JVM and cuts a series that fills a third of a batch into slices, where a keyed
-state function would have to sort that series in one task. A snapshot later than
-its series' state raises no change alert and does not move the state back.
+The state is the last priced snapshot of each series, a table in buckets by product; a
+batch reads and rewrites the buckets it touches. The look-back of a batch is the batch
+operator itself: it runs in the JVM and cuts a series that fills a third of a batch into
+slices, where a keyed state function would have to sort that series in one task. A
+snapshot later than its series' state raises no change alert and does not move the state
+back.
 """
 
 from typing import Callable
@@ -14,30 +15,52 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfloom.operators.prices import advance_latest, batch_alerts
 from shelfloom.operators.skew import ROWS_PER_TASK
-from shelfloom.session import settle
-from shelfloom.sources.tables import Tables
+from shelfloom.session import remove_folders, settle
+from shelfloom.sources.tables import BUCKETS, Change, Tables, time_range
+from shelfloom.streaming.progress import stream_id
+
+
+def new_snapshots(batch: DataFrame, change: Change) -> DataFrame:
+    """Snapshots that are not stored yet: a stream that lost its checkpoint brings old ones again.
+
+    Only stored parts that reach into the batch's range of times are read.
+    """
+    times = time_range(batch, "scraped_at")
+    if times is None:
+        return batch
+    stored = change.read("competitor_prices", times=times)
+    return batch.join(stored.select("price_id"), "price_id", "left_anti").select(*batch.columns)
 
 
 def monitor_prices(stream: DataFrame, products: Callable[[], DataFrame], root: str,
-                   checkpoint: str, rows_per_task: int = ROWS_PER_TASK) -> StreamingQuery:
+                   checkpoint: str, rows_per_task: int = ROWS_PER_TASK, buckets: int = BUCKETS,
+                   trigger: dict = None) -> StreamingQuery:
     """Append snapshots and alerts of every micro-batch to the tables under ``root``.
 
-    ``products`` gives the catalog to compare with and is asked for each batch.
-    A repeated batch replaces its own output.
+    ``products`` gives the catalog to compare with and is asked for each batch. A
+    repeated batch is stored once. ``trigger`` goes to ``writeStream.trigger``; without
+    one, the stream takes what there is and ends.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        tables = Tables(batch.sparkSession, root)
-        taken = settle(batch, "price-batch")
-        latest = tables.read_current("latest_prices", before=batch_id)
-        alerts = batch_alerts(latest, taken, products(), rows_per_task=rows_per_task)
-        tables.append("competitor_alerts", alerts, batch_id)
-        tables.append_prices(taken, batch_id)
-        tables.replace("latest_prices", advance_latest(latest, taken), batch_id)
+        spark, folders = batch.sparkSession, []
+        change = Tables(spark, root, buckets).begin(
+            f"prices:{stream_id(spark, checkpoint)}:{batch_id}", counted=True)
+        if change is None:
+            return
+        arrived = settle(batch, "price-batch", folders)
+        taken = settle(new_snapshots(arrived, change), "new-prices", folders)
+        touched = change.buckets_of("latest_prices", taken)
+        latest = change.read("latest_prices", touched)
+        change.append("competitor_alerts", batch_alerts(latest, taken, products(), rows_per_task=rows_per_task))
+        change.append("competitor_prices", taken)
+        change.replace("latest_prices", advance_latest(latest, taken), touched)
+        change.commit()
+        remove_folders(spark, folders)
 
     return (
         stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

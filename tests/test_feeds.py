@@ -9,7 +9,7 @@ from shelfloom.operators.changes import upsert_products, upsert_small_feed
 from shelfloom.operators.cleaning import (
     clean_rows, feed_rows, last_per_sku, map_headers, storable_rows,
 )
-from shelfloom.plans.feed_job import run_feed, store
+from shelfloom.plans.feed_job import ingest_feed, run_feed
 from shelfloom.schemas import PRODUCTS
 from shelfloom.sources.feeds import feed_headers, header_names, is_csv_name, read_feed
 from shelfloom.sources.tables import Tables
@@ -18,14 +18,12 @@ T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 
 HEADER = "sku,title,description,category,brand,price,currency,color,size,material,weight"
 SAMPLE = [
-    'A1,Acme Trail Shoes,"The Acme trail is a light running shoe with a firm grip and good cushioning.",Footwear,Acme,129.99,USD,White,10,Synthetic Mesh,0.8kg',
-    "A2,Nova Phone 256GB,Nova phone with many useful features,Electronics,Nova,1199.99,USD,Titanium Black,256GB,,0.23kg",
-    "A3,Levi's Plain Jeans,,Apparel,Levi's,69.50,USD,Dark Blue,32x30,Cotton,0.9kg",
-    "A4,Bakewell Stand Mixer,High quality mixer,Kitchen,Bakewell,349.99,USD,Empire Red,,Die-Cast Metal,11.8kg",
-    "A5,Hush Headphones,A fine pair,Electronics,Hush,398.00,USD,blk,,,0.25kg",
-    "A8,Polar Jacket,Warm winter jacket made from wool,Outerwear,Polar,320.00,USD,Grn,lg,nyl,0.8kg",
-    'A9,Sweep Vacuum,"",Home,Sweep,749.99,USD,Gold,,Polycarbonate,3.1kg',
-    "A13,Echo Earbuds,n/a,Electronics,Echo,279.00,USD,Triple Black,,,",
+    'G1,Fern Garden Gloves,"The Fern gloves protect hands from thorns and stay dry in wet grass.",Garden,Fern,14.25,eur,Green,m,ctn,0.12kg',
+    "G2,Oak Plant Stand,Solid stand,Furniture,Oakley,89.5,EUR,Walnut,,Oak Wood,7kg",
+    "G3,Miller's Apron,,Kitchen,Miller's,22.00,usd,Grn,lg,nyl,0.3kg",
+    "G4,Lamp Nova 40,A lamp with warm light,Lighting,Nova,61.99,USD,blk,,,1.4kg",
+    'G5,Kettle Brio,"",Kitchen,Brio,45,,Gold,,Porcelain,2kg',
+    "G6,Travel Mug,n/a,Kitchen,Brio,18.4,USD,Matte Black,,,",
 ]
 
 
@@ -65,35 +63,40 @@ def test_sample_feed(spark, tmp_path):
     result = run_feed(spark, write_feed(tmp_path, "feed.csv", [HEADER, *SAMPLE]),
                       empty_products(spark), T1, job_id=1)
     row = job(result)
-    assert (row["total_rows"], row["processed_rows"], row["new_products"], row["updated_products"]) == (8, 8, 8, 0)
+    assert (row["total_rows"], row["processed_rows"], row["new_products"], row["updated_products"]) == (6, 6, 6, 0)
     assert row["status"] == "completed" and row["completed_at"] == T1 and row["filename"] == "feed.csv"
     products = {r["sku"]: r for r in result.products.collect()}
-    assert products["A1"]["attributes"] == {
-        "color": "White", "size": "10", "material": "Synthetic Mesh", "weight": "0.8Kg"}
-    assert products["A3"]["attributes"] == {
-        "color": "Dark Blue", "size": "32X30", "material": "Cotton", "weight": "0.9Kg"}
-    assert products["A4"]["attributes"] == {
-        "color": "Empire Red", "material": "Die-Cast Metal", "weight": "11.8Kg"}
-    assert products["A5"]["attributes"] == {"color": "Black", "weight": "0.25Kg"}
-    assert products["A8"]["attributes"] == {
-        "color": "Green", "size": "L", "material": "Nylon", "weight": "0.8Kg"}
+    assert {sku: r["attributes"] for sku, r in products.items()} == {
+        "G1": {"color": "Green", "size": "M", "material": "Cotton", "weight": "0.12Kg"},
+        "G2": {"color": "Walnut", "material": "Oak Wood", "weight": "7Kg"},
+        "G3": {"color": "Green", "size": "L", "material": "Nylon", "weight": "0.3Kg"},
+        "G4": {"color": "Black", "weight": "1.4Kg"},
+        "G5": {"color": "Gold", "material": "Porcelain", "weight": "2Kg"},
+        "G6": {"color": "Matte Black"},
+    }
+    assert {sku: (r["price"], r["currency"]) for sku, r in products.items()} == {
+        "G1": (14.25, "EUR"), "G2": (89.5, "EUR"), "G3": (22.0, "USD"), "G4": (61.99, "USD"), "G5": (45.0, "USD"),
+        "G6": (18.4, "USD")}
     assert {r["status"] for r in products.values()} == {"flagged"}
-    assert products["A13"]["description"] is None and products["A9"]["description"] is None
+    assert products["G5"]["description"] is None and products["G6"]["description"] is None
     issues = {}
     for r in result.issues.collect():
         issues.setdefault(r["product_id"], []).append(r)
     types = {
         sku: sorted(r["issue_type"] for r in issues[p["product_id"]]) for sku, p in products.items()
     }
-    assert types["A1"] == ["thin_content"]
-    assert types["A3"] == ["missing_description"]
-    assert types["A4"] == ["attribute_contradiction", "thin_content"]
-    assert types["A5"] == ["missing_attributes", "thin_content"]
-    assert types["A13"] == ["missing_attributes", "missing_description"]
-    assert row["issues_found"] == sum(len(v) for v in issues.values()) == 11
-    found = next(r for r in issues[products["A4"]["product_id"]]
-                 if r["issue_type"] == "attribute_contradiction")
-    assert found["actual_value"] == "'tan' found in title"
+    assert types == {
+        "G1": ["thin_content"],
+        "G2": ["attribute_contradiction", "attribute_contradiction", "thin_content"],  # "tan" in "stand", twice
+        "G3": ["missing_description"],
+        "G4": ["missing_attributes", "thin_content"],
+        "G5": ["missing_description"],
+        "G6": ["missing_attributes", "missing_description"],
+    }
+    assert row["issues_found"] == sum(len(v) for v in issues.values()) == 10
+    found = sorted(r["actual_value"] for r in issues[products["G2"]["product_id"]]
+                   if r["issue_type"] == "attribute_contradiction")
+    assert found == ["'tan' found in description", "'tan' found in title"]
 
 
 def test_aliases_extras_prices_and_text_keys(spark, tmp_path):
@@ -133,7 +136,7 @@ def test_duplicate_skus_last_line_wins_currency_of_first(spark, tmp_path):
     path = write_feed(tmp_path, "dup.csv", [
         "sku,title,currency,price", "a,one,eur,1", "b,x,usd,2", "a,two,gbp,", "a,three,inr,4",
     ])
-    result = run_feed(spark, path, empty_products(spark), T1)
+    result = run_feed(spark, path, empty_products(spark), T1, 1)
     row = job(result)
     assert (row["processed_rows"], row["new_products"], row["updated_products"]) == (4, 2, 2)
     products = {r["sku"]: r for r in result.products.collect()}
@@ -154,61 +157,78 @@ def test_duplicate_skus_last_line_wins_currency_of_first(spark, tmp_path):
      "Failed to parse CSV: 1 lines have more fields than the header", T1),
 ])
 def test_job_outcome_without_rows(spark, tmp_path, lines, status, message, completed):
-    result = run_feed(spark, write_feed(tmp_path, "x.csv", lines), empty_products(spark), T1)
+    result = run_feed(spark, write_feed(tmp_path, "x.csv", lines), empty_products(spark), T1, 1)
     row = job(result)
     assert (row["status"], row["error_message"], row["completed_at"]) == (status, message, completed)
     assert result.products is None
 
 
 def test_unreadable_feed_is_a_failed_job(spark, tmp_path):
-    row = job(run_feed(spark, str(tmp_path / "none.csv"), empty_products(spark), T1))
+    row = job(run_feed(spark, str(tmp_path / "none.csv"), empty_products(spark), T1, 1))
     assert row["status"] == "failed" and row["error_message"].startswith("Unexpected error: ")
     empty = tmp_path / "empty.csv"
     empty.write_text("")
-    row = job(run_feed(spark, str(empty), empty_products(spark), T1))
+    row = job(run_feed(spark, str(empty), empty_products(spark), T1, 1))
     assert row["error_message"] == "Unexpected error: No columns to parse from file"
 
 
-def test_overlong_values_go_to_quarantine(spark, tmp_path):
+def test_texts_of_any_length_reach_the_catalog(spark, tmp_path):
+    lines = ["sku,title,currency", "a,ok,EUR", f"{'x' * 101},{'t' * 1000},{'c' * 16}"]
+    path = write_feed(tmp_path, "long.csv", lines)
+    rows = {r["sku"]: r for r in run_feed(spark, path, empty_products(spark), T1, 1).products.collect()}
+    assert set(rows) == {"a", "x" * 101} and rows["x" * 101]["title"] == "t" * 1000
+
+
+def test_widths_are_the_callers(spark, tmp_path):
     path = write_feed(tmp_path, "long.csv", ["sku,title", "a,ok", f"{'x' * 101},t", f"b,{'t' * 501}"])
-    result = run_feed(spark, path, empty_products(spark), T1)
-    assert [r["sku"] for r in result.products.collect()] == ["a"]
-    assert sorted(r["reject_reason"] for r in result.quarantine.collect()) == [
-        "sku is longer than 100 characters", "title is longer than 500 characters"]
     tables = Tables(spark, str(tmp_path / "store"))
-    store(result, tables, 4)
-    assert tables.read("quarantine").count() == 2 and tables.read("data_issues").count() == 2
+    ingest_feed(tables, path, T1, 4, widths={"sku": 100, "title": 500})
+    assert [r["sku"] for r in tables.read("products").collect()] == ["a"]
+    assert sorted(r["reject_reason"] for r in tables.read("quarantine").collect()) == [
+        "sku is longer than 100 characters", "title is longer than 500 characters"]
+    assert tables.read("data_issues").count() == 2
 
 
 def test_second_feed_overwrites_with_null_and_keeps_the_rest(spark, tmp_path):
     tables = Tables(spark, str(tmp_path / "store"))
     first = write_feed(tmp_path, "one.csv", ["sku,title,brand,price,currency", "a,A,B,5,eur", "b,B,B,6,usd"])
-    store(run_feed(spark, first, tables.read_current("products"), T1, 1), tables, 1)
-    current = tables.read_current("products").withColumn("generated_description", F.lit("gen"))
-    tables.replace("products", current, 2)
+    ingest_feed(tables, first, T1)
+    change = tables.begin("generated texts")
+    change.replace("products", change.read("products").withColumn("generated_description", F.lit("gen")))
+    change.commit()
     second = write_feed(tmp_path, "two.csv", ["sku,title,price,currency", "a,A2,,usd", "c,C,1,inr"])
-    store(run_feed(spark, second, tables.read_current("products"), T2, 3), tables, 3)
-    rows = {r["sku"]: r for r in tables.read_current("products").collect()}
+    ingest_feed(tables, second, T2)
+    rows = {r["sku"]: r for r in tables.read("products").collect()}
     assert rows["a"]["title"] == "A2" and rows["a"]["price"] is None and rows["a"]["brand"] is None
     assert rows["a"]["currency"] == "EUR" and rows["a"]["generated_description"] == "gen"
     assert (rows["a"]["created_at"], rows["a"]["updated_at"]) == (T1, T2)
     assert rows["b"]["updated_at"] == T1 and rows["c"]["created_at"] == T2
     assert rows["c"]["generated_description"] is None
     jobs = {r["job_id"]: r for r in tables.read("ingestion_jobs").collect()}
-    assert (jobs[3]["new_products"], jobs[3]["updated_products"]) == (1, 1)
+    assert (jobs[2]["new_products"], jobs[2]["updated_products"]) == (1, 1)
     assert tables.read("data_issues").count() == 4 + 4
-    assert tables.current_version("products") == 3
-    # Repeating a run does not append twice.
-    store(run_feed(spark, second, tables.read_current("products", before=3), T2, 3), tables, 3)
-    assert tables.read("data_issues").count() == 8
+
+
+def test_files_of_a_folder_go_by_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    write_feed(folder, "a.csv", ["sku,title,price", "A1,x,1"])
+    write_feed(folder, "b.csv", ["title,sku", "y,A2"])
+    write_feed(folder, "c.csv", ["colour,price,sku,title", "blk,3,A3,z", ",4,A1,again"])
+    result = run_feed(spark, str(folder), empty_products(spark), T1, 1)
+    rows = {r["sku"]: (r["title"], r["price"], r["attributes"]) for r in result.products.collect()}
+    assert rows == {"A1": ("again", 4.0, {}), "A2": ("y", None, {}), "A3": ("z", 3.0, {"color": "Black"})}
+    write_feed(folder, "d.csv", ["title,sku", "y,A2,too much"])
+    row = job(run_feed(spark, str(folder), empty_products(spark), T1, 2))
+    assert row["error_message"] == "Failed to parse CSV: 1 lines have more fields than the header"
 
 
 def test_both_upsert_forms_agree_and_repeat_changes_nothing(spark, tmp_path):
     feed = write_feed(tmp_path, "f.csv", [HEADER, *SAMPLE])
     empty = empty_products(spark)
-    current = run_feed(spark, feed, empty, T1).products
-    other = write_feed(tmp_path, "g.csv", [HEADER, SAMPLE[0], SAMPLE[1].replace("1199.99", "7"),
-                                           SAMPLE[2].replace("A3", "Z3")])
+    current = run_feed(spark, feed, empty, T1, 1).products
+    other = write_feed(tmp_path, "g.csv", [HEADER, SAMPLE[0], SAMPLE[1].replace("89.5", "7"),
+                                           SAMPLE[2].replace("G3", "Z3")])
     checked = clean(spark, other).withColumn("status", F.lit("flagged"))
     latest = last_per_sku(checked)
     order = sorted(PRODUCTS.fieldNames())
@@ -216,9 +236,16 @@ def test_both_upsert_forms_agree_and_repeat_changes_nothing(spark, tmp_path):
         sorted(f(current, latest, T2).select(*order).collect(), key=lambda r: r["sku"])
         for f in (upsert_products, upsert_small_feed)
     ]
-    assert forms[0] == forms[1] and len(forms[0]) == 9
+    assert forms[0] == forms[1] and len(forms[0]) == 7
     moved = {r["sku"]: r["updated_at"] for r in forms[0]}
-    assert moved["A1"] == T1 and moved["A2"] == T2 and moved["Z3"] == T2 and moved["A9"] == T1
+    assert moved["G1"] == T1 and moved["G2"] == T2 and moved["Z3"] == T2 and moved["G5"] == T1
+
+
+def test_last_lines_are_picked_without_sorting_texts(spark):
+    feed = spark.createDataFrame([], "sku string, title string, currency string, _order struct<_file:string,_start:bigint,_line:bigint>")
+    plan = last_per_sku(feed)._jdf.queryExecution().executedPlan().toString()
+    sorted_by = [line for line in plan.split("\n") if "SortAggregate" in line]
+    assert not any("title" in line for line in sorted_by)
 
 
 def test_split_files_keep_feed_order(spark, tmp_path):
@@ -226,7 +253,7 @@ def test_split_files_keep_feed_order(spark, tmp_path):
     folder.mkdir()
     for part in range(3):
         write_feed(folder, f"p{part}.csv", ["sku,title", *[f"s{i},part{part}" for i in range(50)]])
-    headers = feed_headers(spark, str(folder), multi_line=False)
+    headers = feed_headers(spark, str(folder))
     rows = feed_rows(read_feed(spark, str(folder), headers, multi_line=False), headers)
     latest = last_per_sku(storable_rows(clean_rows(rows, headers)))
     assert latest.count() == 50

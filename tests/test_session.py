@@ -1,6 +1,8 @@
 """The shared folder comes from the session."""
 
-from shelfloom.session import new_folder, settle, shared_folder
+import os
+
+from shelfloom.session import new_folder, remove_folders, settle, shared_folder
 
 
 def test_folder_is_the_sessions_setting(spark):
@@ -14,3 +16,22 @@ def test_settle_keeps_schema_and_rows(spark):
     kept = settle(frame, "kept")
     assert kept.dtypes == frame.dtypes and kept.collect() == frame.collect()
     assert settle(frame.limit(0), "none").count() == 0
+
+
+def test_without_a_setting_the_folder_lies_below_the_warehouse(spark):
+    class Bare:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, *default):
+                return default[0] if default else "hdfs://warehouse/"
+
+    assert shared_folder(Bare) == "hdfs://warehouse/_intermediate"
+
+
+def test_folders_are_removed(spark):
+    folders = []
+    kept = settle(spark.range(3), "gone", folders)
+    path = folders[0].removeprefix("file:")
+    assert kept.count() == 3 and os.path.isdir(path)
+    remove_folders(spark, folders)
+    assert not os.path.exists(path) and folders == []

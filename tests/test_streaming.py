@@ -30,11 +30,11 @@ def test_price_stream_equals_batch(spark, tmp_path):
     tables = Tables(spark, f"{root}/tables")
     assert as_set(tables.read("competitor_alerts")) == as_set(px.history_alerts(table(spark, *rows), ours))
     stored = tables.read("competitor_prices")
-    assert stored.count() == 150 and "scrape_date" in stored.columns
-    before = as_set(tables.read_current("latest_prices"))
+    assert stored.count() == 150
+    before = as_set(tables.read("latest_prices"))
     # A late snapshot is stored but changes neither state nor alerts of change.
     drop([snapshot(999, 500.0, day=-3, product=1, source=rows[0][2])])
-    assert as_set(tables.read_current("latest_prices")) == before
+    assert as_set(tables.read("latest_prices")) == before
     late = tables.read("competitor_alerts").filter(F.col("created_at") < px.F.lit(rows[0][8]))
     assert late.filter(F.col("alert_type").startswith("price_")).count() == 0
 
@@ -62,7 +62,7 @@ def test_feed_stream_equals_batch_per_file(spark, tmp_path):
     tables = Tables(spark, root)
     columns = [c for c in PRODUCTS.fieldNames() if c != "attributes"]
     key = lambda r: r["sku"]
-    assert sorted(tables.read_current("products").select(*columns).collect(), key=key) == sorted(
+    assert sorted(tables.read("products").select(*columns).collect(), key=key) == sorted(
         current.select(*columns).collect(), key=key)
     assert tables.read("data_issues").count() == issues
     jobs = tables.read("ingestion_jobs").orderBy("job_id").collect()
@@ -80,4 +80,4 @@ def test_feed_stream_refuses_another_header(spark, tmp_path):
     jobs = tables.read("ingestion_jobs").orderBy("job_id").collect()
     assert [(j["filename"], j["status"]) for j in jobs] == [("a b.csv", "completed"), ("c.csv", "failed")]
     assert jobs[1]["error_message"].startswith("Failed to parse CSV: another header in ")
-    assert [r["title"] for r in tables.read_current("products").collect()] == ["2"]
+    assert [r["title"] for r in tables.read("products").collect()] == ["2"]
