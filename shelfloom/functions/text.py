@@ -54,7 +54,9 @@ def title_case(value: Column) -> Column:
     starts words at spaces.
     """
     runs = F.regexp_extract_all(value, F.lit(rf"([{_CASED}]+|[^{_CASED}]+)"), 1)
-    return F.array_join(F.transform(runs, F.initcap), "")
+    by_runs = F.array_join(F.transform(runs, F.initcap), "")
+    # Most values hold only cased letters and spaces, for which initcap alone does the same.
+    return F.when(F.rlike(value, F.lit(f"[^{_CASED} ]")), by_runs).otherwise(F.initcap(value))
 
 
 def word_count(value: Column) -> Column:

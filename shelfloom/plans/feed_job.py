@@ -16,7 +16,7 @@ from shelfloom.operators.cleaning import (
 from shelfloom.operators.quality import data_issues, status_from_issues, with_issues
 from shelfloom.schemas import INGESTION_JOBS
 from shelfloom.session import remove_folders, settle
-from shelfloom.sources.feeds import ORDER, OVERFLOW, feed_headers, first_lines, read_feed
+from shelfloom.sources.feeds import OVERFLOW, all_names, first_lines, headers_of, read_feed
 from shelfloom.sources.tables import Change, LostRace, Tables
 
 
@@ -24,8 +24,9 @@ from shelfloom.sources.tables import Change, LostRace, Tables
 class FeedResult:
     """What one feed leads to. ``products`` is None when nothing changes.
 
-    ``job`` is the values of its row in the job log, ``skus`` one row per SKU of the feed,
-    ``error`` what made the job fail, ``folders`` the intermediate tables it reads.
+    ``job_values`` are those of its row in the job log, ``quarantine`` the rows over a width,
+    if there are widths, ``error`` what made the job fail, ``folders`` the intermediate tables
+    that the frames read.
     """
 
     spark: SparkSession
@@ -33,7 +34,6 @@ class FeedResult:
     products: DataFrame = None
     issues: DataFrame = None
     quarantine: DataFrame = None
-    skus: DataFrame = None
     error: Exception = None
     folders: list = field(default_factory=list)
 
@@ -126,8 +126,8 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
         issues=data_issues(identified, run_ts, job_id),
         quarantine=quarantine(checked).select(
             F.lit(job_id).cast("bigint").alias("job_id"), "sku", "title", "raw_data", "reject_reason"
-        ),
-        skus=known, folders=folders,
+        ) if widths else None,
+        folders=folders,
     )
 
 
@@ -140,8 +140,9 @@ def run_feed(spark: SparkSession, path: str, current, run_ts: datetime, job_id:
     filename = path.rstrip("/").rsplit("/", 1)[-1]
     try:
         files = settle(first_lines(spark, path), "feed-headers", folders := [])
-        headers = feed_headers(spark, path, files)
-        rows = read_feed(spark, path, headers, multi_line, files)
+        found = headers_of(files)
+        headers = all_names(found)
+        rows = read_feed(spark, path, headers, multi_line, files, found)
         result = process_rows(rows, headers, current, run_ts, job_id, filename, widths)
         result.folders += folders
         return result
@@ -157,6 +158,8 @@ def touched_products(change: Change):
 def store(result: FeedResult, change: Change) -> None:
     """Write a feed's outcome in one commit, and remove its intermediate tables.
 
+    The feed has run on ``touched_products`` of the same change.
+
     The results are computed here, so this may fail; then nothing of the feed is
     stored but its row in the job log, as failed, and the error goes on. The feed may
     come again after that.
@@ -164,8 +167,9 @@ def store(result: FeedResult, change: Change) -> None:
     try:
         if result.products is not None:
             change.append("data_issues", result.issues)
-            change.append("quarantine", result.quarantine)
-            change.replace("products", result.products, change.buckets_of("products", result.skus))
+            if result.quarantine is not None:
+                change.append("quarantine", result.quarantine)
+            change.replace("products", result.products, change.touched["products"])
         change.append("ingestion_jobs", result.job)
         change.commit()
     except LostRace:

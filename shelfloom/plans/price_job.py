@@ -63,7 +63,7 @@ def store_prices(result: PriceResult, change: Change) -> None:
     """
     change.append("competitor_prices", result.snapshots)
     change.append("competitor_alerts", result.alerts)
-    change.replace("latest_prices", result.latest, change.buckets_of("latest_prices", result.snapshots))
+    change.replace("latest_prices", result.latest, change.touched["latest_prices"])
     change.commit()
 
 

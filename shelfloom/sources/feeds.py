@@ -69,13 +69,16 @@ def headers_of(files: DataFrame) -> dict:
     return {row["line"]: line_names(row["line"]) for row in found}
 
 
-def feed_headers(spark: SparkSession, path, files: DataFrame = None) -> list:
+def all_names(found: dict) -> list:
     """Column names of a feed: those of its first file, then others that further files have.
 
     Empty for an empty feed.
     """
-    files = first_lines(spark, path) if files is None else files
-    return list(dict.fromkeys(name for names in headers_of(files).values() for name in names))
+    return list(dict.fromkeys(name for names in found.values() for name in names))
+
+
+def feed_headers(spark: SparkSession, path) -> list:
+    return all_names(headers_of(first_lines(spark, path)))
 
 
 def feed_schema(headers) -> T.StructType:
@@ -93,16 +96,17 @@ def with_feed_order(rows: DataFrame) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path, headers: list, multi_line: bool = True,
-              files: DataFrame = None) -> DataFrame:
+              files: DataFrame = None, found: dict = None) -> DataFrame:
     """A feed's lines as text columns c0, c1, ... with their order, by the names in ``headers``.
 
     Every file's cells go by its own header line, so files may order their columns
     differently. Names play no part in the schema, so headers equal up to case do not
     clash. With ``multi_line=False`` large files are split over tasks; use it for feeds
-    without line breaks inside quotes. ``files`` are the ``first_lines``, if known.
+    without line breaks inside quotes. ``files`` are the ``first_lines`` and ``found``
+    their ``headers_of``, if known.
     """
     files = first_lines(spark, path) if files is None else files
-    found = headers_of(files)
+    found = headers_of(files) if found is None else found
     widest = range(max(map(len, found.values()), default=0))
     rows = (
         spark.read.schema(feed_schema(widest))

@@ -62,7 +62,7 @@ def test_issue_counts_and_lists(spark):
 def test_categories_and_duplicates(spark):
     rows = catalog_rows(spark)
     assert ids(catalog.categories(rows), "category") == ["Home", "Sale"]
-    twice = rows.unionByName(products(spark, product(9, title="RED LAMP")))
+    twice = rows.unionByName(products(spark, product(9, title=" RED  LAMP ")))
     assert [tuple(r) for r in catalog.duplicate_titles(twice).collect()] == [("red lamp", 2)]
 
 

@@ -72,6 +72,10 @@ def test_seo_prompt(spark):
     ('{"seo_title":"T","seo_keywords":["a"]}', "T", '["a"]', False),
     ('  ```\n{"seo_title":"A```b"}\n``` bye', "A```b", "", True),
     ('```json\n{"seo_title":"open"}', "open", "", True),
+    # Of a repeated key the last value counts; NaN is a number, which no text field takes.
+    ('{"seo_title":"a","seo_title":"b","seo_keywords":"k"}', "b", "k", True),
+    ('{"seo_title":NaN,"seo_keywords":"k"}', "NaN", "k", False), ('{"x":NaN,"seo_title":"t"}', "t", "", True),
+    ('{"seo_title":"t"} and more', None, None, True), ("{'seo_title':'t'}", None, None, True), ("null", None, None, False),
 ])
 def test_seo_reply(one, reply, title, keywords, usable):
     found = one(seo_reply(F.col("r")), r=reply)
@@ -125,7 +129,9 @@ def test_content_job(spark):
     assert found[3]["success"] and found[3]["seo_title"] is None
     assert not found[4]["success"] and found[4]["generated_description"] == ""
     assert found[9]["error"] == "Product with ID 9 not found." and not found[9]["success"]
-    assert tuple(result.summary.first()) == (2, 5)
+    # Product 1 was requested twice: it has two results.
+    assert [r["product_id"] for r in result.results.orderBy("product_id").collect()] == [1, 1, 2, 3, 4, 9]
+    assert tuple(result.summary.first()) == (3, 6)
     after = {r["product_id"]: r for r in result.products.collect()}
     assert (after[1]["generated_description"], after[1]["seo_title"], after[1]["updated_at"]) == ("About it.", "S", NOW)
     assert after[3]["seo_title"] is None and after[2]["seo_title"] == "old" and after[2]["updated_at"] == OLD

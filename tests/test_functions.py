@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from shelfloom import fixed_values
 from shelfloom.functions import money, search, text
 from shelfloom.functions.attributes import normalize_attribute, with_attributes
 from shelfloom.functions.quality import with_content_score, with_contradictions
@@ -71,9 +72,11 @@ def test_number_texts_follow_the_exact_binary_value(spark, value, two, one, plai
 
 def test_title_case_is_that_of_python_for_latin_text(spark):
     random.seed(3)
-    letters = "abcXYZ éÜ-'0.9_/"
+    letters = "abcXYZ éÜ-'0.9_/中日ªß"
     words = ["".join(random.choice(letters) for _ in range(12)) for _ in range(300)]
+    # Java writes a capital ß as two letters only at a word's start, as Python does.
     assert values(spark, text.title_case, words) == [w.title() for w in words]
+    assert values(spark, text.title_case, ["中abc", "two  Words", None]) == ["中Abc", "Two  Words", None]
 
 
 @settings(max_examples=5, deadline=None)
@@ -180,3 +183,16 @@ def test_extra_columns_win_over_standard_attributes(spark):
     frame = spark.createDataFrame([("blk", "raw "), ("blk", "nan"), ("n/a", None)], "a string, b string")
     rows = with_attributes(frame, {"color": F.col("a")}, [("Color", F.col("b"))]).collect()
     assert [r["attributes"] for r in rows] == [{"color": "raw"}, {"color": "Black"}, {}]
+
+
+def test_fixed_lists_are_what_they_were():
+    """The SQL of the queries shares these lists, so they are pinned here by their values."""
+    assert set(fixed_values.NA_TOKENS) == {
+        "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+        "NULL", "NaN", "None", "n/a", "nan", "null"}
+    assert fixed_values.SOURCES == ["amazon", "walmart", "flipkart"]
+    assert (fixed_values.INR_PER_USD, fixed_values.UNDERCUT_PERCENT, fixed_values.CHANGE_PERCENT) == (83.0, 5, 10)
+    assert {fixed_values.SIZES[k] for k in ("xs", "sm", "med", "lg", "x-large", "2xl", "3xl")} == {
+        "XS", "S", "M", "L", "XL", "XXL", "XXXL"}
+    assert fixed_values.REQUIRED_ATTRIBUTES == ["color", "size", "material"]
+    assert fixed_values.CONTAINERS_PER_PAGE == 5 and fixed_values.DEFAULT_CURRENCY == "USD"
