@@ -1,6 +1,6 @@
 """The feed job: read, clean, check, upsert, and log one supplier feed."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from shelfloom.operators.cleaning import (
 )
 from shelfloom.operators.quality import data_issues, status_from_issues, with_issues
 from shelfloom.schemas import INGESTION_JOBS
-from shelfloom.session import remove_folders, settle
+from shelfloom.session import intermediate, settle
 from shelfloom.sources.feeds import OVERFLOW, all_names, first_lines, headers_of, read_feed
 from shelfloom.sources.tables import Change, LostRace, Tables
 
@@ -25,8 +25,7 @@ class FeedResult:
     """What one feed leads to. ``products`` is None when nothing changes.
 
     ``job_values`` are those of its row in the job log, ``quarantine`` the rows over a width,
-    if there are widths, ``error`` what made the job fail, ``folders`` the intermediate tables
-    that the frames read.
+    if there are widths, ``error`` what made the job fail.
     """
 
     spark: SparkSession
@@ -35,7 +34,6 @@ class FeedResult:
     issues: DataFrame = None
     quarantine: DataFrame = None
     error: Exception = None
-    folders: list = field(default_factory=list)
 
     @property
     def job(self) -> DataFrame:
@@ -82,7 +80,7 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
     ``current`` is the catalog, or a function that gives the part of it in which the
     given SKUs (a table with a column sku) lie; ``products`` is then that part.
     """
-    spark, folders = rows.sparkSession, []
+    spark = rows.sparkSession
     job = {"job_id": job_id, "filename": filename, "started_at": run_ts}
     if not headers:
         message = OTHER_ERROR_TEXT.format(error="No columns to parse from file")
@@ -93,7 +91,7 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
     if has_sku:
         # All outputs read the checked rows, so the feed is read and checked once.
         cleaned = clean_rows(lines.withColumn("_overlong", overlong).drop(OVERFLOW), headers, widths)
-        checked = settle(checked_rows(cleaned), "feed-rows", folders)
+        checked = settle(checked_rows(cleaned), "feed-rows")
         found_issues = F.sum(F.when(is_storable(), F.size("issues")))
     else:
         checked, found_issues = lines.withColumn("_overlong", overlong), F.lit(0)
@@ -103,19 +101,18 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
     job["total_rows"] = total
     if broken:
         message = PARSE_ERROR_TEXT.format(error=f"{broken} lines have more fields than the header")
-        return FeedResult(spark, job | {"status": "failed", "error_message": message, "completed_at": run_ts},
-                          folders=folders)
+        return FeedResult(spark, job | {"status": "failed", "error_message": message, "completed_at": run_ts})
     if not total:
-        return FeedResult(spark, job | {"status": "completed", "error_message": EMPTY_FEED_TEXT}, folders=folders)
+        return FeedResult(spark, job | {"status": "completed", "error_message": EMPTY_FEED_TEXT})
     if not has_sku:
         message = NO_SKU_TEXT.format(columns=", ".join(headers))
-        return FeedResult(spark, job | {"status": "failed", "error_message": message}, folders=folders)
+        return FeedResult(spark, job | {"status": "failed", "error_message": message})
 
     good = storable_rows(checked.drop("_overlong"))
-    latest = settle(last_per_sku(good.drop("issues")), "feed-skus", folders)
+    latest = settle(last_per_sku(good.drop("issues")), "feed-skus")
     catalog = current(latest) if callable(current) else current
     # One narrow join with the catalog gives the counts and the ids.
-    known = settle(known_skus(latest, catalog), "feed-ids", folders)
+    known = settle(known_skus(latest, catalog), "feed-ids")
     counts = feed_counts(known).first()
     identified = good.join(known.drop("lines"), "sku").withColumn(
         "product_id", F.coalesce("product_id", new_product_id(F.col("sku"))))
@@ -127,7 +124,6 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
         quarantine=quarantine(checked).select(
             F.lit(job_id).cast("bigint").alias("job_id"), "sku", "title", "raw_data", "reject_reason"
         ) if widths else None,
-        folders=folders,
     )
 
 
@@ -139,13 +135,11 @@ def run_feed(spark: SparkSession, path: str, current, run_ts: datetime, job_id:
     """
     filename = path.rstrip("/").rsplit("/", 1)[-1]
     try:
-        files = settle(first_lines(spark, path), "feed-headers", folders := [])
+        files = settle(first_lines(spark, path), "feed-headers")
         found = headers_of(files)
         headers = all_names(found)
         rows = read_feed(spark, path, headers, multi_line, files, found)
-        result = process_rows(rows, headers, current, run_ts, job_id, filename, widths)
-        result.folders += folders
-        return result
+        return process_rows(rows, headers, current, run_ts, job_id, filename, widths)
     except Exception as error:  # any failure ends in the job log
         return failed_feed(spark, OTHER_ERROR_TEXT.format(error=error), run_ts, job_id, filename, error)
 
@@ -156,7 +150,7 @@ def touched_products(change: Change):
 
 
 def store(result: FeedResult, change: Change) -> None:
-    """Write a feed's outcome in one commit, and remove its intermediate tables.
+    """Write a feed's outcome in one commit.
 
     The feed has run on ``touched_products`` of the same change.
 
@@ -182,13 +176,11 @@ def store(result: FeedResult, change: Change) -> None:
         change.append("ingestion_jobs", failed.job)
         change.commit(done=False)
         raise
-    finally:
-        remove_folders(result.spark, result.folders)
 
 
 def ingest_feed(tables: Tables, path: str, run_ts: datetime, job_id: int = None,
                 multi_line: bool = True, widths: dict = None):
-    """Run the feed at ``path`` and store its outcome; returns the stored ``FeedResult``.
+    """Run the feed at ``path`` and store its outcome; returns its row of the job log.
 
     Without a number the job takes the store's next one. Repeating a stored job does
     nothing and returns None; a number that another feed has used is refused.
@@ -198,6 +190,7 @@ def ingest_feed(tables: Tables, path: str, run_ts: datetime, job_id: int = None,
     if change is None:
         return None
     change.job_id = job_id
-    result = run_feed(tables.spark, path, touched_products(change), run_ts, job_id, multi_line, widths)
-    store(result, change)
-    return result
+    with intermediate(tables.spark):
+        result = run_feed(tables.spark, path, touched_products(change), run_ts, job_id, multi_line, widths)
+        store(result, change)
+    return result.job.first()

@@ -1,6 +1,6 @@
 """The price job: from stored marketplace pages to snapshots and alerts."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -9,7 +9,7 @@ from shelfloom.operators.prices import (
     advance_latest, batch_alerts, products_to_scrape, scrape_summary, search_targets, snapshots,
     unmatched_targets,
 )
-from shelfloom.session import remove_folders, settle
+from shelfloom.session import intermediate, settle
 from shelfloom.sources.pages import best_listings, read_listings
 from shelfloom.sources.tables import Change, Tables
 
@@ -21,7 +21,6 @@ class PriceResult:
     unmatched: DataFrame
     latest: DataFrame
     summary: DataFrame
-    folders: list = field(default_factory=list)
 
 
 def run_prices(pages: DataFrame, products: DataFrame, latest, run_ts: datetime,
@@ -33,13 +32,12 @@ def run_prices(pages: DataFrame, products: DataFrame, latest, run_ts: datetime,
     ``unmatched``; no price is made up for it. Pages are parsed once and alerts
     computed once: both are written out and read by all outputs.
     """
-    folders = []
     scraped = products_to_scrape(products, ids)
     targets = search_targets(scraped, sources)
-    best = settle(best_listings(read_listings(pages)), "best-listings", folders)
-    taken = settle(snapshots(targets, best, run_ts), "snapshots", folders)
+    best = settle(best_listings(read_listings(pages)), "best-listings")
+    taken = settle(snapshots(targets, best, run_ts), "snapshots")
     state = latest(taken) if callable(latest) else latest
-    alerts = settle(batch_alerts(state, taken, products), "alerts", folders)
+    alerts = settle(batch_alerts(state, taken, products), "alerts")
     return PriceResult(
         snapshots=taken,
         alerts=alerts,
@@ -47,7 +45,6 @@ def run_prices(pages: DataFrame, products: DataFrame, latest, run_ts: datetime,
             "product_id", "source", "query", "search_url"),
         latest=advance_latest(state, taken),
         summary=scrape_summary(scraped, taken, alerts),
-        folders=folders,
     )
 
 
@@ -76,8 +73,7 @@ def scrape(tables: Tables, pages: DataFrame, run_ts: datetime, run: str, sources
     change = tables.begin(f"prices:{run}", str(run_ts))
     if change is None:
         return None
-    result = run_prices(pages, change.read("products"), latest_of(change), run_ts, sources, ids)
-    summary = result.summary.first()
-    store_prices(result, change)
-    remove_folders(tables.spark, result.folders)
-    return summary
+    with intermediate(tables.spark):
+        result = run_prices(pages, change.read("products"), latest_of(change), run_ts, sources, ids)
+        store_prices(result, change)
+        return result.summary.first()

@@ -418,7 +418,7 @@ def q_feed_column_orders(spark, sf_dir):
     even = F.pmod("s_suppkey", F.lit(2)) == 0
     _write_feed(rows.filter(even).select("sku", "title", "price"), folder)
     _write_feed(rows.filter(~even).select("nation", "price", "title", "sku"), folder)
-    products = run_feed(spark, folder, _empty_products(spark), RUN, 1).products
+    products = run_feed(spark, folder, _empty_products(spark), RUN, 1, multi_line=False).products
     return products.select("sku", "title", "price", entries("attributes").alias("attributes"))
 
 

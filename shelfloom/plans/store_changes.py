@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from shelfloom.operators import changes
 from shelfloom.operators.content import resolve_content_issues, store_content
 from shelfloom.plans.content_job import run_content
-from shelfloom.session import remove_folders
+from shelfloom.session import intermediate
 from shelfloom.sources.tables import Change, Tables
 
 # Tables whose rows go with their product.
@@ -64,13 +64,12 @@ def generate_stored(tables: Tables, ids: DataFrame, generator: Callable, run_ts:
     change = tables.begin(f"content:{name}", str(run_ts))
     if change is None:
         return None
-    result = run_content(ids, change.read("products"), change.read("data_issues"), generator, run_ts, **options)
-    done = result.results.filter("success")
-    _rewrite(change, "products", _marked(change, "products", done, "product_id"),
-             lambda rows: store_content(rows, result.results, run_ts))
-    _rewrite(change, "data_issues", change.buckets_of("data_issues", done),
-             lambda rows: resolve_content_issues(rows, result.results, run_ts))
-    summary = result.summary.first()
-    change.commit()
-    remove_folders(tables.spark, result.folders)
-    return summary
+    with intermediate(tables.spark):
+        result = run_content(ids, change.read("products"), change.read("data_issues"), generator, run_ts, **options)
+        done = result.results.filter("success")
+        _rewrite(change, "products", _marked(change, "products", done, "product_id"),
+                 lambda rows: store_content(rows, result.results, run_ts))
+        _rewrite(change, "data_issues", change.buckets_of("data_issues", done),
+                 lambda rows: resolve_content_issues(rows, result.results, run_ts))
+        change.commit()
+        return result.summary.first()

@@ -1,11 +1,17 @@
 """The shared folder for intermediate tables."""
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
+# The folders of the blocks that each thread is in.
+_open = threading.local()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
@@ -23,25 +29,33 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str, folders: list = None) -> DataFrame:
+def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     This cuts the lineage at a place that survives lost executors, makes later
     readers agree on one version, and gives the optimizer the table's true size,
-    so that it broadcasts it only when it is small. The folder's path is added to
-    ``folders``, for a job that removes what it no longer needs.
+    so that it broadcasts it only when it is small. Within ``intermediate`` the table is
+    removed at the end of the block; otherwise it stays, since results may read it.
     """
     path = new_folder(df.sparkSession, name)
-    if folders is not None:
+    for folders in getattr(_open, "blocks", [])[-1:]:
         folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_folders(spark: SparkSession, folders: list) -> None:
-    """Delete folders that ``settle`` or ``new_folder`` named."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while folders:
-        path = jvm.org.apache.hadoop.fs.Path(folders.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """A block whose settled tables are deleted at its end; results have to be written within it."""
+    if not hasattr(_open, "blocks"):
+        _open.blocks = []
+    _open.blocks.append(folders := [])
+    try:
+        yield
+    finally:
+        _open.blocks.pop()
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

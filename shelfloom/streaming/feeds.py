@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfloom.fixed_values import PARSE_ERROR_TEXT
 from shelfloom.plans.feed_job import failed_feed, process_rows, store, touched_products
-from shelfloom.session import remove_folders, settle
+from shelfloom.session import intermediate, settle
 from shelfloom.sources.feeds import (
     CSV_FILES, ORDER, feed_schema, first_lines, line_names, with_feed_order,
 )
@@ -49,18 +49,20 @@ def ingest_feeds(stream: DataFrame, headers: list, root: str, checkpoint: str,
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, folders = batch.sparkSession, []
+        spark = batch.sparkSession
         change = Tables(spark, root, buckets).begin(
             f"feeds:{stream_id(spark, checkpoint)}:{batch_id}", counted=True)
         if change is None:
             return
-        arrived = settle(with_feed_order(batch), "feed-batch", folders)
-        files = settle(
-            arrived.select(F.col(f"{ORDER}._file").alias("file")).distinct()
-            .join(change.read("feed_files"), "file", "left_anti").select("file"), "feed-files", folders)
-        # As many files as one trigger takes, so a short list.
-        paths = sorted(unquote(r["file"]) for r in files.collect())
-        if paths:
+        with intermediate(spark):
+            arrived = settle(with_feed_order(batch), "feed-batch")
+            files = settle(
+                arrived.select(F.col(f"{ORDER}._file").alias("file")).distinct()
+                .join(change.read("feed_files"), "file", "left_anti").select("file"), "feed-files")
+            # As many files as one trigger takes, so a short list.
+            paths = sorted(unquote(r["file"]) for r in files.collect())
+            if not paths:
+                return
             names = ", ".join(path.rsplit("/", 1)[-1] for path in paths)
             first = first_lines(spark, paths).collect()
             other = sorted(unquote(r["file"]) for r in first if line_names(r["line"]) != headers)
@@ -72,7 +74,6 @@ def ingest_feeds(stream: DataFrame, headers: list, root: str, checkpoint: str,
                 result = process_rows(fresh, headers, touched_products(change), clock(), change.job_id, names)
             change.append("feed_files", files.withColumn("job_id", F.lit(change.job_id)))
             store(result, change)
-        remove_folders(spark, folders)
 
     return (
         stream.writeStream.foreachBatch(run)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfloom.operators.prices import advance_latest, batch_alerts
 from shelfloom.operators.skew import ROWS_PER_TASK
-from shelfloom.session import remove_folders, settle
+from shelfloom.session import intermediate, settle
 from shelfloom.sources.tables import BUCKETS, Change, Tables, time_range
 from shelfloom.streaming.progress import stream_id
 
@@ -43,20 +43,21 @@ def monitor_prices(stream: DataFrame, products: Callable[[], DataFrame], root: s
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, folders = batch.sparkSession, []
+        spark = batch.sparkSession
         change = Tables(spark, root, buckets).begin(
             f"prices:{stream_id(spark, checkpoint)}:{batch_id}", counted=True)
         if change is None:
             return
-        arrived = settle(batch, "price-batch", folders)
-        taken = settle(new_snapshots(arrived, change), "new-prices", folders)
-        touched = change.buckets_of("latest_prices", taken)
-        latest = change.read("latest_prices", touched)
-        change.append("competitor_alerts", batch_alerts(latest, taken, products(), rows_per_task=rows_per_task))
-        change.append("competitor_prices", taken)
-        change.replace("latest_prices", advance_latest(latest, taken), touched)
-        change.commit()
-        remove_folders(spark, folders)
+        with intermediate(spark):
+            arrived = settle(batch, "price-batch")
+            taken = settle(new_snapshots(arrived, change), "new-prices")
+            touched = change.buckets_of("latest_prices", taken)
+            latest = change.read("latest_prices", touched)
+            alerts = batch_alerts(latest, taken, products(), rows_per_task=rows_per_task)
+            change.append("competitor_alerts", alerts)
+            change.append("competitor_prices", taken)
+            change.replace("latest_prices", advance_latest(latest, taken), touched)
+            change.commit()
 
     return (
         stream.writeStream.foreachBatch(run)

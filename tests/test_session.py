@@ -2,7 +2,9 @@
 
 import os
 
-from shelfloom.session import new_folder, remove_folders, settle, shared_folder
+import pytest
+
+from shelfloom.session import intermediate, new_folder, settle, shared_folder
 
 
 def test_folder_is_the_sessions_setting(spark):
@@ -28,10 +30,15 @@ def test_without_a_setting_the_folder_lies_below_the_warehouse(spark):
     assert shared_folder(Bare) == "hdfs://warehouse/_intermediate"
 
 
-def test_folders_are_removed(spark):
-    folders = []
-    kept = settle(spark.range(3), "gone", folders)
-    path = folders[0].removeprefix("file:")
-    assert kept.count() == 3 and os.path.isdir(path)
-    remove_folders(spark, folders)
-    assert not os.path.exists(path) and folders == []
+def test_tables_of_a_block_are_removed_with_it(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with pytest.raises(ValueError), intermediate(spark):
+        outer = settle(spark.range(3), "outer")
+        with intermediate(spark):
+            assert settle(spark.range(3), "inner").count() == 3
+        assert outer.count() == 3 and len(set(os.listdir(folder)) - before) == 1
+        raise ValueError
+    assert set(os.listdir(folder)) == before
+    settle(spark.range(1), "kept")
+    assert len(set(os.listdir(folder)) - before) == 1

@@ -162,4 +162,6 @@ def test_a_stored_job_leaves_no_intermediate_tables(tables, spark, tmp_path):
     folder = shared_folder(spark).removeprefix("file:")
     before = set(os.listdir(folder))
     ingest_feed(tables, feed(tmp_path, "a.csv", "a,A,1"), T1)
+    pages = spark.createDataFrame([], "page_id bigint, product_id bigint, source string, url string, html string")
+    scrape(tables, pages, T2, "run-1")
     assert set(os.listdir(folder)) == before
