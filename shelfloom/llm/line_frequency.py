@@ -42,7 +42,7 @@ MAX_REPEATED_PERCENT = 20
 # The method's limits: documents of one host that may share a line, and the share of
 # its words that a document has to keep.
 MAX_DOCS = 20
-MIN_LEFT = 0.5
+MIN_LEFT = 0.3
 
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
 _DIGITS = bytes.maketrans(b"0123456789", b"0000000000")

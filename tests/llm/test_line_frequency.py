@@ -17,7 +17,7 @@ def normal(line):
     return " ".join(WORDS(lowered))
 
 
-def brute(rows, max_docs=20, min_left=0.5):
+def brute(rows, max_docs=20, min_left=0.3):
     owners = {}
     for _, text, host in rows:
         for line in (text or "").split("\n"):
