@@ -133,6 +133,7 @@ GENERIC_FOUND_TEXT = "Generic/placeholder text detected: '{phrase}'"
 # --- FIXED VALUES: feed job messages --------------------------------------
 
 EMPTY_FEED_TEXT = "CSV file is empty or contains only headers."
+NOT_CSV_TEXT = "File must be a CSV file (.csv extension)."
 NO_SKU_TEXT = "CSV must contain a SKU/product_id column. Found columns: {columns}"
 PARSE_ERROR_TEXT = "Failed to parse CSV: {error}"
 OTHER_ERROR_TEXT = "Unexpected error: {error}"

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfloom.fixed_values import (
-    EMPTY_FEED_TEXT, NO_SKU_TEXT, OTHER_ERROR_TEXT, PARSE_ERROR_TEXT,
+    EMPTY_FEED_TEXT, NOT_CSV_TEXT, NO_SKU_TEXT, OTHER_ERROR_TEXT, PARSE_ERROR_TEXT,
 )
 from shelfloom.operators.changes import new_product_id, upsert_products
 from shelfloom.operators.cleaning import (
@@ -16,7 +16,9 @@ from shelfloom.operators.cleaning import (
 from shelfloom.operators.quality import data_issues, status_from_issues, with_issues
 from shelfloom.schemas import INGESTION_JOBS
 from shelfloom.session import intermediate, settle
-from shelfloom.sources.feeds import OVERFLOW, all_names, first_lines, headers_of, read_feed
+from shelfloom.sources.feeds import (
+    OVERFLOW, all_names, first_lines, headers_of, is_csv_name, read_feed,
+)
 from shelfloom.sources.tables import Change, LostRace, Tables
 
 
@@ -134,6 +136,8 @@ def run_feed(spark: SparkSession, path: str, current, run_ts: datetime, job_id:
     ``widths`` are longest texts by field, for a target that has some.
     """
     filename = path.rstrip("/").rsplit("/", 1)[-1]
+    if "." in filename and not is_csv_name(filename):
+        return failed_feed(spark, NOT_CSV_TEXT, run_ts, job_id, filename)
     try:
         files = settle(first_lines(spark, path), "feed-headers")
         found = headers_of(files)

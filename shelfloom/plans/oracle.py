@@ -700,7 +700,8 @@ SELECT 1::BIGINT AS job_id, 'no-sku' AS filename, 'failed' AS status, n AS total
 UNION ALL SELECT 2, 'no-csv', 'failed', 0, 0, 0, 'Unexpected error: No columns to parse from file'
 UNION ALL SELECT 3, 'long-lines', 'failed', n, 0, 0,
        'Failed to parse CSV: ' || n || ' lines have more fields than the header' FROM counts
-UNION ALL SELECT 4, 'whole', 'completed', n, n, 2 * n, NULL FROM counts""")
+UNION ALL SELECT 4, 'whole', 'completed', n, n, 2 * n, NULL FROM counts
+UNION ALL SELECT 5, 'whole.txt', 'failed', 0, 0, 0, 'File must be a CSV file (.csv extension).'""")
 oracle("q_feed_column_orders", "", """
 SELECT 'S-' || s_suppkey AS sku, s_name AS title, s_suppkey::DOUBLE AS price,
        CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'nation=n' || s_nationkey END AS attributes FROM supplier""")

@@ -392,7 +392,7 @@ def q_store_cascade(spark, sf_dir):
 
 @query
 def q_feed_outcomes(spark, sf_dir):
-    """The job log after feeds without a SKU column, without a CSV file, with overlong lines, and whole ones."""
+    """The job log after feeds without a SKU column, without a CSV file, with overlong lines, whole, misnamed."""
     root = new_folder(spark, "outcomes")
     supplier = tv.read(spark, sf_dir, "supplier")
     sku, name = F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("sku"), F.col("s_name").alias("title")
@@ -401,8 +401,9 @@ def q_feed_outcomes(spark, sf_dir):
     long_lines = supplier.select(F.concat_ws(",", sku, name, F.lit("more")).alias("sku,title"))
     long_lines.write.options(header=True, sep="\u0001").csv(f"{root}/long-lines")
     _write_feed(supplier.select(sku, name), f"{root}/whole")
+    _write_feed(supplier.select(sku, name), f"{root}/whole.txt")
     tables = Tables(spark, f"{root}/tables")
-    for feed in ("no-sku", "no-csv", "long-lines", "whole"):
+    for feed in ("no-sku", "no-csv", "long-lines", "whole", "whole.txt"):
         ingest_feed(tables, f"{root}/{feed}", RUN)
     return tables.read("ingestion_jobs").select(
         "job_id", "filename", "status", "total_rows", "processed_rows", "issues_found", "error_message")

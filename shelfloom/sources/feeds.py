@@ -13,7 +13,7 @@ BYTE_ORDER_MARK = chr(0xFEFF)
 
 
 def is_csv_name(filename: str) -> bool:
-    """Whether a feed's file is taken; folders are read by ``CSV_FILES``, which says the same."""
+    """Whether a single file is a feed; of a folder, ``CSV_FILES`` takes the same files."""
     return filename.lower().endswith(".csv")
 
 
@@ -108,7 +108,8 @@ def read_feed(spark: SparkSession, path, headers: list, multi_line: bool = True,
     files = first_lines(spark, path) if files is None else files
     found = headers_of(files) if found is None else found
     widest = range(max(map(len, found.values()), default=0))
-    rows = (
+    # Positions are taken before anything moves the lines.
+    rows = with_feed_order(
         spark.read.schema(feed_schema(widest))
         .options(**_csv_options(multi_line))
         .option("header", True)
@@ -120,14 +121,15 @@ def read_feed(spark: SparkSession, path, headers: list, multi_line: bool = True,
         )
     )
     if all(names == headers for names in found.values()):
-        return with_feed_order(rows)
+        return rows
     names = spark.createDataFrame(list(found.items()), "line string, _names array<string>")
-    placed = rows.join(files.join(names, "line").select(F.col("file").alias("_file"), "_names"), "_file")
+    named = files.join(names, "line").select("file", "_names")
+    placed = rows.join(named, F.col(f"{ORDER}._file") == F.col("file"))
     cells = F.array(*raw_columns(widest))
     beyond = F.filter(
         F.slice(cells, F.size("_names") + 1, F.lit(len(widest))), lambda cell: cell.isNotNull())
-    return with_feed_order(placed.select(
+    return placed.select(
         *[F.get(cells, F.array_position("_names", F.lit(name)).cast("int") - 1).alias(column)
           for name, column in zip(headers, raw_columns(headers))],
-        F.coalesce(OVERFLOW, F.get(beyond, F.lit(0))).alias(OVERFLOW), "_file", "_start",
-    ))
+        F.coalesce(OVERFLOW, F.get(beyond, F.lit(0))).alias(OVERFLOW), ORDER,
+    )

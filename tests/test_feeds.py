@@ -163,6 +163,14 @@ def test_job_outcome_without_rows(spark, tmp_path, lines, status, message, compl
     assert result.products is None
 
 
+def test_a_file_that_is_no_csv_is_refused(spark, tmp_path):
+    path = write_feed(tmp_path, "feed.xlsx", ["sku,title", "a,b"])
+    row = job(run_feed(spark, path, empty_products(spark), T1, 1))
+    assert (row["status"], row["error_message"]) == ("failed", "File must be a CSV file (.csv extension).")
+    loud = write_feed(tmp_path, "FEED.CSV", ["sku,title", "a,b"])
+    assert job(run_feed(spark, loud, empty_products(spark), T1, 1))["status"] == "completed"
+
+
 def test_unreadable_feed_is_a_failed_job(spark, tmp_path):
     row = job(run_feed(spark, str(tmp_path / "none.csv"), empty_products(spark), T1, 1))
     assert row["status"] == "failed" and row["error_message"].startswith("Unexpected error: ")
