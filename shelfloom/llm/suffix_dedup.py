@@ -49,15 +49,15 @@ LENGTH = 50
 ANCHOR = 20
 
 # Text bytes whose anchors meet in one bucket, and surroundings that meet in one.
-BUCKET_BYTES = 32 << 20
-BUCKET_ENTRIES = 200_000
+BUCKET_BYTES = 16 << 20
+BUCKET_ENTRIES = 100_000
 
 # An anchor is hot beyond this many occurrences, or beyond this share of all anchors.
 HOT_ANCHOR = 20_000
 HOT_SHARE = 4_000_000
 
 # Text bytes that a task gathers before it sends their entries.
-_GATHERED = 32 << 20
+_GATHERED = 8 << 20
 _BLOCK = 1 << 18
 
 _LARGEST = np.int64(2**63 - 1)
@@ -236,16 +236,16 @@ def anchor_entries(texts: DataFrame, buckets: int, choice: tuple) -> DataFrame:
                 rows.append((number, kind, value))
             return _packed_batch(rows)
 
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for key, text in zip(keys, as_bytes(batch.column(2)), strict=True):
                 if text and len(text) >= choice[0] and key not in seen:
                     seen.add(key)
                     held.append((key, *anchors.find(text)))
                     size += len(text)
-            if size >= _GATHERED:
-                yield flush()
-                held, seen, size = [], set(), 0
+                    if size >= _GATHERED:
+                        yield flush()
+                        held, seen, size = [], set(), 0
         if held:
             yield flush()
 
@@ -274,17 +274,22 @@ def shared_anchors(entries: DataFrame, hot_times: int) -> DataFrame:
         parts = [_unpack(v, *_ANCHOR_TYPES) for k, v in zip(kinds, values, strict=True) if k == ENTRIES]
         if parts:
             hashed, place, times = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
-            first, second = (np.concatenate([p[i][p[1]] for p in parts]) for i in (4, 5))
+            # A text that several tasks have sent gets one number.
+            keys = np.concatenate([np.stack(p[4:], axis=1) for p in parts])
+            keys, number = np.unique(keys, axis=0, return_inverse=True)
+            ends = np.cumsum([len(p[4]) for p in parts])
+            text = np.concatenate([number[end - len(p[4]):end][p[1]] for p, end in zip(parts, ends.tolist(), strict=True)])
+            text, parts = text.astype(np.uint32), None
             order, starts = _groups(hashed)
             sizes = _sizes(starts, len(order))
-            head = np.repeat(order[starts], sizes)
-            other = (first[order] != first[head]) | (second[order] != second[head]) | (times[order] > 1)
-            shared = np.add.reduceat(other, starts) > 0
-            often = np.add.reduceat(times[order].astype(np.int64), starts) > hot_times
+            ordered = text[order]
+            other = (ordered != np.repeat(ordered[starts], sizes)) | (times[order] > 1)
+            shared = np.logical_or.reduceat(other, starts)
+            often = np.add.reduceat(times[order], starts, dtype=np.int64) > hot_times
             chosen = order[np.repeat(shared, sizes)]
             # An entry that stood for several is known to its texts already.
             chosen = chosen[times[chosen] == 1]
-            add(_positions_by_text(first[chosen], second[chosen], place[chosen]))
+            add(_positions_by_text(keys[text[chosen], 0], keys[text[chosen], 1], place[chosen]))
             add((bucket, int(x), None) for x in hashed[order[starts[often & shared]]])
         return pa.table({"h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()),
                          "places": pa.array(places, pa.binary())})
@@ -330,8 +335,8 @@ class _Rows:
 def _row_hash(rows: _Rows) -> np.ndarray:
     total = (rows.left.astype(np.uint64) << np.uint64(8)) + rows.right
     powers = _powers(_BASE, rows.data.shape[1] + 1)[1:]
-    for start in range(0, len(rows), 65_536):
-        part = slice(start, start + 65_536)
+    for start in range(0, len(rows), 16_384):
+        part = slice(start, start + 16_384)
         total[part] += (rows.data[part] * powers).sum(axis=1, dtype=np.uint64)
     return _mix(total)
 
@@ -416,8 +421,8 @@ def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_
             often = np.isin(named, hot.value)
             if not often.all():
                 send(rows.take(np.flatnonzero(~often)), ENTRIES, anchor, out)
-            for start in range(0, int(often.sum()), 20_000):
-                some = rows.take(np.flatnonzero(often)[start:start + 20_000])
+            for start in range(0, int(often.sum()), 5_000):
+                some = rows.take(np.flatnonzero(often)[start:start + 5_000])
                 send(whole_strings(some, length, anchor), STRINGS, length, out)
             return _packed_batch(out)
 
@@ -430,7 +435,7 @@ def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_
                     some = found[start:start + 50_000]
                     held.append(surroundings(text, some, _LARGEST if least is None else least, (a, b), length, anchor))
                     count += len(some)
-                    if count >= 100_000:
+                    if count >= 60_000:
                         yield flush()
                         held, count = [], 0
         if held:
