@@ -104,11 +104,14 @@ class Anchors:
         return _mix((prefix[self.anchor:] - prefix[:starts]) * self.down[:starts])
 
     def of_rows(self, rows: np.ndarray) -> np.ndarray:
-        """The same hash of anchors given as rows of bytes."""
-        return _mix((rows * self.up[:self.anchor]).sum(axis=1, dtype=np.uint64))
+        """The same hashes of anchors given as rows of bytes."""
+        return _mix(_mix((rows * self.up[:self.anchor]).sum(axis=1, dtype=np.uint64)))
 
     def find(self, text: bytes) -> tuple:
-        """(positions, hashes) of the anchors of a text."""
+        """(positions, hashes) of the anchors of a text.
+
+        Anchors have low hashes, so these are mixed once more to spread over the buckets.
+        """
         data, width = np.frombuffer(text, np.uint8), self.length - self.anchor + 1
         places, found = [], []
         for start in range(0, len(data) - self.length + 1, _BLOCK):
@@ -122,7 +125,7 @@ class Anchors:
         if not places:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         places, kept = np.unique(np.concatenate(places), return_index=True)
-        return places, np.concatenate(found)[kept]
+        return places, _mix(np.concatenate(found)[kept])
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -252,47 +255,52 @@ def anchor_entries(texts: DataFrame, buckets: int, choice: tuple) -> DataFrame:
     return texts.select("h1", "h2", "text").mapInArrow(entries, _PACKED)
 
 
+def _judge_anchors(table: pa.Table, hot_times: int) -> pa.Table:
+    """The anchors of one bucket that occur in two texts, and those that occur too often."""
+    bucket, kinds = table.column("bucket")[0].as_py(), table.column("kind").to_pylist()
+    values = table.column("packed").to_pylist()
+    h1, h2, places = [], [], []
+
+    def add(rows):
+        for a, b, packed in rows:
+            h1.append(a)
+            h2.append(b)
+            places.append(packed)
+
+    for kind, value in zip(kinds, values, strict=True):
+        if kind == KNOWN:
+            add(_positions_by_text(*_unpack(value, np.int64, np.int64, np.uint32)))
+    parts = [_unpack(v, *_ANCHOR_TYPES) for k, v in zip(kinds, values, strict=True) if k == ENTRIES]
+    if parts:
+        hashed, place, times = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
+        # A text that several tasks have sent gets one number.
+        keys = np.concatenate([np.stack(p[4:], axis=1) for p in parts])
+        keys, number = np.unique(keys, axis=0, return_inverse=True)
+        ends = np.cumsum([len(p[4]) for p in parts])
+        text = np.concatenate([number[end - len(p[4]):end][p[1]] for p, end in zip(parts, ends.tolist(), strict=True)])
+        text, parts = text.astype(np.uint32), None
+        order, starts = _groups(hashed)
+        sizes = _sizes(starts, len(order))
+        ordered = text[order]
+        other = (ordered != np.repeat(ordered[starts], sizes)) | (times[order] > 1)
+        shared = np.logical_or.reduceat(other, starts)
+        often = np.add.reduceat(times[order], starts, dtype=np.int64) > hot_times
+        chosen = order[np.repeat(shared, sizes)]
+        # An entry that stood for several is known to its texts already.
+        chosen = chosen[times[chosen] == 1]
+        add(_positions_by_text(keys[text[chosen], 0], keys[text[chosen], 1], place[chosen]))
+        add((bucket, int(x), None) for x in hashed[order[starts[often & shared]]])
+    return pa.table({"h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()),
+                     "places": pa.array(places, pa.binary())})
+
+
 def shared_anchors(entries: DataFrame, hot_times: int) -> DataFrame:
     """(h1, h2, places) of anchors that occur in two texts, and (hot) anchors that occur too often.
 
     A hot anchor is a row with its bucket in h1 and its 32-bit hash in h2, and no places.
     """
     def judge(table: pa.Table) -> pa.Table:
-        bucket, kinds = table.column("bucket")[0].as_py(), table.column("kind").to_pylist()
-        values = table.column("packed").to_pylist()
-        h1, h2, places = [], [], []
-
-        def add(rows):
-            for a, b, packed in rows:
-                h1.append(a)
-                h2.append(b)
-                places.append(packed)
-
-        for kind, value in zip(kinds, values, strict=True):
-            if kind == KNOWN:
-                add(_positions_by_text(*_unpack(value, np.int64, np.int64, np.uint32)))
-        parts = [_unpack(v, *_ANCHOR_TYPES) for k, v in zip(kinds, values, strict=True) if k == ENTRIES]
-        if parts:
-            hashed, place, times = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
-            # A text that several tasks have sent gets one number.
-            keys = np.concatenate([np.stack(p[4:], axis=1) for p in parts])
-            keys, number = np.unique(keys, axis=0, return_inverse=True)
-            ends = np.cumsum([len(p[4]) for p in parts])
-            text = np.concatenate([number[end - len(p[4]):end][p[1]] for p, end in zip(parts, ends.tolist(), strict=True)])
-            text, parts = text.astype(np.uint32), None
-            order, starts = _groups(hashed)
-            sizes = _sizes(starts, len(order))
-            ordered = text[order]
-            other = (ordered != np.repeat(ordered[starts], sizes)) | (times[order] > 1)
-            shared = np.logical_or.reduceat(other, starts)
-            often = np.add.reduceat(times[order], starts, dtype=np.int64) > hot_times
-            chosen = order[np.repeat(shared, sizes)]
-            # An entry that stood for several is known to its texts already.
-            chosen = chosen[times[chosen] == 1]
-            add(_positions_by_text(keys[text[chosen], 0], keys[text[chosen], 1], place[chosen]))
-            add((bucket, int(x), None) for x in hashed[order[starts[often & shared]]])
-        return pa.table({"h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()),
-                         "places": pa.array(places, pa.binary())})
+        return _judge_anchors(table, hot_times)
 
     return entries.groupBy("bucket").applyInArrow(judge, "h1 bigint, h2 bigint, places binary")
 
@@ -418,7 +426,8 @@ def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_
             room = length - anchor
             hashed = anchors.of_rows(rows.data[:, room:room + anchor])
             named = (_bucket(hashed, anchor_buckets).astype(np.uint64) << np.uint64(32)) | (hashed & np.uint64(0xFFFFFFFF))
-            often = np.isin(named, hot.value)
+            at = np.minimum(np.searchsorted(hot.value, named), max(0, len(hot.value) - 1))
+            often = hot.value[at] == named if len(hot.value) else np.zeros(len(named), bool)
             if not often.all():
                 send(rows.take(np.flatnonzero(~often)), ENTRIES, anchor, out)
             for start in range(0, int(often.sum()), 5_000):
@@ -634,7 +643,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot_times = max(hot_anchor, anchors // HOT_SHARE)
     shared = settle(shared_anchors(anchor_entries(named, buckets, choice), hot_times), "shared-anchors")
     # At most HOT_SHARE anchors can occur more than hot_times times.
-    hot = np.array([(r[0] << 32) | r[1] for r in shared.filter(F.col("places").isNull()).select("h1", "h2").collect()], np.uint64)
+    often = shared.filter(F.col("places").isNull()).select(F.shiftleft("h1", 32).bitwiseOR(F.col("h2")).alias("anchor"))
+    hot = np.sort(np.asarray(often.toArrow().column(0)).astype(np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(hot)
 
     places = shared.filter(F.col("places").isNotNull()).groupBy("h1", "h2").agg(F.collect_list("places").alias("places"))
