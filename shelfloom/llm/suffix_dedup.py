@@ -212,15 +212,45 @@ def _send_anchors(texts: list, buckets: int) -> Iterator[tuple]:
                                      keys[texts_here, 0], keys[texts_here, 1])
 
 
-def _positions_by_text(first: np.ndarray, second: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(h1, h2, packed little-endian integers) of each text among the rows."""
-    if len(first):
+# Columns of numbers with the two hashes of the text that they belong to, packed by the task that
+# gathers what belongs to one text.
+_FOR_TEXTS = "target int, packed binary, entries bigint"
+_NO_TEXT = -1
+
+
+def _for_texts(targets: int, first: np.ndarray, second: np.ndarray, *columns: np.ndarray) -> list:
+    """(target, packed, entries) rows; one for each target among the texts."""
+    target = _bucket(_mix(first.view(np.uint64)), targets)
+    order = np.argsort(target, kind="stable")
+    cuts = np.searchsorted(target[order], np.arange(targets + 1))
+    rows = []
+    for number in np.flatnonzero(np.diff(cuts)).tolist():
+        part = order[cuts[number]:cuts[number + 1]]
+        keys, text = np.unique(np.stack((first[part], second[part]), axis=1), axis=0, return_inverse=True)
+        packed = _pack(keys[:, 0], keys[:, 1], text.astype(np.uint32), *(c[part].astype(np.uint32) for c in columns))
+        rows.append((number, packed, len(part)))
+    return rows
+
+
+def _for_texts_table(rows: list) -> pa.Table:
+    target, packed, entries = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"target": pa.array(target, pa.int32()), "packed": pa.array(packed, pa.binary()),
+                     "entries": pa.array(entries, pa.int64())})
+
+
+def by_text(rows: DataFrame, columns: int, name: str) -> DataFrame:
+    """(h1, h2, ``name``): one row for each text, with its numbers packed as little-endian integers."""
+    def gather(table: pa.Table) -> pa.Table:
+        parts = [_unpack(v, np.int64, np.int64, *[np.uint32] * (1 + columns)) for v in table.column("packed").to_pylist()]
+        first, second = (np.concatenate([p[i][p[2]] for p in parts]) for i in (0, 1))
         order, starts = _groups(first, second)
-        table = np.stack([c[order] for c in columns], axis=1).astype("<u4")
+        numbers = np.stack([np.concatenate([p[3 + i] for p in parts])[order] for i in range(columns)], axis=1).astype("<u4")
         ends = np.concatenate((starts[1:], [len(order)])).tolist()
-        h1, h2 = first[order][starts].tolist(), second[order][starts].tolist()
-        for a, b, start, stop in zip(h1, h2, starts.tolist(), ends, strict=True):
-            yield a, b, table[start:stop].tobytes()
+        packed = [numbers[start:stop].tobytes() for start, stop in zip(starts.tolist(), ends, strict=True)]
+        return pa.table({"h1": pa.array(first[order[starts]]), "h2": pa.array(second[order[starts]]),
+                         name: pa.array(packed, pa.binary())})
+
+    return rows.filter(F.col("target") != _NO_TEXT).groupBy("target").applyInArrow(gather, f"h1 bigint, h2 bigint, {name} binary")
 
 
 def anchor_entries(texts: DataFrame, buckets: int, choice: tuple) -> DataFrame:
@@ -255,21 +285,12 @@ def anchor_entries(texts: DataFrame, buckets: int, choice: tuple) -> DataFrame:
     return texts.select("h1", "h2", "text").mapInArrow(entries, _PACKED)
 
 
-def _judge_anchors(table: pa.Table, hot_times: int) -> pa.Table:
+def _judge_anchors(table: pa.Table, hot_times: int, targets: int) -> pa.Table:
     """The anchors of one bucket that occur in two texts, and those that occur too often."""
     bucket, kinds = table.column("bucket")[0].as_py(), table.column("kind").to_pylist()
     values = table.column("packed").to_pylist()
-    h1, h2, places = [], [], []
-
-    def add(rows):
-        for a, b, packed in rows:
-            h1.append(a)
-            h2.append(b)
-            places.append(packed)
-
-    for kind, value in zip(kinds, values, strict=True):
-        if kind == KNOWN:
-            add(_positions_by_text(*_unpack(value, np.int64, np.int64, np.uint32)))
+    found = [_unpack(v, np.int64, np.int64, np.uint32) for k, v in zip(kinds, values, strict=True) if k == KNOWN]
+    rows = []
     parts = [_unpack(v, *_ANCHOR_TYPES) for k, v in zip(kinds, values, strict=True) if k == ENTRIES]
     if parts:
         hashed, place, times = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
@@ -288,21 +309,22 @@ def _judge_anchors(table: pa.Table, hot_times: int) -> pa.Table:
         chosen = order[np.repeat(shared, sizes)]
         # An entry that stood for several is known to its texts already.
         chosen = chosen[times[chosen] == 1]
-        add(_positions_by_text(keys[text[chosen], 0], keys[text[chosen], 1], place[chosen]))
-        add((bucket, int(x), None) for x in hashed[order[starts[often & shared]]])
-    return pa.table({"h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()),
-                     "places": pa.array(places, pa.binary())})
-
-
-def shared_anchors(entries: DataFrame, hot_times: int) -> DataFrame:
-    """(h1, h2, places) of anchors that occur in two texts, and (hot) anchors that occur too often.
-
-    A hot anchor is a row with its bucket in h1 and its 32-bit hash in h2, and no places.
-    """
+        found.append((keys[text[chosen], 0], keys[text[chosen], 1], place[chosen]))
+        hot = hashed[order[starts[often & shared]]].astype(np.uint64) | np.uint64(bucket << 32)
+        if len(hot):
+            rows.append((_NO_TEXT, hot.tobytes(), len(hot)))
+    if found:
+        rows += _for_texts(targets, *(np.concatenate([f[i] for f in found]) for i in range(3)))
+    return _for_texts_table(rows)
+
+
+def shared_anchors(entries: DataFrame, hot_times: int, targets: int) -> DataFrame:
+    """Packed places of the anchors that occur in two texts, and (target ``_NO_TEXT``) anchors that occur
+    too often, each as its bucket and 32-bit hash."""
     def judge(table: pa.Table) -> pa.Table:
-        return _judge_anchors(table, hot_times)
+        return _judge_anchors(table, hot_times, targets)
 
-    return entries.groupBy("bucket").applyInArrow(judge, "h1 bigint, h2 bigint, places binary")
+    return entries.groupBy("bucket").applyInArrow(judge, _FOR_TEXTS)
 
 
 # --- surroundings -----------------------------------------------------------------------------------------------
@@ -438,7 +460,7 @@ def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_
         for batch in slices(batches, 64):
             first, h1, h2, parts = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
             for least, a, b, text, places in zip(first, h1, h2, as_bytes(batch.column(3)), parts, strict=True):
-                found = np.unique(np.frombuffer(b"".join(places), "<u4")).astype(np.int64)
+                found = np.unique(np.frombuffer(places, "<u4")).astype(np.int64)
                 # A text with very many anchors is sent in parts.
                 for start in range(0, len(found), 50_000):
                     some = found[start:start + 50_000]
@@ -594,8 +616,8 @@ def covered_around(rows: _Rows, length: int, anchor: int) -> tuple:
     return rows.take(found), place - high_place[found], place - low_place[found] + length
 
 
-def covered_ranges(entries: DataFrame, choice: tuple) -> DataFrame:
-    """(h1, h2, ranges): packed pairs of the byte ranges that strings of smaller ids cover."""
+def covered_ranges(entries: DataFrame, choice: tuple, targets: int) -> DataFrame:
+    """Packed byte ranges, for their texts, that strings of smaller ids cover."""
     length, anchor = choice
     width = 2 * length - anchor
 
@@ -610,17 +632,16 @@ def covered_ranges(entries: DataFrame, choice: tuple) -> DataFrame:
                 if kind == ENTRIES:
                     rows, low, high = covered_around(kept, length, anchor)
                     found.append((rows.h1, rows.h2, low, high))
-        rows = list(_positions_by_text(*(np.concatenate([f[i] for f in found]) for i in range(4)))) if found else []
-        h1, h2, ranges = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table({"h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64()), "ranges": pa.array(ranges, pa.binary())})
+        made = _for_texts(targets, *(np.concatenate([f[i] for f in found]) for i in range(4))) if found else []
+        return _for_texts_table(made)
 
-    return entries.groupBy("bucket").applyInArrow(judge, "h1 bigint, h2 bigint, ranges binary")
+    return entries.groupBy("bucket").applyInArrow(judge, _FOR_TEXTS)
 
 
-def remaining(text: bytes, ranges: list) -> tuple:
+def remaining(text: bytes, ranges: bytes) -> tuple:
     """(bytes removed, number of removed runs, what remains) of a text with covered ranges."""
     change = np.zeros(len(text) + 1, np.int64)
-    pairs = np.frombuffer(b"".join(ranges), "<u4").reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(ranges, "<u4").reshape(-1, 2).astype(np.int64)
     np.add.at(change, pairs[:, 0], 1)
     np.add.at(change, pairs[:, 1], -1)
     gone = np.cumsum(change[:-1]) > 0
@@ -629,7 +650,7 @@ def remaining(text: bytes, ranges: list) -> tuple:
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                     anchor: int = ANCHOR, hot_anchor: int = HOT_ANCHOR) -> tuple:
-    """(texts, ranges): one row for each text that holds shared anchors, and the covered ranges of texts.
+    """(texts, ranges): one row for each text that holds shared anchors, and one for each with covered ranges.
 
     A text is known by two 64-bit hashes, h1 and h2; ``first`` is its smallest document id.
     """
@@ -641,30 +662,27 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(least, ceil(size / BUCKET_BYTES))
     anchors = 2 * size // (length - anchor + 2)
     hot_times = max(hot_anchor, anchors // HOT_SHARE)
-    shared = settle(shared_anchors(anchor_entries(named, buckets, choice), hot_times), "shared-anchors")
+    shared = settle(shared_anchors(anchor_entries(named, buckets, choice), hot_times, buckets), "shared-anchors")
     # At most HOT_SHARE anchors can occur more than hot_times times.
-    often = shared.filter(F.col("places").isNull()).select(F.shiftleft("h1", 32).bitwiseOR(F.col("h2")).alias("anchor"))
-    hot = np.sort(np.asarray(often.toArrow().column(0)).astype(np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast(hot)
+    often = shared.filter(F.col("target") == _NO_TEXT).select("packed").toArrow().column(0).to_pylist()
+    sent = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(often), np.uint64)))
 
-    places = shared.filter(F.col("places").isNotNull()).groupBy("h1", "h2").agg(F.collect_list("places").alias("places"))
+    places = by_text(shared, 1, "places")
     firsts = named.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     wanted = places.join(firsts, ["h1", "h2"]).select("first", F.col("h1").alias("k1"), F.col("h2").alias("k2"), "places")
     touched = settle(
         named.join(wanted, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("doc").eqNullSafe(F.col("first")))
         .select("first", "h1", "h2", "text", "places"), "touched-texts")
-    count = shared.agg(F.sum(F.octet_length("places"))).first()[0] or 0
-    parts = max(least, ceil(count / 4 / BUCKET_ENTRIES))
-    ranges = covered_ranges(surrounding_entries(touched, parts, choice, buckets, sent), choice)
-    return touched.select("h1", "h2", "text"), ranges
+    count = shared.filter(F.col("target") != _NO_TEXT).agg(F.sum("entries")).first()[0] or 0
+    parts = max(least, ceil(count / BUCKET_ENTRIES))
+    ranges = covered_ranges(surrounding_entries(touched, parts, choice, buckets, sent), choice, buckets)
+    return touched.select("h1", "h2", "text"), by_text(ranges, 2, "ranges")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                  anchor: int = ANCHOR, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what remains, for every row."""
     texts, ranges = repeated_ranges(docs, id_col, text_col, length, anchor, hot_anchor)
-    gathered = ranges.groupBy("h1", "h2").agg(F.collect_list("ranges").alias("ranges"))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = [remaining(t, r) for t, r in zip(as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
@@ -676,7 +694,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # Rows that repeat a document bring its text twice.
     cuts = settle(
-        texts.join(gathered, ["h1", "h2"]).select("h1", "h2", "text", "ranges")
+        texts.join(ranges, ["h1", "h2"]).select("h1", "h2", "text", "ranges")
         .mapInArrow(cut, "h1 bigint, h2 bigint, removed bigint, spans bigint, kept string").dropDuplicates(["h1", "h2"]),
         "cut-texts")
     text = F.coalesce(F.col(text_col), F.lit(""))
