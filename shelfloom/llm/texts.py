@@ -51,7 +51,3 @@ def counted(marks: np.ndarray) -> tuple:
     """Starts and ends of the runs of True in ``marks``."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.view(np.int8), [0]))))
     return edges[::2], edges[1::2]
-
-
-def empty_documents(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
