@@ -413,6 +413,23 @@ def whole_strings(rows: _Rows, length: int, anchor: int) -> _Rows:
     return _Rows.join(parts)
 
 
+def squeezed(texts: DataFrame) -> DataFrame:
+    """The rows of (doc, h1, h2, text) with their texts compressed, as they are to be shuffled twice."""
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches):
+            small = [pack(t or b"") for t in as_bytes(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(small, pa.binary())],
+                                             ["doc", "h1", "h2", "small"])
+
+    return texts.select("doc", "h1", "h2", "text").mapInArrow(squeeze, "doc bigint, h1 bigint, h2 bigint, small binary")
+
+
+def _whole(column: pa.Array) -> list:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) for t in column.to_pylist()]
+
+
 def _covered(rows: _Rows, low: np.ndarray, high: np.ndarray) -> bytes:
     return _pack(rows.h1, rows.h2, low.astype(np.uint32), high.astype(np.uint32))
 
@@ -424,7 +441,7 @@ def _reach(rows: _Rows, width: int) -> tuple:
 
 
 def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_buckets: int, hot) -> DataFrame:
-    """Packed surroundings of the shared anchors of (first, h1, h2, text, places)."""
+    """Packed surroundings of the shared anchors of (first, h1, h2, small, places)."""
     length, anchor = choice
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +476,7 @@ def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_
 
         for batch in slices(batches, 64):
             first, h1, h2, parts = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
-            for least, a, b, text, places in zip(first, h1, h2, as_bytes(batch.column(3)), parts, strict=True):
+            for least, a, b, text, places in zip(first, h1, h2, _whole(batch.column(3)), parts, strict=True):
                 found = np.unique(np.frombuffer(places, "<u4")).astype(np.int64)
                 # A text with very many anchors is sent in parts.
                 for start in range(0, len(found), 50_000):
@@ -472,7 +489,7 @@ def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_
         if held:
             yield flush()
 
-    return touched.select("first", "h1", "h2", "text", "places").mapInArrow(entries, _PACKED)
+    return touched.select("first", "h1", "h2", "small", "places").mapInArrow(entries, _PACKED)
 
 
 class SuffixOrder:
@@ -650,7 +667,7 @@ def remaining(text: bytes, ranges: bytes) -> tuple:
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                     anchor: int = ANCHOR, hot_anchor: int = HOT_ANCHOR) -> tuple:
-    """(texts, ranges): one row for each text that holds shared anchors, and one for each with covered ranges.
+    """(texts, ranges): each compressed text that holds shared anchors, and covered ranges of texts.
 
     A text is known by two 64-bit hashes, h1 and h2; ``first`` is its smallest document id.
     """
@@ -671,12 +688,12 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = named.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     wanted = places.join(firsts, ["h1", "h2"]).select("first", F.col("h1").alias("k1"), F.col("h2").alias("k2"), "places")
     touched = settle(
-        named.join(wanted, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("doc").eqNullSafe(F.col("first")))
-        .select("first", "h1", "h2", "text", "places"), "touched-texts")
+        squeezed(named).join(wanted, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("doc").eqNullSafe(F.col("first")))
+        .select("first", "h1", "h2", "small", "places"), "touched-texts")
     count = shared.filter(F.col("target") != _NO_TEXT).agg(F.sum("entries")).first()[0] or 0
     parts = max(least, ceil(count / BUCKET_ENTRIES))
     ranges = covered_ranges(surrounding_entries(touched, parts, choice, buckets, sent), choice, buckets)
-    return touched.select("h1", "h2", "text"), by_text(ranges, 2, "ranges")
+    return touched.select("h1", "h2", "small"), by_text(ranges, 2, "ranges")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -685,7 +702,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts, ranges = repeated_ranges(docs, id_col, text_col, length, anchor, hot_anchor)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = [remaining(t, r) for t, r in zip(as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
+            made = [remaining(t, r) for t, r in zip(_whole(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.int64()),
                  pa.array([m[1] for m in made], pa.int64()),
@@ -694,7 +711,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # Rows that repeat a document bring its text twice.
     cuts = settle(
-        texts.join(ranges, ["h1", "h2"]).select("h1", "h2", "text", "ranges")
+        texts.join(ranges, ["h1", "h2"]).select("h1", "h2", "small", "ranges")
         .mapInArrow(cut, "h1 bigint, h2 bigint, removed bigint, spans bigint, kept string").dropDuplicates(["h1", "h2"]),
         "cut-texts")
     text = F.coalesce(F.col(text_col), F.lit(""))
