@@ -179,7 +179,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id.
 
-    Of rows that repeat this id, one stays.
+    For tables whose ids are unique and not null: of rows that repeat this id, and of all rows
+    without one, an arbitrary one stays, also where their texts differ. ``near_copies.keep_one``
+    tells documents apart by id and text, and is what the pipeline uses.
     """
     groups = near_duplicates(docs, id_col, text_col, **limits)
     chosen = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("members")).select(
