@@ -7,7 +7,8 @@ documents of a host is removed, and a document that keeps less than ``min_left``
 its words is rejected as depleted.
 
 Rows of one host with equal texts count as one document, so copies of an article do
-not make its lines boilerplate; removing copies is the dedup operators' work.
+not make its lines boilerplate; removing copies is the dedup operators' work. This departs
+from the method, which counts documents: ``count_copies`` counts each (id, text) instead.
 
 Each text is read once: a row of counts and the hashes of its lines with their words
 is written, and everything else runs on that. A line that most documents of a host
@@ -129,20 +130,21 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         "n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<bigint>, words array<int>")
 
 
-def frequent_lines(rows: DataFrame, max_docs: int) -> DataFrame:
+def frequent_lines(rows: DataFrame, max_docs: int, count_copies: bool = False) -> DataFrame:
     """(host, line) of the lines in more than ``max_docs`` different documents of a host."""
-    lines = rows.select("host", "text_hash", F.explode("lines").alias("line"))
+    document = F.struct("doc", "text_hash") if count_copies else F.col("text_hash")
+    lines = rows.select("host", document.alias("document"), F.explode("lines").alias("line"))
     return (
-        lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("docs"))
+        lines.groupBy("host", "line").agg(F.count_distinct("document").alias("docs"))
         .filter(F.col("docs") > max_docs).select("host", "line")
     )
 
 
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                 max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+                 max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, count_copies: bool = False) -> DataFrame:
     """Base counts and verdicts of every row, and the words it loses to frequent lines."""
     rows = settle(measured(docs, id_col, text_col, host_col), "line-counts")
-    frequent = settle(frequent_lines(rows, max_docs), "frequent-lines")
+    frequent = settle(frequent_lines(rows, max_docs, count_copies), "frequent-lines")
     spread = rows.select("doc", "host", "text_hash", F.explode(F.arrays_zip("lines", "words")).alias("part")).select(
         "doc", "host", "text_hash", F.col("part.lines").alias("line"), F.col("part.words").alias("words"))
     met = spread.join(
@@ -163,10 +165,10 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                           max_docs: int = MAX_DOCS) -> DataFrame:
+                           max_docs: int = MAX_DOCS, count_copies: bool = False) -> DataFrame:
     """(doc_id, text): every text without the lines that its host repeats over the limit."""
     rows = settle(measured(docs, id_col, text_col, host_col), "line-counts")
-    frequent = settle(frequent_lines(rows, max_docs), "frequent-lines")
+    frequent = settle(frequent_lines(rows, max_docs, count_copies), "frequent-lines")
     spread = rows.select("doc", "host", "text_hash", F.explode("lines").alias("line"))
     met = spread.join(
         frequent, (spread["line"] == frequent["line"]) & spread["host"].eqNullSafe(frequent["host"]), "left_semi")

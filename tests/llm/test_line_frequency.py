@@ -92,3 +92,16 @@ def test_repeated_windows_are_compared_by_words(monkeypatch):
     words = [b"a", b"b", b"c", b"d", b"e", b"x", b"a", b"b", b"c", b"d", b"e", b"y", b"z", b"z"]
     assert line_frequency.repeated_words(words) == 10
     assert line_frequency.repeated_words([b"z"] * 6) == 6 and line_frequency.repeated_words([b"z"] * 5) == 0
+
+
+def test_copies_count_as_documents_where_asked(spark):
+    """The method's count: a line of 30 copies is in 30 documents; rows that repeat one are one."""
+    text = "ten words stand in this one line and no more"
+    rows = [(i, text, "h") for i in range(30)] + [(100, f"{text}\nother words", "g")] * 30 + [(None, text, "n")] * 30
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["n_removed_words"] for r in line_frequency.line_quality(frame).collect()} == {0}
+    found = {(r["doc_id"] is not None and r["doc_id"] < 100, r["n_removed_words"], r["kept"])
+             for r in line_frequency.line_quality(frame, count_copies=True).collect()}
+    assert found == {(True, 10, False), (False, 0, True)}
+    texts = line_frequency.without_frequent_lines(frame, count_copies=True)
+    assert {r["text"] for r in texts.collect() if r["doc_id"] is not None and r["doc_id"] < 100} == {""}
