@@ -7,7 +7,7 @@ import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from shelfloom.llm import quality
 from shelfloom.llm.queries import ORACLE, QUERIES
-from tests.llm import test_decontaminate, test_line_dedup, test_pieces, test_simhash
+from tests.llm import test_decontaminate, test_line_dedup, test_near_copies, test_pieces
 from tests.llm.cases import FOLDER, collected, edge_documents, empty_documents, rows_of
 
 TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
@@ -41,9 +41,9 @@ def test_pipeline_equals_brute_force(spark):
     rows = [(d, t) for d, t in rows if ranking.score(quality._rows(_column([t])))[0] >= quality.THRESHOLD]
     assert len(rows) < len(rows_of("documents"))
     rows = _kept_lines(rows)
-    prints = [test_simhash.plain_fingerprint(t) for _, t in rows]
-    groups = {d: c for d, _, c in test_simhash.grouped([d for d, _ in rows], prints)}
-    rows = [(d, t) for d, t in rows if groups[d] == d]
+    first = {min(rows[i][0] for i in group) for group in test_near_copies.brute(rows)}
+    assert len(first) < len(rows)
+    rows = [(d, t) for d, t in rows if d in first]
     items = [(r["item_id"], r["text"]) for r in rows_of("benchmark")]
     clean = {d for d, *_, bad in test_decontaminate.brute(rows, items) if not bad}
     assert len(clean) < len(rows)
