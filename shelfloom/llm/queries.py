@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfloom.llm import (
     chat, decontaminate, language, line_dedup, line_frequency, pieces, quality, simhash,
-    suffix_dedup, warc,
+    spelling, suffix_dedup, warc,
 )
 from shelfloom.llm.texts import table
 
@@ -89,3 +89,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, and documents depleted by lines that their host repeats."""
     return line_frequency.line_quality(table(spark, sf_dir, "documents"))
+
+
+@register("op12_spelling_variants", spelling.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts, and the commoner words that they misspell."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
