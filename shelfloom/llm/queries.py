@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfloom.llm import (
-    chat, decontaminate, language, line_dedup, line_frequency, pieces, quality, simhash,
-    spelling, suffix_dedup, warc,
+    bbit_minhash, chat, decontaminate, hard_negatives, language, line_dedup, line_frequency, pieces,
+    quality, simhash, spelling, suffix_dedup, warc,
 )
 from shelfloom.llm.texts import table
 
@@ -91,7 +91,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_quality(table(spark, sf_dir, "documents"))
 
 
+@register("op11_hard_negatives", hard_negatives.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as an anchor's positives do."""
+    rows = hard_negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.hard_negatives(hard_negatives.prepared(rows))
+
+
 @register("op12_spelling_variants", spelling.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all texts, and the commoner words that they misspell."""
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@register("op13_bbit_minhash", bbit_minhash.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that share four fifths of their four-word shingles."""
+    return bbit_minhash.minhash_duplicates(table(spark, sf_dir, "documents"))
