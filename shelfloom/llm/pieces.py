@@ -8,12 +8,13 @@ over. Symbols that are no piece in the end become byte pieces.
 
 No merge can span two characters that stand next to each other in no piece of the
 vocabulary. Texts are cut there first, so each agenda is short, and the ids of segments
-that were met before are looked up. The table of segments is bounded; when it is full,
-further segments run through the agenda each time.
+that were met before are looked up. The tables are bounded; a word that enters the full
+table of words takes the place of the oldest, and long words never enter.
 
-The library is the judge: segments that enter the table are encoded by it as well, batch
-by batch, and a difference is an error. ``library_differences`` compares whole
-texts. Decoding is the library's ``decode``.
+The library is the judge: every word that was not looked up is encoded by it as well, batch
+by batch, and a difference is an error. A word is put behind a character that no piece holds, so
+that the ids of both add up. ``library_differences`` compares whole texts. Decoding is the
+library's ``decode``.
 
 Defined results: a null text counts as empty and has no ids; the empty text decodes to the
 empty text; repeated rows each get a row; extra columns are ignored; an empty table gives
@@ -24,6 +25,7 @@ import hashlib
 import heapq
 import re
 import string
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,9 @@ from shelfloom.llm.texts import as_bytes, id_type, slices
 
 SPACE = "▁"
 
+# A character of the private use area: it joins with none.
+ALONE = "\ue000"
+
 # Words and segments that a task keeps the ids of.
 KNOWN_WORDS = 300_000
 KNOWN_SEGMENTS = 150_000
@@ -59,6 +64,8 @@ class MergePieces:
         if library.encode(" a  b") != library.encode(" a  b".replace(" ", SPACE)) or library.encode(""):
             raise ValueError("only models that keep spaces as they are can be encoded")
         self.joined = {piece[i:i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        if any(ALONE in piece for piece in self.ids):
+            raise ValueError("the character that words are checked behind is part of a piece")
         self.segments = {}
         self.words = _Words(self)
         self.split = self._word_pattern()
@@ -146,26 +153,29 @@ class MergePieces:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
 
     def check_new_words(self) -> None:
-        """Compare what the table learnt since the last call with the library."""
+        """Compare the words that were merged since the last call with the library."""
         new, self.words.new = self.words.new, []
-        # The library writes the first space mark itself.
-        plain = [w for w in new if w.startswith(SPACE)]
-        for word, ids in zip(plain, self.library.encode([w[1:] for w in plain], num_threads=1), strict=True):
-            if len(word) > 1 and np.frombuffer(self.words[word], np.int32).tolist() != ids:
-                raise ValueError(f"the library encodes {word!r} as {ids}")
+        front = self.library.encode(ALONE)
+        found = self.library.encode([ALONE + word.replace(SPACE, " ") for word, _ in new], num_threads=1)
+        for (word, merged), ids in zip(new, found, strict=True):
+            if front + np.frombuffer(self.words.get(word, merged), np.int32).tolist() != ids:
+                raise ValueError(f"the library encodes {word!r} as {ids[len(front):]}")
 
 
-class _Words(dict):
+class _Words(OrderedDict):
     """Packed ids of words; a word that is not there is merged."""
 
     def __init__(self, pieces: MergePieces):
+        super().__init__()
         self.pieces, self.new = pieces, []
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array(self.pieces.segment_ids(word), np.int32).tobytes()
-        if len(self) < KNOWN_WORDS and len(word) < 64:
+        self.new.append((word, ids))
+        if len(word) < 64:
+            if len(self) >= KNOWN_WORDS:
+                self.popitem(last=False)
             self[word] = ids
-            self.new.append(word)
         return ids
 
 

@@ -74,3 +74,31 @@ def test_a_wrong_word_is_noticed(own):
     table.words["▁hello"] = table.words["▁world"]
     with pytest.raises(ValueError, match="hello"):
         table.check_new_words()
+
+
+@pytest.mark.parametrize("text, word", [("one, two", ","), ("a  b", "▁"), ("x" * 90, "▁" + "x" * 90), ("tab\there", "\t"),
+                                        ("done.\n\nnext", "."), ("    deep", "▁▁▁▁")])
+def test_unmarked_long_and_lone_words_are_compared(text, word, monkeypatch):
+    table = pieces.MergePieces(piece_model())
+    table.encode(text)
+    named = [w for w, _ in table.words.new if w.startswith(word)]
+    assert named, table.words.new
+    table.check_new_words()
+    table = pieces.MergePieces(piece_model())
+    whole = table.segment_ids
+    monkeypatch.setattr(table, "segment_ids", lambda w: [5, *whole(w)] if w == named[0] else whole(w))
+    table.encode(text)
+    with pytest.raises(ValueError, match="the library encodes"):
+        table.check_new_words()
+
+
+def test_words_behind_a_full_table_are_compared(monkeypatch):
+    monkeypatch.setattr(pieces, "KNOWN_WORDS", 5)
+    table = pieces.MergePieces(piece_model())
+    table.encode(" ".join(f"word{i}" for i in range(300)))
+    table.check_new_words()
+    table.encode("seen word299 late1 late2")
+    assert len(table.words.new) >= 2 and len(table.words) == 5
+    table.words[table.words.new[-1][0]] = table.words[table.words.new[0][0]]
+    with pytest.raises(ValueError, match="the library encodes"):
+        table.check_new_words()
