@@ -7,9 +7,16 @@ the turn is marked, and its span is what follows the part that both have in comm
 its span a turn's own text is found by rendering the prefix with two one-character texts in its
 place: up to where these differ, and from where they agree again, it is markup.
 
-A conversation is streamed in turn order. Prefixes of up to ``whole_turns`` turns are
-rendered whole; of longer conversations the last ``whole_turns`` turns are rendered with and without
-the new turn, so work and memory for each turn are bounded however long a conversation is.
+Whole prefixes are rendered, so a template may number its turns, check that roles alternate or drop
+what was said before. Places are those in the conversation's last output. Where an output rewrites
+the one before, the earlier spans end at what both share, the turns they belong to are marked with the
+turn that withdrew them, and their texts are looked for in the last output, again by two
+one-character texts; a text that is no longer there has no place.
+
+A template that declares ``local = True`` renders each turn by itself. Its turns are rendered with the last
+few before them instead of all, and for each conversation the pieces are compared with the whole
+output: if they differ, whole prefixes are rendered after all. Rendering prefixes costs the square of a
+conversation's turns; a conversation is held and rendered by one task.
 
 ``MarkedTurns`` is the template of the registered query. It puts a backslash before every
 character that could begin a control string (a backslash, #, < and, in roles, a line end), so
@@ -25,6 +32,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,13 +40,15 @@ from pyspark.sql import functions as F
 
 from shelfloom.llm.texts import id_type
 
-WHOLE_TURNS = 64
+# Turns that a template which renders each turn by itself is shown before a new one.
+SHOWN_TURNS = 2
 TRAINED_ROLE = "assistant"
 
 
 class MarkedTurns:
     """Turns as ``### role``, a line end, the text, ``</turn>`` and a line end."""
 
+    local = True
     start, stop = "### ", "</turn>\n"
     _special = re.compile(r"[\\#<]")
     _in_role = re.compile(r"[\\#<\n]")
@@ -79,45 +89,86 @@ def shared_start(a: str, b: str) -> int:
     return len(os.path.commonprefix((a, b)))
 
 
-def locate(template: Callable, before: list, turn: tuple) -> tuple:
-    """(added text, start and end of the turn's own text in it, history rewritten) of one turn."""
-    role, text = turn
-    earlier, now = template(before), template([*before, turn])
-    rewritten = not now.startswith(earlier)
-    start = shared_start(earlier, now) if rewritten else len(earlier)
-    one, other = template([*before, (role, "a")]), template([*before, (role, "b")])
+def place_of(template: Callable, before: list, role: str, after: list) -> tuple:
+    """Characters before and behind a turn's own text in an output; None if the text is not in it."""
+    one, other = (template([*before, (role, text), *after]) for text in "ab")
+    if one == other:
+        return None
     head = shared_start(one, other)
-    tail = len(one) - head - 1
-    head, end = max(0, head - start), max(0, len(now) - start - tail)
-    return now[start:], head, max(head, end), rewritten
+    return head, len(one) - head - 1
 
 
-def render_turns(rows: Iterator[tuple], template: Callable, whole_turns: int) -> Iterator[tuple]:
+def locate(template: Callable, before: list, turn: tuple, earlier: str) -> tuple:
+    """(output, start of what the turn adds, start and end of its text or None, history rewritten)."""
+    now = template([*before, turn])
+    rewritten = not now.startswith(earlier)
+    start = shared_start(earlier, now) if rewritten else len(earlier)
+    found = place_of(template, before, turn[0], [])
+    text = None if found is None else (found[0], max(found[0], len(now) - found[1]))
+    return now, start, text, rewritten
+
+
+class _Span:
+    """A turn's place in the latest output."""
+
+    def __init__(self, piece: str, start: int, end: int, text: tuple, rewritten: bool):
+        self.piece, self.start, self.end, self.text, self.rewritten = piece, start, end, text, rewritten
+        self.withdrawn = None
+
+
+def local_spans(turns: list, template: Callable, shown: int) -> list:
+    """Spans of a template that renders each turn by itself; None if its whole output is another."""
+    spans, offset = [], 0
+    for i, turn in enumerate(turns):
+        before = turns[max(0, i - shown):i]
+        now, start, text, rewritten = locate(template, before, turn, template(before))
+        if rewritten:
+            return None
+        moved = offset - start
+        spans.append(_Span(now[start:], offset, moved + len(now), text and (text[0] + moved, text[1] + moved), False))
+        offset = spans[-1].end
+    return spans if template(turns) == "".join(s.piece for s in spans) else None
+
+
+def whole_spans(turns: list, template: Callable) -> list:
+    """Spans in the last output of any template, by whole prefixes."""
+    spans, output = [], template([])
+    for i, turn in enumerate(turns):
+        now, start, text, rewritten = locate(template, turns[:i], turn, output)
+        for span in spans if rewritten else ():
+            if span.end > start:
+                span.start, span.end, span.withdrawn = min(span.start, start), start, i
+        spans.append(_Span(now[start:], start, len(now), text, rewritten))
+        output = now
+    for i, span in enumerate(spans):
+        if span.withdrawn is not None and turns[i][0] == TRAINED_ROLE:
+            found = place_of(template, turns[:i], turns[i][0], turns[i + 1:])
+            span.text = None if found is None else (found[0], max(found[0], len(output) - found[1]))
+    return spans
+
+
+def render_turns(rows: Iterator[tuple], template: Callable, shown: int) -> Iterator[tuple]:
     """Spans of (conversation, role, text) rows in turn order, a row for each turn."""
-    conversation, before, offset, number = None, None, 0, 0
-    for conv, role, text in rows:
-        if before is None or conv != conversation:
-            conversation, before, offset, number = conv, [], 0, 0
-        turn = (role or "", text or "")
-        added, start, end, rewritten = locate(template, before, turn)
-        trained = turn[0] == TRAINED_ROLE
-        yield (conv, number, turn[0], added, offset, offset + len(added),
-               offset + start if trained else None, offset + end if trained else None, rewritten)
-        before = [*before, turn][-whole_turns:]
-        offset += len(added)
-        number += 1
+    for conv, said in groupby(rows, lambda row: (row[0],)):
+        turns = [(role or "", text or "") for _, role, text in said]
+        spans = local_spans(turns, template, shown) if getattr(template, "local", False) else None
+        for number, (turn, span) in enumerate(zip(turns, spans or whole_spans(turns, template), strict=True)):
+            trained = span.text if turn[0] == TRAINED_ROLE else None
+            yield (conv[0], number, turn[0], span.piece, span.start, span.end, *(trained or (None, None)),
+                   span.rewritten, span.withdrawn)
 
 
 _SPANS = ("turn_no bigint, role string, piece string, span_start bigint, span_end bigint, loss_start bigint, "
-          "loss_end bigint, rewritten boolean")
+          "loss_end bigint, rewritten boolean, withdrawn_by bigint")
 
 
-def format_conversations(conversations: DataFrame, template: Callable = None, whole_turns: int = WHOLE_TURNS) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: Callable = None, shown_turns: int = SHOWN_TURNS) -> DataFrame:
     """The formatted text of (conv_id, turn, role, text) rows as one row for each turn.
 
-    ``piece`` is what the turn adds, ``span_*`` its place in the conversation's formatted
-    text and ``loss_*`` the place of its text if it is trained on. The rows of a
-    conversation follow each other in order within a partition.
+    ``piece`` is what the turn added when it was the last, ``span_*`` what is left of its place in the
+    conversation's last output, ``loss_*`` the place of its text there if it is trained on and
+    still there, ``rewritten`` whether it rewrote earlier output and ``withdrawn_by`` the last turn that
+    rewrote its own. The rows of a conversation follow each other in order within a partition.
     """
     template = template or MarkedTurns()
     kind = id_type(conversations, "conv_id")
@@ -129,7 +180,7 @@ def format_conversations(conversations: DataFrame, template: Callable = None, wh
                 yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
 
         made = []
-        for row in render_turns(rows(), template, whole_turns):
+        for row in render_turns(rows(), template, shown_turns):
             made.append(row)
             if len(made) >= 2048:
                 yield packed(made)
@@ -137,7 +188,7 @@ def format_conversations(conversations: DataFrame, template: Callable = None, wh
         yield packed(made)
 
     def packed(made: list) -> pa.RecordBatch:
-        types = [conv_type, pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_()]
+        types = [conv_type, pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_(), pa.int64()]
         columns = list(zip(*made, strict=True)) if made else [()] * len(types)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
                                           ["conv_id", *[p.split()[0] for p in _SPANS.split(", ")]])

@@ -44,8 +44,8 @@ def test_defined_cases(spark):
 def test_long_conversations_are_rendered_in_windows(spark):
     rows = [(7, i, "assistant" if i % 2 else "user", f"turn {i} <of> many\\") for i in range(500)]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    for whole in (1, 3, 64):
-        got = chat.read_back(chat.format_conversations(frame, whole_turns=whole))
+    for shown in (0, 1, 3, 64):
+        got = chat.read_back(chat.format_conversations(frame, shown_turns=shown))
         assert collected(got, *NAMES) == expected(rows)
 
 
@@ -95,3 +95,60 @@ def test_templates_that_rewrite_history_are_noticed():
 def test_broken_text_is_noticed():
     with pytest.raises(ValueError):
         chat.MarkedTurns().parse("hello")
+
+
+def alternating(turns):
+    if any(role != ("assistant" if i % 2 else "user") for i, (role, _) in enumerate(turns)):
+        raise ValueError("roles have to alternate")
+    return "".join(f"<{r}>{t}</{r}>" for r, t in turns)
+
+
+def numbering(turns):
+    return "".join(f"{i}. {r}: {t}\n" for i, (r, t) in enumerate(turns, 1))
+
+
+def dropping(turns):
+    """Earlier answers lose what stands before a bar; the first turns of long conversations go."""
+    kept = list(enumerate(turns))[-50:]
+    return "".join(f"{r}: {t if i == len(turns) - 1 else t.split('|')[-1]}\n" for i, (r, t) in kept)
+
+
+@pytest.mark.parametrize("template", [alternating, numbering, dropping])
+def test_templates_that_see_the_whole_conversation(spark, template):
+    said = [("assistant", f"thought {i}|answer {i}") if i % 2 else ("user", f"question {i}") for i in range(200)]
+    frame = spark.createDataFrame([(3, i, *turn) for i, turn in enumerate(said)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    rows = sorted(chat.format_conversations(frame, template).collect(), key=lambda r: r["turn_no"])
+    whole = template(said)
+    assert "".join(whole[r["span_start"]:r["span_end"]] for r in rows) == whole
+    loss = [whole[r["loss_start"]:r["loss_end"]] for r in rows if r["loss_start"] is not None]
+    if template is dropping:
+        assert loss == [f"answer {i}" for i in range(151, 199, 2)] + ["thought 199|answer 199"]
+        assert all(r["withdrawn_by"] is not None for r in rows if r["turn_no"] < 150)
+    else:
+        assert loss == [t for r, t in said if r == "assistant"]
+        assert not any(r["rewritten"] for r in rows) and {r["withdrawn_by"] for r in rows} == {None}
+
+
+def test_places_are_those_of_the_last_output():
+    def think(turns):
+        return "".join(f"{r}:{t if i == len(turns) - 1 else t.split('|')[-1]};" for i, (r, t) in enumerate(turns))
+
+    turns = [("user", "a"), ("assistant", "hm|yo"), ("user", "b"), ("assistant", "so|ok"), ("user", "c")]
+    rows = list(chat.render_turns(iter([(1, *t) for t in turns]), think, 2))
+    whole = think(turns)
+    assert [whole[r[6]:r[7]] for r in rows if r[6] is not None] == ["yo", "ok"]
+    assert [r[9] for r in rows] == [None, 2, None, 4, None]
+
+
+def test_a_template_that_is_not_as_local_as_it_says():
+    class Numbering:
+        local = True
+
+        def __call__(self, turns):
+            return numbering(turns)
+
+    said = [(1, "assistant", f"t{i}") for i in range(30)]
+    rows = list(chat.render_turns(iter(said), Numbering(), 2))
+    whole = numbering([t[1:] for t in said])
+    assert "".join(r[3] for r in rows) == whole and [whole[r[6]:r[7]] for r in rows] == [t[2] for t in said]
