@@ -6,9 +6,8 @@ in how many documents a normalised line occurs. A line in more than ``max_docs``
 documents of a host is removed, and a document that keeps less than ``min_left`` of
 its words is rejected as depleted.
 
-Rows of one host with equal texts count as one document, so copies of an article do
-not make its lines boilerplate; removing copies is the dedup operators' work. This departs
-from the method, which counts documents: ``count_copies`` counts each (id, text) instead.
+A document is an (id, text), so copies of a text under other ids count each. ``count_copies=False``
+counts different texts instead, for tables whose copies are still to be removed.
 
 Each text is read once: a row of counts and the hashes of its lines with their words
 is written, and everything else runs on that. A line that most documents of a host
@@ -41,9 +40,9 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 
 # The method's limits: documents of one host that may share a line, and the share of
-# its words that a document has to keep.
+# its words that a document has to keep: with less than half of them it is mostly boilerplate.
 MAX_DOCS = 20
-MIN_LEFT = 0.3
+MIN_LEFT = 0.5
 
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in SYMBOLS)
 _DIGITS = bytes.maketrans(b"0123456789", b"0000000000")
@@ -130,7 +129,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         "n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<bigint>, words array<int>")
 
 
-def frequent_lines(rows: DataFrame, max_docs: int, count_copies: bool = False) -> DataFrame:
+def frequent_lines(rows: DataFrame, max_docs: int, count_copies: bool = True) -> DataFrame:
     """(host, line) of the lines in more than ``max_docs`` different documents of a host."""
     document = F.struct("doc", "text_hash") if count_copies else F.col("text_hash")
     lines = rows.select("host", document.alias("document"), F.explode("lines").alias("line"))
@@ -141,7 +140,7 @@ def frequent_lines(rows: DataFrame, max_docs: int, count_copies: bool = False) -
 
 
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                 max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, count_copies: bool = False) -> DataFrame:
+                 max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, count_copies: bool = True) -> DataFrame:
     """Base counts and verdicts of every row, and the words it loses to frequent lines."""
     rows = settle(measured(docs, id_col, text_col, host_col), "line-counts")
     frequent = settle(frequent_lines(rows, max_docs, count_copies), "frequent-lines")
@@ -165,7 +164,7 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                           max_docs: int = MAX_DOCS, count_copies: bool = False) -> DataFrame:
+                           max_docs: int = MAX_DOCS, count_copies: bool = True) -> DataFrame:
     """(doc_id, text): every text without the lines that its host repeats over the limit."""
     rows = settle(measured(docs, id_col, text_col, host_col), "line-counts")
     frequent = settle(frequent_lines(rows, max_docs, count_copies), "frequent-lines")
@@ -217,14 +216,14 @@ WITH doc AS (
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM doc LEFT JOIN repeated ON doc.doc_id = repeated.doc_id
 ), line AS (
-  SELECT doc_id, source, md5(body) AS body_hash,
+  SELECT doc_id, source,
          array_to_string(list_filter(string_split_regex(
            regexp_replace(translate(text_line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                           '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') AS normal
   FROM (SELECT doc_id, source, body, unnest(lines) AS text_line FROM doc)
 ), frequent AS (
   SELECT source, normal FROM line WHERE normal <> ''
-  GROUP BY source, normal HAVING count(DISTINCT body_hash) > {max_docs}
+  GROUP BY source, normal HAVING count(DISTINCT doc_id) > {max_docs}
 ), lost AS (
   SELECT line.doc_id, sum(len(string_split(line.normal, ' '))) AS n_removed_words
   FROM line JOIN frequent ON line.normal = frequent.normal AND line.source IS NOT DISTINCT FROM frequent.source

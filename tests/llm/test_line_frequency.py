@@ -17,12 +17,12 @@ def normal(line):
     return " ".join(WORDS(lowered))
 
 
-def brute(rows, max_docs=20, min_left=0.3):
+def brute(rows, max_docs=20, min_left=0.5, count_copies=True):
     owners = {}
-    for _, text, host in rows:
+    for doc, text, host in rows:
         for line in (text or "").split("\n"):
             if normal(line):
-                owners.setdefault((host, normal(line)), set()).add(text)
+                owners.setdefault((host, normal(line)), set()).add((doc if count_copies else None, text))
     out = []
     for doc, text, host in rows:
         text = text or ""
@@ -39,7 +39,7 @@ def brute(rows, max_docs=20, min_left=0.3):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_docs": 1, "min_left": 0.9}])
+@pytest.mark.parametrize("limits", [{}, {"max_docs": 1, "min_left": 0.9}, {"count_copies": False}])
 def test_equals_brute_force_on_documents(spark, limits):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in rows_of("documents")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
@@ -53,7 +53,7 @@ def boilerplate():
         own = [f"This is sentence {chr(97 + i % 26)}{chr(97 + i // 26)}{k} of its own page, told once only" for k in "abc"]
         host = "busy" if i % 3 else None if i % 2 else "calm"
         rows.append((i, "\n".join([menu.upper() if i % 4 else f" {menu}\t", *own[:i % 4], f"Page {i} of 90"]), host))
-    rows += [(500 + i, rows[1][1], "busy") for i in range(40)]  # copies are one document
+    rows += [(500 + i, rows[1][1], "busy") for i in range(40)]  # copies are documents of their own
     return rows
 
 
@@ -94,14 +94,14 @@ def test_repeated_windows_are_compared_by_words(monkeypatch):
     assert line_frequency.repeated_words([b"z"] * 6) == 6 and line_frequency.repeated_words([b"z"] * 5) == 0
 
 
-def test_copies_count_as_documents_where_asked(spark):
+def test_copies_count_as_documents(spark):
     """The method's count: a line of 30 copies is in 30 documents; rows that repeat one are one."""
     text = "ten words stand in this one line and no more"
     rows = [(i, text, "h") for i in range(30)] + [(100, f"{text}\nother words", "g")] * 30 + [(None, text, "n")] * 30
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    assert {r["n_removed_words"] for r in line_frequency.line_quality(frame).collect()} == {0}
+    assert {r["n_removed_words"] for r in line_frequency.line_quality(frame, count_copies=False).collect()} == {0}
     found = {(r["doc_id"] is not None and r["doc_id"] < 100, r["n_removed_words"], r["kept"])
-             for r in line_frequency.line_quality(frame, count_copies=True).collect()}
+             for r in line_frequency.line_quality(frame).collect()}
     assert found == {(True, 10, False), (False, 0, True)}
-    texts = line_frequency.without_frequent_lines(frame, count_copies=True)
+    texts = line_frequency.without_frequent_lines(frame)
     assert {r["text"] for r in texts.collect() if r["doc_id"] is not None and r["doc_id"] < 100} == {""}
