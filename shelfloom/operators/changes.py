@@ -77,22 +77,6 @@ def upsert_products(current: DataFrame, latest: DataFrame, run_ts) -> DataFrame:
     return _merged(joined, run_ts)
 
 
-def upsert_small_feed(current: DataFrame, latest: DataFrame, run_ts) -> DataFrame:
-    """The same result for a feed that the caller knows to be small beside the catalog.
-
-    A left join and an anti join can broadcast the feed, which a full outer join
-    cannot. Spark does so if its size is under the session's threshold; the
-    catalog is then read twice but not shuffled.
-    """
-    same_sku = F.col("cur.sku") == F.col("fed.sku")
-    kept = current.alias("cur").join(latest.alias("fed"), same_sku, "left")
-    known = current.select("sku").join(latest.select("sku"), "sku", "left_semi")
-    added = latest.join(known, "sku", "left_anti")
-    nothing = current.filter(F.lit(False))
-    fresh = added.alias("fed").join(nothing.alias("cur"), same_sku, "left")
-    return _merged(kept, run_ts).unionByName(_merged(fresh, run_ts))
-
-
 def create_products(current: DataFrame, requested: DataFrame, run_ts):
     """(accepted new rows, requests rejected because the SKU exists).
 

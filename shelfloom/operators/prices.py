@@ -249,6 +249,46 @@ def batch_alerts(latest: DataFrame, batch: DataFrame, products: DataFrame,
     return alert_rows(with_alerts(timely, rate, undercut_from, change_from))
 
 
+def late_series(latest: DataFrame, batch: DataFrame) -> DataFrame:
+    """The series of a batch in which a priced snapshot lies before the series' last one so far."""
+    first = priced(batch).groupBy(*SERIES).agg(F.min(F.struct(*SERIES_ORDER)).alias("_first"))
+    return first.join(latest, SERIES).filter(F.col("_first") < F.struct(*SERIES_ORDER)).select(*SERIES)
+
+
+def revised_alerts(history: DataFrame, batch: DataFrame, products: DataFrame,
+                   rate: float = INR_PER_USD, undercut_from: float = UNDERCUT_PERCENT,
+                   change_from: float = CHANGE_PERCENT,
+                   rows_per_task: int = ROWS_PER_TASK) -> tuple:
+    """(alerts, revised) for a batch of snapshots that may lie anywhere in their series.
+
+    ``history`` are the stored snapshots of the batch's series. A new snapshot is compared with the
+    one before it, stored or new. The stored snapshot that now follows a new one has another
+    predecessor: its change alerts are made again, and ``revised`` (price_id, product_id) names it,
+    since those it had are void.
+    """
+    rows = priced(history.withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True))))
+    paired = rows.withColumn("_price", F.struct("competitor_price", "_new"))
+    looked = previous_value(paired, SERIES, SERIES_ORDER, "_price", "_before", rows_per_task).drop("_price")
+    followed = F.coalesce("_before._new", F.lit(False))
+    compared = settle(
+        looked.filter(F.col("_new") | followed)
+        .withColumn("previous_price", F.col("_before.competitor_price")).drop("_before"), "revised-prices")
+    met = with_alerts(compared.join(_offers(products), "product_id"), rate, undercut_from, change_from)
+    # What a stored snapshot says of our price and of its stock has not changed.
+    only_change = F.filter("alerts", lambda alert: alert["alert_type"].startswith("price_"))
+    met = met.withColumn("alerts", F.when(F.col("_new"), F.col("alerts")).otherwise(only_change)).drop("_new")
+    return alert_rows(met), compared.filter(~F.col("_new")).select("price_id", "product_id")
+
+
+def without_void_alerts(alerts: DataFrame, revised: DataFrame, made: DataFrame) -> DataFrame:
+    """Stored alerts without the change alerts of ``revised`` snapshots that ``made`` does not repeat."""
+    void = revised.select(F.explode(F.array(*[
+        F.xxhash64("price_id", F.lit(kind)) for kind in ("price_drop", "price_increase")])).alias("alert_id"))
+    same = ["alert_id", "message"]
+    gone = void.join(alerts.select(*same), "alert_id").join(made.select(*same), same, "left_anti")
+    return alerts.join(gone.select("alert_id"), "alert_id", "left_anti").select(*alerts.columns)
+
+
 def advance_latest(latest: DataFrame, batch: DataFrame) -> DataFrame:
     """``latest_priced`` after a batch, from itself and the batch alone."""
     return latest_priced(latest.unionByName(batch))

@@ -16,9 +16,7 @@ from shelfloom.operators.cleaning import (
 from shelfloom.operators.quality import data_issues, status_from_issues, with_issues
 from shelfloom.schemas import INGESTION_JOBS
 from shelfloom.session import intermediate, settle
-from shelfloom.sources.feeds import (
-    OVERFLOW, all_names, first_lines, headers_of, is_csv_name, read_feed,
-)
+from shelfloom.sources.feeds import OVERFLOW, is_csv_name, open_feed
 from shelfloom.sources.tables import Change, LostRace, Tables
 
 
@@ -75,6 +73,10 @@ def failed_feed(spark: SparkSession, message: str, run_ts: datetime, job_id: int
     ), error=error)
 
 
+def overlong_text(lines: int) -> str:
+    return f"{lines} lines have more fields than the header"
+
+
 def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_id: int,
                  filename: str = "", widths: dict = None) -> FeedResult:
     """Outcome of a feed that has been read into columns c0, c1, ... and _order.
@@ -102,7 +104,7 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
     ).first()
     job["total_rows"] = total
     if broken:
-        message = PARSE_ERROR_TEXT.format(error=f"{broken} lines have more fields than the header")
+        message = PARSE_ERROR_TEXT.format(error=overlong_text(broken))
         return FeedResult(spark, job | {"status": "failed", "error_message": message, "completed_at": run_ts})
     if not total:
         return FeedResult(spark, job | {"status": "completed", "error_message": EMPTY_FEED_TEXT})
@@ -130,7 +132,7 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
 
 
 def run_feed(spark: SparkSession, path: str, current, run_ts: datetime, job_id: int,
-             multi_line: bool = True, widths: dict = None) -> FeedResult:
+             widths: dict = None) -> FeedResult:
     """Outcome of the CSV feed at ``path`` (a file, or a folder of files).
 
     ``widths`` are longest texts by field, for a target that has some.
@@ -139,11 +141,8 @@ def run_feed(spark: SparkSession, path: str, current, run_ts: datetime, job_id:
     if "." in filename and not is_csv_name(filename):
         return failed_feed(spark, NOT_CSV_TEXT, run_ts, job_id, filename)
     try:
-        files = settle(first_lines(spark, path), "feed-headers")
-        found = headers_of(files)
-        headers = all_names(found)
-        rows = read_feed(spark, path, headers, multi_line, files, found)
-        return process_rows(rows, headers, current, run_ts, job_id, filename, widths)
+        feed = open_feed(spark, path)
+        return process_rows(feed.rows(), feed.headers, current, run_ts, job_id, filename, widths)
     except Exception as error:  # any failure ends in the job log
         return failed_feed(spark, OTHER_ERROR_TEXT.format(error=error), run_ts, job_id, filename, error)
 
@@ -182,8 +181,7 @@ def store(result: FeedResult, change: Change) -> None:
         raise
 
 
-def ingest_feed(tables: Tables, path: str, run_ts: datetime, job_id: int = None,
-                multi_line: bool = True, widths: dict = None):
+def ingest_feed(tables: Tables, path: str, run_ts: datetime, job_id: int = None, widths: dict = None):
     """Run the feed at ``path`` and store its outcome; returns its row of the job log.
 
     Without a number the job takes the store's next one. Repeating a stored job does
@@ -195,6 +193,6 @@ def ingest_feed(tables: Tables, path: str, run_ts: datetime, job_id: int = None,
         return None
     change.job_id = job_id
     with intermediate(tables.spark):
-        result = run_feed(tables.spark, path, touched_products(change), run_ts, job_id, multi_line, widths)
+        result = run_feed(tables.spark, path, touched_products(change), run_ts, job_id, widths)
         store(result, change)
     return result.job.first()

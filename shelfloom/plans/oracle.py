@@ -385,13 +385,12 @@ SELECT p.product_id, count(i.product_id)::INTEGER AS issue_count,
 FROM products p LEFT JOIN issues i ON i.product_id = p.product_id GROUP BY p.product_id""")
 
 # --- feeds and upsert ---
-for name in ("q_feed_clean", "q_csv_feed", "q_stream_feed"):
+for name in ("q_feed_clean", "q_csv_feed", "q_csv_one_file", "q_stream_feed"):
     oracle(name, FEED, "SELECT * FROM clean")
 oracle("q_raw_data", FEED, """
 SELECT code AS sku, product_code, name, list_price, colour, ship_class
 FROM typed WHERE code NOT IN ('', 'None') AND code IS NOT NULL""")
 oracle("q_upsert", UPDATES, "SELECT * FROM upserted")
-oracle("q_upsert_small_feed", UPDATES, "SELECT sku, title, price, currency, status FROM upserted")
 oracle("q_upsert_counters", UPDATES, """
 SELECT count(*) AS processed_rows,
        count(DISTINCT sku) FILTER (sku NOT IN (SELECT sku FROM catalog)) AS new_products,
@@ -654,7 +653,7 @@ FROM (SELECT i.*, issue_type IN ('missing_description', 'thin_content') AND cate
       FROM issue_table i JOIN products USING (product_id))""")
 
 # --- streams ---
-oracle("q_stream_prices", """
+STREAM_PRICES = ("""
 looked AS (
   SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS previous
   FROM events WHERE value IS NOT NULL),
@@ -674,6 +673,13 @@ SELECT user_id, event_type, CASE WHEN value < previous THEN 'price_drop' ELSE 'p
          || ' price by ' || printf('%.1f', change) || '% (from ' || printf('%.2f', previous) || ' to '
          || printf('%.2f', value) || ').'
 FROM compared WHERE change >= 10""")
+for name in ("q_stream_prices", "q_stream_late_prices"):
+    oracle(name, *STREAM_PRICES)
+oracle("q_stream_feed_headers", "", """
+SELECT 'S-' || s_suppkey AS sku, s_name || ' second "line"' AS title, s_suppkey::DOUBLE AS price FROM supplier
+UNION ALL SELECT 'job completed', NULL, count(*) FROM supplier
+UNION ALL SELECT 'job failed', 'Failed to parse CSV: ' || count(*) || ' lines have more fields than the header', 0
+FROM supplier""")
 
 # --- the store ---
 TWO_FEEDS = """

@@ -186,7 +186,6 @@ def q_csv_feed(spark, sf_dir):
     """The feed written as CSV files, then read, cleaned and stored by the feed job."""
     folder = new_folder(spark, "csv-feed")
     lines = tv.feed_lines(spark, sf_dir).drop(cleaning.ORDER).toDF(*tv.FEED_HEADERS)
-    # A large feed comes in many files; quoted line breaks make a file one task.
     lines.write.options(header=True, escape='"', maxRecordsPerFile=LINES_PER_FILE).csv(folder)
     result = run_feed(spark, folder, _empty_products(spark), RUN, 1)
     return _clean_columns(result.products)
@@ -220,13 +219,6 @@ def q_upsert(spark, sf_dir):
     )
 
 
-@query
-def q_upsert_small_feed(spark, sf_dir):
-    latest = _latest(spark, sf_dir)
-    after = changes.upsert_small_feed(_catalog(spark, sf_dir), settle(latest, "latest"), RUN)
-    return after.select("sku", "title", "price", "currency", "status")
-
-
 @query
 def q_upsert_counters(spark, sf_dir):
     updates = _updates(spark, sf_dir)
@@ -419,7 +411,7 @@ def q_feed_column_orders(spark, sf_dir):
     even = F.pmod("s_suppkey", F.lit(2)) == 0
     _write_feed(rows.filter(even).select("sku", "title", "price"), folder)
     _write_feed(rows.filter(~even).select("nation", "price", "title", "sku"), folder)
-    products = run_feed(spark, folder, _empty_products(spark), RUN, 1, multi_line=False).products
+    products = run_feed(spark, folder, _empty_products(spark), RUN, 1).products
     return products.select("sku", "title", "price", entries("attributes").alias("attributes"))
 
 
@@ -856,16 +848,15 @@ def q_resolve_content_issues(spark, sf_dir):
 
 # --- streams ---------------------------------------------------------------
 
-@query
-def q_stream_prices(spark, sf_dir):
-    """The event log as a price stream in two drops; alerts against a price of 10."""
-    root = new_folder(spark, "price-stream")
+def _streamed_alerts(spark, sf_dir, name, drops):
+    """Alerts of the event log as a price stream in two drops by time, against a price of 10."""
+    root = new_folder(spark, name)
     rows = tv.events_as_prices(tv.read(spark, sf_dir, "events"))
     middle = F.lit(rows.agg(F.timestamp_seconds(
         (F.unix_timestamp(F.min("scraped_at")) + F.unix_timestamp(F.max("scraped_at"))) / 2)).first()[0])
     products = settle(rows.select("product_id").distinct().select(
         "product_id", F.lit(10.0).alias("price"), F.lit("USD").alias("currency")), "stream-products")
-    for number, drop in enumerate((F.col("scraped_at") < middle, F.col("scraped_at") >= middle)):
+    for drop in drops(F.col("scraped_at"), middle):
         rows.filter(drop).write.mode("append").parquet(f"{root}/drops")
         stream = spark.readStream.schema(rows.schema).parquet(f"{root}/drops")
         monitor_prices(stream, lambda: products, f"{root}/tables", f"{root}/state").awaitTermination()
@@ -873,12 +864,54 @@ def q_stream_prices(spark, sf_dir):
     return alerts.select("product_id", "source", "alert_type", "competitor_price", "price_difference", "message")
 
 
+@query
+def q_stream_prices(spark, sf_dir):
+    """The older half of the events, then the newer one."""
+    return _streamed_alerts(spark, sf_dir, "price-stream", lambda at, middle: (at < middle, at >= middle))
+
+
+@query
+def q_stream_late_prices(spark, sf_dir):
+    """All but a day in the middle of every four, then those days: late snapshots between stored ones."""
+    day = F.pmod(F.datediff("scraped_at", F.lit("2000-01-01")), F.lit(4)) == 1
+    return _streamed_alerts(spark, sf_dir, "late-prices", lambda at, middle: (~day, day))
+
+
 @query
 def q_stream_feed(spark, sf_dir):
     """The feed dropped as CSV files and taken in by the stream; the catalog it leaves."""
     root = new_folder(spark, "feed-stream")
     lines = tv.feed_lines(spark, sf_dir).drop(cleaning.ORDER).toDF(*tv.FEED_HEADERS)
     lines.write.options(header=True, escape='"', maxRecordsPerFile=LINES_PER_FILE).csv(f"{root}/drops")
-    stream = feed_stream(spark, f"{root}/drops", tv.FEED_HEADERS, files_per_batch=2)
-    ingest_feeds(stream, tv.FEED_HEADERS, f"{root}/tables", f"{root}/state", lambda: RUN).awaitTermination()
+    stream = feed_stream(spark, f"{root}/drops", files_per_batch=2)
+    ingest_feeds(stream, f"{root}/tables", f"{root}/state", lambda: RUN).awaitTermination()
     return _clean_columns(Tables(spark, f"{root}/tables").read("products"))
+
+
+@query
+def q_stream_feed_headers(spark, sf_dir):
+    """Files of two column orders and a broken one in one drop: what the catalog and the job log hold."""
+    root = new_folder(spark, "mixed-feeds")
+    supplier, key = tv.read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    rows = supplier.select(F.concat(F.lit("S-"), key.cast("string")).alias("sku"),
+                           F.concat("s_name", F.lit("\nsecond \"line\"")).alias("title"), key.alias("price"), key)
+    even = F.pmod("s_suppkey", F.lit(2)) == 0
+    _write_feed(rows.filter(even).select("sku", "title", "price"), f"{root}/drops")
+    _write_feed(rows.filter(~even).select("price", "title", "sku"), f"{root}/drops")
+    broken = rows.select(F.concat_ws(",", "sku", F.lit("x"), F.lit("y")).alias("sku,title"))
+    broken.coalesce(1).write.mode("append").options(header=True, sep="\u0001").csv(f"{root}/drops")
+    stream = feed_stream(spark, f"{root}/drops", files_per_batch=1000)
+    ingest_feeds(stream, f"{root}/tables", f"{root}/state", lambda: RUN).awaitTermination()
+    tables = Tables(spark, f"{root}/tables")
+    jobs = tables.read("ingestion_jobs").groupBy(F.concat(F.lit("job "), "status").alias("sku")).agg(
+        F.max("error_message").alias("title"), F.sum("processed_rows").cast("double").alias("price"))
+    return tables.read("products").select("sku", "title", "price").unionByName(jobs)
+
+
+@query
+def q_csv_one_file(spark, sf_dir):
+    """The feed as one file, whose descriptions hold line breaks within quotes, read by all tasks."""
+    folder = new_folder(spark, "one-file")
+    lines = tv.feed_lines(spark, sf_dir).drop(cleaning.ORDER).toDF(*tv.FEED_HEADERS)
+    lines.coalesce(1).write.options(header=True, escape='"').csv(folder)
+    return _clean_columns(run_feed(spark, folder, _empty_products(spark), RUN, 1).products)

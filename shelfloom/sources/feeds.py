@@ -1,15 +1,20 @@
 """Supplier feeds as CSV, read by position so that any header works."""
 
 import csv
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfloom.session import settle
+from shelfloom.sources.records import HEADER_PLACE, read_lines, records, split_steps
+
 CSV_FILES = "*.[cC][sS][vV]"
 OVERFLOW = "_overflow"
 ORDER = "_order"
 BYTE_ORDER_MARK = chr(0xFEFF)
+CARRIAGE_RETURN = "\r"
 
 
 def is_csv_name(filename: str) -> bool:
@@ -39,34 +44,15 @@ def raw_columns(headers) -> list:
     return [f"c{position}" for position in range(len(headers))]
 
 
-def _csv_options(multi_line: bool) -> dict:
-    return {
-        "multiLine": str(multi_line).lower(), "quote": '"', "escape": '"',
-        "pathGlobFilter": CSV_FILES,
-    }
-
-
 def line_names(line: str) -> list:
     """Column names in a header line."""
     return header_names(next(csv.reader([line.removeprefix(BYTE_ORDER_MARK)]), []))
 
 
-def first_lines(spark: SparkSession, path) -> DataFrame:
-    """(file, line): the first line of every file of a feed, in one pass over the feed."""
-    lines = spark.read.option("pathGlobFilter", CSV_FILES).text(path).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-    )
-    # Only a file's first split holds its first line; of a split the first row comes first.
-    placed = lines.filter(F.col("start") == 0).withColumn("place", F.monotonically_increasing_id())
-    return placed.groupBy("file").agg(F.min_by("line", "place").alias("line"))
-
-
 def headers_of(files: DataFrame) -> dict:
-    """Header line -> column names, for the different first lines of ``first_lines`` by file name."""
+    """Header line -> column names, for the different first lines of (file, line) by file name."""
     found = files.groupBy("line").agg(F.min("file").alias("file")).orderBy("file").collect()
-    return {row["line"]: line_names(row["line"]) for row in found}
+    return {row["line"]: line_names(row["line"].removesuffix(CARRIAGE_RETURN)) for row in found}
 
 
 def all_names(found: dict) -> list:
@@ -77,59 +63,78 @@ def all_names(found: dict) -> list:
     return list(dict.fromkeys(name for names in found.values() for name in names))
 
 
-def feed_headers(spark: SparkSession, path) -> list:
-    return all_names(headers_of(first_lines(spark, path)))
+@dataclass
+class Feed:
+    """A feed's lines, the first line of each file, and the column names that follow."""
 
+    lines: DataFrame
+    steps: DataFrame
+    files: DataFrame
+    found: dict
 
-def feed_schema(headers) -> T.StructType:
-    """All columns as text, plus one that only an overlong line fills."""
-    return T.StructType(
-        [T.StructField(name, T.StringType()) for name in [*raw_columns(headers), OVERFLOW]]
-    )
+    @property
+    def headers(self) -> list:
+        return all_names(self.found)
 
+    def rows(self) -> DataFrame:
+        """The feed as text columns c0, c1, ... in the order of ``headers``, with the place of each line.
 
-def with_feed_order(rows: DataFrame) -> DataFrame:
-    """Add the position of a line: file, place of its split, place in the split."""
-    return rows.withColumn(
-        ORDER, F.struct("_file", "_start", F.monotonically_increasing_id().alias("_line"))
-    ).drop("_file", "_start")
+        Every file's cells go by its own header line, so files may order their columns differently.
+        Names play no part in the schema, so headers equal up to case do not clash.
+        """
+        return with_columns_of(self.headers, self.found, self.files, parsed(self.lines, self.steps, self.files, self.found))
 
 
-def read_feed(spark: SparkSession, path, headers: list, multi_line: bool = True,
-              files: DataFrame = None, found: dict = None) -> DataFrame:
-    """A feed's lines as text columns c0, c1, ... with their order, by the names in ``headers``.
+def feed_of(lines: DataFrame) -> Feed:
+    """A feed from the lines of its files, in one pass over them; further passes are made by ``rows``."""
+    steps = settle(split_steps(lines), "feed-splits")
+    files = steps.filter("first_line IS NOT NULL").select("file", F.col("first_line").alias("line"))
+    return Feed(lines, steps, files, headers_of(files))
 
-    Every file's cells go by its own header line, so files may order their columns
-    differently. Names play no part in the schema, so headers equal up to case do not
-    clash. With ``multi_line=False`` large files are split over tasks; use it for feeds
-    without line breaks inside quotes. ``files`` are the ``first_lines`` and ``found``
-    their ``headers_of``, if known.
-    """
-    files = first_lines(spark, path) if files is None else files
-    found = headers_of(files) if found is None else found
+
+def open_feed(spark: SparkSession, path) -> Feed:
+    """The feed at ``path``; large files are split over tasks, also with line breaks inside quotes."""
+    return feed_of(read_lines(spark, path, CSV_FILES))
+
+
+def parsed(lines: DataFrame, steps: DataFrame, files: DataFrame, found: dict) -> DataFrame:
+    """Records as cells c0, c1, ... as wide as the widest header, one overflow column, and their place."""
     widest = range(max(map(len, found.values()), default=0))
-    # Positions are taken before anything moves the lines.
-    rows = with_feed_order(
-        spark.read.schema(feed_schema(widest))
-        .options(**_csv_options(multi_line))
-        .option("header", True)
-        .csv(path)
-        .select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-        )
-    )
+    body = records(lines, steps).filter(F.col("place") != HEADER_PLACE)
+    # Carriage returns belong to the line ends of files whose first line ends in one.
+    returns = {line.endswith(CARRIAGE_RETURN) for line in found}
+    plain = F.regexp_replace(F.replace("record", F.lit(CARRIAGE_RETURN + "\n"), F.lit("\n")), CARRIAGE_RETURN + "$", "")
+    if returns == {True}:
+        body = body.withColumn("record", plain)
+    elif True in returns:
+        named = files.select("file", F.col("line").endswith(CARRIAGE_RETURN).alias("returns"))
+        body = body.join(named, "file").withColumn("record", F.when(F.col("returns"), plain).otherwise(F.col("record")))
+    cells = F.from_csv("record", feed_schema(widest).simpleString(), {"quote": '"', "escape": '"'}).alias("cells")
+    place = F.struct(F.col("file").alias("_file"), F.col("start").alias("_start"), F.col("place").alias("_line"))
+    # Empty lines are passed over.
+    return body.filter("record <> ''").select(cells, place.alias(ORDER)).select("cells.*", ORDER)
+
+
+def with_columns_of(headers: list, found: dict, files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cells in the order of ``headers`` instead of that of each file's own header line."""
     if all(names == headers for names in found.values()):
         return rows
-    names = spark.createDataFrame(list(found.items()), "line string, _names array<string>")
+    widest = range(max(map(len, found.values()), default=0))
+    names = rows.sparkSession.createDataFrame(list(found.items()), "line string, _names array<string>")
     named = files.join(names, "line").select("file", "_names")
-    placed = rows.join(named, F.col(f"{ORDER}._file") == F.col("file"))
+    placed_rows = rows.join(named, F.col(f"{ORDER}._file") == F.col("file"))
     cells = F.array(*raw_columns(widest))
     beyond = F.filter(
         F.slice(cells, F.size("_names") + 1, F.lit(len(widest))), lambda cell: cell.isNotNull())
-    return placed.select(
+    return placed_rows.select(
         *[F.get(cells, F.array_position("_names", F.lit(name)).cast("int") - 1).alias(column)
           for name, column in zip(headers, raw_columns(headers))],
         F.coalesce(OVERFLOW, F.get(beyond, F.lit(0))).alias(OVERFLOW), ORDER,
     )
+
+
+def feed_schema(headers) -> T.StructType:
+    """All columns as text, plus one that only an overlong line fills."""
+    return T.StructType(
+        [T.StructField(name, T.StringType()) for name in [*raw_columns(headers), OVERFLOW]]
+    )

@@ -1,4 +1,8 @@
-"""Streaming feed ingest: files dropped into a folder, one job per micro-batch."""
+"""Streaming feed ingest: files dropped into a folder, one commit per micro-batch.
+
+The stream brings lines of text with their file, not cells, so that every file goes by its own header
+line and fails by itself.
+"""
 
 from datetime import datetime
 from typing import Callable
@@ -8,44 +12,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfloom.fixed_values import PARSE_ERROR_TEXT
-from shelfloom.plans.feed_job import failed_feed, process_rows, store, touched_products
+from shelfloom.fixed_values import NO_SKU_TEXT, PARSE_ERROR_TEXT
+from shelfloom.operators.cleaning import map_headers
+from shelfloom.plans.feed_job import failed_feed, overlong_text, process_rows, store, touched_products
 from shelfloom.session import intermediate, settle
-from shelfloom.sources.feeds import (
-    CSV_FILES, ORDER, feed_schema, first_lines, line_names, with_feed_order,
-)
-from shelfloom.sources.tables import BUCKETS, Tables
+from shelfloom.sources.feeds import CSV_FILES, ORDER, OVERFLOW, Feed, feed_of
+from shelfloom.sources.records import placed, text_lines
+from shelfloom.sources.tables import BUCKETS, Change, Tables
 from shelfloom.streaming.progress import stream_id
 
 
-def feed_stream(spark: SparkSession, folder: str, headers: list, multi_line: bool = True,
-                files_per_batch: int = 1) -> DataFrame:
-    """Lines of the CSV files in a drop folder whose files share one header."""
-    return (
-        spark.readStream.schema(feed_schema(headers))
-        .options(
-            header="true", multiLine=str(multi_line).lower(), quote='"', escape='"',
-            pathGlobFilter=CSV_FILES, maxFilesPerTrigger=str(files_per_batch),
-        )
-        .csv(folder)
-        .select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-        )
-    )
+def feed_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
+    """Lines of the CSV files in a drop folder, whatever their headers."""
+    reader = spark.readStream.options(
+        pathGlobFilter=CSV_FILES, lineSep="\n", maxFilesPerTrigger=str(files_per_batch))
+    return text_lines(reader.text(folder))
+
 
+def short_name(file: str) -> str:
+    return unquote(file).rsplit("/", 1)[-1]
 
-def ingest_feeds(stream: DataFrame, headers: list, root: str, checkpoint: str,
-                 clock: Callable = datetime.now, buckets: int = BUCKETS,
-                 trigger: dict = None) -> StreamingQuery:
+
+def broken_files(feed: Feed, rows: DataFrame) -> dict:
+    """File -> what is wrong with it: no SKU column, or lines with more fields than its header."""
+    wrong = {}
+    for file, line in feed.files.select("file", "line").collect():  # as many as one trigger takes
+        if "sku" not in map_headers(feed.found[line]):
+            wrong[file] = NO_SKU_TEXT.format(columns=", ".join(feed.found[line]))
+    overlong = rows.groupBy(f"{ORDER}._file").agg(F.count(OVERFLOW).alias("lines")).filter("lines > 0").collect()
+    return {row["_file"]: PARSE_ERROR_TEXT.format(error=overlong_text(row["lines"])) for row in overlong} | wrong
+
+
+def ingest_feeds(stream: DataFrame, root: str, checkpoint: str, clock: Callable = datetime.now,
+                 buckets: int = BUCKETS, trigger: dict = None) -> StreamingQuery:
     """Run every micro-batch through the feed job, into the tables under ``root``.
 
     A batch is one commit, which rewrites the catalog's buckets that it touches. A batch
     repeated after a failure is stored once, and files that the store has taken in before
-    are passed over, also when the stream's checkpoint was lost. A batch with a file of
-    another header is a failed job. ``trigger`` goes to ``writeStream.trigger``; without
-    one, the stream takes what there is and ends.
+    are passed over, also when the stream's checkpoint was lost. A broken file is a failed job of
+    its own in that commit; the other files of its batch are one job. ``trigger`` goes to
+    ``writeStream.trigger``; without one, the stream takes what there is and ends.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -55,25 +61,34 @@ def ingest_feeds(stream: DataFrame, headers: list, root: str, checkpoint: str,
         if change is None:
             return
         with intermediate(spark):
-            arrived = settle(with_feed_order(batch), "feed-batch")
-            files = settle(
-                arrived.select(F.col(f"{ORDER}._file").alias("file")).distinct()
-                .join(change.read("feed_files"), "file", "left_anti").select("file"), "feed-files")
-            # As many files as one trigger takes, so a short list.
-            paths = sorted(unquote(r["file"]) for r in files.collect())
-            if not paths:
-                return
-            names = ", ".join(path.rsplit("/", 1)[-1] for path in paths)
-            first = first_lines(spark, paths).collect()
-            other = sorted(unquote(r["file"]) for r in first if line_names(r["line"]) != headers)
-            if other:
-                error = PARSE_ERROR_TEXT.format(error=f"another header in {', '.join(other)}")
-                result = failed_feed(spark, error, clock(), change.job_id, names)
-            else:
-                fresh = arrived.join(files, F.col(f"{ORDER}._file") == F.col("file"), "left_semi")
-                result = process_rows(fresh, headers, touched_products(change), clock(), change.job_id, names)
-            change.append("feed_files", files.withColumn("job_id", F.lit(change.job_id)))
+            feed = feed_of(placed(batch))
+            fresh = settle(feed.files.select("file").join(change.read("feed_files"), "file", "left_anti"), "feed-files")
+            if not fresh.isEmpty():
+                take(feed, fresh, change)
+
+    def take(feed: Feed, fresh: DataFrame, change: Change) -> None:
+        rows = settle(feed.rows().join(fresh, F.col(f"{ORDER}._file") == F.col("file"), "left_semi"), "feed-batch")
+        wrong = broken_files(feed, rows)
+        names = sorted(row["file"] for row in fresh.collect())
+        jobs = []
+        for file in names:
+            if file in wrong:
+                failed = failed_feed(fresh.sparkSession, wrong[file], clock(), change.job_id, short_name(file))
+                change.append("ingestion_jobs", failed.job)
+                jobs.append((file, change.job_id))
+                change.job_id += 1
+        good = [file for file in names if file not in wrong]
+        if good:
+            jobs += [(file, change.job_id) for file in good]
+            rows = rows.filter(F.col(f"{ORDER}._file").isin(good)) if wrong else rows
+            result = process_rows(rows, feed.headers, touched_products(change), clock(), change.job_id,
+                                  ", ".join(map(short_name, good)))
+        change.append("feed_files", fresh.sparkSession.createDataFrame(jobs, "file string, job_id bigint"))
+        if good:
             store(result, change)
+        else:
+            change.job_id -= 1
+            change.commit()
 
     return (
         stream.writeStream.foreachBatch(run)

@@ -21,11 +21,10 @@ def test_feed_batch_that_failed_half_way_is_repeated_whole(spark, tmp_path, monk
     folder, root = tmp_path / "drops", str(tmp_path / "tables")
     folder.mkdir()
     (folder / "a.csv").write_text("sku,title\n1,a\n2,b\n")
-    headers = ["sku", "title"]
 
     def run(state="state"):
-        stream = feed_stream(spark, str(folder), headers)
-        ingest_feeds(stream, headers, root, str(tmp_path / state), lambda: NOW).awaitTermination()
+        stream = feed_stream(spark, str(folder))
+        ingest_feeds(stream, root, str(tmp_path / state), lambda: NOW).awaitTermination()
 
     run()
     (folder / "b.csv").write_text("sku,title\n2,B\n3,c\n")

@@ -1,11 +1,14 @@
 """The streams leave what the batch jobs would."""
 
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfloom.operators import prices as px
 from shelfloom.plans.feed_job import run_feed
+from shelfloom.plans.store_changes import acknowledge_stored
 from shelfloom.schemas import COMPETITOR_PRICES, PRODUCTS
 from shelfloom.sources.tables import Tables
 from shelfloom.streaming.feeds import feed_stream, ingest_feeds
@@ -32,13 +35,59 @@ def test_price_stream_equals_batch(spark, tmp_path):
     stored = tables.read("competitor_prices")
     assert stored.count() == 150
     before = as_set(tables.read("latest_prices"))
-    # A late snapshot is stored but changes neither state nor alerts of change.
+    # A late snapshot without a predecessor is stored, moves no state and has no change to tell.
     drop([snapshot(999, 500.0, day=-3, product=1, source=rows[0][2])])
     assert as_set(tables.read("latest_prices")) == before
     late = tables.read("competitor_alerts").filter(F.col("created_at") < px.F.lit(rows[0][8]))
     assert late.filter(F.col("alert_type").startswith("price_")).count() == 0
 
 
+def drops_of(spark, root, ours, parts, state="state", rows_per_task=20):
+    for part in parts:
+        table(spark, *part).coalesce(1).write.mode("append").parquet(f"{root}/drops")
+        stream = spark.readStream.schema(COMPETITOR_PRICES).parquet(f"{root}/drops")
+        monitor_prices(stream, lambda: ours, f"{root}/tables", f"{root}/{state}", rows_per_task).awaitTermination()
+    return Tables(spark, f"{root}/tables")
+
+
+@pytest.mark.parametrize("seed, rows_per_task", [(1, 1000), (2, 15)])
+def test_any_order_of_drops_gives_the_alerts_of_one_batch(spark, tmp_path, seed, rows_per_task):
+    rows = random_rows(160, 30 + seed)
+    random.Random(seed).shuffle(rows)
+    ours = products(spark)
+    parts = [rows[:50], rows[50:90], rows[90:91], rows[91:]]
+    tables = drops_of(spark, str(tmp_path), ours, parts, rows_per_task=rows_per_task)
+    want = as_set(px.history_alerts(table(spark, *rows), ours))
+    assert as_set(tables.read("competitor_alerts")) == want
+    assert tables.read("competitor_alerts").count() == len(want) > 50
+    assert as_set(tables.read("latest_prices")) == as_set(px.latest_priced(table(spark, *rows)))
+    # A lost checkpoint brings all drops again.
+    stream = spark.readStream.schema(COMPETITOR_PRICES).parquet(f"{tmp_path}/drops")
+    monitor_prices(stream, lambda: ours, f"{tmp_path}/tables", f"{tmp_path}/fresh").awaitTermination()
+    assert as_set(tables.read("competitor_alerts")) == want and tables.read("competitor_prices").count() == 160
+
+
+def test_a_late_snapshot_withdraws_the_alert_behind_it(spark, tmp_path):
+    ours = spark.createDataFrame([(1, 1.0, "USD")], "product_id bigint, price double, currency string")
+    first = [snapshot(1, 100.0), snapshot(5, 200.0), snapshot(9, 300.0)]
+    tables = drops_of(spark, str(tmp_path), ours, [first])
+
+    def kinds():
+        return {(r["created_at"].day - 1, r["alert_type"], r["price_difference"], r["acknowledged"])
+                for r in tables.read("competitor_alerts").collect()}
+
+    assert kinds() == {(5, "price_increase", 100.0, False), (9, "price_increase", 100.0, False)}
+    acknowledge_stored(tables, tables.read("competitor_alerts").select("alert_id"), "all")
+    drops_of(spark, str(tmp_path), ours, [[snapshot(3, 250.0)]])
+    assert kinds() == {(3, "price_increase", 150.0, False), (5, "price_drop", 50.0, False), (9, "price_increase", 100.0, True)}
+    # One of the same price as its predecessor leaves the alert behind it as it is.
+    drops_of(spark, str(tmp_path), ours, [[snapshot(7, 200.0)], [snapshot(6, None)]])
+    assert (9, "price_increase", 100.0, True) in kinds() and len(kinds()) == 3
+    # Without a change of ten percent to the new predecessor, the alert goes.
+    drops_of(spark, str(tmp_path), ours, [[snapshot(8, 299.0)]])
+    assert {k[0] for k in kinds()} == {3, 5, 8}
+
+
 def test_feed_stream_equals_batch_per_file(spark, tmp_path):
     lines = {
         "a.csv": ["SKU,name,price,Colour", "1,Red lamp,5,blk", "2,Chair,6,", '3,"Two\nlines",7,wht'],
@@ -47,14 +96,13 @@ def test_feed_stream_equals_batch_per_file(spark, tmp_path):
     }
     folder = tmp_path / "drops"
     folder.mkdir()
-    headers = ["SKU", "name", "price", "Colour"]
     root = str(tmp_path / "tables")
     current = spark.createDataFrame([], PRODUCTS)
     issues = 0
     for number, (name, text) in enumerate(lines.items()):
         (folder / name).write_text("\n".join(text) + "\n")
-        stream = feed_stream(spark, str(folder), headers)
-        ingest_feeds(stream, headers, root, str(tmp_path / "state"), lambda: NOW + timedelta(number)).awaitTermination()
+        stream = feed_stream(spark, str(folder))
+        ingest_feeds(stream, root, str(tmp_path / "state"), lambda: NOW + timedelta(number)).awaitTermination()
         if name.lower().endswith(".csv"):
             result = run_feed(spark, str(folder / name), current, NOW + timedelta(number), number)
             current = spark.createDataFrame(result.products.collect(), PRODUCTS)
@@ -69,15 +117,38 @@ def test_feed_stream_equals_batch_per_file(spark, tmp_path):
     assert [(j["new_products"], j["updated_products"]) for j in jobs] == [(3, 0), (1, 2)]
 
 
-def test_feed_stream_refuses_another_header(spark, tmp_path):
+def test_files_of_one_batch_go_by_their_own_headers_and_fail_alone(spark, tmp_path):
     folder, root = tmp_path / "drops", str(tmp_path / "tables")
     folder.mkdir()
-    for name, header in (("a b.csv", "sku,title"), ("c.csv", "title,sku")):
-        (folder / name).write_text(f"{header}\n1,2\n")
-        stream = feed_stream(spark, str(folder), ["sku", "title"])
-        ingest_feeds(stream, ["sku", "title"], root, str(tmp_path / "state"), lambda: NOW).awaitTermination()
+    files = {"a b.csv": ["sku,title,price", "1,one,5", '2,"two\nlines",6'], "b.csv": ["title,sku", "three,3"],
+             "c.csv": ["sku,title", "4,four,too much", "5,five"], "d.csv": ["price,sku,title", "7,1,one again"]}
+    for name, lines in files.items():
+        (folder / name).write_text("\n".join(lines) + "\n")
+
+    def run(state):
+        stream = feed_stream(spark, str(folder), files_per_batch=4)
+        ingest_feeds(stream, root, str(tmp_path / state), lambda: NOW).awaitTermination()
+
+    def jobs():
+        return [(j["job_id"], j["filename"], j["status"], j["processed_rows"])
+                for j in Tables(spark, root).read("ingestion_jobs").orderBy("job_id").collect()]
+
+    run("state")
     tables = Tables(spark, root)
-    jobs = tables.read("ingestion_jobs").orderBy("job_id").collect()
-    assert [(j["filename"], j["status"]) for j in jobs] == [("a b.csv", "completed"), ("c.csv", "failed")]
-    assert jobs[1]["error_message"].startswith("Failed to parse CSV: another header in ")
-    assert [r["title"] for r in tables.read("products").collect()] == ["2"]
+    assert jobs() == [(1, "c.csv", "failed", 0), (2, "a b.csv, b.csv, d.csv", "completed", 4)]
+    error = tables.read("ingestion_jobs").filter("status = 'failed'").first()["error_message"]
+    assert error == "Failed to parse CSV: 1 lines have more fields than the header"
+    rows = {r["sku"]: (r["title"], r["price"]) for r in tables.read("products").collect()}
+    assert rows == {"1": ("one again", 7.0), "2": ("two lines", 6.0), "3": ("three", None)}
+    assert tables.read("feed_files").count() == 4
+    run("fresh")  # a lost checkpoint brings all files again
+    assert len(jobs()) == 2
+    (folder / "e.csv").write_text("name,price\nno sku,3\n")
+    (folder / "f.csv").write_text("sku,title\n9,nine\n")
+    run("state")
+    assert jobs()[2:] == [(3, "e.csv", "failed", 0), (4, "f.csv", "completed", 1)]
+    (folder / "g.csv").write_text("name,price\nno sku,3\n")
+    run("state")
+    (folder / "h.csv").write_text("sku,title\n9,ten\n")
+    run("state")
+    assert [j[:2] for j in jobs()[4:]] == [(5, "g.csv"), (6, "h.csv")]
