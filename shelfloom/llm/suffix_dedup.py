@@ -22,7 +22,8 @@ other occurrence holds too.
 Copies of a text are one text with its smallest id; a later copy is removed as a whole. Entries are
 combined before every shuffle: an anchor that many texts of a task share sends one entry,
 and of equal surroundings one entry with the smallest id goes on while the others are covered at
-once. Anchors that occur more than ``hot_anchor`` times (at most ``HOT_SHARE`` anchors, so their
+once. Equal strings of one text send one entry too, and what is covered of a text covers all
+occurrences in it, so a megabyte of one byte costs no more than its few different strings. Anchors that occur more than ``hot_anchor`` times (at most ``HOT_SHARE`` anchors, so their
 list is small) go on as whole strings instead of surroundings, so that a common phrase
 does not bring all its surroundings to one task.
 
@@ -324,7 +325,7 @@ def shared_anchors(entries: DataFrame, hot_times: int, targets: int) -> DataFram
     def judge(table: pa.Table) -> pa.Table:
         return _judge_anchors(table, hot_times, targets)
 
-    return entries.groupBy("bucket").applyInArrow(judge, _FOR_TEXTS)
+    return entries.repartition(targets, "bucket").groupBy("bucket").applyInArrow(judge, _FOR_TEXTS)
 
 
 # --- surroundings -----------------------------------------------------------------------------------------------
@@ -372,9 +373,12 @@ def _row_hash(rows: _Rows) -> np.ndarray:
 
 
 def smallest_of_equal(rows: _Rows) -> tuple:
-    """(of each group of equal rows those with the smallest id; the rows with larger ids)."""
+    """(of each group of equal rows those with the smallest id; the rows with larger ids).
+
+    Of the equal rows of one text only one stays on either side; ``all_occurrences`` covers the others.
+    """
     hashed = _row_hash(rows)
-    order = np.lexsort((rows.first, hashed))
+    order = np.lexsort((rows.h2, rows.h1, rows.first, hashed))
     new = np.ones(len(order), bool)
     same = hashed[order][1:] == hashed[order][:-1]
     # Neighbours with equal hashes are equal only if their bytes are.
@@ -388,7 +392,9 @@ def smallest_of_equal(rows: _Rows) -> tuple:
     starts = np.flatnonzero(new)
     least = np.repeat(rows.first[order[starts]], _sizes(starts, len(order)))
     larger = rows.first[order] > least
-    return rows.take(order[~larger]), rows.take(order[larger])
+    again = np.zeros(len(order), bool)
+    again[1:] = same & (rows.h1[order][1:] == rows.h1[order][:-1]) & (rows.h2[order][1:] == rows.h2[order][:-1])
+    return rows.take(order[~larger & ~again]), rows.take(order[larger & ~again])
 
 
 def surroundings(text: bytes, places: np.ndarray, first: int, key: tuple, length: int, anchor: int) -> _Rows:
@@ -461,7 +467,11 @@ def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_
                 out.append((number, kind, kept.take(order[cuts[number]:cuts[number + 1]]).pack()))
 
         def flush():
-            rows, out = _Rows.join(held), []
+            out = []
+            # A run of one byte makes equal surroundings at each of its places; one of them goes on.
+            rows, larger = smallest_of_equal(_Rows.join(held))
+            if len(larger):
+                out.append((int(larger.h1[0]) % buckets, KNOWN, _covered(larger, *_reach(larger, anchor))))
             room = length - anchor
             hashed = anchors.of_rows(rows.data[:, room:room + anchor])
             named = (_bucket(hashed, anchor_buckets).astype(np.uint64) << np.uint64(32)) | (hashed & np.uint64(0xFFFFFFFF))
@@ -594,7 +604,7 @@ class SuffixOrder:
 
 
 def covered_around(rows: _Rows, length: int, anchor: int) -> tuple:
-    """(rows, low, high): ranges that strings of smaller ids cover around the anchors of ``rows``."""
+    """(rows, low, high): ranges whose strings all are strings of smaller ids, around the anchors of ``rows``."""
     room = length - anchor
     middle = rows.data[:, room:room + anchor]
     hashed = Anchors(length, anchor).of_rows(middle)
@@ -604,8 +614,8 @@ def covered_around(rows: _Rows, length: int, anchor: int) -> tuple:
     order = order[np.repeat(sizes > 1, sizes)]
     sizes = sizes[sizes > 1]
     rows = rows.take(order)
-    low_place = np.full(len(rows), room + 1)
-    high_place = np.full(len(rows), -1)
+    # Whether the string that begins so many bytes before a row's anchor is covered.
+    covered = np.zeros((len(rows), room + 3), bool)
     bounds, groups = np.concatenate(([0], np.cumsum(sizes))), np.repeat(np.arange(len(sizes)), sizes)
     start = 0
     while start < len(rows):
@@ -624,16 +634,17 @@ def covered_around(rows: _Rows, length: int, anchor: int) -> tuple:
                 least = np.minimum.reduceat(part.first[fits][together], begins)
                 least = np.repeat(least, _sizes(begins, len(together)))
                 hit = fits[together[part.first[fits][together] > least]] + start
-                low_place[hit] = np.minimum(low_place[hit], before)
-                high_place[hit] = np.maximum(high_place[hit], before)
+                covered[hit, before + 1] = True
         start = stop
-    found = np.flatnonzero(high_place >= 0)
+    # A range for each run of covered strings: what lies between two runs is no string of a smaller id,
+    # though all its bytes may be covered.
+    found, nearest = np.nonzero(covered[:, 1:] & ~covered[:, :-1])
+    farthest = np.nonzero(covered[:, :-1] & ~covered[:, 1:])[1] - 1
     place = rows.place[found].astype(np.int64)
-    # Strings around one anchor overlap, so together they cover one range.
-    return rows.take(found), place - high_place[found], place - low_place[found] + length
+    return rows.take(found), place - farthest, place - nearest + length
 
 
-def covered_ranges(entries: DataFrame, choice: tuple, targets: int) -> DataFrame:
+def covered_ranges(entries: DataFrame, choice: tuple, buckets: int, targets: int) -> DataFrame:
     """Packed byte ranges, for their texts, that strings of smaller ids cover."""
     length, anchor = choice
     width = 2 * length - anchor
@@ -652,16 +663,49 @@ def covered_ranges(entries: DataFrame, choice: tuple, targets: int) -> DataFrame
         made = _for_texts(targets, *(np.concatenate([f[i] for f in found]) for i in range(4))) if found else []
         return _for_texts_table(made)
 
-    return entries.groupBy("bucket").applyInArrow(judge, _FOR_TEXTS)
+    return entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judge, _FOR_TEXTS)
+
 
+def _marked(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``size`` places lie in one of some ranges."""
+    change = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
+    return np.cumsum(change[:size]) > 0
 
-def remaining(text: bytes, ranges: bytes) -> tuple:
-    """(bytes removed, number of removed runs, what remains) of a text with covered ranges."""
-    change = np.zeros(len(text) + 1, np.int64)
+
+def all_occurrences(text: bytes, begins: np.ndarray, length: int) -> np.ndarray:
+    """Where the strings of ``length`` bytes that begin at the marked places begin, all their occurrences included.
+
+    Strings are grouped by a polynomial hash; a place is added if its bytes equal those of its group's
+    marked one.
+    """
+    data = np.frombuffer(text, np.uint8)
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * _powers(_BASE, len(data)), dtype=np.uint64)))
+    hashed = (sums[length:] - sums[:-length]) * _powers(inverse, len(data))[:len(data) - length + 1]
+    known, first = np.unique(hashed[begins], return_index=True)
+    first = np.flatnonzero(begins)[first]
+    at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+    found = np.flatnonzero((known[at] == hashed) & ~begins)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length)
+    marked = begins.copy()
+    for start in range(0, len(found), 65_536):
+        part = found[start:start + 65_536]
+        marked[part] = (windows[part] == windows[first[at[part]]]).all(axis=1)
+    return marked
+
+
+def remaining(text: bytes, ranges: bytes, length: int = LENGTH) -> tuple:
+    """(bytes removed, number of removed runs, what remains) of a text with covered ranges.
+
+    A range is made of strings of ``length`` bytes that are removed, wherever they occur in the text.
+    """
     pairs = np.frombuffer(ranges, "<u4").reshape(-1, 2).astype(np.int64)
-    np.add.at(change, pairs[:, 0], 1)
-    np.add.at(change, pairs[:, 1], -1)
-    gone = np.cumsum(change[:-1]) > 0
+    strings = len(text) - length + 1
+    if not len(pairs) or strings < 1:
+        return 0, 0, text
+    begins = all_occurrences(text, _marked(strings, pairs[:, 0], pairs[:, 1] - length + 1), length)
+    at = np.flatnonzero(begins)
+    gone = _marked(len(text), at, at + length)
     return int(gone.sum()), len(counted(gone)[0]), np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
@@ -692,7 +736,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("first", "h1", "h2", "small", "places"), "touched-texts")
     count = shared.filter(F.col("target") != _NO_TEXT).agg(F.sum("entries")).first()[0] or 0
     parts = max(least, ceil(count / BUCKET_ENTRIES))
-    ranges = covered_ranges(surrounding_entries(touched, parts, choice, buckets, sent), choice, buckets)
+    ranges = covered_ranges(surrounding_entries(touched, parts, choice, buckets, sent), choice, parts, buckets)
     return touched.select("h1", "h2", "small"), by_text(ranges, 2, "ranges")
 
 
@@ -702,7 +746,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts, ranges = repeated_ranges(docs, id_col, text_col, length, anchor, hot_anchor)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = [remaining(t, r) for t, r in zip(_whole(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
+            made = [remaining(t, r, length) for t, r in zip(_whole(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.int64()),
                  pa.array([m[1] for m in made], pa.int64()),

@@ -95,3 +95,55 @@ def test_colliding_hashes_are_noticed(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_SMALL_BASES", [np.uint64(0), np.uint64(0x100000001B3)])
     order = SuffixOrder(data, np.zeros(3, np.int64))
     assert order.order.tolist() == [2, 0, 1] and order.equal.tolist() == [0, 1, 2]
+
+
+@pytest.mark.parametrize("hot", [20_000, 10])
+def test_long_runs_of_repeated_bytes(spark, hot, monkeypatch):
+    """Runs of one byte and of short periods, in several documents, send few rows."""
+    sent = []
+    whole = suffix_dedup.whole_strings
+    monkeypatch.setattr(suffix_dedup, "whole_strings", lambda *a: sent.append(len(a[0])) or whole(*a))
+    rows = [(1, "start " + "-" * 30_000 + " first end"), (2, "other " + "-" * 20_000 + "|" + "-" * 45 + " second " + "ab" * 4000),
+            (3, "ab" * 300 + "third " + "=" * 2000 + "-" * 10), (4, "=" * 5000 + "ba" * 100), (4, "x" + "=" * 3000 + "-" * 60),
+            (None, "abc" * 500 + "-" * 700)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    assert collected(suffix_dedup.suffix_dedup(frame, hot_anchor=hot), *NAMES) == brute(rows)
+
+
+def test_equal_rows_of_a_text_are_sent_once():
+    text = b"head" + b"-" * 60_000 + b"tail"
+    places = np.arange(4, 4 + 60_000 - 20)
+    rows = suffix_dedup.surroundings(text, places, 1, (5, 6), 50, 20)
+    kept, larger = suffix_dedup.smallest_of_equal(rows)
+    assert len(kept) < 100 and not len(larger)
+    other = suffix_dedup.surroundings(text + b"!", places, 2, (7, 8), 50, 20)
+    kept, larger = suffix_dedup.smallest_of_equal(suffix_dedup._Rows.join([rows, other]))
+    assert len(kept) < 100 and 0 < len(larger) < 100
+
+
+def test_all_occurrences_of_marked_strings():
+    chance = np.random.default_rng(6)
+    for _ in range(30):
+        text = bytes(chance.choice([97, 98], 300).tolist())
+        length = 5
+        begins = chance.random(296) < 0.02
+        strings = {text[i:i + length] for i in np.flatnonzero(begins)}
+        want = [text[i:i + length] in strings for i in range(296)]
+        if begins.any():
+            assert suffix_dedup.all_occurrences(text, begins, length).tolist() == want
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_what_lies_between_two_covered_strings_is_covered_only_there(spark, hot):
+    chance, rows = random.Random(9), []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for group in range(12):
+        word = "".join(chance.choice(letters) for _ in range(90))
+        gap = chance.randrange(2, 40)
+        between = word[gap // 2:gap // 2 + 50]
+        rows += [(3 * group, f"1{word[:50]}1"), (3 * group + 1, f"2{word[gap:gap + 50]}2"),
+                 (1000 + group, f"#{between}# {word[:gap + 50]} ({between})")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    assert any(w[3] == 1 and w[2] < 100 for w in want)
+    assert collected(suffix_dedup.suffix_dedup(frame, hot_anchor=hot), *NAMES) == want
