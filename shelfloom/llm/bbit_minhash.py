@@ -8,14 +8,17 @@ the set; two sets share a minimum with the probability of their Jaccard similari
 2. Signatures. Of each minimum the lowest ``BITS`` bits are kept and packed, 72 bytes a text. Equal
    bits of two signatures are counted; different minima agree by chance in one of 2**BITS
    cases, and the estimate is corrected for that. A pair is dropped if its estimate lies six
-   standard deviations below the similarity asked for.
+   standard deviations below the similarity asked for. Parity bits, 256 bytes, sharpen this: every
+   shingle that only one of two sets holds flips one bit, so the sets differ in at least as many shingles
+   as bits, which drops no similar pair and few of the others pass.
 3. Sets. Pairs that pass are compared on their full sets, so every link is a true one.
 
 Pairs are not listed within a bucket. First each set meets one or two members of its bucket, the hubs;
 the likeliest of all its hubs is verified, which joins a large group of copies at a cost for each
-member. Then only buckets are left that still hold several groups: their sets are compared by
-signature, in blocks of a bounded number of members that are spread over tasks, and those
-pairs of different groups that pass are verified. Sets that are equal are one entry from the start.
+member. Then only buckets are left that still hold several groups. Their sets are compared by their
+packed bits, in blocks of a bounded number of members that are spread over tasks; of all pairs
+between two groups the likeliest is verified. What is still apart after that is compared once more, and
+now every pair that passes is verified. Sets that are equal are one entry from the start.
 
 Defined results: a null, empty or white-space text has the empty set, which is linked with nothing;
 fewer words than a shingle give one shingle of all words; A-Z count as a-z; repeated rows each get a
@@ -46,6 +49,8 @@ MINIMA = BANDS * BAND_ROWS
 BITS = 4
 DEVIATIONS = 6
 
+PARITY_BITS = 2048
+
 # Members of a bucket that one task compares with as many others.
 BLOCK = 1024
 
@@ -77,6 +82,12 @@ def packed(least: np.ndarray) -> bytes:
     return (low[0::2] | low[1::2] << 4).tobytes()
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles that fall on each of some bits."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def band_keys(least: np.ndarray) -> list:
     """A bucket's name for each band, as signed integers."""
     raw, size = least.tobytes(), 8 * BAND_ROWS
@@ -108,32 +119,32 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
-    """(doc, text_hash, entry, size, signature, bands) of every row; the empty set has no entry."""
+    """(doc, text_hash, entry, size, signature, parity, bands) of every row; the empty set has no entry."""
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            entries, sizes, signatures, bands = [], [], [], []
+            entries, sizes, signatures, parity, bands = [], [], [], [], []
             for text in as_bytes(batch.column(2)):
                 shingles = shingle_set(text, words_each)
                 sizes.append(len(shingles))
                 if not len(shingles):
-                    entries.append(None)
-                    signatures.append(None)
-                    bands.append(None)
+                    for column in (entries, signatures, parity, bands):
+                        column.append(None)
                     continue
                 least = minima(shingles)
                 entries.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
                 signatures.append(packed(least))
+                parity.append(parities(shingles))
                 bands.append(band_keys(least))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(entries, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc", "text_hash", "entry", "size", "signature", "bands"])
+                 pa.array(signatures, pa.binary()), pa.array(parity, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc", "text_hash", "entry", "size", "signature", "parity", "bands"])
 
     text = F.col(f"`{text_col}`")
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc"), text_key(text).alias("text_hash"), text.alias("text"))
     return narrow.mapInArrow(
         sketched, f"doc {id_type(docs, id_col)}, text_hash bigint, entry bigint, size bigint, signature binary, "
-        "bands array<bigint>")
+        "parity binary, bands array<bigint>")
 
 
 def buckets(entries: DataFrame) -> DataFrame:
@@ -150,32 +161,44 @@ def buckets(entries: DataFrame) -> DataFrame:
     return posted.join(ends, "bucket").select("bucket", "entry", hubs)
 
 
-def likely(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, estimate) of the pairs whose signatures and sizes allow the similarity."""
-    least = fewest_equal(percent)
+class Sketches:
+    """Sizes, signatures and parities of some entries."""
 
-    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size_a, size_b = (np.asarray(batch.column(i), np.int64) for i in (2, 3))
-            left, right = (_signatures(batch.column(i)) for i in (4, 5))
-            equal = _EQUAL[left ^ right].sum(axis=1, dtype=np.int64)
-            good = pa.array((equal >= least) & _sizes_allow(size_a, size_b, percent))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(good), batch.column(1).filter(good),
-                 pa.array(estimated_similarity(equal)).filter(good)], ["a", "b", "estimate"])
+    def __init__(self, sizes: np.ndarray, signatures: np.ndarray, parities: np.ndarray):
+        self.sizes, self.signatures, self.parities = sizes, signatures, parities
 
-    a, b = (entries.select(F.col("entry").alias(n), F.col("size").alias(f"size_{n}"), F.col("signature").alias(f"signature_{n}"))
-            for n in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", "signature_a", "signature_b").mapInArrow(
-        estimated, "a bigint, b bigint, estimate double")
+    def __getitem__(self, places) -> "Sketches":
+        return Sketches(self.sizes[places], self.signatures[places], self.parities[places])
 
+    def likely(self, other: "Sketches", percent: int) -> tuple:
+        """(whether each pair may be similar, its differing parity bits, its equal low bits)."""
+        small, large = np.minimum(self.sizes, other.sizes), np.maximum(self.sizes, other.sizes)
+        differ = np.bitwise_count(self.parities ^ other.parities).sum(axis=1, dtype=np.int64)
+        equal = _EQUAL[self.signatures ^ other.signatures].sum(axis=1, dtype=np.int64)
+        good = (100 * small >= percent * large) & (equal >= fewest_equal(percent))
+        return good & (differ * (100 + percent) <= (small + large) * (100 - percent)), differ, equal
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
+def _sketches(sizes: list, signatures: list, parities: list) -> Sketches:
+    return Sketches(np.array(sizes, np.int64), np.frombuffer(b"".join(signatures), np.uint8).reshape(len(sizes), -1),
+                    np.frombuffer(b"".join(parities), np.uint64).reshape(len(sizes), -1))
 
-def _sizes_allow(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+def likely(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b, estimate) of the pairs whose sizes, signatures and parities allow the similarity."""
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            left, right = (_sketches(*(batch.column(i).to_pylist() for i in at)) for at in ((2, 3, 4), (5, 6, 7)))
+            good, _, equal = left.likely(right, percent)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).filter(pa.array(good)) for i in (0, 1)), pa.array(estimated_similarity(equal[good]))],
+                ["a", "b", "estimate"])
+
+    names = ("size", "signature", "parity")
+    a, b = (entries.select(F.col("entry").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in names]) for n in "ab")
+    columns = [f"{c}_{n}" for n in "ab" for c in names]
+    return pairs.join(a, "a").join(b, "b").select("a", "b", *columns).mapInArrow(
+        estimated, "a bigint, b bigint, estimate double")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words_each: int,
@@ -205,19 +228,33 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, te
         compared, "a bigint, b bigint")
 
 
-def pairs_within(first: tuple, second: tuple, percent: int) -> Iterator[tuple]:
-    """Pairs of places in two blocks, each (group, size, signature), whose groups differ and signatures agree."""
-    least = fewest_equal(percent)
-    for i in range(len(first[0])):
-        start = i + 1 if first is second else 0
-        near = np.flatnonzero((second[0][start:] != first[0][i]) & _sizes_allow(second[1][start:], first[1][i], percent)) + start
-        if len(near):
-            equal = _EQUAL[second[2][near] ^ first[2][i]].sum(axis=1, dtype=np.int64)
-            for k in near[equal >= least].tolist():
-                yield i, k
+def pairs_between(groups: np.ndarray, sketches: Sketches, cut: int, best_only: bool, percent: int) -> tuple:
+    """Places of the likely pairs of different groups, among all rows, or across ``cut`` if that is not 0.
 
-
-def open_pairs(shared: DataFrame, entries: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    With ``best_only`` one pair for each two groups: that with the fewest differing bits.
+    """
+    found = [], [], []
+    for i in range(cut or len(groups)):
+        near = np.flatnonzero(groups[cut or i + 1:] != groups[i]) + (cut or i + 1)
+        if not len(near):
+            continue
+        good, differ, _ = sketches[i:i + 1].likely(sketches[near], percent)
+        near = near[good]
+        for column, values in zip(found, (np.full(len(near), i), near, differ[good]), strict=True):
+            column.append(values)
+    if not found[0]:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    one, two, differ = (np.concatenate(c) for c in found)
+    if best_only:
+        low, high = np.minimum(groups[one], groups[two]), np.maximum(groups[one], groups[two])
+        order = np.lexsort((differ, high, low))
+        low, high = low[order], high[order]
+        order = order[np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))[:len(order)]]
+        one, two = one[order], two[order]
+    return one, two
+
+
+def open_pairs(shared: DataFrame, entries: DataFrame, known: DataFrame, best_only: bool, percent: int) -> DataFrame:
     """(a, b): likely pairs of different groups in the buckets that hold several groups.
 
     A bucket's members are dealt into blocks by a hash; each pair of blocks is one group of rows, so
@@ -228,39 +265,35 @@ def open_pairs(shared: DataFrame, entries: DataFrame, known: DataFrame, percent:
     left = grouped.groupBy("bucket").agg(
         F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")
-    members = grouped.join(left.select("bucket", blocks), "bucket").join(entries.select("entry", "size", "signature"), "entry")
+    members = grouped.join(left.select("bucket", blocks), "bucket").join(entries.drop("bands"), "entry")
     own = F.pmod(F.xxhash64("entry", "bucket"), F.col("blocks")).cast("int").alias("own")
     dealt = members.select("*", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "own", "entry", "group", "size",
-        "signature")
+        "signature", "parity")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, name = [], None
         for batch in batches:
             found = []
-            for *key, own, entry, group, size, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, own, entry, group, size, signature, parity in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != name:
-                    found += _compare(rows, percent)
+                    found += _compare(rows, best_only, percent)
                     rows, name = [], key
-                rows.append((own, entry, group, size, signature))
+                rows.append((own, entry, group, size, signature, parity))
             yield _pairs(found)
-        yield _pairs(_compare(rows, percent))
+        yield _pairs(_compare(rows, best_only, percent))
 
     spread = dealt.repartition("bucket", "i", "k").sortWithinPartitions("bucket", "i", "k", "own")
     return spread.mapInArrow(compared, "a bigint, b bigint").distinct()
 
 
-def _compare(rows: list, percent: int) -> list:
+def _compare(rows: list, best_only: bool, percent: int) -> list:
     if len(rows) < 2:
         return []
-    own, entry, group, size, signature = zip(*rows, strict=True)
-    columns = np.array(group), np.array(size), np.frombuffer(b"".join(signature), np.uint8).reshape(len(rows), -1)
+    own, entry, group, *bits = zip(*rows, strict=True)
     cut = own.count(own[0])
-    if cut == len(rows):
-        met = pairs_within(columns, columns, percent)
-    else:
-        met = ((i, cut + k) for i, k in pairs_within(tuple(c[:cut] for c in columns), tuple(c[cut:] for c in columns), percent))
-    return [(min(entry[i], entry[k]), max(entry[i], entry[k])) for i, k in met]
+    one, two = pairs_between(np.array(group), _sketches(*bits), cut if cut < len(rows) else 0, best_only, percent)
+    return [(min(entry[i], entry[k]), max(entry[i], entry[k])) for i, k in zip(one.tolist(), two.tolist(), strict=True)]
 
 
 def _pairs(found: list) -> pa.RecordBatch:
@@ -271,7 +304,7 @@ def _pairs(found: list) -> pa.RecordBatch:
 def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words_each: int, percent: int) -> DataFrame:
     """(node, component) of every entry of ``rows`` that is linked to another."""
     entries = settle(
-        rows.filter("entry IS NOT NULL").select("entry", "size", "signature", "bands").dropDuplicates(["entry"]), "entries")
+        rows.filter("entry IS NOT NULL").select("entry", "size", "signature", "parity", "bands").dropDuplicates(["entry"]), "entries")
     shared = settle(buckets(entries), "buckets")
     stars = shared.select("entry", F.explode("hubs").alias("hub")).filter("entry <> hub").select(
         F.least("entry", "hub").alias("a"), F.greatest("entry", "hub").alias("b")).distinct()
@@ -284,11 +317,16 @@ def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, wor
     rest = (docs, rows, id_col, text_col, words_each, percent)
     links = settle(verified(best, *rest), "links")
     known = settle(components(links), "groups")
-    more = settle(open_pairs(shared.select("bucket", "entry"), entries, known, percent).join(best, ["a", "b"], "left_anti"),
-                  "open-pairs")
-    if more.isEmpty():
-        return known
-    return components(links.unionByName(verified(more, *rest)))
+    tested, members = best, shared.select("bucket", "entry")
+    for best_only in (True, False):
+        pairs = open_pairs(members, entries, known, best_only, percent).join(tested, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "open-pairs")
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(settle(verified(pairs, *rest), "links"))
+        known = settle(components(links), "groups")
+    return known
 
 
 def minhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

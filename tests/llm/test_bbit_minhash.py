@@ -106,3 +106,31 @@ def test_defined_cases(spark):
     rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
     assert collected(bbit_minhash.minhash_duplicates(frame), *NAMES) == brute(rows)
     assert bbit_minhash.minhash_duplicates(empty_documents(spark)).count() == 0
+
+
+def test_parities_drop_no_similar_pair():
+    chance = np.random.default_rng(5)
+    kept = []
+    for _ in range(200):
+        a = np.unique(chance.integers(0, 2**63, chance.integers(1, 400), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[chance.random(len(a)) < chance.choice([0.7, 0.9, 1])],
+                                      chance.integers(0, 2**63, chance.integers(0, 40), dtype=np.uint64))))
+        if len(b):
+            x, y = (bbit_minhash._sketches([len(s)], [bbit_minhash.packed(bbit_minhash.minima(s))], [bbit_minhash.parities(s)])
+                    for s in (a, b))
+            kept.append((bbit_minhash.similar(a, b), bool(x.likely(y, 80)[0][0])))
+    assert (True, False) not in kept and kept.count((True, True)) > 20 and kept.count((False, False)) > 20
+
+
+def test_many_loose_copies_of_one_text(spark):
+    """Copies with few and many changes: half of them are linked, the others resemble but are not similar."""
+    chance, rows = random.Random(4), []
+    text = [f"w{chance.randrange(900)}" for _ in range(120)]
+    for doc in range(150):
+        words = text[:]
+        for _ in range(chance.choice([0, 1, 2, 3, 4, 6, 8])):
+            words[chance.randrange(120)] = f"x{chance.randrange(10_000)}"
+        rows.append((doc, " ".join(words)))
+    want = brute(rows)
+    assert 10 < len({r[2] for r in want}) < 100
+    assert found(spark, rows) == want
