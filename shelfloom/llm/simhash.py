@@ -125,15 +125,14 @@ def list_links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.
     for batch in batches:
         column = batch.column(0)
         values = np.asarray(column.flatten()).view(np.uint64)
-        offsets = np.concatenate(([0], np.cumsum(np.asarray(column.value_lengths())))).tolist()
-        a, b = [], []
-        for start, stop in zip(offsets[:-1], offsets[1:], strict=True):
-            if stop - start == 2:
-                x, y = values[start:stop].tolist()
-                if (x ^ y).bit_count() <= max_bits:
-                    a.append(_signed(x))
-                    b.append(_signed(y))
-                continue
+        offsets = np.concatenate(([0], np.cumsum(np.asarray(column.value_lengths(), np.int64))))
+        sizes = np.diff(offsets)
+        # Lists of two, the commonest, at once.
+        two = offsets[:-1][sizes == 2]
+        x, y = values[two], values[two + 1]
+        near = _passes(x ^ y, max_bits)
+        a, b = x[near].view(np.int64).tolist(), y[near].view(np.int64).tolist()
+        for start, stop in zip(offsets[:-1][sizes > 2].tolist(), offsets[1:][sizes > 2].tolist(), strict=True):
             entries = np.unique(values[start:stop])
             low = _groups(entries, max_bits)
             moved = low != entries
@@ -174,18 +173,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = settle(own, "fingerprint-components")
     return marked.join(own, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that with the smallest id.
-
-    For tables whose ids are unique and not null: of rows that repeat this id, and of all rows
-    without one, an arbitrary one stays, also where their texts differ. ``near_copies.keep_one``
-    tells documents apart by id and text, and is what the pipeline uses.
-    """
-    groups = near_duplicates(docs, id_col, text_col, **limits)
-    chosen = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("members")).select(
-        F.col("component_id").alias("keeper"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("keeper_id"))
-    kept = rows.join(chosen, F.col("keeper_id").eqNullSafe(F.col("keeper")), "left_semi")
-    return kept.dropDuplicates(["keeper_id"]).select("row.*")
