@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.llm.texts import as_bytes, counted, id_type, slices
+from shelfloom.llm.texts import as_bytes, counted, filtered, id_type, slices
 
 WINDOW_WORDS = 10
 SHARD_BYTES = 32 << 20
@@ -196,13 +196,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """``docs`` without the rows in which a window of the benchmark occurs."""
     shards = _shards(benchmark, item_col, item_text_col, shard_bytes)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = None
-        for batch in slices(batches, 1024):
-            automata = automata or _Automata(shards, window)
-            texts = [t or b"" for t in as_bytes(batch.column(text_col))]
-            yield batch.filter(pa.array([not items for _, _, items in automata.scan(texts)], pa.bool_()))
-
-    return docs.mapInArrow(clean, docs.schema)
+    held = []
 
+    def clean(texts: pa.Array) -> list:
+        # A task's automata are built with its first rows.
+        held[:] = held or [_Automata(shards, window)]
+        return [not items for _, _, items in held[0].scan([t or b"" for t in as_bytes(texts)])]
 
+    return filtered(docs, text_col, clean)

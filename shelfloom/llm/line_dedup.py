@@ -205,7 +205,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, bitmap): each row of ``docs`` as a struct beside its bitmap, null for none."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc"),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc"),
                        text_key(F.col(text_col)).alias("text_hash"))
     return rows.join(bitmaps, same_document(rows, bitmaps, ["doc", "text_hash"]), "left").select("row", "bitmap")
 
@@ -257,8 +257,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = with_bitmaps(docs, bitmaps, id_col, text_col)
     narrow = joined.select(F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("rest"),
                            F.col(f"row.`{text_col}`").alias("text"), "bitmap")
-    rest = narrow.schema["rest"].dataType.simpleString()
-    made = narrow.mapInArrow(reduce, f"rest {rest}, text string")
+    made = narrow.mapInArrow(reduce, narrow.select("rest", "text").schema)
     return made.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.llm.texts import as_bytes, id_type, slices
+from shelfloom.llm.texts import as_bytes, filtered, id_type, slices
 
 LABELLED_PER_CLASS = 8_000
 PAIRS = 60_000
@@ -201,9 +201,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
     ranking = taught_by(docs, labels)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield batch.filter(pa.array(ranking.score(_rows(batch.column(text_col))) >= THRESHOLD))
-
-    return docs.mapInArrow(kept, docs.schema)
+    return filtered(docs, text_col, lambda texts: ranking.score(_rows(texts)) >= THRESHOLD)

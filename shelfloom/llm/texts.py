@@ -1,6 +1,6 @@
 """Small helpers that the text operators share."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
             yield batch.slice(start, rows)
 
 
+def filtered(docs: DataFrame, text_col: str, keep: Callable) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` marks; it gets a batch's column of texts as Arrow.
+
+    Columns travel under plain names, since theirs may hold dots.
+    """
+    place = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(place)), pa.bool_()))
+
+    return plain.mapInArrow(lambda batches: kept(slices(batches)), plain.schema).toDF(*docs.columns)
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text. Together with the id it names a document, so rows that
     repeat an id with another text stay apart."""

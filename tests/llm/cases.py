@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 # Names that operators use inside themselves, here as extra columns of the input.
 CLASHING = ("row", "doc", "text_hash", "lines", "bitmap", "fp", "h1", "first", "places", "label", "features", "ids",
-            "item", "keeper", "rest", "host", "words")
+            "item", "keeper", "rest", "host", "words", "entry", "bucket", "group", "size", "word", "n", "form", "a.b", "c0")
 
 LONG = "".join(f"Word{i % 977} stands, {i % 13} times\n" if i % 9 == 8 else f"word{i % 977} " for i in range(60_000))
 
