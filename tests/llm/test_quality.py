@@ -64,3 +64,37 @@ def test_features_of_odd_texts():
     for text in (b"", b" ", b"a", b"\x00", "é日".encode(), b"--- ... ###", b"x" * 10**6, b"a " * 10**5):
         row = quality.features(text)
         assert len(row) == len(quality.FEATURES) and np.isfinite(row).all()
+
+
+def test_weights_are_those_of_least_pair_loss():
+    """Against a plain descent on the loss of the same pairs, from another start."""
+    chance = np.random.default_rng(3)
+    better, worse = chance.normal(0.6, 1, (60, 4)), chance.normal(0, 1, (50, 4))
+    pairs, ridge = 900, 1e-3
+    weights = quality.fit_pairs(better, worse, pairs, ridge)
+    drawn = np.random.default_rng(7)
+    gap = better[drawn.integers(0, 60, pairs)] - worse[drawn.integers(0, 50, pairs)]
+
+    def loss(w):
+        return np.mean(np.log1p(np.exp(-gap @ w))) + ridge / 2 * w @ w
+
+    plain = np.ones(4)
+    for _ in range(20_000):
+        plain = plain - 0.3 * (ridge * plain - gap.T @ (1 / (1 + np.exp(gap @ plain))) / pairs)
+    assert np.abs(plain - weights).max() < 1e-5
+    assert all(loss(weights) <= loss(weights + chance.normal(0, 0.01, 4)) for _ in range(200))
+
+
+def test_scores_equal_a_plain_form(spark):
+    """Score by score from the written model: features, standardised and clipped, weighted, put through the logistic curve."""
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "labels"))
+    ranking = quality.taught_by(docs, labels)
+    found = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.classify(docs, labels).collect()}
+    for row in docs.collect():
+        total = 0.0
+        for value, mean, scale, weight in zip(quality.features((row["text"] or "").encode()), ranking.mean, ranking.scale,
+                                              ranking.weights, strict=True):
+            total += max(-8.0, min(8.0, (value - mean) / scale)) * weight
+        odds = np.exp(max(-60.0, min(60.0, total - ranking.cut + np.log(0.7 / 0.3))))
+        score, predicted = found[row["doc_id"]]
+        assert abs(score - odds / (1 + odds)) < 1e-9 and predicted == (score >= 0.7)
