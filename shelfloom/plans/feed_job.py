@@ -14,6 +14,7 @@ from shelfloom.operators.cleaning import (
     clean_rows, feed_rows, is_storable, last_per_sku, map_headers, quarantine, storable_rows,
 )
 from shelfloom.operators.quality import data_issues, status_from_issues, with_issues
+from shelfloom.plans.kept_counts import keep_counts
 from shelfloom.schemas import INGESTION_JOBS
 from shelfloom.session import intermediate, settle
 from shelfloom.sources.feeds import OVERFLOW, is_csv_name, open_feed
@@ -168,6 +169,7 @@ def store(result: FeedResult, change: Change) -> None:
                 change.append("quarantine", result.quarantine)
             change.replace("products", result.products, change.touched["products"])
         change.append("ingestion_jobs", result.job)
+        keep_counts(change)
         change.commit()
     except LostRace:
         raise
@@ -177,6 +179,7 @@ def store(result: FeedResult, change: Change) -> None:
         message = OTHER_ERROR_TEXT.format(error=error)
         failed = failed_feed(result.spark, message, job["started_at"], job["job_id"], job["filename"], error)
         change.append("ingestion_jobs", failed.job)
+        keep_counts(change)
         change.commit(done=False)
         raise
 

@@ -699,6 +699,14 @@ FROM orders GROUP BY ALL""")
 oracle("q_store_cascade", TWO_FEEDS, """
 SELECT 'products' AS table_name, n AS rows FROM counts
 UNION ALL SELECT 'data_issues', 2 * n + 4 * (n - odd) FROM counts UNION ALL SELECT 'ingestion_jobs', 2""")
+oracle("q_kept_counts", TWO_FEEDS, """
+SELECT what, found FROM (SELECT unnest([
+  {'what': 'total_products', 'found': n::VARCHAR}, {'what': 'active_products', 'found': '0'},
+  {'what': 'flagged_products', 'found': n::VARCHAR}, {'what': 'products_without_description', 'found': n::VARCHAR},
+  {'what': 'open_issues', 'found': (n + 2 * (n - odd))::VARCHAR}, {'what': 'recent_alerts', 'found': '0'},
+  {'what': 'last_ingestion', 'found': '2024-06-02 00:00:00'},
+  {'what': 'products with open issues: 1', 'found': odd::VARCHAR},
+  {'what': 'products with open issues: 3', 'found': (n - odd)::VARCHAR}], recursive := true) FROM counts)""")
 oracle("q_feed_outcomes", "counts AS (SELECT count(*) AS n FROM supplier)", """
 SELECT 1::BIGINT AS job_id, 'no-sku' AS filename, 'failed' AS status, n AS total_rows, 0::BIGINT AS processed_rows,
        0::BIGINT AS issues_found,

@@ -9,6 +9,7 @@ from shelfloom.operators.prices import (
     advance_latest, batch_alerts, products_to_scrape, scrape_summary, search_targets, snapshots,
     unmatched_targets,
 )
+from shelfloom.plans.kept_counts import keep_counts
 from shelfloom.session import intermediate, settle
 from shelfloom.sources.pages import best_listings, read_listings
 from shelfloom.sources.tables import Change, Tables
@@ -61,6 +62,7 @@ def store_prices(result: PriceResult, change: Change) -> None:
     change.append("competitor_prices", result.snapshots)
     change.append("competitor_alerts", result.alerts)
     change.replace("latest_prices", result.latest, change.touched["latest_prices"])
+    keep_counts(change)
     change.commit()
 
 

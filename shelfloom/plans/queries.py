@@ -17,6 +17,7 @@ from shelfloom.plans import testviews as tv
 from shelfloom.plans.feed_job import (
     checked_rows, feed_counts, ingest_feed, known_skus, run_feed,
 )
+from shelfloom.plans.kept_counts import kept_stats, recount, with_kept_issue_counts
 from shelfloom.plans.store_changes import acknowledge_stored, delete_stored, resolve_stored
 from shelfloom.schemas import COMPETITOR_ALERTS, PRODUCTS
 from shelfloom.session import new_folder, settle
@@ -315,7 +316,7 @@ def _write_feed(lines, folder):
     lines.write.options(header=True, escape='"', maxRecordsPerFile=LINES_PER_FILE).mode("append").csv(folder)
 
 
-def _two_feeds(spark, sf_dir):
+def _two_feeds(spark, sf_dir, begin=lambda tables: None):
     """A store after two feeds: all parts, then each of them twice, half of them under new SKUs."""
     root = new_folder(spark, "two-feeds")
     part, key = tv.read(spark, sf_dir, "part"), F.col("p_partkey")
@@ -327,6 +328,7 @@ def _two_feeds(spark, sf_dir):
     _write_feed(first, f"{root}/first")
     _write_feed(second.unionByName(second), f"{root}/second")
     tables = Tables(spark, f"{root}/tables")
+    begin(tables)
     ingest_feed(tables, f"{root}/first", RUN)
     ingest_feed(tables, f"{root}/second", NEXT_RUN)
     return tables
@@ -382,6 +384,25 @@ def q_store_cascade(spark, sf_dir):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@query
+def q_kept_counts(spark, sf_dir):
+    """Statistics and open issues that a store has kept through two feeds, resolved issues and deleted products."""
+    tables = _two_feeds(spark, sf_dir, recount)
+    undescribed = tables.read("data_issues").filter(F.col("issue_type") == "missing_description")
+    resolve_stored(tables, settle(undescribed.select("issue_id", "product_id"), "undescribed"), NEXT_RUN, "undescribed")
+    doomed = tables.read("products").filter(F.startswith("sku", F.lit("NEW-"))).select("product_id", "sku")
+    delete_stored(tables, settle(doomed, "doomed"), "new ones")
+    stats = kept_stats(tables)
+    counts = [c for c in stats.columns if c != "last_ingestion"]
+    found = stats.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("found")) for c in counts
+    ], F.struct(F.lit("last_ingestion").alias("what"), stamp("last_ingestion").alias("found")))).alias("one")).select("one.*")
+    issues = with_kept_issue_counts(tables.read("products"), tables).groupBy(
+        F.concat(F.lit("products with open issues: "), "issue_count").alias("what")).agg(
+        F.count(F.lit(1)).cast("string").alias("found"))
+    return found.unionByName(issues)
+
+
 @query
 def q_feed_outcomes(spark, sf_dir):
     """The job log after feeds without a SKU column, without a CSV file, with overlong lines, whole, misnamed."""

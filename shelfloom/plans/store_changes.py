@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from shelfloom.operators import changes
 from shelfloom.operators.content import resolve_content_issues, store_content
 from shelfloom.plans.content_job import run_content
+from shelfloom.plans.kept_counts import keep_counts
 from shelfloom.session import intermediate
-from shelfloom.sources.tables import Change, Tables
+from shelfloom.sources.tables import KEYS, Change, Tables
 
 # Tables whose rows go with their product.
 CHILDREN = ("data_issues", "competitor_prices", "competitor_alerts", "latest_prices")
@@ -20,27 +21,39 @@ def _rewrite(change: Change, name: str, buckets: list, rows: Callable) -> None:
         change.replace(name, rows(change.read(name, buckets)), buckets)
 
 
+def _commit(change: Change) -> None:
+    with intermediate(change.tables.spark):
+        keep_counts(change)
+        change.commit()
+
+
 def _marked(change: Change, name: str, ids: DataFrame, key: str) -> list:
-    """Buckets of the rows with the given ids."""
+    """Buckets of the rows with the given ids.
+
+    Ids that come with the column a table lies by name their buckets; otherwise the ids of the whole
+    table are read.
+    """
+    if KEYS[name] in ids.columns:
+        return change.buckets_of(name, ids)
     return change.buckets_of(name, change.read(name).join(ids.select(key), key, "left_semi"))
 
 
 def resolve_stored(tables: Tables, ids: DataFrame, run_ts: datetime, name: str) -> None:
-    """Resolve stored issues (issue_id); ``name`` tells this change from others."""
+    """Resolve stored issues (issue_id, and product_id to read only its buckets); ``name`` tells this change from others."""
     change = tables.begin(f"resolve:{name}")
     if change is not None:
         _rewrite(change, "data_issues", _marked(change, "data_issues", ids, "issue_id"),
                  lambda rows: changes.resolve_issues(rows, ids, run_ts))
-        change.commit()
+        _commit(change)
 
 
 def acknowledge_stored(tables: Tables, ids: DataFrame, name: str) -> None:
-    """Acknowledge stored alerts (alert_id)."""
+    """Acknowledge stored alerts (alert_id, and product_id to read only its buckets)."""
     change = tables.begin(f"acknowledge:{name}")
     if change is not None:
         _rewrite(change, "competitor_alerts", _marked(change, "competitor_alerts", ids, "alert_id"),
                  lambda rows: changes.acknowledge_alerts(rows, ids))
-        change.commit()
+        _commit(change)
 
 
 def delete_stored(tables: Tables, doomed: DataFrame, name: str) -> None:
@@ -52,7 +65,7 @@ def delete_stored(tables: Tables, doomed: DataFrame, name: str) -> None:
         for child in CHILDREN:
             _rewrite(change, child, change.buckets_of(child, doomed),
                      lambda rows: changes.delete_products(doomed, rows)[0])
-        change.commit()
+        _commit(change)
 
 
 def generate_stored(tables: Tables, ids: DataFrame, generator: Callable, run_ts: datetime, name: str,
@@ -71,5 +84,5 @@ def generate_stored(tables: Tables, ids: DataFrame, generator: Callable, run_ts:
                  lambda rows: store_content(rows, result.results, run_ts))
         _rewrite(change, "data_issues", change.buckets_of("data_issues", done),
                  lambda rows: resolve_content_issues(rows, result.results, run_ts))
-        change.commit()
+        _commit(change)
         return result.summary.first()

@@ -52,6 +52,13 @@ INGESTION_JOBS = _schema(
 # Files that feed streams have taken in.
 FEED_FILES = _schema("file string, job_id bigint")
 
+# Statistics of the whole catalog, one row, and products' open issues: see plans/kept_counts.py.
+CATALOG_COUNTS = _schema(
+    "name string, total_products bigint, active_products bigint, flagged_products bigint, "
+    "products_without_description bigint, open_issues bigint, recent_alerts bigint, last_ingestion timestamp"
+)
+OPEN_ISSUES = _schema("product_id bigint, open_issues bigint")
+
 # Feed rows over a width that the caller set.
 QUARANTINE = _schema(
     "job_id bigint, sku string, title string, raw_data string, reject_reason string"

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfloom.fixed_values import NO_SKU_TEXT, PARSE_ERROR_TEXT
 from shelfloom.operators.cleaning import map_headers
 from shelfloom.plans.feed_job import failed_feed, overlong_text, process_rows, store, touched_products
+from shelfloom.plans.kept_counts import keep_counts
 from shelfloom.session import intermediate, settle
 from shelfloom.sources.feeds import CSV_FILES, ORDER, OVERFLOW, Feed, feed_of
 from shelfloom.sources.records import placed, text_lines
@@ -88,6 +89,7 @@ def ingest_feeds(stream: DataFrame, root: str, checkpoint: str, clock: Callable
             store(result, change)
         else:
             change.job_id -= 1
+            keep_counts(change)
             change.commit()
 
     return (

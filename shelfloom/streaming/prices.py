@@ -19,6 +19,7 @@ from shelfloom.operators.prices import (
     SERIES, advance_latest, batch_alerts, late_series, revised_alerts, without_void_alerts,
 )
 from shelfloom.operators.skew import ROWS_PER_TASK
+from shelfloom.plans.kept_counts import keep_counts
 from shelfloom.session import intermediate, settle
 from shelfloom.sources.tables import BUCKETS, Change, Tables, time_range
 from shelfloom.streaming.progress import stream_id
@@ -83,6 +84,7 @@ def monitor_prices(stream: DataFrame, products: Callable[[], DataFrame], root: s
                 store_late(change, timely, taken.join(late, SERIES, "left_semi"), late, products(), rows_per_task)
             change.append("competitor_prices", taken)
             change.replace("latest_prices", advance_latest(latest, taken), touched)
+            keep_counts(change)
             change.commit()
 
     return (
