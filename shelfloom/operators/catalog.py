@@ -10,6 +10,10 @@ from shelfloom.functions.text import normalize_text
 from shelfloom.session import settle
 
 
+# Fields that a search looks at.
+SEARCHED = ("title", "sku", "brand")
+
+
 def _empty(column: str) -> Column:
     """Null or ''; never null."""
     return F.coalesce(F.col(column) == "", F.lit(True))
@@ -30,7 +34,7 @@ def filter_products(products: DataFrame, status: str = None, category: str = Non
     Empty arguments do not filter. % and _ in ``search`` are wildcards.
     """
     rows = matching(products, {"status": status or None, "category": category or None})
-    found = [F.col(name).ilike(f"%{search}%") for name in ("title", "sku", "brand")]
+    found = [F.col(name).ilike(f"%{search}%") for name in SEARCHED]
     return rows.filter(reduce(or_, found)) if search else rows
 
 

@@ -707,6 +707,17 @@ SELECT what, found FROM (SELECT unnest([
   {'what': 'last_ingestion', 'found': '2024-06-02 00:00:00'},
   {'what': 'products with open issues: 1', 'found': odd::VARCHAR},
   {'what': 'products with open issues: 3', 'found': (n - odd)::VARCHAR}], recursive := true) FROM counts)""")
+STORED = """
+stored AS (
+  SELECT p_partkey AS product_id, 'SKU-' || lpad(p_partkey::VARCHAR, 6, '0') AS sku, p_name, p_brand,
+         make_timestamp(((p_partkey * 7919) % 100000) * 1000000) AS changed FROM part)"""
+oracle("q_indexed_search", STORED, """
+SELECT pattern, product_id, sku FROM stored,
+       (SELECT unnest(['blue', 'SKU-00012', 'rand#1', 'la%ge', 'd_h', 'no such thing', 'ot r']) AS pattern)
+WHERE p_name ILIKE '%' || pattern || '%' OR sku ILIKE '%' || pattern || '%' OR p_brand ILIKE '%' || pattern || '%'""")
+oracle("q_directory_page", STORED, f"""
+SELECT product_id, sku, {stamp('changed')} AS updated_at FROM stored ORDER BY changed DESC, product_id
+LIMIT 50 OFFSET (SELECT count(*) * 9 // 10 FROM part)""")
 oracle("q_feed_outcomes", "counts AS (SELECT count(*) AS n FROM supplier)", """
 SELECT 1::BIGINT AS job_id, 'no-sku' AS filename, 'failed' AS status, n AS total_rows, 0::BIGINT AS processed_rows,
        0::BIGINT AS issues_found,

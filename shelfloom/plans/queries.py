@@ -1,6 +1,7 @@
 """The registered queries: each operator run over the whole of the given tables."""
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from shelfloom.plans.feed_job import (
     checked_rows, feed_counts, ingest_feed, known_skus, run_feed,
 )
 from shelfloom.plans.kept_counts import kept_stats, recount, with_kept_issue_counts
+from shelfloom.plans.page_directory import stored_page, write_directory
+from shelfloom.plans.search_index import add_to_index, search_stored
 from shelfloom.plans.store_changes import acknowledge_stored, delete_stored, resolve_stored
 from shelfloom.schemas import COMPETITOR_ALERTS, PRODUCTS
 from shelfloom.session import new_folder, settle
@@ -28,6 +31,7 @@ from shelfloom.streaming.prices import monitor_prices
 
 RUN = datetime(2024, 6, 1)
 NEXT_RUN = datetime(2024, 6, 2)
+SEARCHES = ("blue", "SKU-00012", "rand#1", "la%ge", "d_h", "no such thing", "ot r")
 QUERIES = {}
 
 
@@ -403,6 +407,37 @@ def q_kept_counts(spark, sf_dir):
     return found.unionByName(issues)
 
 
+def _stored_catalog(spark, sf_dir, name):
+    root = new_folder(spark, name)
+    tables = Tables(spark, f"{root}/tables", buckets=64)
+    change = tables.begin("catalog")
+    key = F.col("product_id")
+    change.append("products", _catalog(spark, sf_dir).withColumns({
+        "sku": tv.sku_of(key), "updated_at": F.timestamp_seconds(F.pmod(key * 7919, F.lit(100_000)))}))
+    change.commit()
+    return tables, f"{root}/index"
+
+
+@query
+def q_indexed_search(spark, sf_dir):
+    """Substring searches of a stored catalog by its trigrams: words, parts of SKUs, wildcards, nothing found."""
+    tables, folder = _stored_catalog(spark, sf_dir, "search")
+    add_to_index(tables.read("products"), folder)
+    found = [search_stored(tables, folder, pattern).select(F.lit(pattern).alias("pattern"), "product_id", "sku")
+             for pattern in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def q_directory_page(spark, sf_dir):
+    """The page at nine tenths of a stored catalog, by its directory of the order."""
+    tables, folder = _stored_catalog(spark, sf_dir, "pages")
+    products = tables.read("products")
+    write_directory(products, folder, 20)
+    page = stored_page(tables, folder, products.count() * 9 // 10, 50)
+    return page.select("product_id", "sku", stamp("updated_at").alias("updated_at"))
+
+
 @query
 def q_feed_outcomes(spark, sf_dir):
     """The job log after feeds without a SKU column, without a CSV file, with overlong lines, whole, misnamed."""
