@@ -201,28 +201,31 @@ def likely(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
         estimated, "a bigint, b bigint, estimate double")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words_each: int,
-             percent: int) -> DataFrame:
-    """The pairs of entries (a, b) whose full sets are similar."""
+def full_sets(wanted: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str,
+              words_each: int) -> DataFrame:
+    """(entry, shingles): the full sets of the wanted entries, packed, from one text of each."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingle_set(t, words_each).tobytes() for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["entry", "shingles"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            left, right = ([np.frombuffer(s, np.uint64) for s in batch.column(i).to_pylist()] for i in (2, 3))
-            hit = pa.array([similar(x, y, percent) for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(hit) for i in (0, 1)], ["a", "b"])
-
-    wanted = pairs.select(F.col("a").alias("entry")).unionByName(pairs.select(F.col("b").alias("entry"))).distinct()
     # One text of each wanted set: its copies stay where they are.
     places = settle(rows.join(wanted, "entry", "left_semi").groupBy("entry").agg(
         F.min(F.struct("text_hash", "doc")).alias("place")).select("entry", "place.doc", "place.text_hash"), "set-places")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), text_key(F.col(f"`{text_col}`")).alias("text_hash"),
                         F.col(f"`{text_col}`").alias("text"))
     met = texts.join(places, same_document(texts, places, ["doc", "text_hash"])).select("entry", "text")
-    found = settle(met.mapInArrow(sets, "entry bigint, shingles binary").dropDuplicates(["entry"]), "sets")
+    return met.mapInArrow(sets, "entry bigint, shingles binary").dropDuplicates(["entry"])
+
+
+def verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs of entries (a, b) whose ``full_sets`` are similar."""
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            left, right = ([np.frombuffer(s, np.uint64) for s in batch.column(i).to_pylist()] for i in (2, 3))
+            hit = pa.array([similar(x, y, percent) for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(hit) for i in (0, 1)], ["a", "b"])
+
     a, b = (found.select(F.col("entry").alias(n), F.col("shingles").alias(f"{n}_shingles")) for n in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_shingles", "b_shingles").mapInArrow(
         compared, "a bigint, b bigint")
@@ -314,8 +317,9 @@ def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, wor
         stars.select(F.col("b").alias("one"), "a", "b", "estimate"))
     best = either.groupBy("one").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
     best = settle(best, "best-stars")
-    rest = (docs, rows, id_col, text_col, words_each, percent)
-    links = settle(verified(best, *rest), "links")
+    # Texts are read and shuffled once, for all rounds.
+    found = settle(full_sets(shared.select("entry").distinct(), docs, rows, id_col, text_col, words_each), "sets")
+    links = settle(verified(best, found, percent), "links")
     known = settle(components(links), "groups")
     tested, members = best, shared.select("bucket", "entry")
     for best_only in (True, False):
@@ -324,7 +328,7 @@ def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, wor
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
-        links = links.unionByName(settle(verified(pairs, *rest), "links"))
+        links = links.unionByName(settle(verified(pairs, found, percent), "links"))
         known = settle(components(links), "groups")
     return known
 
