@@ -13,7 +13,7 @@ from shelfloom.fixed_values import (
     NO_DESCRIPTION, SCORE_LABELS, SHORT, TOO_LONG, VERY_THIN,
 )
 from shelfloom.functions.text import (
-    fill, first_word, is_filled, kept_in_order, sentence_count, word_count,
+    fill, first_word, is_filled, kept_in_order, sentence_count, spaced_words, word_count,
 )
 
 CONTRADICTION_TYPE = (
@@ -21,11 +21,14 @@ CONTRADICTION_TYPE = (
 )
 
 
-def _mentions(text: Column, phrases: list, template: str = "{phrase}") -> Column:
-    """The phrases that occur in the text, in list order, put into a template."""
-    return kept_in_order(
-        [(F.contains(text, F.lit(p)), F.lit(template.format(phrase=p))) for p in phrases]
-    )
+def _mentions(text: Column, phrases: list, template: str = "{phrase}", within: str = "{phrase}") -> Column:
+    """The phrases that occur in the text, in list order, put into a template.
+
+    ``within`` is what has to occur for a phrase.
+    """
+    return kept_in_order([
+        (F.contains(text, F.lit(within.format(phrase=p))), F.lit(template.format(phrase=p))) for p in phrases
+    ])
 
 
 def with_content_score(df: DataFrame, description: str = "description",
@@ -88,9 +91,10 @@ def with_content_score(df: DataFrame, description: str = "description",
     )
 
 
-def _color_mention(key: Column, value: Column, source: str):
+def _color_mention(key: Column, value: Column, source: str, word_boundary: bool):
     """(test, contradiction) for the first known color in a text that the value is not."""
     text = F.col(f"_{source}_lower")
+    said = F.contains(F.col(f"_{source}_words"), spaced_words(value)) if word_boundary else F.contains(text, F.lower(value))
     other = F.get(F.array_remove(F.col(f"_{source}_colors"), F.lower(value)), F.lit(0))
     hit = F.struct(
         key.alias("field"),
@@ -98,8 +102,7 @@ def _color_mention(key: Column, value: Column, source: str):
         value.alias("expected"),
         fill(COLOR_FOUND_TEXT, color=other, source=source).alias("actual"),
     )
-    unsaid = (text != "") & ~F.contains(text, F.lower(value))
-    return unsaid & other.isNotNull(), hit
+    return (text != "") & ~said & other.isNotNull(), hit
 
 
 def _brand_mention(key: Column, value: Column):
@@ -116,29 +119,36 @@ def _brand_mention(key: Column, value: Column):
 
 
 def with_contradictions(df: DataFrame, title: str = "title", description: str = "description",
-                        attributes: str = "attributes", out: str = "contradictions") -> DataFrame:
+                        attributes: str = "attributes", out: str = "contradictions",
+                        word_boundary: bool = False) -> DataFrame:
     """Add array ``out`` of (field, source, expected, actual).
 
     A color attribute contradicts a text that does not contain it but does
-    contain another known color; matching is by substring. A brand attribute
-    contradicts a title that starts with some other word.
+    contain another known color; matching is by substring, so that "standard" names tan,
+    or with ``word_boundary`` by whole words. A brand attribute contradicts a title that
+    starts with some other word. For dictionaries of any size see ``dictionary_contradictions``.
     """
     lowered = df.select(
         "*",
         F.lower(F.coalesce(F.col(title), F.lit(""))).alias("_title_lower"),
         F.lower(F.coalesce(F.col(description), F.lit(""))).alias("_description_lower"),
     )
+    texts, within = ["_title_lower", "_description_lower"], "{phrase}"
+    if word_boundary:
+        lowered = lowered.select("*", spaced_words(F.col("_title_lower")).alias("_title_words"),
+                                 spaced_words(F.col("_description_lower")).alias("_description_words"))
+        texts, within = ["_title_words", "_description_words"], " {phrase} "
     seen = lowered.select(
         "*",
-        _mentions(F.col("_title_lower"), KNOWN_COLORS).alias("_title_colors"),
-        _mentions(F.col("_description_lower"), KNOWN_COLORS).alias("_description_colors"),
+        _mentions(F.col(texts[0]), KNOWN_COLORS, within=within).alias("_title_colors"),
+        _mentions(F.col(texts[1]), KNOWN_COLORS, within=within).alias("_description_colors"),
     )
 
     none = F.array().cast(CONTRADICTION_TYPE)
 
     def check(entry: Column) -> Column:
         key, value = entry["key"], entry["value"]
-        colors = [_color_mention(key, value, "title"), _color_mention(key, value, "description")]
+        colors = [_color_mention(key, value, source, word_boundary) for source in ("title", "description")]
         brand = [_brand_mention(key, value)]
         is_color, is_brand = F.lower(key).isin(CONTRADICTION_COLOR_KEYS), F.lower(key) == "brand"
         return (
@@ -150,5 +160,5 @@ def with_contradictions(df: DataFrame, title: str = "title", description: str =
 
     found = F.coalesce(F.flatten(F.transform(F.map_entries(attributes), check)), none)
     return seen.withColumn(out, found).drop(
-        "_title_lower", "_description_lower", "_title_colors", "_description_colors"
+        "_title_lower", "_description_lower", "_title_colors", "_description_colors", "_title_words", "_description_words"
     )

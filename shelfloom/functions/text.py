@@ -71,6 +71,12 @@ def sentence_count(value: Column) -> Column:
     return F.regexp_count(value, F.lit(_SENTENCE))
 
 
+def spaced_words(value: Column) -> Column:
+    """Lower-cased runs of letters and digits with one space between, before and behind them."""
+    runs = F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", " ")
+    return F.concat(F.lit(" "), F.trim(runs), F.lit(" "))
+
+
 def first_word(value: Column) -> Column:
     return F.regexp_extract(value, f"({_WORD})", 1)
 

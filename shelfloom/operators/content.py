@@ -1,9 +1,11 @@
 """Generated descriptions: which products need one, batches, storing results."""
 
+import json
 from typing import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +16,7 @@ from shelfloom.fixed_values import (
 from shelfloom.functions.content import description_prompt, seo_prompt, seo_reply
 from shelfloom.functions.text import fill, strip
 from shelfloom.operators.changes import patch_products, resolve_issues
+from shelfloom.session import settle
 
 RESULT_COLUMNS = [
     "product_id", "generated_description", "seo_title", "seo_keywords", "success", "error",
@@ -43,6 +46,11 @@ def open_content_issues(issues: DataFrame, ids: DataFrame) -> DataFrame:
     ).join(ids.select("product_id").distinct(), "product_id", "left_semi")
 
 
+LEDGER = "request string, reply string, error string"
+
+# Parts of a job's requests that are written one after the other.
+SLICES = 8
+
 # Prompts that are asked before their replies leave the task.
 REPLIES_AT_ONCE = 16
 
@@ -80,16 +88,67 @@ def call_generator(rows: DataFrame, generator: Callable, prompt: str, reply: str
     return rows.mapInArrow(run, schema)
 
 
+def request_keys(rows: DataFrame, prompt: str, system: str, options: dict) -> DataFrame:
+    """Add ``request``: a hash of all that a generator is given; null without a prompt."""
+    asked = F.concat_ws("\u0000", F.lit(system), F.lit(json.dumps(options, sort_keys=True)), F.col(prompt))
+    return rows.withColumn("request", F.when(F.col(prompt).isNotNull(), F.sha2(asked, 256)))
+
+
+def ledger_answers(spark: SparkSession, ledger: str) -> DataFrame:
+    """(request, reply, error): one row for each request of the ledger; a reply goes before any error."""
+    try:
+        rows = spark.read.schema(LEDGER).parquet(ledger)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # Nothing has been asked yet.
+        rows = spark.createDataFrame([], LEDGER)
+    kept = rows.groupBy("request").agg(F.min("reply").alias("reply"), F.min("error").alias("error"))
+    return kept.withColumn("error", F.when(F.col("reply").isNull(), F.col("error")))
+
+
+def call_with_ledger(rows: DataFrame, generator: Callable, prompt: str, reply: str, error: str,
+                     system: str, ledger: str, slices: int, parallelism: int, **options) -> DataFrame:
+    """``call_generator`` that asks for each different prompt once and keeps the answers in a ledger.
+
+    Requests without a reply in the folder ``ledger`` are asked in ``slices``, each written whole
+    before the next begins. A job that ends half way, or is run again, asks again only what has no
+    reply: at most the slice that was open, and what failed. Rows find their answers by
+    the request's hash, so a prompt that very many rows share is asked for once.
+    """
+    spark = rows.sparkSession
+    keyed = settle(request_keys(rows, prompt, system, options), "requests")
+    different = keyed.filter("request IS NOT NULL").select("request", prompt).dropDuplicates(["request"])
+    done = ledger_answers(spark, ledger).filter("reply IS NOT NULL").select("request")
+    slice_of = F.pmod(F.xxhash64("request"), F.lit(slices)).alias("slice")
+    unanswered = settle(different.join(done, "request", "left_anti").select("*", slice_of), "unanswered")
+    for row in unanswered.select("slice").distinct().orderBy("slice").collect():  # at most ``slices``
+        part = unanswered.filter(F.col("slice") == row["slice"]).drop("slice")
+        if parallelism:
+            part = part.repartition(parallelism, "request")
+        asked = call_generator(part, generator, prompt, "reply", "error", system, **options)
+        asked.select("request", "reply", "error").write.mode("append").parquet(ledger)
+    answers = ledger_answers(spark, ledger).select(
+        "request", F.col("reply").alias(reply), F.col("error").alias(error))
+    return keyed.join(answers, "request", "left").select(*rows.columns, reply, error)
+
+
 def generate(ids: DataFrame, products: DataFrame, generator: Callable,
              tone: str = "professional", include_seo: bool = True,
-             parallelism: int = None) -> DataFrame:
+             parallelism: int = None, ledger: str = None, slices: int = SLICES) -> DataFrame:
     """One result row per requested id, in the columns RESULT_COLUMNS.
 
     An id that is requested several times is asked for once and has as many rows.
     An unknown id, a failing generator or an SEO reply that cannot be stored
     gives success = false with the reason; other rows go on. ``parallelism``
-    spreads the requests over that many tasks.
+    spreads the requests over that many tasks. With ``ledger``, a folder, replies outlive the
+    job: see ``call_with_ledger``.
     """
+    def call(rows: DataFrame, prompt: str, reply: str, error: str, system: str, options: dict) -> DataFrame:
+        if ledger is None:
+            return call_generator(rows, generator, prompt, reply, error, system, **options)
+        return call_with_ledger(rows, generator, prompt, reply, error, system, ledger, slices, parallelism, **options)
+
     requested = ids.groupBy("product_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
     columns = ["product_id", "sku", "title", "category", "brand", "price", "currency",
                "description", "attributes"]
@@ -101,13 +160,13 @@ def generate(ids: DataFrame, products: DataFrame, generator: Callable,
     )
     if parallelism:
         prompts = prompts.repartition(parallelism, "product_id")
-    described = call_generator(
-        prompts, generator, "prompt", "text", "text_error", DESCRIPTION_SYSTEM, **DESCRIPTION_CALL
+    described = call(
+        prompts, "prompt", "text", "text_error", DESCRIPTION_SYSTEM, DESCRIPTION_CALL
     ).withColumn("text", strip(F.col("text")))
     if include_seo:
         asked = described.withColumn("seo_prompt", seo_prompt(F.col("text")))
-        replied = call_generator(
-            asked, generator, "seo_prompt", "seo_text", "seo_error", SEO_SYSTEM, **SEO_CALL
+        replied = call(
+            asked, "seo_prompt", "seo_text", "seo_error", SEO_SYSTEM, SEO_CALL
         ).withColumn("seo", seo_reply(F.col("seo_text")))
     else:
         replied = described.withColumn("seo_error", F.lit(None).cast("string")).withColumn(

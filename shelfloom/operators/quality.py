@@ -4,11 +4,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfloom.fixed_values import (
-    CONTRADICTION_TEXT, MISSING_ATTRIBUTES_FROM, MISSING_ATTRIBUTES_TEXT,
+    COLOR_FOUND_TEXT, CONTRADICTION_TEXT, MISSING_ATTRIBUTES_FROM, MISSING_ATTRIBUTES_TEXT,
     MISSING_DESCRIPTION_TEXT, REQUIRED_ATTRIBUTES, THIN_CONTENT_TEXT, THIN_SCORE,
 )
 from shelfloom.functions.quality import with_content_score, with_contradictions
-from shelfloom.functions.text import fill, is_filled, kept_in_order
+from shelfloom.functions.text import fill, is_filled, kept_in_order, spaced_words
+from shelfloom.session import settle
 
 ISSUE_FIELDS = [
     "issue_type", "severity", "description", "field_name", "expected_value", "actual_value",
@@ -111,3 +112,44 @@ def data_issues(checked: DataFrame, run_ts, job_id=0, order: str = "_order") ->
         F.lit(None).cast("timestamp").alias("resolved_at"),
         stamp.alias("created_at"),
     )
+
+
+def word_grams(words: Column, longest: int) -> Column:
+    """The different runs of one to ``longest`` words of an array of words, as texts."""
+    def runs(n: int) -> Column:
+        count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))
+
+
+def dictionary_contradictions(rows: DataFrame, dictionary: DataFrame, field: str, id_col: str = "product_id",
+                              value_col: str = "value", texts: tuple = ("title", "description"),
+                              word: str = "word", rank: str = "rank") -> DataFrame:
+    """(id, field, source, expected, actual): texts that name another value of a dictionary than the row's own.
+
+    The rule is that of ``with_contradictions`` by whole words, for a user's dictionary table of
+    (``word``, ``rank``) of any size: a text that does not say the row's value, but says words of the
+    dictionary, contradicts it by the one of lowest rank. Texts are cut into runs of as many words as
+    the dictionary's longest entry has, and met with it by one join, which broadcasts a small dictionary and
+    shuffles a large one; nothing grows with the number of its values but that join.
+    """
+    said = F.trim(spaced_words(F.col(word)))
+    known = settle(dictionary.select(said.alias("gram"), F.col(rank).alias("rank")).filter("gram <> ''")
+                   .groupBy("gram").agg(F.min("rank").alias("rank")), "dictionary")
+    longest = known.agg(F.max(F.size(F.split("gram", " ")))).first()[0]
+    if not longest:
+        longest = 1
+    sources = F.explode(F.array(*[F.struct(F.lit(t).alias("source"), spaced_words(F.col(t)).alias("said")) for t in texts]))
+    own = F.trim(spaced_words(F.col(value_col)))
+    spoken = rows.filter(is_filled(F.col(value_col))).select(
+        F.col(id_col), F.col(value_col).alias("expected"), own.alias("own"), sources.alias("text")).select("*", "text.*")
+    silent = spoken.filter(F.col("said").isNotNull() & ~F.contains("said", F.concat(F.lit(" "), F.col("own"), F.lit(" "))))
+    grams = silent.select(id_col, "expected", "source", F.explode(
+        word_grams(F.split(F.trim("said"), " "), longest)).alias("gram")).filter("gram <> ''")
+    met = grams.join(known, "gram").groupBy(id_col, "expected", "source").agg(
+        F.min(F.struct("rank", "gram")).alias("first"))
+    return met.select(
+        id_col, F.lit(field).alias("field"), "source", "expected",
+        fill(COLOR_FOUND_TEXT, color=F.col("first.gram"), source=F.col("source")).alias("actual"))

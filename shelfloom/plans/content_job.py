@@ -22,8 +22,8 @@ class ContentResult:
 
 def run_content(ids: DataFrame, products: DataFrame, issues: DataFrame, generator: Callable,
                 run_ts: datetime, tone: str = "professional", include_seo: bool = True,
-                parallelism: int = None) -> ContentResult:
-    """Outcome of a batch; ``ids`` must not be empty.
+                parallelism: int = None, ledger: str = None) -> ContentResult:
+    """Outcome of a batch; ``ids`` must not be empty. ``ledger`` keeps replies beyond this job.
 
     The results are written out first, so that the generator is asked once and
     all outputs agree.
@@ -31,7 +31,7 @@ def run_content(ids: DataFrame, products: DataFrame, issues: DataFrame, generato
     if ids.isEmpty():
         raise ValueError("At least one product_id is required.")
     results = settle(
-        generate(ids, products, generator, tone, include_seo, parallelism), "content-results"
+        generate(ids, products, generator, tone, include_seo, parallelism, ledger), "content-results"
     )
     return ContentResult(
         results=results,

@@ -376,6 +376,38 @@ oracle("q_content_label_counts", score("documents", "doc_id", "text"),
        "SELECT label, count(*) AS documents FROM scored GROUP BY label")
 oracle("q_contradictions", f"{PRODUCTS}, {CONTRADICTIONS}",
        "SELECT product_id, position::INTEGER AS position, field, source, expected, actual FROM contradictions")
+
+
+def plain_words(text: str) -> str:
+    """Lower-cased words with a space between, before and behind them."""
+    return f"""(' ' || trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ')"""
+
+
+oracle("q_word_contradictions", f"""{PRODUCTS},
+texts AS (
+  SELECT product_id, color, 1 AS nr, 'title' AS source, {plain_words('title')} AS body FROM products
+  UNION ALL SELECT product_id, color, 2, 'description', {plain_words("coalesce(description, '')")} FROM products),
+colored AS (
+  SELECT *, trim(list_filter({mentions('body', [f' {c} ' for c in fv.KNOWN_COLORS])}, lambda c: trim(c) <> lower(color))[1]) AS other
+  FROM texts WHERE color <> '' AND body <> '  ' AND NOT contains(body, {plain_words('color')}))""", """
+SELECT product_id, (row_number() OVER (PARTITION BY product_id ORDER BY nr) - 1)::INTEGER AS position,
+       'color' AS field, source, color AS expected, '\'\'' || other || '\'\' found in ' || source AS actual
+FROM colored WHERE other IS NOT NULL""".replace("\\'", "'"))
+oracle("q_dictionary_contradictions", f"""
+dictionary AS (
+  SELECT {plain_words('word')} AS gram, min(lower(word)) AS place FROM (
+    SELECT split_part(p_name, ' ', 1) AS word FROM part UNION SELECT p_name FROM part UNION SELECT p_brand FROM part)
+  GROUP BY 1),
+spoken AS (
+  SELECT *, {plain_words('value')} AS own FROM (
+    SELECT p_partkey AS product_id, 'title' AS source, {plain_words('p_name')} AS said,
+           CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE split_part(p_name, ' ', -1) END AS value FROM part
+    UNION ALL SELECT p_partkey, 'description', {plain_words("p_brand || ' - ' || p_type")},
+           CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE split_part(p_name, ' ', -1) END FROM part))""", """
+SELECT product_id, 'finish' AS field, source, value AS expected,
+       '\'\'' || trim(first(gram ORDER BY place, gram)) || '\'\' found in ' || source AS actual
+FROM spoken JOIN dictionary ON contains(said, gram) WHERE NOT contains(said, own)
+GROUP BY product_id, source, value""".replace("\\'", "'"))
 oracle("q_issues", ISSUES, "SELECT * FROM issues")
 oracle("q_issue_summary", ISSUES,
        "SELECT issue_type, severity, count(*) AS issues FROM issues GROUP BY ALL")
@@ -636,7 +668,8 @@ SELECT p_partkey, unnest(range(4))::INTEGER AS position, unnest(['a', p_name, ''
 oracle("q_display_description", PRODUCTS, """
 SELECT product_id, md5(CASE WHEN generated_description <> '' THEN generated_description ELSE description END)
   AS digest FROM products""")
-oracle("q_generate_stub", GENERATED, "SELECT * FROM results")
+for name in ("q_generate_stub", "q_generate_ledger"):
+    oracle(name, GENERATED, "SELECT * FROM results")
 oracle("q_generate_counts", GENERATED,
        "SELECT count(*) FILTER (success) AS succeeded, count(*) AS requested FROM results")
 oracle("q_store_content", GENERATED, f"""
@@ -709,11 +742,11 @@ SELECT what, found FROM (SELECT unnest([
   {'what': 'products with open issues: 3', 'found': (n - odd)::VARCHAR}], recursive := true) FROM counts)""")
 STORED = """
 stored AS (
-  SELECT p_partkey AS product_id, 'SKU-' || lpad(p_partkey::VARCHAR, 6, '0') AS sku, p_name, p_brand,
+  SELECT p_partkey AS product_id, 'SKU-' || p_partkey AS sku, p_name, p_brand,
          make_timestamp(((p_partkey * 7919) % 100000) * 1000000) AS changed FROM part)"""
 oracle("q_indexed_search", STORED, """
 SELECT pattern, product_id, sku FROM stored,
-       (SELECT unnest(['blue', 'SKU-00012', 'rand#1', 'la%ge', 'd_h', 'no such thing', 'ot r']) AS pattern)
+       (SELECT unnest(['blue', 'SKU-12', 'rand#1', 'la%ge', 'd_h', 'no such thing', 'ot r']) AS pattern)
 WHERE p_name ILIKE '%' || pattern || '%' OR sku ILIKE '%' || pattern || '%' OR p_brand ILIKE '%' || pattern || '%'""")
 oracle("q_directory_page", STORED, f"""
 SELECT product_id, sku, {stamp('changed')} AS updated_at FROM stored ORDER BY changed DESC, product_id

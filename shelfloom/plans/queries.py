@@ -13,7 +13,7 @@ from shelfloom.functions.content import (
 )
 from shelfloom.functions.quality import with_content_score, with_contradictions
 from shelfloom.operators import catalog, changes, cleaning, content, prices as px
-from shelfloom.operators.quality import issue_rows
+from shelfloom.operators.quality import dictionary_contradictions, issue_rows
 from shelfloom.plans import testviews as tv
 from shelfloom.plans.feed_job import (
     checked_rows, feed_counts, ingest_feed, known_skus, run_feed,
@@ -31,7 +31,7 @@ from shelfloom.streaming.prices import monitor_prices
 
 RUN = datetime(2024, 6, 1)
 NEXT_RUN = datetime(2024, 6, 2)
-SEARCHES = ("blue", "SKU-00012", "rand#1", "la%ge", "d_h", "no such thing", "ot r")
+SEARCHES = ("blue", "SKU-12", "rand#1", "la%ge", "d_h", "no such thing", "ot r")
 QUERIES = {}
 
 
@@ -131,6 +131,26 @@ def q_brand_contradictions(spark, sf_dir):
     return found.filter(F.col("c").isNotNull()).select("product_id", "c.field", "c.source", "c.expected", "c.actual")
 
 
+@query
+def q_word_contradictions(spark, sf_dir):
+    """Color contradictions by whole words."""
+    found = with_contradictions(tv.products(spark, sf_dir), word_boundary=True)
+    rows = found.select("product_id", F.posexplode_outer("contradictions").alias("position", "c"))
+    return rows.filter(F.col("c").isNotNull()).select("product_id", "position", "c.field", "c.source", "c.expected", "c.actual")
+
+
+@query
+def q_dictionary_contradictions(spark, sf_dir):
+    """Titles that name another entry of a dictionary than the part's own: all first words and names of parts, and all brands."""
+    part = tv.read(spark, sf_dir, "part")
+    words = part.select(F.substring_index("p_name", " ", 1).alias("word")).unionByName(
+        part.select(F.col("p_name").alias("word"))).unionByName(part.select(F.col("p_brand").alias("word"))).distinct()
+    rows = part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title"), F.concat_ws(
+        " - ", "p_brand", "p_type").alias("description"), F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.col(
+            "p_brand")).otherwise(F.element_at(F.split("p_name", " "), -1)).alias("value"))
+    return dictionary_contradictions(rows, words.withColumn("rank", F.lower("word")), "finish")
+
+
 @query
 def q_issues(spark, sf_dir):
     return issue_rows(tv.checked_products(spark, sf_dir), ["product_id"])
@@ -874,6 +894,16 @@ def q_generate_stub(spark, sf_dir):
     return _generated(spark, sf_dir)[1]
 
 
+@query
+def q_generate_ledger(spark, sf_dir):
+    """The same results by a ledger, of which the first half of the products is asked by a job before."""
+    products, ledger = tv.products(spark, sf_dir), new_folder(spark, "ledger")
+    first = products.filter(F.pmod("product_id", F.lit(2)) == 0).select("product_id")
+    settle(content.generate(first, products, _stub(), ledger=ledger, slices=2), "first-half")
+    unknown = tv.read(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("product_id"))
+    return content.generate(products.select("product_id").unionByName(unknown), products, _stub(), ledger=ledger, slices=2)
+
+
 @query
 def q_generate_counts(spark, sf_dir):
     return content.batch_summary(_generated(spark, sf_dir)[1])

@@ -11,6 +11,7 @@ from shelfloom import fixed_values
 from shelfloom.functions import money, search, text
 from shelfloom.functions.attributes import normalize_attribute, with_attributes
 from shelfloom.functions.quality import with_content_score, with_contradictions
+from shelfloom.operators.quality import dictionary_contradictions
 
 
 def values(spark, expression, inputs):
@@ -179,6 +180,56 @@ def test_contradictions(spark):
     assert contradictions(spark, "ab lamp", "", {"brand": "Zed"}) == []
 
 
+def test_contradictions_by_whole_words(spark):
+    def found(title, description, attributes):
+        frame = spark.createDataFrame(
+            [(title, description, attributes)], "title string, description string, attributes map<string,string>")
+        return [tuple(c) for c in with_contradictions(frame, word_boundary=True).first()["contradictions"]]
+
+    assert found("Stand Mixer", "featured in white, and black", {"Colour": "Empire Red"}) == [
+        ("Colour", "description", "Empire Red", "'black' found in description")]
+    assert found("Navy-Blue Coat", "a BLUE, warm coat", {"color": "navy blue"}) == [
+        ("color", "description", "navy blue", "'blue' found in description")]
+    assert found("Redwood (tan) box", None, {"color": "wood"}) == [("color", "title", "wood", "'tan' found in title")]
+    assert found("...", "", {"color": "red"}) == []
+    assert found("Acme lamp", "", {"brand": "Zed"}) == [("brand", "title", "Zed", "Title starts with 'acme' instead of brand")]
+
+
+def test_dictionary_of_many_values(spark):
+    """Against a plain search word by word, with a dictionary of 100,000 values."""
+    chance = random.Random(5)
+    words = [f"w{i}" for i in range(60_000)]
+    dictionary = {w: i for i, w in enumerate(words)}
+    for i in range(40_000):
+        dictionary.setdefault(" ".join(chance.sample(words, chance.randrange(2, 4))), 60_000 + i)
+    entries, rows = list(dictionary), []
+    for number in range(300):
+        said = [chance.choice([chance.choice(entries), f"x{number}", chance.choice(words).upper() + ","]) for _ in range(6)]
+        rows.append((number, chance.choice([*said, *entries[:50]]), " ".join(said[:3]), chance.choice([None, " - ".join(said[2:])])))
+    rows += [(900, None, "w1 w2", "w3"), (901, "", "w1", ""), (902, "nothing", "", None), (903, "Zed", "W5-w6", "...")]
+
+    def plain(text):
+        return f" {' '.join(re.findall('[^_\\W]+', (text or '').lower()))} "
+
+    ranks = {}
+    for entry, rank in dictionary.items():
+        ranks[entry] = min(rank, ranks.get(entry, rank))
+    want = []
+    for number, value, title, description in rows:
+        for source, text in (("title", title), ("description", description)):
+            runs = plain(text).split()
+            if value and text and plain(value) not in plain(text):
+                grams = {" ".join(runs[i:i + n]) for n in (1, 2, 3) for i in range(len(runs) - n + 1)} & set(ranks)
+                if grams:
+                    best = min(grams, key=lambda g: (ranks[g], g))
+                    want.append((number, "finish", source, value, f"'{best}' found in {source}"))
+    frame = spark.createDataFrame(rows, "product_id int, value string, title string, description string")
+    table = spark.createDataFrame([(w.title(), r) for w, r in dictionary.items()], "word string, rank int")
+    found = dictionary_contradictions(frame, table, "finish")
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 200
+    assert dictionary_contradictions(frame, table.limit(0), "finish").count() == 0
+
+
 def test_extra_columns_win_over_standard_attributes(spark):
     frame = spark.createDataFrame([("blk", "raw "), ("blk", "nan"), ("n/a", None)], "a string, b string")
     rows = with_attributes(frame, {"color": F.col("a")}, [("Color", F.col("b"))]).collect()
