@@ -149,36 +149,35 @@ SEARCH_URLS = {
 }
 DEFAULT_SEARCH_SOURCE = "amazon"
 
-# How a listing is read off a marketplace page. A selector is a list of steps
-# from ancestor to element; a step is (tag, class or None, attribute or None,
-# attribute value or None). Alternatives are tried in order.
+# How a listing is read off a marketplace page, as CSS selectors: tag, .class and [attribute]
+# or [attribute='value'], a space for any descendant. Alternatives are tried in order.
 LISTING_RULES = {
     "amazon": {
-        "containers": [[("div", None, "data-component-type", "s-search-result")]],
-        "title": [[("h2", None, None, None), ("a", None, None, None), ("span", None, None, None)]],
-        "price": [[("span", "a-price-whole", None, None)]],
-        "price_fraction": [[("span", "a-price-fraction", None, None)]],
-        "link": [[("h2", None, None, None), ("a", None, None, None)]],
+        "containers": ["div[data-component-type='s-search-result']"],
+        "title": ["h2 a span"],
+        "price": ["span.a-price-whole"],
+        "price_fraction": ["span.a-price-fraction"],
+        "link": ["h2 a"],
         "host": "https://www.amazon.com",
         "keep_absolute_links": False,
         "currency": "USD",
     },
     "walmart": {
-        "containers": [[("div", None, "data-item-id", None)]],
-        "title": [[("span", None, "data-automation-id", "product-title")]],
-        "price": [[("div", None, "data-automation-id", "product-price"), ("span", None, None, None)]],
+        "containers": ["div[data-item-id]"],
+        "title": ["span[data-automation-id='product-title']"],
+        "price": ["div[data-automation-id='product-price'] span"],
         "price_fraction": [],
-        "link": [[("a", None, "link-identifier", None)]],
+        "link": ["a[link-identifier]"],
         "host": "https://www.walmart.com",
         "keep_absolute_links": True,
         "currency": "USD",
     },
     "flipkart": {
-        "containers": [[("div", "_1AtVbE", None, None)], [("div", "tUxRFH", None, None)]],
-        "title": [[("div", "_4rR01T", None, None)], [("a", "IRpwTa", None, None)]],
-        "price": [[("div", "_30jeq3", None, None)]],
+        "containers": ["div._1AtVbE", "div.tUxRFH"],
+        "title": ["div._4rR01T", "a.IRpwTa"],
+        "price": ["div._30jeq3"],
         "price_fraction": [],
-        "link": [[("a", "_1fQZEK", None, None)], [("a", "IRpwTa", None, None)]],
+        "link": ["a._1fQZEK", "a.IRpwTa"],
         "host": "https://www.flipkart.com",
         "keep_absolute_links": False,
         "currency": "INR",

@@ -1,11 +1,11 @@
 """Listings read off stored marketplace pages.
 
-The only Python step of the library: HTML has no Spark function. Pages are
-parsed one by one inside mapInArrow, and only listings leave
-it, so raw HTML never takes part in a shuffle. Prices are read from their text
-afterwards, by Spark.
+HTML has no Spark function. Pages are read one by one inside mapInArrow, up to the last container
+that counts, and only listings leave it, so raw HTML never takes part in a shuffle. Prices are read
+from their text afterwards, by Spark.
 """
 
+import re
 import sys
 from html.parser import HTMLParser
 
@@ -35,72 +35,136 @@ _RAW_LISTING = pa.schema([
 ])
 
 
-class _Element:
-    __slots__ = ("tag", "attributes", "parent", "children")
+# Characters of a page that the parser is given at a time. Page text that has no end yet is looked
+# at again with each piece, so pieces grow.
+_FIRST_PIECE, _LARGEST_PIECE = 1 << 16, 1 << 22
 
-    def __init__(self, tag, attributes, parent):
-        self.tag, self.parent, self.children = tag, parent, []
-        self.attributes = {}
-        for name, value in attributes:
-            self.attributes[name] = value or ""
+_STEP = re.compile(r"(?P<tag>[\w-]+)(?:\.(?P<css>[\w-]+))?(?:\[(?P<name>[\w-]+)(?:='(?P<value>[^']*)')?\])?")
 
-    def elements(self):
-        """All elements below this one, in page order."""
-        waiting = list(reversed(self.children))
-        while waiting:
-            child = waiting.pop()
-            if isinstance(child, _Element):
-                yield child
-                waiting.extend(reversed(child.children))
 
-    def texts(self):
-        waiting = list(reversed(self.children))
-        while waiting:
-            child = waiting.pop()
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in _UNSEEN:
-                waiting.extend(reversed(child.children))
+def selector_steps(selector: str) -> list:
+    """(tag, class, attribute, value) of each step from ancestor to element; None for what is not asked."""
+    found = [_STEP.fullmatch(step) for step in selector.split()]
+    if not found or not all(found):
+        raise ValueError(f"no selector: {selector!r}")
+    return [step.group("tag", "css", "name", "value") for step in found]
 
 
-class _Page(HTMLParser):
-    """Element tree of a page; an end tag closes the nearest open element of its name."""
+def _fits(tag: str, attributes: dict, step: tuple) -> bool:
+    wanted, css_class, name, value = step
+    return tag == wanted and (
+        css_class is None or css_class in attributes.get("class", "").split()) and (
+        name is None or name in attributes and value in (None, attributes[name]))
 
-    def __init__(self, html):
+
+class _Found:
+    """An element that a selector has met: its link, and the texts below it while it is open."""
+
+    __slots__ = ("href", "texts", "hidden")
+
+    def __init__(self, href: str, hidden: int):
+        self.href, self.texts, self.hidden = href, [], hidden
+
+    def stripped(self) -> str:
+        return "".join(text.strip() for text in self.texts)
+
+
+class _Listings(HTMLParser):
+    """The first containers of a page and what they hold, met while the page is read.
+
+    No tree is built. An open element is its tag, how many leading steps of each selector it and its ancestors
+    fit, and what ends with it; so memory goes by the depth of the page and the texts of the elements found. An
+    end tag closes the nearest open element of its name.
+    """
+
+    FIELDS = ("title", "price", "price_fraction", "link")
+
+    def __init__(self, rules: dict, limit: int):
         super().__init__(convert_charrefs=True)
-        self.root = self.open = _Element("", [], None)
-        self.pending = []
-        self.feed(html)
-        self.close()
-        self._flush()
+        self.limit = limit
+        self.kinds = [selector_steps(s) for s in rules["containers"]]
+        self.wanted = [(field, n, selector_steps(s)) for field in self.FIELDS for n, s in enumerate(rules[field])]
+        self.selectors = [*self.kinds, *(steps for _, _, steps in self.wanted)]
+        # Containers of each kind in page order; a container maps (field, alternative) to its first element.
+        self.containers = [[] for _ in self.kinds]
+        self.open = [("", [0] * len(self.selectors), [], [])]
+        self.around, self.listening, self.pending, self.hidden = [], [], [], 0
+
+    def read(self, html: str) -> list:
+        """The containers that count: those of the first kind that the page has."""
+        at, size = 0, _FIRST_PIECE
+        while at < len(html) and not self.is_done():
+            self.feed(html[at:at + size])
+            at, size = at + size, min(2 * size, _LARGEST_PIECE)
+        if not self.is_done():
+            self.close()
+            self._flush()
+        return next((found for found in self.containers if found), [])
+
+    def is_done(self) -> bool:
+        """Whether the first kind has all containers that count, and they are closed."""
+        return len(self.containers[0]) >= self.limit and not any(c in self.containers[0] for c in self.around)
 
     def _flush(self):
         if self.pending:
-            self.open.children.append("".join(self.pending))
+            text = "".join(self.pending)
             self.pending = []
+            for found in self.listening:
+                if found.hidden == self.hidden:
+                    found.texts.append(text)
 
     def handle_starttag(self, tag, attrs):
         self._flush()
-        element = _Element(tag, attrs, self.open)
-        self.open.children.append(element)
-        if tag not in _VOID:
-            self.open = element
+        attributes = {name: value or "" for name, value in attrs}
+        above = self.open[-1][1]
+        fitted, met = [], []
+        for steps, count in zip(self.selectors, above, strict=True):
+            last = len(steps) - 1
+            met.append(count == last and _fits(tag, attributes, steps[last]))
+            fitted.append(count + (count < last and _fits(tag, attributes, steps[count])))
+        hides = tag in _UNSEEN
+        self.hidden += hides
+        own = []
+        for (field, n, _), hit in zip(self.wanted, met[len(self.kinds):], strict=True):
+            if hit:
+                for container in self.around:
+                    if (field, n) not in container:
+                        container[field, n] = found = _Found(attributes.get("href"), self.hidden)
+                        own.append(found)
+        self.listening += own
+        begun = []
+        for found, hit in zip(self.containers, met, strict=False):
+            if hit and len(found) < self.limit:
+                found.append(container := {})
+                begun.append(container)
+        self.around += begun
+        self.open.append((tag, fitted, own, begun))
+        if tag in _VOID:
+            self._end()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
-            self.open = self.open.parent
+            self._end()
+
+    def _end(self):
+        tag, _, own, begun = self.open.pop()
+        self.hidden -= tag in _UNSEEN
+        if own:
+            self.listening = self.listening[:-len(own)]
+        if begun:
+            self.around = self.around[:-len(begun)]
 
     def handle_endtag(self, tag):
         self._flush()
-        element = self.open
-        while element.parent is not None and element.tag != tag:
-            element = element.parent
-        if element.parent is not None:
-            self.open = element.parent
+        if any(open_tag == tag for open_tag, *_ in self.open[1:]):
+            while self.open[-1][0] != tag:
+                self._end()
+            self._end()
 
     def handle_data(self, data):
-        self.pending.append(data)
+        if self.listening:
+            self.pending.append(data)
 
     def handle_comment(self, data):
         self._flush()
@@ -112,62 +176,24 @@ class _Page(HTMLParser):
         self._flush()
 
 
-def _fits(element, step):
-    tag, css_class, attribute, value = step
-    if element.tag != tag:
-        return False
-    if css_class is not None and css_class not in element.attributes.get("class", "").split():
-        return False
-    if attribute is None:
-        return True
-    return attribute in element.attributes and value in (None, element.attributes[attribute])
-
-
-def _matches(element, selector):
-    if not _fits(element, selector[-1]):
-        return False
-    ancestors = list(selector[:-1])
-    above = element.parent
-    while ancestors and above is not None:
-        if _fits(above, ancestors[-1]):
-            ancestors.pop()
-        above = above.parent
-    return not ancestors
-
-
-def _select(element, selector):
-    return [e for e in element.elements() if _matches(e, selector)]
-
-
-def _first(element, selectors):
-    for selector in selectors:
-        for found in element.elements():
-            if _matches(found, selector):
-                return found
-    return None
-
-
-def _stripped(element):
-    return "".join(text.strip() for text in element.texts())
-
-
 def page_listings(html: str, rules: dict, limit: int = CONTAINERS_PER_PAGE) -> list:
     """(title, price text, url) of the titled listings among a page's first containers."""
-    root = _Page(html).root
-    containers = next((c for c in (_select(root, s) for s in rules["containers"]) if c), [])
     listings = []
-    for container in containers[:limit]:
-        title = _first(container, rules["title"])
-        title = _stripped(title) if title else ""
+    for container in _Listings(rules, limit).read(html):
+        def first(field):
+            return next((container[field, n] for n in range(len(rules[field])) if (field, n) in container), None)
+
+        title = first("title")
+        title = title.stripped() if title else ""
         if not title:
             continue
-        price, fraction = (_first(container, rules[k]) for k in ("price", "price_fraction"))
+        price, fraction = first("price"), first("price_fraction")
         text = None
         if price is not None:
-            text = _stripped(price) + (_stripped(fraction) if fraction else "") \
-                if rules["price_fraction"] else "".join(price.texts())
-        link = _first(container, rules["link"])
-        url = link.attributes.get("href") if link else None
+            text = price.stripped() + (fraction.stripped() if fraction else "") \
+                if rules["price_fraction"] else "".join(price.texts)
+        link = first("link")
+        url = link.href if link else None
         if url and not (rules["keep_absolute_links"] and url.startswith("http")):
             url = rules["host"] + url
         listings.append((title, text, url or None))

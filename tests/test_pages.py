@@ -1,8 +1,15 @@
 """Listings on marketplace pages."""
 
+import random
+import tracemalloc
+from html.parser import HTMLParser
+
+import pytest
+
 from shelfloom.fixed_values import LISTING_RULES
 from shelfloom.schemas import LISTING
-from shelfloom.sources.pages import best_listings, page_listings, read_listings
+from shelfloom.sources import pages
+from shelfloom.sources.pages import best_listings, page_listings, read_listings, selector_steps
 
 SCHEMA = "page_id bigint, product_id bigint, source string, html string"
 
@@ -70,6 +77,127 @@ def test_defaults_and_best(spark):
 
 
 def test_rules_can_be_given(spark):
-    rules = {"generic": {**LISTING_RULES["walmart"], "containers": [[("body", None, None, None)]],
-                         "title": [[("h1", None, None, None)]]}}
+    rules = {"generic": {**LISTING_RULES["walmart"], "containers": ["body"], "title": ["h1"]}}
     assert page_listings("<body><h1>x</h1></body>", rules["generic"]) == [("x", None, None)]
+
+
+class _Tree(HTMLParser):
+    """A plain tree of a page, for listings by whole searches."""
+
+    VOID = {"br", "img", "input", "hr", "meta", "link"}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = {"tag": "", "attrs": {}, "up": None, "below": []}
+        self.goes_on = False  # a tag of any kind ends a text
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.goes_on = False
+        made = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "up": self.at, "below": []}
+        self.at["below"].append(made)
+        if tag not in self.VOID:
+            self.at = made
+
+    def handle_endtag(self, tag):
+        self.goes_on = False
+        node = self.at
+        while node["up"] and node["tag"] != tag:
+            node = node["up"]
+        if node["up"]:
+            self.at = node["up"]
+
+    def handle_data(self, data):
+        if self.goes_on:
+            self.at["below"][-1] += data
+        else:
+            self.at["below"].append(data)
+        self.goes_on = True
+
+
+def below(node):
+    for child in node["below"]:
+        if not isinstance(child, str):
+            yield child
+            yield from below(child)
+
+
+def plain_texts(node):
+    for child in node["below"]:
+        if isinstance(child, str):
+            yield child
+        elif child["tag"] not in ("script", "style", "template"):
+            yield from plain_texts(child)
+
+
+def plain_fit(node, selector):
+    *above, last = selector_steps(selector)
+
+    def one(x, step):
+        tag, css, name, value = step
+        return x["tag"] == tag and (css is None or css in x["attrs"].get("class", "").split()) and (
+            name is None or name in x["attrs"] and value in (None, x["attrs"][name]))
+
+    up = node["up"]
+    while above and up:
+        if one(up, above[-1]):
+            above.pop()
+        up = up["up"]
+    return not above and one(node, last)
+
+
+def plain_listings(html, rules):
+    root = _Tree(html).root
+    kinds = [[x for x in below(root) if plain_fit(x, s)] for s in rules["containers"]]
+    out = []
+    for container in next((k for k in kinds if k), [])[:5]:
+        first = {f: next((x for s in rules[f] for x in below(container) if plain_fit(x, s)), None)
+                 for f in ("title", "price", "price_fraction", "link")}
+        title = "".join(t.strip() for t in plain_texts(first["title"])) if first["title"] else ""
+        if title:
+            price = "".join(t.strip() if rules["price_fraction"] else t for t in plain_texts(first["price"])) if first["price"] else None
+            if price is not None and first["price_fraction"]:
+                price += "".join(t.strip() for t in plain_texts(first["price_fraction"]))
+            out.append((title, price, first["link"]["attrs"].get("href") if first["link"] else None))
+    return out
+
+
+def test_one_pass_equals_whole_searches(monkeypatch):
+    """Random untidy pages: nested containers, tags without ends, ends without tags, text in scripts."""
+    rules = {"containers": ["div.c", "p[data-x]"], "title": ["h2 a b", "i"], "price": ["b.p"], "price_fraction": ["b[q='1']"],
+             "link": ["h2 a"], "host": "", "keep_absolute_links": False, "currency": "USD"}
+    chance = random.Random(11)
+    parts = ['<div class="x c">', '<div class="c">', "<div>", "</div>", "<p data-x>", "</p>", "<h2>", "</h2>", '<a href="/1">', "</a>",
+             "<b>", '<b class="p">', '<b q="1">', "</b>", "<i>", "</i>", "<br>", "<b/>", " text ", "1 &amp; 2", "<script>", "</script>",
+             "&lt;b&gt;", "</nothing>"]
+    for size in (1, 7, 1 << 16):
+        monkeypatch.setattr(pages, "_FIRST_PIECE", size)
+        monkeypatch.setattr(pages, "_LARGEST_PIECE", size)
+        for _ in range(300):
+            html = "".join(chance.choice(parts) for _ in range(chance.randrange(3, 80)))
+            assert [(t, p, u) for t, p, u in page_listings(html, rules)] == [
+                (t, p, u or None) for t, p, u in plain_listings(html, rules)], html
+
+
+def test_a_large_page_takes_little_memory_and_ends_early(monkeypatch):
+    filler = "<div><p>" + "word " * 200 + "</p></div>"
+    page = "<body>" + filler * 10 + amazon("A") * 3 + filler * 50_000 + amazon("B") * 4
+    assert len(page) > 50_000_000
+    tracemalloc.start()
+    found = page_listings(page, LISTING_RULES["amazon"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [t for t, _, _ in found] == ["A", "A", "A", "B", "B"] and peak < 30_000_000
+    read = []
+    whole = pages._Listings.feed
+    monkeypatch.setattr(pages._Listings, "feed", lambda self, piece: read.append(len(piece)) or whole(self, piece))
+    page_listings(amazon("A") * 5 + filler * 5000, LISTING_RULES["amazon"])
+    assert sum(read) <= 1 << 16
+
+
+def test_selectors_are_checked():
+    assert selector_steps("div.c a[href='x'] b[y]") == [("div", "c", None, None), ("a", None, "href", "x"), ("b", None, "y", None)]
+    for wrong in ("", "div > a", "a:first"):
+        with pytest.raises(ValueError):
+            selector_steps(wrong)
