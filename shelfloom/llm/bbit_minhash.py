@@ -54,6 +54,9 @@ PARITY_BITS = 2048
 # Members of a bucket that one task compares with as many others.
 BLOCK = 1024
 
+# Slots of text hashes that are told to all tasks: a number for each, however many texts there are.
+SLOTS = 1 << 20
+
 # Shingles whose hashes are worked out at one time.
 _AT_ONCE = 2048
 
@@ -214,6 +217,9 @@ def full_sets(wanted: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str,
         F.min(F.struct("text_hash", "doc")).alias("place")).select("entry", "place.doc", "place.text_hash"), "set-places")
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), text_key(F.col(f"`{text_col}`")).alias("text_hash"),
                         F.col(f"`{text_col}`").alias("text"))
+    # Most texts are not wanted and need not be shuffled: those whose hash falls on no slot of a wanted one.
+    slots = places.select(F.pmod("text_hash", F.lit(SLOTS)).alias("slot")).distinct()
+    texts = texts.withColumn("slot", F.pmod("text_hash", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi")
     met = texts.join(places, same_document(texts, places, ["doc", "text_hash"])).select("entry", "text")
     return met.mapInArrow(sets, "entry bigint, shingles binary").dropDuplicates(["entry"])
 

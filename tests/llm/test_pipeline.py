@@ -10,12 +10,12 @@ from shelfloom.llm.queries import ORACLE, QUERIES
 from tests.llm import test_decontaminate, test_line_dedup, test_near_copies, test_pieces
 from tests.llm.cases import FOLDER, collected, edge_documents, empty_documents, rows_of
 
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 
 
 def test_every_operator_has_one_query():
     found = queries()
-    assert all(sum(name.startswith(f"op{n}_") for name in found) == 1 for n in range(1, 11))
+    assert all(sum(name.startswith(f"op{n}_") for name in found) == 1 for n in range(1, 14))
     assert found["pipeline"] is corpus_pipeline.run and set(ORACLE) <= set(oracle_sql())
 
 
