@@ -373,9 +373,10 @@ def _row_hash(rows: _Rows) -> np.ndarray:
 
 
 def smallest_of_equal(rows: _Rows) -> tuple:
-    """(of each group of equal rows those with the smallest id; the rows with larger ids).
+    """(of each group of equal rows those with the smallest id; the rows with larger ids; repeats).
 
-    Of the equal rows of one text only one stays on either side; ``all_occurrences`` covers the others.
+    Of the equal rows of one text only one stays on either side. The others are the repeats, which
+    ``all_occurrences`` covers.
     """
     hashed = _row_hash(rows)
     order = np.lexsort((rows.h2, rows.h1, rows.first, hashed))
@@ -394,7 +395,14 @@ def smallest_of_equal(rows: _Rows) -> tuple:
     larger = rows.first[order] > least
     again = np.zeros(len(order), bool)
     again[1:] = same & (rows.h1[order][1:] == rows.h1[order][:-1]) & (rows.h2[order][1:] == rows.h2[order][:-1])
-    return rows.take(order[~larger & ~again]), rows.take(order[larger & ~again])
+    return rows.take(order[~larger & ~again]), rows.take(order[larger & ~again]), rows.take(order[again])
+
+
+def _marks(repeats: _Rows) -> tuple:
+    """An empty range for each text that has repeats."""
+    keys = np.unique(np.stack((repeats.h1, repeats.h2), axis=1), axis=0)
+    none = np.zeros(len(keys), np.uint32)
+    return keys[:, 0], keys[:, 1], none, none
 
 
 def surroundings(text: bytes, places: np.ndarray, first: int, key: tuple, length: int, anchor: int) -> _Rows:
@@ -453,10 +461,16 @@ def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, held, count = Anchors(length, anchor), [], 0
 
-        def send(rows, kind, width, out):
-            kept, larger = smallest_of_equal(rows)
+        def settled(rows, width, out):
+            kept, larger, repeats = smallest_of_equal(rows)
             if len(larger):
                 out.append((int(larger.h1[0]) % buckets, KNOWN, _covered(larger, *_reach(larger, width))))
+            if len(repeats):
+                out.append((int(repeats.h1[0]) % buckets, KNOWN, _pack(*_marks(repeats))))
+            return kept
+
+        def send(rows, kind, width, out):
+            kept = settled(rows, width, out)
             # Surroundings meet by their anchor, whole strings by all their bytes.
             room = (kept.data.shape[1] - anchor) // 2
             hashed = _row_hash(kept) if kind == STRINGS else anchors.of_rows(kept.data[:, room:room + anchor])
@@ -469,9 +483,7 @@ def surrounding_entries(touched: DataFrame, buckets: int, choice: tuple, anchor_
         def flush():
             out = []
             # A run of one byte makes equal surroundings at each of its places; one of them goes on.
-            rows, larger = smallest_of_equal(_Rows.join(held))
-            if len(larger):
-                out.append((int(larger.h1[0]) % buckets, KNOWN, _covered(larger, *_reach(larger, anchor))))
+            rows = settled(_Rows.join(held), anchor, out)
             room = length - anchor
             hashed = anchors.of_rows(rows.data[:, room:room + anchor])
             named = (_bucket(hashed, anchor_buckets).astype(np.uint64) << np.uint64(32)) | (hashed & np.uint64(0xFFFFFFFF))
@@ -655,8 +667,9 @@ def covered_ranges(entries: DataFrame, choice: tuple, buckets: int, targets: int
         for kind, size, centre in ((ENTRIES, width, anchor), (STRINGS, length, length)):
             own = [v for k, v in zip(kinds, values, strict=True) if k == kind]
             if own:
-                kept, larger = smallest_of_equal(_Rows.unpack(own, size))
+                kept, larger, repeats = smallest_of_equal(_Rows.unpack(own, size))
                 found.append((larger.h1, larger.h2, *_reach(larger, centre)))
+                found.append(_marks(repeats))
                 if kind == ENTRIES:
                     rows, low, high = covered_around(kept, length, anchor)
                     found.append((rows.h1, rows.h2, low, high))
@@ -697,15 +710,18 @@ def all_occurrences(text: bytes, begins: np.ndarray, length: int) -> np.ndarray:
 def remaining(text: bytes, ranges: bytes, length: int = LENGTH) -> tuple:
     """(bytes removed, number of removed runs, what remains) of a text with covered ranges.
 
-    A range is made of strings of ``length`` bytes that are removed, wherever they occur in the text.
+    A range is made of strings of ``length`` bytes. An empty one says that the text has repeats, of which
+    others may stand for: then the strings are removed wherever they occur in the text.
     """
     pairs = np.frombuffer(ranges, "<u4").reshape(-1, 2).astype(np.int64)
-    strings = len(text) - length + 1
-    if not len(pairs) or strings < 1:
+    some = pairs[pairs[:, 1] > 0]
+    if not len(some):
         return 0, 0, text
-    begins = all_occurrences(text, _marked(strings, pairs[:, 0], pairs[:, 1] - length + 1), length)
-    at = np.flatnonzero(begins)
-    gone = _marked(len(text), at, at + length)
+    if len(some) < len(pairs):
+        strings = len(text) - length + 1
+        at = np.flatnonzero(all_occurrences(text, _marked(strings, some[:, 0], some[:, 1] - length + 1), length))
+        some = np.stack((at, at + length), axis=1)
+    gone = _marked(len(text), some[:, 0], some[:, 1])
     return int(gone.sum()), len(counted(gone)[0]), np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 

@@ -114,10 +114,11 @@ def test_equal_rows_of_a_text_are_sent_once():
     text = b"head" + b"-" * 60_000 + b"tail"
     places = np.arange(4, 4 + 60_000 - 20)
     rows = suffix_dedup.surroundings(text, places, 1, (5, 6), 50, 20)
-    kept, larger = suffix_dedup.smallest_of_equal(rows)
-    assert len(kept) < 100 and not len(larger)
+    kept, larger, repeats = suffix_dedup.smallest_of_equal(rows)
+    assert len(kept) < 100 and not len(larger) and len(kept) + len(repeats) == len(rows)
+    assert [x.tolist() for x in suffix_dedup._marks(repeats)] == [[5], [6], [0], [0]]
     other = suffix_dedup.surroundings(text + b"!", places, 2, (7, 8), 50, 20)
-    kept, larger = suffix_dedup.smallest_of_equal(suffix_dedup._Rows.join([rows, other]))
+    kept, larger, _ = suffix_dedup.smallest_of_equal(suffix_dedup._Rows.join([rows, other]))
     assert len(kept) < 100 and 0 < len(larger) < 100
 
 
