@@ -10,7 +10,7 @@ from shelfloom.operators.content import resolve_content_issues, store_content
 from shelfloom.plans.content_job import run_content
 from shelfloom.plans.kept_counts import keep_counts
 from shelfloom.session import intermediate
-from shelfloom.sources.tables import KEYS, Change, Tables
+from shelfloom.sources.tables import KEYS, PARTS, Change, LostRace, Tables
 
 # Tables whose rows go with their product.
 CHILDREN = ("data_issues", "competitor_prices", "competitor_alerts", "latest_prices")
@@ -86,3 +86,15 @@ def generate_stored(tables: Tables, ids: DataFrame, generator: Callable, run_ts:
                  lambda rows: resolve_content_issues(rows, result.results, run_ts))
         _commit(change)
         return result.summary.first()
+
+
+def merge_parts(tables: Tables, most: int = PARTS) -> None:
+    """Put the small parts of tables that are only added to into fewer, so that a commit's list of parts
+    does not grow with the history. One commit for each table; another writer's commit goes first."""
+    for name in tables.full_tables(most):
+        change = tables.begin(f"merge-{name}:{tables.next_number()}", counted=True)
+        change.merge(name, most)
+        try:
+            change.commit()
+        except LostRace:
+            return  # the next call finds the same parts

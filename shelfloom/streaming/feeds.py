@@ -16,6 +16,7 @@ from shelfloom.fixed_values import NO_SKU_TEXT, PARSE_ERROR_TEXT
 from shelfloom.operators.cleaning import map_headers
 from shelfloom.plans.feed_job import failed_feed, overlong_text, process_rows, store, touched_products
 from shelfloom.plans.kept_counts import keep_counts
+from shelfloom.plans.store_changes import merge_parts
 from shelfloom.session import intermediate, settle
 from shelfloom.sources.feeds import CSV_FILES, ORDER, OVERFLOW, Feed, feed_of
 from shelfloom.sources.records import placed, text_lines
@@ -66,6 +67,7 @@ def ingest_feeds(stream: DataFrame, root: str, checkpoint: str, clock: Callable
             fresh = settle(feed.files.select("file").join(change.read("feed_files"), "file", "left_anti"), "feed-files")
             if not fresh.isEmpty():
                 take(feed, fresh, change)
+        merge_parts(change.tables)
 
     def take(feed: Feed, fresh: DataFrame, change: Change) -> None:
         rows = settle(feed.rows().join(fresh, F.col(f"{ORDER}._file") == F.col("file"), "left_semi"), "feed-batch")

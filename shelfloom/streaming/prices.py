@@ -20,6 +20,7 @@ from shelfloom.operators.prices import (
 )
 from shelfloom.operators.skew import ROWS_PER_TASK
 from shelfloom.plans.kept_counts import keep_counts
+from shelfloom.plans.store_changes import merge_parts
 from shelfloom.session import intermediate, settle
 from shelfloom.sources.tables import BUCKETS, Change, Tables, time_range
 from shelfloom.streaming.progress import stream_id
@@ -86,6 +87,7 @@ def monitor_prices(stream: DataFrame, products: Callable[[], DataFrame], root: s
             change.replace("latest_prices", advance_latest(latest, taken), touched)
             keep_counts(change)
             change.commit()
+        merge_parts(change.tables)
 
     return (
         stream.writeStream.foreachBatch(run)

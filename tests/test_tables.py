@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfloom.plans.feed_job import ingest_feed
 from shelfloom.plans.price_job import scrape
 from shelfloom.plans.store_changes import (
-    acknowledge_stored, delete_stored, generate_stored, resolve_stored,
+    acknowledge_stored, delete_stored, generate_stored, merge_parts, resolve_stored,
 )
 from shelfloom.session import shared_folder
 from shelfloom.sources.tables import LostRace, Tables
@@ -165,3 +165,41 @@ def test_a_stored_job_leaves_no_intermediate_tables(tables, spark, tmp_path):
     pages = spark.createDataFrame([], "page_id bigint, product_id bigint, source string, url string, html string")
     scrape(tables, pages, T2, "run-1")
     assert set(os.listdir(folder)) == before
+
+
+def test_parts_do_not_grow_with_the_history(tables, spark):
+    """Many small commits: the list of parts stays short, no row is lost, old folders go."""
+    held = []
+    for number in range(24):
+        change = tables.begin(f"stream:x:{number}", counted=True)
+        change.append("competitor_alerts", spark.createDataFrame(
+            [(number, number % 3, "undercut", "amazon", "m", 1.0, 1.0, 0.0, False, T1)], tables.read("competitor_alerts").schema))
+        change.commit()
+        merge_parts(tables, 3)
+        held.append(len(tables._newest()[0]["tables"]["competitor_alerts"]))
+    assert max(held) <= 9
+    assert sorted(r["alert_id"] for r in tables.read("competitor_alerts").collect()) == list(range(24))
+    state = tables._newest()[0]
+    assert len(state["writers"]) == 2
+    change = tables.begin("x")
+    change.replace("competitor_alerts", change.read("competitor_alerts", [0]).limit(0), [0])
+    change.commit()
+    assert tables.full_tables(3) == []
+
+
+def test_a_merge_gives_way_to_another_commit(tables, spark, monkeypatch):
+    rows = spark.createDataFrame([("f", 1)], "file string, job_id bigint")
+
+    def add(name):
+        change = tables.begin(name)
+        change.append("feed_files", rows)
+        change.commit()
+
+    for name in "abc":
+        add(name)
+    whole = Tables.begin
+    monkeypatch.setattr(Tables, "begin", lambda self, name, *a, **k: (whole(self, name, *a, **k), monkeypatch.undo(), add("other"))[0])
+    merge_parts(tables, 3)
+    assert tables.read("feed_files").count() == 4
+    merge_parts(tables, 3)
+    assert tables.read("feed_files").count() == 4 and len(tables._newest()[0]["tables"]["feed_files"]) == 1
