@@ -8,10 +8,10 @@ over. Symbols that are no piece in the end become byte pieces.
 
 No merge can span two characters that stand next to each other in no piece of the
 vocabulary. Texts are cut there first, so each agenda is short, and the ids of segments
-that were met before are looked up. The tables are bounded; a word that enters the full
-table of words takes the place of the oldest, and long words never enter.
+that were met before are looked up. The tables are bounded; once that of words is full, further
+words, as long ones always, are merged once for each batch of rows.
 
-The library is the judge: every word that was not looked up is encoded by it as well, batch
+The library is the judge: every word that was merged is encoded by it as well, batch
 by batch, and a difference is an error. A word is put behind a character that no piece holds, so
 that the ids of both add up. ``library_differences`` compares whole texts. Decoding is the
 library's ``decode``.
@@ -25,7 +25,6 @@ import hashlib
 import heapq
 import re
 import string
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,28 +153,27 @@ class MergePieces:
 
     def check_new_words(self) -> None:
         """Compare the words that were merged since the last call with the library."""
-        new, self.words.new = self.words.new, []
+        new, self.words.new = self.words.new, {}
         front = self.library.encode(ALONE)
-        found = self.library.encode([ALONE + word.replace(SPACE, " ") for word, _ in new], num_threads=1)
-        for (word, merged), ids in zip(new, found, strict=True):
+        found = self.library.encode([ALONE + word.replace(SPACE, " ") for word in new], num_threads=1)
+        for (word, merged), ids in zip(new.items(), found, strict=True):
             if front + np.frombuffer(self.words.get(word, merged), np.int32).tolist() != ids:
                 raise ValueError(f"the library encodes {word!r} as {ids[len(front):]}")
 
 
-class _Words(OrderedDict):
-    """Packed ids of words; a word that is not there is merged."""
+class _Words(dict):
+    """Packed ids of words; a word that is not there is merged, and is new until it is checked."""
 
     def __init__(self, pieces: MergePieces):
         super().__init__()
-        self.pieces, self.new = pieces, []
+        self.pieces, self.new = pieces, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.pieces.segment_ids(word), np.int32).tobytes()
-        self.new.append((word, ids))
-        if len(word) < 64:
-            if len(self) >= KNOWN_WORDS:
-                self.popitem(last=False)
-            self[word] = ids
+        ids = self.new.get(word)
+        if ids is None:
+            ids = self.new[word] = np.array(self.pieces.segment_ids(word), np.int32).tobytes()
+            if len(self) < KNOWN_WORDS and len(word) < 64:
+                self[word] = ids
         return ids
 
 

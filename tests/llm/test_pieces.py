@@ -81,7 +81,7 @@ def test_a_wrong_word_is_noticed(own):
 def test_unmarked_long_and_lone_words_are_compared(text, word, monkeypatch):
     table = pieces.MergePieces(piece_model())
     table.encode(text)
-    named = [w for w, _ in table.words.new if w.startswith(word)]
+    named = [w for w in table.words.new if w.startswith(word)]
     assert named, table.words.new
     table.check_new_words()
     table = pieces.MergePieces(piece_model())
@@ -99,6 +99,7 @@ def test_words_behind_a_full_table_are_compared(monkeypatch):
     table.check_new_words()
     table.encode("seen word299 late1 late2")
     assert len(table.words.new) >= 2 and len(table.words) == 5
-    table.words[table.words.new[-1][0]] = table.words[table.words.new[0][0]]
+    first, *_, last = table.words.new
+    table.words.new[last] = table.words.new[first]
     with pytest.raises(ValueError, match="the library encodes"):
         table.check_new_words()
