@@ -62,8 +62,14 @@ def lag_by_slice(df: DataFrame, keys: list, order: list, value: str, out: str,
 
 
 def slices_for(hot: DataFrame, rows_per_task: int) -> int:
-    """How many slices the rows of all hot keys together are cut into; 0 without any."""
-    return ceil((hot.agg(F.sum("n")).first()[0] or 0) / rows_per_task)
+    """How many slices the rows of all hot keys together are cut into; 0 without any.
+
+    A slice is a task. Small ``rows_per_task`` make no more of them than the session has shuffle
+    partitions, or than slices of ``ROWS_PER_TASK`` need; a slice then holds more rows.
+    """
+    rows = hot.agg(F.sum("n")).first()[0] or 0
+    partitions = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(ceil(rows / rows_per_task), max(partitions, ceil(rows / ROWS_PER_TASK)))
 
 
 def previous_value(df: DataFrame, keys: list, order: list, value: str, out: str,

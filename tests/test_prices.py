@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfloom.operators import prices as px
-from shelfloom.operators.skew import hot_keys, lag_by_key, previous_value
+from shelfloom.operators.skew import hot_keys, lag_by_key, previous_value, slices_for
 from shelfloom.plans.price_job import run_prices
 from shelfloom.schemas import COMPETITOR_PRICES, PAGES
 
@@ -128,6 +128,14 @@ def test_hot_key_with_a_single_time_is_sliced_exactly(spark):
     assert as_set(sliced) == as_set(lag_by_key(rows, ["k"], ["t", "id"], "v", "p"))
 
 
+def test_slices_do_not_outnumber_the_tasks_that_they_need(spark):
+    """Many hot keys of a few rows each: the slices go by the session, not by the rows."""
+    hot = spark.range(1_000_000).select(F.col("id").alias("k"), F.lit(16).alias("n"))
+    assert slices_for(hot, 15) == 8
+    assert slices_for(hot, 16_000_000) == 1 and slices_for(hot.limit(0), 15) == 0
+    assert slices_for(hot.withColumn("n", F.lit(4_000)), 15) == 1000
+
+
 def test_batches_on_state_equal_the_whole_history(spark):
     rows = sorted(random_rows(200, 2), key=lambda r: (r[8], r[0]))
     whole = as_set(px.history_alerts(table(spark, *rows), products(spark)))
