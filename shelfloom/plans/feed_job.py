@@ -83,7 +83,8 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
     """Outcome of a feed that has been read into columns c0, c1, ... and _order.
 
     ``current`` is the catalog, or a function that gives the part of it in which the
-    given SKUs (a table with a column sku) lie; ``products`` is then that part.
+    given SKUs (a table with a column sku) lie; ``products`` is then the part in which known SKUs
+    lie, and the new rows.
     """
     spark = rows.sparkSession
     job = {"job_id": job_id, "filename": filename, "started_at": run_ts}
@@ -118,6 +119,9 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
     catalog = current(latest) if callable(current) else current
     # One narrow join with the catalog gives the counts and the ids.
     known = settle(known_skus(latest, catalog), "feed-ids")
+    if callable(current):
+        # Where no SKU is known, rows are only added; buckets that hold some are rewritten.
+        catalog = current(known.filter("product_id IS NOT NULL"))
     counts = feed_counts(known).first()
     identified = good.join(known.drop("lines"), "sku").withColumn(
         "product_id", F.coalesce("product_id", new_product_id(F.col("sku"))))

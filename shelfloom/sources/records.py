@@ -56,8 +56,11 @@ def _left_open(text: Column) -> Column:
 
 
 def _with_steps(lines: DataFrame) -> DataFrame:
+    # A line without a quote leaves everything as it was; most lines are such.
+    quoted = F.contains("line", F.lit('"'))
     return lines.withColumns({
-        "if_closed": _left_open(F.col("line")), "if_open": _left_open(F.concat(F.lit('"'), F.col("line")))})
+        "if_closed": F.when(quoted, _left_open(F.col("line"))).otherwise(False),
+        "if_open": F.when(quoted, _left_open(F.concat(F.lit('"'), F.col("line")))).otherwise(True)})
 
 
 def split_steps(lines: DataFrame) -> DataFrame:

@@ -203,3 +203,23 @@ def test_a_merge_gives_way_to_another_commit(tables, spark, monkeypatch):
     assert tables.read("feed_files").count() == 4
     merge_parts(tables, 3)
     assert tables.read("feed_files").count() == 4 and len(tables._newest()[0]["tables"]["feed_files"]) == 1
+
+
+def test_a_feed_rewrites_only_buckets_with_known_skus(spark, tmp_path):
+    """New SKUs are added beside what is stored; a known one costs its bucket."""
+    tables = Tables(spark, str(tmp_path / "tables"))
+
+    def parts(number, *skus):
+        path = tmp_path / f"{number}.csv"
+        path.write_text("sku,title\n" + "".join(f"{sku},title {number}\n" for sku in skus))
+        ingest_feed(tables, str(path), datetime(2024, 6, number))
+        return {p["part"]: p["buckets"] for p in tables._newest()[0]["tables"]["products"]}
+
+    first = parts(1, *[f"A{i}" for i in range(60)])
+    second = parts(2, *[f"B{i}" for i in range(60)])
+    assert first.items() <= second.items() and len(second) == 2
+    third = parts(3, "A7", "C1")
+    moved = tables.buckets_of("products", spark.createDataFrame([("A7",)], "sku string"))
+    assert {part: sorted({*buckets} - {*moved}) for part, buckets in second.items()}.items() <= third.items()
+    titles = {r["sku"]: r["title"] for r in tables.read("products").collect()}
+    assert len(titles) == tables.read("products").count() == 121 and titles["A7"] == "title 3" and titles["A8"] == "title 1"
