@@ -57,7 +57,9 @@ REPLIES_AT_ONCE = 16
 
 def call_generator(rows: DataFrame, generator: Callable, prompt: str, reply: str, error: str,
                    system: str, **options) -> DataFrame:
-    """Add ``reply`` (the generator's text for ``prompt``) or ``error``.
+    """Put ``reply`` (the generator's text for ``prompt``) and ``error`` in the place of ``prompt``.
+
+    Prompts hold whole descriptions, so they go no further than to the generator.
 
     ``generator(system, prompt, temperature=, max_tokens=)`` runs inside the
     tasks, row by row; rows with a null prompt are not sent. A lost task is
@@ -67,9 +69,10 @@ def call_generator(rows: DataFrame, generator: Callable, prompt: str, reply: str
     """
     text_type = T.StringType()
     schema = T.StructType([
-        *rows.schema.fields, T.StructField(reply, text_type), T.StructField(error, text_type)
+        *[f for f in rows.schema.fields if f.name != prompt], T.StructField(reply, text_type), T.StructField(error, text_type)
     ])
     position = rows.columns.index(prompt)
+    others = [i for i in range(len(rows.columns)) if i != position]
 
     def ask(text):
         try:
@@ -82,7 +85,7 @@ def call_generator(rows: DataFrame, generator: Callable, prompt: str, reply: str
             asked = [ask(t) if t is not None else (None, None) for t in batch[position].to_pylist()]
             added = [pa.array(column, pa.string()) for column in zip(*asked)] or [pa.array([], pa.string())] * 2
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *added], names=[*batch.schema.names, reply, error]
+                [*(batch.column(i) for i in others), *added], names=[*(batch.schema.names[i] for i in others), reply, error]
             )
 
     return rows.mapInArrow(run, schema)
@@ -130,7 +133,8 @@ def call_with_ledger(rows: DataFrame, generator: Callable, prompt: str, reply: s
         asked.select("request", "reply", "error").write.mode("append").parquet(ledger)
     answers = ledger_answers(spark, ledger).select(
         "request", F.col("reply").alias(reply), F.col("error").alias(error))
-    return keyed.join(answers, "request", "left").select(*rows.columns, reply, error)
+    others = [c for c in rows.columns if c != prompt]
+    return keyed.join(answers, "request", "left").select(*others, reply, error)
 
 
 def generate(ids: DataFrame, products: DataFrame, generator: Callable,

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from shelfloom.operators.content import generate, ledger_answers
+from shelfloom.operators.content import call_generator, call_with_ledger, generate, ledger_answers
 from shelfloom.schemas import PRODUCTS
 from tests.test_content import product, products
 
@@ -77,3 +77,14 @@ def test_equal_prompts_are_asked_once(spark, tmp_path):
     none = spark.createDataFrame([], PRODUCTS)
     unknown = generate(same.select("product_id"), none, noted(tmp_path), ledger=str(tmp_path / "m"))
     assert unknown.filter(F.col("success")).count() == 0 and unknown.count() == 30
+
+
+def test_prompts_end_at_the_generator(spark, tmp_path):
+    """What a task hands back, and what is written and joined after it, holds no prompts."""
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, prompt string")
+    names = ("prompt", "reply", "error", "system")
+    plain = call_generator(rows, lambda system, prompt: prompt.upper(), *names)
+    kept = call_with_ledger(rows, lambda system, prompt: prompt.upper(), *names, str(tmp_path / "l"), 2, None)
+    for made in (plain, kept):
+        assert made.columns == ["id", "reply", "error"]
+        assert sorted(map(tuple, made.collect())) == [(1, "A", None), (2, None, None)]
