@@ -23,7 +23,7 @@ from shelfloom.plans.page_directory import stored_page, write_directory
 from shelfloom.plans.search_index import add_to_index, search_stored
 from shelfloom.plans.store_changes import acknowledge_stored, delete_stored, resolve_stored
 from shelfloom.schemas import COMPETITOR_ALERTS, PRODUCTS
-from shelfloom.session import new_folder, settle
+from shelfloom.session import empty, new_folder, settle
 from shelfloom.sources.pages import best_listings, read_listings
 from shelfloom.sources.tables import Tables
 from shelfloom.streaming.feeds import feed_stream, ingest_feeds
@@ -203,7 +203,7 @@ LINES_PER_FILE = 5000
 
 
 def _empty_products(spark):
-    return spark.createDataFrame([], PRODUCTS)
+    return empty(spark, PRODUCTS)
 
 
 @query

@@ -15,9 +15,11 @@ neither ends its field nor is doubled leaves the field unquoted, as Spark's own
 field that is never closed takes the rest of its file as one record.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +65,43 @@ def _with_steps(lines: DataFrame) -> DataFrame:
         "if_open": F.when(quoted, _left_open(F.concat(F.lit('"'), F.col("line")))).otherwise(True)})
 
 
+def _runs(batch: pa.RecordBatch) -> list:
+    """(file, start, from, to) of the lines of each split in a batch with columns file and start."""
+    file, start = batch.column(0), batch.column(1)
+    if not len(start):
+        return []
+    same_file = pc.equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(start.to_numpy()) | ~same_file) + 1
+    bounds = [0, *cuts.tolist(), len(start)]
+    return [(file[i].as_py(), start[i].as_py(), i, j) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _marks(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def open_behind(if_closed: np.ndarray, if_open: np.ndarray, is_open: bool) -> np.ndarray:
+    """Whether a quoted field is open behind each of some lines; ``is_open`` is that before the first."""
+    at = np.arange(len(if_closed))
+    # The last line so far whose end does not depend on its beginning, and the changes since then.
+    fixed = np.maximum.accumulate(np.where(if_closed == if_open, at, -1))
+    turns = np.cumsum(if_closed & ~if_open)
+    begun = np.where(fixed < 0, is_open, if_closed[fixed])
+    return begun ^ ((turns - np.where(fixed < 0, 0, turns[fixed])) % 2 == 1)
+
+
 def split_steps(lines: DataFrame) -> DataFrame:
     """(file, start, first_line, if_closed, if_open) of every split, in one pass."""
     def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, state, rows = None, None, []
         for batch in batches:
-            for file, start, line, if_closed, if_open in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if_closed, if_open = _marks(batch.column(3)), _marks(batch.column(4))
+            for file, start, i, j in _runs(batch):
                 if (file, start) != name:
                     if name:
                         rows.append((*name, *state))
-                    name, state = (file, start), [line, if_closed, if_open]
-                else:
-                    state[1:] = (if_open if before else if_closed for before in state[1:])
+                    name, state = (file, start), [batch.column(2)[i].as_py(), False, True]
+                state[1:] = (bool(open_behind(if_closed[i:j], if_open[i:j], before)[-1]) for before in state[1:])
         if name:
             rows.append((*name, *state))
         columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -111,34 +138,52 @@ def _joined_lines(lines: DataFrame) -> DataFrame:
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, first, is_open, kind, made_any = None, [], None, False, _WHOLE, False
         for batch in batches:
+            places, opened = batch.column(2).to_numpy(), _marks(batch.column(4))
+            if_closed, if_open = _marks(batch.column(5)), _marks(batch.column(6))
             made = []
-            for file, start, place, line, open_before, if_closed, if_open in zip(
-                    *(c.to_pylist() for c in batch.columns), strict=True):
+            for file, start, i, j in _runs(batch):
                 if (file, start) != name:
                     if held:
-                        made.append((*name, first, kind + _HEAD, "\n".join(held)))
-                    name, held, is_open, made_any = (file, start), [], open_before, False
-                    kind = _MIDDLE - _HEAD if open_before else _WHOLE
+                        made.append(_records(name, [first], [kind + _HEAD], held, [0, sum(map(len, held))]))
+                    name, held, is_open, made_any = (file, start), [], bool(opened[i]), False
+                    kind = _MIDDLE - _HEAD if is_open else _WHOLE
                 if not held:
-                    first = place if start or made_any else HEADER_PLACE
+                    first = int(places[i]) if start or made_any else HEADER_PLACE
                     made_any = True
-                held.append(line)
-                is_open = if_open if is_open else if_closed
-                if not is_open:
-                    made.append((*name, first, _TAIL if kind else _WHOLE, "\n".join(held)))
+                behind = open_behind(if_closed[i:j], if_open[i:j], is_open)
+                is_open = bool(behind[-1])
+                ends = i + 1 + np.flatnonzero(~behind)
+                last = int(ends[-1]) if len(ends) else i
+                if len(ends):
+                    before = sum(map(len, held))
+                    held.append(batch.column(3).slice(i, last - i))
+                    firsts = np.concatenate(([first], places[ends[:-1]]))
+                    kinds = [_TAIL if kind else _WHOLE, *[_WHOLE] * (len(ends) - 1)]
+                    made.append(_records(name, firsts, kinds, held, np.concatenate(([0], ends - i + before))))
                     held, kind = [], _WHOLE
-            yield _records(made)
-        yield _records([(*name, first, kind + _HEAD, "\n".join(held))] if held else [])
+                if last < j:
+                    if len(ends):
+                        first = int(places[last])
+                    held.append(batch.column(3).slice(last, j - last))
+            yield from pa.Table.from_batches(made, _RECORDS).combine_chunks().to_batches()
+        if held:
+            yield _records(name, [first], [kind + _HEAD], held, [0, sum(map(len, held))])
 
     return _with_steps(lines).select("file", "start", "place", "line", "open_before", "if_closed", "if_open").mapInArrow(
         joined, "file string, start bigint, place bigint, kind int, record string")
 
 
-def _records(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                      ["file", "start", "place", "kind", "record"])
+_RECORDS = pa.schema([("file", pa.string()), ("start", pa.int64()), ("place", pa.int64()), ("kind", pa.int32()),
+                      ("record", pa.string())])
+
+
+def _records(name: tuple, places: Sequence, kinds: list, lines: list, offsets: Sequence) -> pa.RecordBatch:
+    """Records of a split; ``lines`` are arrays of their lines, each record's begin at its offset."""
+    file, start = name
+    parts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([x.cast(pa.string()) for x in lines]))
+    return pa.RecordBatch.from_arrays(
+        [pa.repeat(pa.scalar(file, pa.string()), len(kinds)), pa.repeat(pa.scalar(start, pa.int64()), len(kinds)),
+         pa.array(places, pa.int64()), pa.array(kinds, pa.int32()), pc.binary_join(parts, "\n")], schema=_RECORDS)
 
 
 def _joined_fragments(fragments: DataFrame) -> DataFrame:

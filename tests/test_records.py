@@ -3,6 +3,7 @@
 import random
 from contextlib import contextmanager
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,16 @@ def test_states_of_splits(spark):
     chance.shuffle(rows)
     steps = spark.createDataFrame(rows, "file string, start bigint, first_line string, if_closed boolean, if_open boolean")
     assert sorted(tuple(r) for r in records.split_states(steps).collect()) == sorted(want)
+
+
+def test_open_behind_equals_line_by_line():
+    chance = random.Random(9)
+    for _ in range(300):
+        steps = [(chance.random() < 0.3, chance.random() < 0.7) for _ in range(chance.randrange(1, 30))]
+        for is_open in (False, True):
+            want, state = [], is_open
+            for if_closed, if_open in steps:
+                state = if_open if state else if_closed
+                want.append(state)
+            closed, opened = (np.array(c) for c in zip(*steps, strict=True))
+            assert records.open_behind(closed, opened, is_open).tolist() == want

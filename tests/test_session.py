@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from shelfloom.session import intermediate, new_folder, settle, shared_folder
+from shelfloom.schemas import PRODUCTS
+from shelfloom.session import empty, intermediate, new_folder, settle, shared_folder
 
 
 def test_folder_is_the_sessions_setting(spark):
@@ -42,3 +44,12 @@ def test_tables_of_a_block_are_removed_with_it(spark):
     assert set(os.listdir(folder)) == before
     settle(spark.range(1), "kept")
     assert len(set(os.listdir(folder)) - before) == 1
+
+
+def test_join_with_an_empty_table_moves_nothing(spark):
+    nothing = empty(spark, PRODUCTS)
+    assert nothing.schema == PRODUCTS and nothing.count() == 0
+    rows = spark.range(5).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("sku"))
+    joined = rows.join(nothing.select("sku", "product_id"), "sku", "left")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert {r["product_id"] for r in joined.collect()} == {None} and joined.count() == 5
