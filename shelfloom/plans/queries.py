@@ -2,6 +2,7 @@
 
 from datetime import datetime
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -994,10 +995,23 @@ def q_stream_feed_headers(spark, sf_dir):
     return tables.read("products").select("sku", "title", "price").unionByName(jobs)
 
 
+# Bytes of descriptions in one file of q_csv_one_file: some splits of the default size.
+FILE_BYTES = 256 << 20
+
+
+def _whole_files(lines, text_bytes):
+    """Lines in so few partitions, and so files, that each holds about ``FILE_BYTES``."""
+    return lines.coalesce(max(1, ceil(text_bytes / FILE_BYTES)))
+
+
 @query
 def q_csv_one_file(spark, sf_dir):
-    """The feed as one file, whose descriptions hold line breaks within quotes, read by all tasks."""
+    """The feed as one file, whose descriptions hold line breaks within quotes, read by all tasks.
+
+    One task writes a file, so beyond ``FILE_BYTES`` there are several, each of more splits than one.
+    """
     folder = new_folder(spark, "one-file")
     lines = tv.feed_lines(spark, sf_dir).drop(cleaning.ORDER).toDF(*tv.FEED_HEADERS)
-    lines.coalesce(1).write.options(header=True, escape='"').csv(folder)
+    texts = tv.read(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0]
+    _whole_files(lines, texts or 0).write.options(header=True, escape='"').csv(folder)
     return _clean_columns(run_feed(spark, folder, _empty_products(spark), RUN, 1).products)

@@ -9,6 +9,7 @@ from shelfloom.operators.changes import upsert_products
 from shelfloom.operators.cleaning import (
     clean_rows, feed_rows, last_per_sku, map_headers, storable_rows,
 )
+from shelfloom.plans import queries
 from shelfloom.plans.feed_job import ingest_feed, run_feed
 from shelfloom.schemas import PRODUCTS
 from shelfloom.sources.feeds import header_names, is_csv_name, open_feed
@@ -261,3 +262,11 @@ def test_split_files_keep_feed_order(spark, tmp_path):
     latest = last_per_sku(clean(spark, str(folder)))
     assert latest.count() == 50
     assert {(r["title"], r["lines"]) for r in latest.collect()} == {("part2", 3)}
+
+
+def test_large_feed_is_written_as_several_files(spark):
+    lines = spark.range(1000).repartition(9)
+    assert queries._whole_files(lines, 0).rdd.getNumPartitions() == 1
+    assert queries._whole_files(lines, queries.FILE_BYTES).rdd.getNumPartitions() == 1
+    many = queries._whole_files(lines, 3 * queries.FILE_BYTES + 1)
+    assert many.rdd.getNumPartitions() == 4 and many.count() == 1000
