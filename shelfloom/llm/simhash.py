@@ -56,7 +56,11 @@ def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS) -> int:
-    hashes = shingle_hashes(text or b"", words_each)
+    return fingerprint_of(shingle_hashes(text or b"", words_each))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
