@@ -30,12 +30,12 @@ def map_headers(headers: list) -> dict:
     return found
 
 
-def feed_rows(rows: DataFrame, headers: list) -> DataFrame:
-    """Missing-value texts as null, lines without any value dropped."""
+def feed_rows(rows: DataFrame, headers: list, *kept_for: str) -> DataFrame:
+    """Missing-value texts as null, lines without any value dropped, also in the columns ``kept_for``."""
     columns = raw_columns(headers)
     others = [c for c in rows.columns if c not in columns]
     nulled = rows.select(*[null_if_na(F.col(c)).alias(c) for c in columns], *others)
-    return nulled.na.drop(how="all", subset=columns)
+    return nulled.dropna(how="all", subset=[*columns, *kept_for])
 
 
 def _over_width(widths: dict) -> Column:
@@ -100,18 +100,23 @@ def quarantine(cleaned: DataFrame) -> DataFrame:
     return cleaned.filter(F.col("sku").isNotNull() & F.col("reject_reason").isNotNull())
 
 
-def last_per_sku(feed: DataFrame) -> DataFrame:
+def lines_of_skus(feed: DataFrame) -> DataFrame:
+    """(sku, position of its last line, currency of its first, lines) of every SKU."""
+    return feed.groupBy("sku").agg(
+        F.max(ORDER).alias("_last"),
+        F.min(F.struct(ORDER, "currency")).alias("_first"),
+        F.count(F.lit(1)).alias("lines"),
+    ).select("sku", F.col("_last").alias(ORDER), F.col("_first.currency").alias("currency"), "lines")
+
+
+def last_per_sku(feed: DataFrame, picked: DataFrame = None) -> DataFrame:
     """One row per SKU: the values of its last line, the currency of its first.
 
-    ``lines`` counts the SKU's lines. The last positions are picked from SKU,
+    ``lines`` counts the SKU's lines; ``picked`` are the feed's ``lines_of_skus``, if they are known. The last positions are picked from SKU,
     position and currency alone, combined before the shuffle. Their lines are then
     found by position, which no two lines share, so a SKU that fills a third of a
     feed brings no task more rows than another.
     """
     fields = [c for c in feed.columns if c not in ("sku", "currency", ORDER)]
-    picked = feed.groupBy("sku").agg(
-        F.max(ORDER).alias("_last"),
-        F.min(F.struct(ORDER, "currency")).alias("_first"),
-        F.count(F.lit(1)).alias("lines"),
-    ).select(F.col("_last").alias(ORDER), F.col("_first.currency").alias("currency"), "lines")
+    picked = (lines_of_skus(feed) if picked is None else picked).drop("sku")
     return feed.drop("currency").join(picked, ORDER).select("sku", *fields, "currency", "lines")

@@ -11,12 +11,12 @@ from shelfloom.fixed_values import (
 )
 from shelfloom.operators.changes import new_product_id, upsert_products
 from shelfloom.operators.cleaning import (
-    clean_rows, feed_rows, is_storable, last_per_sku, map_headers, quarantine, storable_rows,
+    clean_rows, feed_rows, is_storable, last_per_sku, lines_of_skus, map_headers, quarantine, storable_rows,
 )
 from shelfloom.operators.quality import data_issues, status_from_issues, with_issues
 from shelfloom.plans.kept_counts import keep_counts
 from shelfloom.schemas import INGESTION_JOBS
-from shelfloom.session import intermediate, settle
+from shelfloom.session import at_once, intermediate, settle
 from shelfloom.sources.feeds import OVERFLOW, is_csv_name, open_feed
 from shelfloom.sources.tables import Change, LostRace, Tables
 
@@ -26,7 +26,7 @@ class FeedResult:
     """What one feed leads to. ``products`` is None when nothing changes.
 
     ``job_values`` are those of its row in the job log, ``quarantine`` the rows over a width,
-    if there are widths, ``error`` what made the job fail.
+    if there are widths, ``files`` the files that count as taken in, if they are kept, ``error`` what made the job fail.
     """
 
     spark: SparkSession
@@ -34,6 +34,7 @@ class FeedResult:
     products: DataFrame = None
     issues: DataFrame = None
     quarantine: DataFrame = None
+    files: DataFrame = None
     error: Exception = None
 
     @property
@@ -87,49 +88,85 @@ def process_rows(rows: DataFrame, headers: list, current, run_ts: datetime, job_
     lie, and the new rows.
     """
     spark = rows.sparkSession
-    job = {"job_id": job_id, "filename": filename, "started_at": run_ts}
+    job = new_job(job_id, filename, run_ts)
     if not headers:
         message = OTHER_ERROR_TEXT.format(error="No columns to parse from file")
         return FeedResult(spark, job | {"status": "failed", "error_message": message, "completed_at": run_ts})
     has_sku = "sku" in map_headers(headers)
     lines = feed_rows(rows, headers)
-    overlong = F.col(OVERFLOW).isNotNull() if OVERFLOW in rows.columns else F.lit(False)
     if has_sku:
         # All outputs read the checked rows, so the feed is read and checked once.
-        cleaned = clean_rows(lines.withColumn("_overlong", overlong).drop(OVERFLOW), headers, widths)
-        checked = settle(checked_rows(cleaned), "feed-rows")
-        found_issues = F.sum(F.when(is_storable(), F.size("issues")))
+        checked = settle(checked_lines(lines, headers, widths), "feed-rows")
+        total, broken, found = checked.agg(*line_counts()).first()
     else:
-        checked, found_issues = lines.withColumn("_overlong", overlong), F.lit(0)
-    total, broken, found = checked.agg(
-        F.count(F.lit(1)), F.count_if("_overlong"), F.coalesce(found_issues, F.lit(0))
-    ).first()
+        total, broken = lines.agg(F.count(F.lit(1)), F.count_if(_is_overlong(lines))).first()
     job["total_rows"] = total
     if broken:
         message = PARSE_ERROR_TEXT.format(error=overlong_text(broken))
         return FeedResult(spark, job | {"status": "failed", "error_message": message, "completed_at": run_ts})
-    if not total:
-        return FeedResult(spark, job | {"status": "completed", "error_message": EMPTY_FEED_TEXT})
-    if not has_sku:
+    if total and not has_sku:
         message = NO_SKU_TEXT.format(columns=", ".join(headers))
         return FeedResult(spark, job | {"status": "failed", "error_message": message})
+    return checked_result(checked if has_sku else lines, total, found if has_sku else 0, current, job, widths)
+
+
+def new_job(job_id: int, filename: str, run_ts: datetime) -> dict:
+    """The first values of a feed's row in the job log."""
+    return {"job_id": job_id, "filename": filename, "started_at": run_ts}
+
+
+def _is_overlong(rows: DataFrame):
+    return F.col(OVERFLOW).isNotNull() if OVERFLOW in rows.columns else F.lit(False)
+
+
+def checked_lines(lines: DataFrame, headers: list, widths: dict = None) -> DataFrame:
+    """``feed_rows`` cleaned and checked, with ``_overlong``."""
+    return checked_rows(clean_rows(lines.withColumn("_overlong", _is_overlong(lines)).drop(OVERFLOW), headers, widths))
+
+
+def line_counts() -> list:
+    """Lines, overlong lines and issues found, over ``checked_lines``."""
+    found_issues = F.sum(F.when(is_storable(), F.size("issues")))
+    return [F.count(F.lit(1)).alias("total"), F.count_if("_overlong").alias("broken"),
+            F.coalesce(found_issues, F.lit(0)).alias("found")]
 
+
+def stored_skus(good: DataFrame, touched) -> tuple:
+    """(``lines_of_skus``, ``known_skus``, their counts, the part of the catalog in which known SKUs lie) of a feed's rows.
+
+    ``touched`` gives the part of the catalog in which some SKUs lie. Of it only rows of the feed's SKUs are moved.
+    """
+    skus, current = at_once(lambda: settle(lines_of_skus(good), "feed-lines"), lambda: touched(good.select("sku")))
+    current = current.select("sku", "product_id").join(skus.select("sku"), "sku", "left_semi")
+    known = settle(known_skus(skus, current), "feed-ids")
+    # Where no SKU is known, rows are only added; buckets that hold some are rewritten.
+    return skus, known, *at_once(feed_counts(known).first, lambda: touched(known.filter("product_id IS NOT NULL")))
+
+
+def checked_result(checked: DataFrame, total: int, found: int, current, job: dict, widths: dict = None) -> FeedResult:
+    """Outcome of ``checked_lines`` without an overlong one, that hold so many lines and issues; ``job`` is its
+    ``new_job``, ``current`` as for ``process_rows``."""
+    spark, job_id, run_ts = checked.sparkSession, job["job_id"], job["started_at"]
+    job["total_rows"] = total
+    if not total:
+        return FeedResult(spark, job | {"status": "completed", "error_message": EMPTY_FEED_TEXT})
     good = storable_rows(checked.drop("_overlong"))
-    latest = settle(last_per_sku(good.drop("issues")), "feed-skus")
-    catalog = current(latest) if callable(current) else current
-    # One narrow join with the catalog gives the counts and the ids.
-    known = settle(known_skus(latest, catalog), "feed-ids")
+
     if callable(current):
-        # Where no SKU is known, rows are only added; buckets that hold some are rewritten.
-        catalog = current(known.filter("product_id IS NOT NULL"))
-    counts = feed_counts(known).first()
+        skus, known, counts, catalog = stored_skus(good, current)
+        latest = last_per_sku(good.drop("issues"), skus)
+    else:
+        latest, catalog = settle(last_per_sku(good.drop("issues")), "feed-skus"), current
+        # One narrow join with the catalog gives the counts and the ids.
+        known = settle(known_skus(latest, catalog), "feed-ids")
+        counts = feed_counts(known).first()
     identified = good.join(known.drop("lines"), "sku").withColumn(
         "product_id", F.coalesce("product_id", new_product_id(F.col("sku"))))
     job |= counts.asDict() | {"issues_found": found, "status": "completed", "completed_at": run_ts}
+    products, issues = at_once(
+        lambda: upsert_products(catalog, latest, run_ts), lambda: data_issues(identified, run_ts, job_id))
     return FeedResult(
-        spark, job,
-        products=upsert_products(catalog, latest, run_ts),
-        issues=data_issues(identified, run_ts, job_id),
+        spark, job, products=products, issues=issues,
         quarantine=quarantine(checked).select(
             F.lit(job_id).cast("bigint").alias("job_id"), "sku", "title", "raw_data", "reject_reason"
         ) if widths else None,
@@ -167,12 +204,15 @@ def store(result: FeedResult, change: Change) -> None:
     come again after that.
     """
     try:
+        writes = [lambda: change.append("ingestion_jobs", result.job)]
         if result.products is not None:
-            change.append("data_issues", result.issues)
+            writes.append(lambda: change.append("data_issues", result.issues))
             if result.quarantine is not None:
-                change.append("quarantine", result.quarantine)
-            change.replace("products", result.products, change.touched["products"])
-        change.append("ingestion_jobs", result.job)
+                writes.append(lambda: change.append("quarantine", result.quarantine))
+            writes.append(lambda: change.replace("products", result.products, change.touched["products"]))
+        if result.files is not None:
+            writes.append(lambda: change.append("feed_files", result.files))
+        at_once(*writes)
         keep_counts(change)
         change.commit()
     except LostRace:

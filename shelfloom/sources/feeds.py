@@ -52,7 +52,11 @@ def line_names(line: str) -> list:
 def headers_of(files: DataFrame) -> dict:
     """Header line -> column names, for the different first lines of (file, line) by file name."""
     found = files.groupBy("line").agg(F.min("file").alias("file")).orderBy("file").collect()
-    return {row["line"]: line_names(row["line"].removesuffix(CARRIAGE_RETURN)) for row in found}
+    return {row["line"]: names_in(row["line"]) for row in found}
+
+
+def names_in(first_line: str) -> list:
+    return line_names(first_line.removesuffix(CARRIAGE_RETURN))
 
 
 def all_names(found: dict) -> list:
@@ -68,7 +72,7 @@ class Feed:
     """A feed's lines, the first line of each file, and the column names that follow."""
 
     lines: DataFrame
-    steps: DataFrame
+    steps: DataFrame | list
     files: DataFrame
     found: dict
 
@@ -92,12 +96,20 @@ def feed_of(lines: DataFrame) -> Feed:
     return Feed(lines, steps, files, headers_of(files))
 
 
+def told_feed(lines: DataFrame) -> Feed:
+    """A feed of so few files and splits that the driver may hold a row for each, as those of one trigger."""
+    steps = split_steps(lines).collect()
+    first_lines = {step["file"]: step["first_line"] for step in sorted(steps, key=lambda s: s["file"]) if step["first_line"] is not None}
+    files = lines.sparkSession.createDataFrame(list(first_lines.items()), "file string, line string")
+    return Feed(lines, steps, files, {line: names_in(line) for line in first_lines.values()})
+
+
 def open_feed(spark: SparkSession, path) -> Feed:
     """The feed at ``path``; large files are split over tasks, also with line breaks inside quotes."""
     return feed_of(read_lines(spark, path, CSV_FILES))
 
 
-def parsed(lines: DataFrame, steps: DataFrame, files: DataFrame, found: dict) -> DataFrame:
+def parsed(lines: DataFrame, steps, files: DataFrame, found: dict) -> DataFrame:
     """Records as cells c0, c1, ... as wide as the widest header, one overflow column, and their place."""
     widest = range(max(map(len, found.values()), default=0))
     body = records(lines, steps).filter(F.col("place") != HEADER_PLACE)

@@ -15,7 +15,7 @@ neither ends its field nor is doubled leaves the field unquoted, as Spark's own
 field that is never closed takes the rest of its file as one record.
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -133,19 +133,33 @@ def split_states(steps: DataFrame) -> DataFrame:
     return known.select("file", "start", "open_before", behind.alias("open_behind"))
 
 
-def _joined_lines(lines: DataFrame) -> DataFrame:
-    """(file, start, place, kind, record) from lines in order with ``open_before`` of their split."""
+def told_states(steps: list) -> tuple:
+    """(the (file, start) of splits that begin within quotes, whether any ends so) for collected ``split_steps``."""
+    begun, crossing, file, is_open = set(), False, None, False
+    for step in sorted(steps, key=lambda s: (s["file"], s["start"])):
+        is_open, file = is_open and step["file"] == file, step["file"]
+        if is_open:
+            begun.add((file, step["start"]))
+        is_open = step["if_open"] if is_open else step["if_closed"]
+        crossing |= is_open
+    return frozenset(begun), crossing
+
+
+def _joined_lines(lines: DataFrame, begun: frozenset = None) -> DataFrame:
+    """(file, start, place, kind, record) from lines in order with ``open_before`` of their split, or with the
+    (file, start) of those splits for which it is true."""
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, first, is_open, kind, made_any = None, [], None, False, _WHOLE, False
         for batch in batches:
-            places, opened = batch.column(2).to_numpy(), _marks(batch.column(4))
-            if_closed, if_open = _marks(batch.column(5)), _marks(batch.column(6))
+            places, opened = batch.column(2).to_numpy(), _marks(batch.column(6)) if begun is None else None
+            if_closed, if_open = _marks(batch.column(4)), _marks(batch.column(5))
             made = []
             for file, start, i, j in _runs(batch):
                 if (file, start) != name:
                     if held:
                         made.append(_records(name, [first], [kind + _HEAD], held, [0, sum(map(len, held))]))
-                    name, held, is_open, made_any = (file, start), [], bool(opened[i]), False
+                    name, held, made_any = (file, start), [], False
+                    is_open = name in begun if opened is None else bool(opened[i])
                     kind = _MIDDLE - _HEAD if is_open else _WHOLE
                 if not held:
                     first = int(places[i]) if start or made_any else HEADER_PLACE
@@ -169,7 +183,8 @@ def _joined_lines(lines: DataFrame) -> DataFrame:
         if held:
             yield _records(name, [first], [kind + _HEAD], held, [0, sum(map(len, held))])
 
-    return _with_steps(lines).select("file", "start", "place", "line", "open_before", "if_closed", "if_open").mapInArrow(
+    names = ["file", "start", "place", "line", "if_closed", "if_open", *(["open_before"] if begun is None else [])]
+    return _with_steps(lines).select(*names).mapInArrow(
         joined, "file string, start bigint, place bigint, kind int, record string")
 
 
@@ -196,11 +211,14 @@ def _joined_fragments(fragments: DataFrame) -> DataFrame:
         "file", "at.start", "at.place", F.array_join(F.col("parts.record"), "\n").alias("record"))
 
 
-def records(lines: DataFrame, steps: DataFrame) -> DataFrame:
-    """(file, start, place, record) of all records; ``steps`` are the settled ``split_steps`` of the lines.
+def records(lines: DataFrame, steps) -> DataFrame:
+    """(file, start, place, record) of all records; ``steps`` are the ``split_steps`` of the lines, settled or collected.
 
     A file's first record has the place ``HEADER_PLACE``.
     """
+    if isinstance(steps, list):
+        begun, crossing = told_states(steps)
+        return _with_fragments(_joined_lines(lines, begun), crossing)
     states = settle(split_states(steps), "split-states")
     inside, crossing = states.agg(F.count_if("open_before"), F.count_if("open_behind")).first()
     if inside:
@@ -212,8 +230,12 @@ def records(lines: DataFrame, steps: DataFrame) -> DataFrame:
             lines = lines.repartition("file", "start").sortWithinPartitions("file", "start", "place")
     else:
         lines = lines.withColumn("open_before", F.lit(False))
-    made = _joined_lines(lines)
+    return _with_fragments(_joined_lines(lines), crossing, lambda fragments: settle(fragments, "record-fragments"))
+
+
+def _with_fragments(made: DataFrame, crossing: bool, kept: Callable = lambda fragments: fragments) -> DataFrame:
+    """All records of ``_joined_lines``, of whose splits some are ``crossing`` into the next."""
     if not crossing:
         return made.drop("kind")
-    fragments = settle(made.filter(F.col("kind") != _WHOLE), "record-fragments")
-    return made.filter(F.col("kind") == _WHOLE).drop("kind").unionByName(_joined_fragments(fragments))
+    fragments = _joined_fragments(kept(made.filter(F.col("kind") != _WHOLE)))
+    return made.filter(F.col("kind") == _WHOLE).drop("kind").unionByName(fragments)

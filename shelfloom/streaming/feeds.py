@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfloom.fixed_values import NO_SKU_TEXT, PARSE_ERROR_TEXT
-from shelfloom.operators.cleaning import map_headers
-from shelfloom.plans.feed_job import failed_feed, overlong_text, process_rows, store, touched_products
+from shelfloom.operators.cleaning import feed_rows, map_headers
+from shelfloom.operators.steps import Steps
+from shelfloom.plans.feed_job import (
+    checked_lines, checked_result, failed_feed, line_counts, new_job, overlong_text, store, touched_products,
+)
 from shelfloom.plans.kept_counts import keep_counts
 from shelfloom.plans.store_changes import merge_parts
-from shelfloom.session import intermediate, settle
-from shelfloom.sources.feeds import CSV_FILES, ORDER, OVERFLOW, Feed, feed_of
+from shelfloom.session import at_once, intermediate, settle
+from shelfloom.sources.feeds import CSV_FILES, ORDER, OVERFLOW, Feed, told_feed
 from shelfloom.sources.records import placed, text_lines
 from shelfloom.sources.tables import BUCKETS, Change, Tables
 from shelfloom.streaming.progress import stream_id
@@ -35,14 +38,10 @@ def short_name(file: str) -> str:
     return unquote(file).rsplit("/", 1)[-1]
 
 
-def broken_files(feed: Feed, rows: DataFrame) -> dict:
-    """File -> what is wrong with it: no SKU column, or lines with more fields than its header."""
-    wrong = {}
-    for file, line in feed.files.select("file", "line").collect():  # as many as one trigger takes
-        if "sku" not in map_headers(feed.found[line]):
-            wrong[file] = NO_SKU_TEXT.format(columns=", ".join(feed.found[line]))
-    overlong = rows.groupBy(f"{ORDER}._file").agg(F.count(OVERFLOW).alias("lines")).filter("lines > 0").collect()
-    return {row["_file"]: PARSE_ERROR_TEXT.format(error=overlong_text(row["lines"])) for row in overlong} | wrong
+def without_sku(feed: Feed, fresh: dict) -> dict:
+    """File -> what is wrong with it, for those (file -> header line) that have no SKU column."""
+    return {file: NO_SKU_TEXT.format(columns=", ".join(feed.found[line])) for file, line in fresh.items()
+            if "sku" not in map_headers(feed.found[line])}
 
 
 def ingest_feeds(stream: DataFrame, root: str, checkpoint: str, clock: Callable = datetime.now,
@@ -63,34 +62,54 @@ def ingest_feeds(stream: DataFrame, root: str, checkpoint: str, clock: Callable
         if change is None:
             return
         with intermediate(spark):
-            feed = feed_of(placed(batch))
-            fresh = settle(feed.files.select("file").join(change.read("feed_files"), "file", "left_anti"), "feed-files")
-            if not fresh.isEmpty():
-                take(feed, fresh, change)
+            feed = told_feed(placed(batch))
+            files = {step["file"]: step["first_line"] for step in feed.steps if step["first_line"] is not None}
+            known = change.read("feed_files").select("file").filter(F.col("file").isin([*files]))
+            rows, known = at_once(feed.rows, known.collect)
+            fresh = {file: files[file] for file in {*files} - {row["file"] for row in known}}
+            if fresh:
+                take(feed, rows, fresh, change)
         merge_parts(change.tables)
 
-    def take(feed: Feed, fresh: DataFrame, change: Change) -> None:
-        rows = settle(feed.rows().join(fresh, F.col(f"{ORDER}._file") == F.col("file"), "left_semi"), "feed-batch")
-        wrong = broken_files(feed, rows)
-        names = sorted(row["file"] for row in fresh.collect())
+    # The steps of a feed's cleaning and checks, by its headers.
+    known_steps = {}
+
+    def checked_of(rows: DataFrame, headers: list) -> DataFrame:
+        if tuple(headers) not in known_steps:
+            lines = feed_rows(Steps(rows), headers, OVERFLOW)
+            known_steps[tuple(headers)] = checked_lines(lines, headers)
+        return known_steps[tuple(headers)].on(rows)
+
+    def take(feed: Feed, rows: DataFrame, fresh: dict, change: Change) -> None:
+        spark, file, wrong = change.tables.spark, F.col(f"{ORDER}._file"), without_sku(feed, fresh)
+        if len(wrong) < len(fresh):
+            rows = rows.filter(file.isin([f for f in fresh if f not in wrong]))
+            # Lines cost more to check than to move from few splits to all cores.
+            cores = spark.sparkContext.defaultParallelism
+            rows = rows.repartition(cores) if len(feed.steps) < cores else rows
+            checked = settle(checked_of(rows, feed.headers), "feed-rows")
+            counts = {row["file"]: row for row in checked.groupBy(file.alias("file")).agg(*line_counts()).collect()}
+            overlong = {f: PARSE_ERROR_TEXT.format(error=overlong_text(row["broken"]))
+                        for f, row in counts.items() if row["broken"]}
+            checked = checked.filter(~file.isin([*overlong])) if overlong else checked
+            wrong |= overlong
         jobs = []
-        for file in names:
-            if file in wrong:
-                failed = failed_feed(fresh.sparkSession, wrong[file], clock(), change.job_id, short_name(file))
-                change.append("ingestion_jobs", failed.job)
-                jobs.append((file, change.job_id))
-                change.job_id += 1
-        good = [file for file in names if file not in wrong]
-        if good:
-            jobs += [(file, change.job_id) for file in good]
-            rows = rows.filter(F.col(f"{ORDER}._file").isin(good)) if wrong else rows
-            result = process_rows(rows, feed.headers, touched_products(change), clock(), change.job_id,
-                                  ", ".join(map(short_name, good)))
-        change.append("feed_files", fresh.sparkSession.createDataFrame(jobs, "file string, job_id bigint"))
+        for name in sorted(wrong):
+            failed = failed_feed(spark, wrong[name], clock(), change.job_id, short_name(name))
+            change.append("ingestion_jobs", failed.job)
+            jobs.append((name, change.job_id))
+            change.job_id += 1
+        good = sorted(f for f in fresh if f not in wrong)
+        files = spark.createDataFrame(jobs + [(name, change.job_id) for name in good], "file string, job_id bigint")
         if good:
+            total, found = (sum(counts[f][what] for f in good if f in counts) for what in ("total", "found"))
+            job = new_job(change.job_id, ", ".join(map(short_name, good)), clock())
+            result = checked_result(checked, total, found, touched_products(change), job)
+            result.files = files
             store(result, change)
         else:
             change.job_id -= 1
+            change.append("feed_files", files)
             keep_counts(change)
             change.commit()
 

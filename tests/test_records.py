@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfloom.sources import records
-from shelfloom.sources.feeds import ORDER, feed_schema, open_feed
+from shelfloom.sources.feeds import CSV_FILES, ORDER, feed_schema, open_feed, told_feed
 
 
 @contextmanager
@@ -117,6 +117,33 @@ def test_states_of_splits(spark):
     assert sorted(tuple(r) for r in records.split_states(steps).collect()) == sorted(want)
 
 
+def test_told_splits_give_the_same_records(spark, tmp_path):
+    for name, seed in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}.csv").write_text(random_feed(random.Random(seed), 40), newline="")
+    (tmp_path / "c.csv").write_text('c,b,a\n1,"open\n3,y\n4,z', newline="")
+    place = [f"{ORDER}.{n}" for n in ("_file", "_start", "_line")]
+    with splits_of(spark, 40):
+        whole = open_feed(spark, str(tmp_path))
+        told = told_feed(records.read_lines(spark, str(tmp_path), CSV_FILES))
+        assert told.found == whole.found and list(told.found) == list(whole.found)
+        assert sorted(told.files.collect()) == sorted(whole.files.collect())
+        want = whole.rows().orderBy(*place).collect()
+        assert len(want) > 80 and told.rows().orderBy(*place).collect() == want
+
+
+def test_told_states_of_splits(spark):
+    chance, rows = random.Random(3), []
+    for file in "ab":
+        for start in range(40):
+            rows.append((file, start, None, *chance.choice([(False, False), (True, True), (False, True), (True, False)])))
+    chance.shuffle(rows)
+    steps = spark.createDataFrame(rows, "file string, start bigint, first_line string, if_closed boolean, if_open boolean")
+    states = records.split_states(steps).collect()
+    begun, crossing = records.told_states(steps.collect())
+    assert begun == {(s["file"], s["start"]) for s in states if s["open_before"]} and crossing
+    assert records.told_states([]) == (frozenset(), False)
+
+
 def test_open_behind_equals_line_by_line():
     chance = random.Random(9)
     for _ in range(300):

@@ -6,10 +6,13 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from shelfloom.operators import prices as px
-from shelfloom.plans.feed_job import run_feed
+from shelfloom.operators import cleaning, prices as px
+from shelfloom.plans import feed_job, testviews as tv
+from shelfloom.plans.feed_job import checked_lines, run_feed
 from shelfloom.plans.store_changes import acknowledge_stored
+from shelfloom.operators.steps import Steps
 from shelfloom.schemas import COMPETITOR_PRICES, PRODUCTS
+from shelfloom.session import at_once, intermediate, settle
 from shelfloom.sources.tables import Tables
 from shelfloom.streaming.feeds import feed_stream, ingest_feeds
 from shelfloom.streaming.prices import monitor_prices
@@ -152,3 +155,71 @@ def test_files_of_one_batch_go_by_their_own_headers_and_fail_alone(spark, tmp_pa
     (folder / "h.csv").write_text("sku,title\n9,ten\n")
     run("state")
     assert [j[:2] for j in jobs()[4:]] == [(5, "g.csv"), (6, "h.csv")]
+
+
+def test_a_feed_of_many_batches_makes_its_columns_once(spark, tmp_path, monkeypatch):
+    """Making them is much of a small batch's time."""
+    folder, calls, whole = tmp_path / "drops", [], feed_job.clean_rows
+    folder.mkdir()
+    monkeypatch.setattr(feed_job, "clean_rows", lambda *args: calls.append(args[1]) or whole(*args))
+    for name in "abcd":
+        (folder / f"{name}.csv").write_text("".join(["sku,title\n", *[f'{name}{i},"t\n{i}"\n' for i in range(9)], f"{name}1,again\n"]))
+    (folder / "e.csv").write_text("title,sku\nother,e1\n")
+    stream = feed_stream(spark, str(folder))
+    ingest_feeds(stream, str(tmp_path / "tables"), str(tmp_path / "state"), lambda: NOW).awaitTermination()
+    assert len(calls) == 2  # one for each order of columns
+    tables = Tables(spark, str(tmp_path / "tables"))
+    found = {r["sku"]: r["title"] for r in tables.read("products").collect()}
+    want = {f"{name}{i}": "again" if i == 1 else f"t {i}" for name in "abcd" for i in range(9)}
+    assert found == want | {"e1": "other"}
+    jobs = tables.read("ingestion_jobs").orderBy("filename").collect()
+    assert [(j["new_products"], j["updated_products"]) for j in jobs] == [(9, 1), (9, 1), (9, 1), (9, 1), (1, 0)]
+
+
+def test_an_overlong_line_without_other_values_fails_its_file(spark, tmp_path):
+    folder = tmp_path / "drops"
+    folder.mkdir()
+    (folder / "a.csv").write_text("sku,title\n1,one\n,,more\n")
+    (folder / "b.csv").write_text("sku,title\n,\n2,two\n")
+    (folder / "c.csv").write_text("sku,title\n,\n")
+    stream = feed_stream(spark, str(folder), files_per_batch=3)
+    ingest_feeds(stream, str(tmp_path / "tables"), str(tmp_path / "state"), lambda: NOW).awaitTermination()
+    tables = Tables(spark, str(tmp_path / "tables"))
+    assert [r["sku"] for r in tables.read("products").collect()] == ["2"]
+    jobs = tables.read("ingestion_jobs").orderBy("job_id").collect()
+    assert [(j["filename"], j["status"], j["total_rows"]) for j in jobs] == [("a.csv", "failed", 0), ("b.csv, c.csv", "completed", 1)]
+
+
+def test_steps_taken_on_another_table_give_the_same(spark):
+    names = [f"c{i}" for i in range(len(tv.FEED_HEADERS))]
+    schema = ", ".join(f"{n} string" for n in [*names, "_overflow"]) + ", _order bigint"
+
+    def rows(start):
+        cells = [[f" S{k}", f"Red  lamp {k}", "A blue lamp. It shines.", "n/a", "x", "$5", None, "blk", "lg", "", "3kg", " air", None, k]
+                 for k in range(start, start + 5)]
+        return spark.createDataFrame(cells, schema)
+
+    def checked(frame):
+        return checked_lines(cleaning.feed_rows(frame, tv.FEED_HEADERS), tv.FEED_HEADERS)
+
+    taken = checked(Steps(rows(0)))
+    assert taken.columns == checked(rows(0)).columns
+    for start in (0, 7):
+        found = sorted(map(repr, taken.on(rows(start)).collect()))
+        assert len(found) == 5 and found == sorted(map(repr, checked(rows(start)).collect()))
+
+
+def test_steps_run_at_once_share_the_block_and_end_before_an_error(spark):
+    ended = []
+
+    def fails():
+        raise ValueError("lost")
+
+    with intermediate(spark):
+        one, two = at_once(lambda: settle(spark.range(3), "one"), lambda: settle(spark.range(5), "two"))
+        assert (one.count(), two.count()) == (3, 5)
+        with pytest.raises(ValueError, match="lost"):
+            at_once(fails, lambda: ended.append(settle(spark.range(7), "three").count()))
+        assert ended == [7]
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        two.collect()

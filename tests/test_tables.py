@@ -82,6 +82,17 @@ def test_a_batch_rewrites_the_buckets_it_touches(tables, spark, tmp_path):
     assert skus(tables)["s1"] == "New" and len(skus(tables)) == 60
 
 
+def test_a_whole_part_is_one_folder_to_list(tables, spark, tmp_path):
+    """One that is cut is a folder for each bucket left."""
+    ingest_feed(tables, feed(tmp_path, "a.csv", *[f"s{i},T,1" for i in range(60)]), T1)
+    whole = tables._newest()[0]["tables"]["products"]
+    ingest_feed(tables, feed(tmp_path, "b.csv", "s1,New,2"), T2)
+    parts = tables._newest()[0]["tables"]["products"]
+    listed = {len(p["buckets"]): len(tables._paths("products", p, p["buckets"])) for p in (*whole, *parts)}
+    assert listed == {8: 1, 1: 1, 7: 7}
+    assert skus(tables) == {r["sku"]: r["title"] for b in range(8) for r in tables.read("products", [b]).collect()}
+
+
 def test_only_two_commits_are_kept(tables, spark, tmp_path):
     for number in range(5):
         change = tables.begin(f"w{number}")
