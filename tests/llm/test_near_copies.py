@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from shelfloom.llm import near_copies
 from tests.llm.cases import FOLDER, collected, edge_documents, empty_documents, rows_of
@@ -110,6 +112,24 @@ def test_order_of_shingles_does_not_matter(spark, monkeypatch):
     assert [k[0] for k in collected(near_copies.keep_one(frame), "doc_id")] == survivors(rows, brute(rows))
 
 
+def test_all_texts_are_counted(spark, monkeypatch):
+    """Also those beyond the bytes that were once sampled."""
+    frame = spark.createDataFrame(near_texts(), "doc_id bigint, text string")
+    counted, whole = [], near_copies.frequencies
+    monkeypatch.setattr(near_copies, "SAMPLE_BYTES", 2000)
+    monkeypatch.setattr(near_copies, "frequencies", lambda texts, *more: counted.append(texts.count()) or whole(texts, *more))
+    near_copies.entries_of(frame, "doc_id", "text", 5, 80)
+    assert counted == [len(near_texts())]
+
+
+def test_any_order_of_shingles_finds_the_same(spark, monkeypatch):
+    rows = near_texts()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    digits = np.random.default_rng(3).integers(0, 30, len(near_copies.frequencies(frame.select("text"), 5))).astype(np.uint8)
+    monkeypatch.setattr(near_copies, "frequencies", lambda *_: digits)
+    assert [k[0] for k in collected(near_copies.keep_one(frame), "doc_id")] == survivors(rows, brute(rows))
+
+
 def test_defined_cases(spark):
     frame = edge_documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
